@@ -12,7 +12,7 @@ def ymd_int_to_date(c: Column | str, strict: bool = False) -> Column:
     """Integer ``yyyymmdd`` -> DATE.  Dirty values become NULL unless ``strict``."""
     c = F.col(c) if isinstance(c, str) else c
     text = c.cast("string")
-    return F.to_date(text, "yyyyMMdd") if strict else F.try_to_date(text, F.lit("yyyyMMdd"))
+    return F.to_date(text, "yyyyMMdd") if strict else F.try_to_date(text, "yyyyMMdd")
 
 
 def date_to_ymd_int(c: Column | str) -> Column:
