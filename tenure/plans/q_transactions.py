@@ -35,7 +35,18 @@ _LAG_CTE = ("o", f"""SELECT *, lag(payment_plan_days) OVER (PARTITION BY msno OR
 _LATEST_CTE = ("lc", f"""SELECT msno, is_cancel,
        row_number() OVER (PARTITION BY msno ORDER BY {ORDER_SQL_DESC}) AS rn FROM tx""")
 
-TX_PROFILE_SQL = with_views(f"""
+TX_PROFILE_CTES = [
+    _LAG_CTE, *_MODE_CTE, _LATEST_CTE,
+    ("g", f"""SELECT msno, count(*) AS n,
+       count(*) FILTER (WHERE payment_plan_days > prev) AS up,
+       count(*) FILTER (WHERE payment_plan_days < prev) AS down,
+       avg(CAST(is_auto_renew AS DOUBLE)) AS ar,
+       count(*) FILTER (WHERE is_cancel = 1) AS cc,
+       max(CASE WHEN is_cancel = 1 THEN {TIME_LEFT_SQL} END) AS tl,
+       CAST(sum(is_cancel) AS BIGINT) AS tc, CAST(sum(payment_plan_days) AS BIGINT) AS tpd,
+       sum(plan_list_price) AS tpp, sum(actual_amount_paid) AS tap
+       FROM o GROUP BY msno""")]
+TX_PROFILE_SELECT = """
 SELECT g.msno, pm.v AS frequent_payment_method, pp.v AS frequent_payment_plan,
   round(g.ar, 6) AS autorenew_percent,
   round(CASE WHEN n <= 1 THEN 0.0 ELSE up::DOUBLE / (n - 1) END, 6) AS upgrades,
@@ -46,17 +57,8 @@ SELECT g.msno, pm.v AS frequent_payment_method, pp.v AS frequent_payment_plan,
   round(g.tap, 6) AS total_Actual_amount_paid, lc.is_cancel
 FROM g JOIN pm ON pm.msno = g.msno AND pm.rn = 1
        JOIN pp ON pp.msno = g.msno AND pp.rn = 1
-       JOIN lc ON lc.msno = g.msno AND lc.rn = 1""", "tx", extra=[
-    _LAG_CTE, *_MODE_CTE, _LATEST_CTE,
-    ("g", f"""SELECT msno, count(*) AS n,
-       count(*) FILTER (WHERE payment_plan_days > prev) AS up,
-       count(*) FILTER (WHERE payment_plan_days < prev) AS down,
-       avg(CAST(is_auto_renew AS DOUBLE)) AS ar,
-       count(*) FILTER (WHERE is_cancel = 1) AS cc,
-       max(CASE WHEN is_cancel = 1 THEN {TIME_LEFT_SQL} END) AS tl,
-       CAST(sum(is_cancel) AS BIGINT) AS tc, CAST(sum(payment_plan_days) AS BIGINT) AS tpd,
-       sum(plan_list_price) AS tpp, sum(actual_amount_paid) AS tap
-       FROM o GROUP BY msno""")])
+       JOIN lc ON lc.msno = g.msno AND lc.rn = 1"""
+TX_PROFILE_SQL = with_views(TX_PROFILE_SELECT, "tx", extra=TX_PROFILE_CTES)
 
 
 @register("tx_profile", TX_PROFILE_SQL, "J1: D2 D6 D7 D8 E1 E3")
