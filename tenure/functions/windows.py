@@ -48,27 +48,34 @@ def lag_by_key(df: DataFrame, key: str, order_cols: list[str], value: str, bucke
                  .drop(b, "_lag_in", "_lag_rn", "_lag_prev_last"))
 
 
-def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], num_ranges: int | None = None,
+def prefix_sums(df: DataFrame, order_cols: list[str] | str, sum_cols: list[str],
+                group_cols: list[str] | None = None, num_ranges: int | None = None,
                 suffix: str = "_cum") -> DataFrame:
-    """Running sums of ``sum_cols`` in ascending ``order_col`` (inclusive of the row).
+    """Running sums of ``sum_cols`` in ascending ``order_cols`` order (row included),
+    restarted for each ``group_cols`` value.
 
-    ``order_col`` must be unique (pre-aggregate duplicates first).
+    Rows tied on every order column get different running values; callers
+    either pre-aggregate to unique keys or only read sums that ties cannot
+    change.  The offsets table has (#groups x #ranges) rows and is broadcast.
     """
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    group_cols = list(group_cols or [])
     spark = df.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, F.col(order_col)).withColumn(
-        "_range_id", F.spark_partition_id())
-    totals = ranged.groupBy("_range_id").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    # Offsets: sums of all earlier ranges; at most ``n`` rows.
-    wt = Window.orderBy("_range_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range_id", *[
+    ranged = (df.repartitionByRange(n, *[F.col(c) for c in group_cols + order_cols])
+                .withColumn("_range_id", F.spark_partition_id()))
+    totals = ranged.groupBy(*group_cols, "_range_id").agg(
+        *[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    wt = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_range_id") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group_cols, "_range_id", *[
         F.coalesce(F.sum(f"_tot_{c}").over(wt), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
-    wi = Window.partitionBy("_range_id").orderBy(order_col).rowsBetween(
+    wi = Window.partitionBy(*group_cols, "_range_id").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     inner = ranged
     for c in sum_cols:
         inner = inner.withColumn(f"{c}{suffix}", F.sum(c).over(wi))
-    out = inner.join(F.broadcast(offsets), "_range_id")
+    out = inner.join(F.broadcast(offsets), [*group_cols, "_range_id"])
     for c in sum_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}") + F.col(f"_off_{c}"))
     return out.drop("_range_id", *[f"_off_{c}" for c in sum_cols])
