@@ -1 +1,132 @@
-"""Registered queries."""
+"""Registered evaluation queries on the deterministic ``scored`` view (M1-M7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tenure.operators import metrics as MT
+from tenure.operators.sampling import hash_int
+from tenure.plans.oracle_views import with_views
+from tenure.plans.registry import register
+from tenure.sources.fixtures import Tables
+
+N_FOLDS = 5
+_S = ("s", "SELECT msno, is_churn, p1, CAST(p1 >= 0.5 AS INT) AS prediction FROM scored")
+_COUNTS = ("c", """SELECT count(*) FILTER (WHERE is_churn = 1 AND prediction = 1) AS tp,
+       count(*) FILTER (WHERE is_churn = 0 AND prediction = 1) AS fp,
+       count(*) FILTER (WHERE is_churn = 1 AND prediction = 0) AS fn,
+       count(*) FILTER (WHERE is_churn = 0 AND prediction = 0) AS tn FROM s""")
+
+
+def _scored(spark, sf_dir):
+    return MT.with_prediction(Tables(spark, sf_dir).scored)
+
+
+@register("accuracy", with_views("""
+SELECT round(avg(CASE WHEN is_churn = prediction THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6)
+  AS accuracy FROM s""", "scored", extra=[_S]), "M1")
+def q_accuracy(spark, sf_dir):
+    return MT.accuracy(_scored(spark, sf_dir))
+
+
+@register("confusion", with_views("""
+SELECT l.label, p.prediction, count(s.msno) AS n
+FROM (VALUES (0), (1)) l(label) CROSS JOIN (VALUES (0), (1)) p(prediction)
+LEFT JOIN s ON s.is_churn = l.label AND s.prediction = p.prediction
+GROUP BY l.label, p.prediction""", "scored", extra=[_S]), "M2")
+def q_confusion(spark, sf_dir):
+    return MT.confusion(_scored(spark, sf_dir))
+
+
+_PCLIP = "least(greatest(p1, 1e-15), 1 - 1e-15)"
+
+
+@register("log_loss", with_views(f"""
+SELECT round(avg(-(CAST(is_churn AS DOUBLE) * ln({_PCLIP})
+                   + (1 - CAST(is_churn AS DOUBLE)) * ln(1 - {_PCLIP}))), 6) AS log_loss
+FROM s""", "scored", extra=[_S]), "M3")
+def q_log_loss(spark, sf_dir):
+    return MT.log_loss(_scored(spark, sf_dir))
+
+
+def _prf_sql(tp: str, fp: str, fn: str) -> tuple[str, str, str]:
+    p = f"coalesce(CAST({tp} AS DOUBLE) / nullif({tp} + {fp}, 0), 0.0)"
+    r = f"coalesce(CAST({tp} AS DOUBLE) / nullif({tp} + {fn}, 0), 0.0)"
+    f = f"coalesce(2 * ({p}) * ({r}) / nullif(({p}) + ({r}), 0), 0.0)"
+    return p, r, f
+
+
+_P1, _R1, _F1 = _prf_sql("tp", "fp", "fn")
+_P0, _R0, _F0 = _prf_sql("tn", "fn", "fp")
+
+
+@register("class_report", with_views(f"""
+SELECT class_label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1_score, 6) AS f1_score, support FROM (
+  SELECT '0' AS class_label, {_P0} AS precision, {_R0} AS recall, {_F0} AS f1_score, tn + fp AS support FROM c
+  UNION ALL SELECT '1', {_P1}, {_R1}, {_F1}, tp + fn FROM c
+  UNION ALL SELECT 'macro avg', (({_P0}) + ({_P1})) / 2, (({_R0}) + ({_R1})) / 2, (({_F0}) + ({_F1})) / 2,
+                   tp + fn + tn + fp FROM c
+  UNION ALL SELECT 'weighted avg',
+     (({_P0}) * (tn + fp) + ({_P1}) * (tp + fn)) / CAST(tp + fn + tn + fp AS DOUBLE),
+     (({_R0}) * (tn + fp) + ({_R1}) * (tp + fn)) / CAST(tp + fn + tn + fp AS DOUBLE),
+     (({_F0}) * (tn + fp) + ({_F1}) * (tp + fn)) / CAST(tp + fn + tn + fp AS DOUBLE),
+     tp + fn + tn + fp FROM c) r""", "scored", extra=[_S, _COUNTS]), "M4")
+def q_class_report(spark, sf_dir):
+    return MT.class_report(_scored(spark, sf_dir))
+
+
+_SC = ("sc", """SELECT p1 AS score, count(*) FILTER (WHERE is_churn = 1) AS n_pos,
+       count(*) FILTER (WHERE is_churn = 0) AS n_neg FROM scored GROUP BY p1""")
+
+
+@register("roc_auc", with_views("""
+SELECT round(sum(CAST(n_pos AS DOUBLE) * ((cum - n_neg) + n_neg / 2.0))
+             / CAST(sum(n_pos) * sum(n_neg) AS DOUBLE), 6) AS roc_auc
+FROM (SELECT *, CAST(sum(n_neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cum
+      FROM sc) c""", "scored", extra=[_SC]), "M5")
+def q_roc_auc(spark, sf_dir):
+    return MT.roc_auc(Tables(spark, sf_dir).scored)
+
+
+@register("roc_points", with_views("""
+SELECT CAST(0.0 AS DOUBLE) AS fpr, CAST(0.0 AS DOUBLE) AS tpr, CAST(NULL AS DOUBLE) AS threshold
+UNION ALL
+SELECT round(CAST(cn AS DOUBLE) / (SELECT sum(n_neg) FROM sc), 6),
+       round(CAST(cp AS DOUBLE) / (SELECT sum(n_pos) FROM sc), 6), round(score, 6)
+FROM (SELECT score, sum(n_pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp,
+             sum(n_neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn FROM sc) c""",
+    "scored", extra=[_SC]), "M6")
+def q_roc_points(spark, sf_dir):
+    return MT.roc_points(Tables(spark, sf_dir).scored)
+
+
+_FOLD_SQL = ("CAST(('0x' || substr(md5(concat('42:', CAST(msno AS VARCHAR))), 1, 8)) AS BIGINT) "
+             f"% {N_FOLDS}")
+
+
+@register("cv_scores", with_views(f"""
+SELECT c.fold, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1, round(r, 6) AS recall,
+       round(acc, 6) AS accuracy, round(nll, 6) AS neg_log_loss, round(auc, 6) AS roc_auc
+FROM (SELECT fold,
+        coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS p,
+        coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS r,
+        CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn) AS acc
+      FROM (SELECT fold, count(*) FILTER (WHERE is_churn = 1 AND prediction = 1) AS tp,
+              count(*) FILTER (WHERE is_churn = 0 AND prediction = 1) AS fp,
+              count(*) FILTER (WHERE is_churn = 1 AND prediction = 0) AS fn,
+              count(*) FILTER (WHERE is_churn = 0 AND prediction = 0) AS tn FROM f GROUP BY fold) q) c
+JOIN (SELECT fold, avg(CAST(is_churn AS DOUBLE) * ln({_PCLIP})
+                       + (1 - CAST(is_churn AS DOUBLE)) * ln(1 - {_PCLIP})) AS nll
+      FROM f GROUP BY fold) l ON l.fold = c.fold
+JOIN (SELECT fold, sum(CAST(n_pos AS DOUBLE) * ((cum - n_neg) + n_neg / 2.0))
+                   / CAST(sum(n_pos) * sum(n_neg) AS DOUBLE) AS auc
+      FROM (SELECT *, CAST(sum(n_neg) OVER (PARTITION BY fold ORDER BY score ROWS UNBOUNDED PRECEDING)
+                      AS DOUBLE) AS cum
+            FROM (SELECT fold, p1 AS score, count(*) FILTER (WHERE is_churn = 1) AS n_pos,
+                    count(*) FILTER (WHERE is_churn = 0) AS n_neg FROM f GROUP BY fold, p1) g) h
+      GROUP BY fold) a ON a.fold = c.fold""", "scored", extra=[
+    _S, ("f", f"SELECT *, {_FOLD_SQL} AS fold FROM s")]), "M7")
+def q_cv_scores(spark, sf_dir):
+    s = _scored(spark, sf_dir).withColumn("fold", hash_int("msno", 42) % N_FOLDS)
+    return MT.cv_scores(s, ["fold"])
