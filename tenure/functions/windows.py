@@ -1,10 +1,7 @@
 """Ordered helpers that never put a whole (possibly hot) key in one task.
 
-``lag_by_key`` is ``lag(value) over (partition by key order by order_cols)``
-computed in time buckets: the window runs over (key, bucket), and the first
-row of each bucket takes the last value of the previous non-empty bucket of
-the same key from a small per-(key, bucket) summary.  A user holding a third
-of all rows is split over as many tasks as it has buckets.
+``day_bucket`` gives the time bucket used to split a key's ordered rows
+over several windows (see ``operators.transactions``).
 
 ``prefix_sums`` is a global running sum over a sorted column without
 ``Window.orderBy`` on the whole table: range-partition, sum per partition,
@@ -24,30 +21,6 @@ def day_bucket(c: Column | str, bucket_days: int) -> Column:
     return F.floor(F.unix_date(c) / F.lit(bucket_days)).cast("long")
 
 
-def lag_by_key(df: DataFrame, key: str, order_cols: list[str], value: str, bucket: Column,
-               out: str = "prev_value") -> DataFrame:
-    """Add ``out`` = previous row's ``value`` within ``key`` in ``order_cols`` order.
-
-    ``bucket`` must be non-decreasing along ``order_cols`` (e.g. a day bucket of
-    the leading date column).
-    """
-    b = "_lag_bucket"
-    d = df.withColumn(b, bucket)
-    w = Window.partitionBy(key, b).orderBy(*order_cols)
-    inner = (d.withColumn("_lag_in", F.lag(value).over(w))
-              .withColumn("_lag_rn", F.row_number().over(w)))
-    last = (d.groupBy(key, b)
-             .agg(F.max_by(F.col(value), F.struct(*order_cols)).alias("_lag_last")))
-    # One row per (key, bucket): bounded by the bucket count of the key.
-    prev = (last.withColumn("_lag_prev_last",
-                            F.lag("_lag_last").over(Window.partitionBy(key).orderBy(b)))
-                .drop("_lag_last"))
-    return (inner.join(prev, [key, b], "left")
-                 .withColumn(out, F.when(F.col("_lag_rn") == 1, F.col("_lag_prev_last"))
-                                   .otherwise(F.col("_lag_in")))
-                 .drop(b, "_lag_in", "_lag_rn", "_lag_prev_last"))
-
-
 def prefix_sums(df: DataFrame, order_cols: list[str] | str, sum_cols: list[str],
                 group_cols: list[str] | None = None, num_ranges: int | None = None,
                 suffix: str = "_cum") -> DataFrame:

@@ -36,20 +36,26 @@ def feature_columns() -> list[str]:
 
 
 def feature_table(tx: DataFrame, tx_ev: DataFrame, logs: DataFrame, members: DataFrame,
-                  train: DataFrame, member_last_day: _dt.date, log_last_day: _dt.date) -> DataFrame:
-    """One row per common user: J1 + J2 + J3 + label.
-
-    ``tx`` feeds the transaction block; ``tx_ev`` (transactions on the log
-    calendar) gives the first/last transaction dates for the E4 z-scores.
+                  train: DataFrame, member_last_day: _dt.date, log_last_day: _dt.date,
+                  users: DataFrame | None = None) -> DataFrame:
+    """One row per common user (H1): J1 + J2 + J3 + label.
+
+    The common-user set is the inner join of the per-user blocks themselves
+    (a user missing from any table has no row in that block), so no separate
+    INTERSECT and no extra pass is needed; the four blocks all end
+    hash-partitioned on ``msno``.  ``tx_ev`` (transactions on the log
+    calendar) gives the first/last transaction dates for E4.
+
+    ``users`` (e.g. a stratified label sample, as the reference draws) is
+    semi-joined into every input first (C1), so a small sample costs only
+    its own rows.
     """
-    users = U.common_users(logs, train, tx, members)
-    tx_u = U.keep_users(tx, users)
-    logs_u = U.keep_users(logs, users)
-    j1 = X.tx_profile(tx_u)
-    j2 = (M.member_clean(U.keep_users(members, users), member_last_day)
-           .drop("registration_date"))
-    bounds = X.tx_bounds(U.keep_users(tx_ev, users))
-    j3 = L.log_block(logs_u, bounds, log_last_day)
-    labels = U.keep_users(train, users).select("msno", "is_churn")
+    if users is not None:
+        tx, tx_ev, logs, members, train = (U.keep_users(d, users)
+                                           for d in (tx, tx_ev, logs, members, train))
+    j2 = M.member_clean(members, member_last_day).drop("registration_date")
+    labels = train.select("msno", "is_churn")
+    j3 = L.log_block(logs, X.tx_bounds(tx_ev), log_last_day)
+    j1 = X.tx_profile(tx)
     out = j1.join(j2, "msno").join(j3, "msno").join(labels, "msno")
     return out.select(*feature_columns())

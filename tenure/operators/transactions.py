@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.safe import ratio
-from tenure.functions.windows import day_bucket, lag_by_key
+from tenure.functions.windows import day_bucket
 
 # Row order of a user's transactions (fixture keys repeat; every column used
 # for ordering is listed so that ties are equal rows).
@@ -62,18 +62,48 @@ def spend_totals(tx: DataFrame) -> DataFrame:
         F.sum("actual_amount_paid").alias("total_Actual_amount_paid"))
 
 
-def with_previous_plan(tx: DataFrame, order_cols: list[str] = TX_ORDER,
-                       bucket_days: int = LAG_BUCKET_DAYS) -> DataFrame:
-    """Each transaction with the previous transaction's plan length (same user)."""
-    return lag_by_key(tx, "msno", order_cols, "payment_plan_days",
-                      day_bucket(order_cols[0], bucket_days), out="prev_plan_days")
-
+def _bucket_summary(tx: DataFrame, order_cols: list[str], bucket_days: int,
+                    full: bool) -> DataFrame:
+    """Per (user, time bucket) partial aggregates, with plan-change counts inside the bucket.
 
-def plan_change_aggs(prev_col: str = "prev_plan_days") -> list:
-    p, q = F.col("payment_plan_days"), F.col(prev_col)
-    return [F.count(F.lit(1)).alias("_n"),
-            F.count_if(p > q).alias("_up"),
-            F.count_if(p < q).alias("_down")]
+    The lag runs over (msno, bucket) windows, so a user with a third of all
+    rows is spread over its buckets.  The pair that straddles two buckets
+    (previous bucket's last plan, this bucket's first plan) is compared on
+    this small summary afterwards.  The aggregation reuses the window's
+    (msno, bucket) partitioning: no extra shuffle of the transactions.
+    """
+    b = day_bucket(order_cols[0], bucket_days)
+    d = tx.withColumn("_b", b)
+    w = Window.partitionBy("msno", "_b").orderBy(*order_cols)
+    inner = d.withColumn("_prev", F.lag("payment_plan_days").over(w))
+    v, key = F.col("payment_plan_days"), F.struct(*order_cols)
+    aggs = [F.count(F.lit(1)).alias("_n"),
+            F.count_if(v > F.col("_prev")).alias("_up"),
+            F.count_if(v < F.col("_prev")).alias("_down"),
+            F.min_by(v, key).alias("_first_plan"),
+            F.max_by(v, key).alias("_last_plan")]
+    if full:
+        cancel = F.col("is_cancel") == 1
+        aggs += [F.count_if(cancel).alias("_cc"),
+                 F.max(F.when(cancel, time_left_share(inner))).alias("_tl"),
+                 F.sum("is_cancel").alias("_tc"),
+                 F.sum("payment_plan_days").alias("_tpd"),
+                 F.sum("plan_list_price").alias("_tpp"),
+                 F.sum("actual_amount_paid").alias("_tap"),
+                 F.sum("is_auto_renew").alias("_ar"),
+                 F.max(key).alias("_last_key"),
+                 F.max_by(F.col("is_cancel"), key).alias("_last_cancel")]
+    summ = inner.groupBy("msno", "_b").agg(*aggs)
+    # One row per (user, bucket): the per-user window holds bucket counts, not rows.
+    return summ.withColumn("_prev_last",
+                           F.lag("_last_plan").over(Window.partitionBy("msno").orderBy("_b")))
+
+
+def _change_counts() -> list:
+    first, prev = F.col("_first_plan"), F.col("_prev_last")
+    return [F.sum("_n").alias("_n"),
+            (F.sum("_up") + F.count_if(first > prev)).alias("_up"),
+            (F.sum("_down") + F.count_if(first < prev)).alias("_down")]
 
 
 def plan_change_shares_cols() -> list:
@@ -93,9 +123,10 @@ def plan_change_shares_cols() -> list:
     ]
 
 
-def plan_change_shares(tx: DataFrame, order_cols: list[str] = TX_ORDER) -> DataFrame:
+def plan_change_shares(tx: DataFrame, order_cols: list[str] = TX_ORDER,
+                       bucket_days: int = LAG_BUCKET_DAYS) -> DataFrame:
     """Shares of plan-length changes up / down / same over consecutive transactions."""
-    g = with_previous_plan(tx, order_cols).groupBy("msno").agg(*plan_change_aggs())
+    g = _bucket_summary(tx, order_cols, bucket_days, full=False).groupBy("msno").agg(*_change_counts())
     return g.select("msno", *plan_change_shares_cols())
 
 
@@ -113,31 +144,31 @@ def tx_bounds(tx: DataFrame) -> DataFrame:
 
 def tx_profile(tx: DataFrame, order_cols: list[str] = TX_ORDER,
                bucket_days: int = LAG_BUCKET_DAYS) -> DataFrame:
-    """The whole transaction feature block in one ``groupBy(msno)``.
+    """The whole transaction feature block.
 
-    D2, D6, D7, D8, E1 and E3 share one exchange on ``msno`` after the
-    bucketed lag (which itself shuffles on (msno, bucket)).
+    D2, D7, D8, E1 and E3 are decomposable: computed per (user, bucket) in
+    the pass that also counts plan changes, then combined per user.  The two
+    modes (D6) are one partial aggregation on ``msno``.  Both sides end
+    hash-partitioned on ``msno`` for the final join.
     """
-    t = with_previous_plan(tx, order_cols, bucket_days)
-    cancel = F.col("is_cancel") == 1
-    g = t.groupBy("msno").agg(
-        F.mode("payment_method_id", deterministic=True).alias("frequent_payment_method"),
-        F.mode("payment_plan_days", deterministic=True).alias("frequent_payment_plan"),
-        F.avg(F.col("is_auto_renew").cast("double")).alias("autorenew_percent"),
-        *plan_change_aggs(),
-        F.count_if(cancel).alias("cancelled_counts"),
-        F.coalesce(F.max(F.when(cancel, time_left_share(t))), F.lit(0.0))
-         .alias("percent_time_left_when_cancelled"),
-        F.sum("is_cancel").cast("long").alias("total_cancels"),
-        F.sum("payment_plan_days").cast("long").alias("total_plan_days"),
-        F.sum("plan_list_price").alias("total_plan_price"),
-        F.sum("actual_amount_paid").alias("total_Actual_amount_paid"),
-        F.max_by(F.col("is_cancel"), F.struct(*order_cols)).alias("is_cancel"),
-    )
-    return g.select("msno", "frequent_payment_method", "frequent_payment_plan",
-                    "autorenew_percent", *plan_change_shares_cols(), "cancelled_counts",
-                    "percent_time_left_when_cancelled", "total_cancels", "total_plan_days",
-                    "total_plan_price", "total_Actual_amount_paid", "is_cancel")
+    summ = _bucket_summary(tx, order_cols, bucket_days, full=True)
+    g = summ.groupBy("msno").agg(
+        *_change_counts(),
+        F.sum("_ar").alias("_ar"),
+        F.sum("_cc").alias("cancelled_counts"),
+        F.coalesce(F.max("_tl"), F.lit(0.0)).alias("percent_time_left_when_cancelled"),
+        F.sum("_tc").cast("long").alias("total_cancels"),
+        F.sum("_tpd").cast("long").alias("total_plan_days"),
+        F.sum("_tpp").alias("total_plan_price"),
+        F.sum("_tap").alias("total_Actual_amount_paid"),
+        F.max_by("_last_cancel", "_last_key").alias("is_cancel"))
+    modes = frequent_payment(tx)
+    return g.join(modes, "msno").select(
+        "msno", "frequent_payment_method", "frequent_payment_plan",
+        (F.col("_ar") / F.col("_n")).alias("autorenew_percent"),
+        *plan_change_shares_cols(), "cancelled_counts",
+        "percent_time_left_when_cancelled", "total_cancels", "total_plan_days",
+        "total_plan_price", "total_Actual_amount_paid", "is_cancel")
 
 
 def paid_since(tx: DataFrame, cutoff: _dt.date) -> DataFrame:
