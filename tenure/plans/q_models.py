@@ -1 +1,40 @@
-"""Registered queries."""
+"""Registered model queries (L1-L7, M7): rows-only checks (no SQL counterpart)."""
+
+from __future__ import annotations
+
+from tenure.operators import features as FT
+from tenure.operators import models as ML
+from tenure.plans.q_features import build_feature_table
+from tenure.plans.registry import register
+
+
+def _design(spark, sf_dir):
+    return ML.design_matrix(build_feature_table(spark, sf_dir), FT.CATEGORICAL)
+
+
+@register("rf_scores", None, "L2 L3 L4 I5 K1 K2 K6 H4")
+def q_rf_scores(spark, sf_dir):
+    scores, _ = ML.rf_scores(_design(spark, sf_dir))
+    return scores
+
+
+@register("importance_by_variable", None, "L7 K5 G2")
+def q_importance_by_variable(spark, sf_dir):
+    design = _design(spark, sf_dir)
+    _, model = ML.rf_scores(design)
+    return ML.importance_by_variable(model, design.feature_names, spark)
+
+
+@register("logreg_scores", None, "L1")
+def q_logreg_scores(spark, sf_dir):
+    return ML.logreg_scores(_design(spark, sf_dir))
+
+
+@register("rf_grid", None, "L5 M7")
+def q_rf_grid(spark, sf_dir):
+    return ML.grid_search(_design(spark, sf_dir))
+
+
+@register("ada_rf", None, "L6")
+def q_ada_rf(spark, sf_dir):
+    return ML.ada_boost_rf(_design(spark, sf_dir))
