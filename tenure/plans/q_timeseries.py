@@ -1 +1,84 @@
-"""Registered queries."""
+"""Registered time-series queries (E8, E9) on every user's daily series.
+
+The fixture calendar has 30 days; the reference's period 30 needs 60 points,
+so periods 7 and 6 are registered (odd and even trend filters).
+"""
+
+from __future__ import annotations
+
+from tenure.operators import timeseries as TS
+from tenure.plans.oracle_views import with_views
+from tenure.plans.registry import register
+from tenure.sources.fixtures import LOG_FIRST_DAY, Tables
+
+N_DAYS = 30
+
+_DS = ("ds", f"""SELECT u.msno, d.date, CAST(coalesce(l.num_25, 0) AS DOUBLE) AS x,
+       CAST(date_diff('day', DATE '{LOG_FIRST_DAY}', d.date) AS INT) AS t
+       FROM (SELECT DISTINCT msno FROM user_logs) u
+       CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '{LOG_FIRST_DAY}',
+                   DATE '{LOG_FIRST_DAY}' + {N_DAYS - 1}, INTERVAL 1 DAY)) AS DATE) AS date) d
+       LEFT JOIN user_logs l ON l.msno = u.msno AND l.date = d.date""")
+
+
+def _series(spark, sf_dir):
+    return TS.daily_series(Tables(spark, sf_dir).user_logs, LOG_FIRST_DAY, N_DAYS)
+
+
+def _decompose_sql(m: int) -> str:
+    h = m // 2
+    frame = f"sum(x) OVER (PARTITION BY msno ORDER BY t ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+    if m % 2 == 0:
+        ends = (f"(lag(x, {h}) OVER (PARTITION BY msno ORDER BY t) "
+                f"+ lead(x, {h}) OVER (PARTITION BY msno ORDER BY t))")
+        trend = f"({frame} - 0.5 * {ends}) / {float(m)}"
+    else:
+        trend = f"{frame} / {float(m)}"
+    return with_views(f"""
+SELECT tr.msno, tr.date, tr.t, round(tr.x, 6) AS observed, round(tr.trend, 6) AS trend,
+       round(se.seasonal, 6) AS seasonal, round(tr.x - tr.trend - se.seasonal, 6) AS resid
+FROM tr JOIN se ON tr.msno = se.msno AND tr.phase = se.phase""", "user_logs", extra=[
+        _DS,
+        ("tr", f"""SELECT msno, date, t, x, t % {m} AS phase,
+       CASE WHEN t >= {h} AND t <= max(t) OVER (PARTITION BY msno) - {h} THEN {trend} END AS trend
+       FROM ds"""),
+        ("pm", "SELECT msno, phase, avg(x - trend) AS pm FROM tr GROUP BY msno, phase"),
+        ("se", "SELECT msno, phase, pm - avg(pm) OVER (PARTITION BY msno) AS seasonal FROM pm"),
+    ])
+
+
+def _decompose_query(m: int):
+    def build(spark, sf_dir):
+        return TS.seasonal_decompose(_series(spark, sf_dir), m)
+    return build
+
+
+for _m in (7, 6):
+    register(f"seasonal_decompose_{_m}", _decompose_sql(_m), "E8")(_decompose_query(_m))
+
+
+def _crit_sql(level: str) -> str:
+    b = TS.ADF_CRIT_CONSTANT[level]
+    n = "CAST(nobs AS DOUBLE)"
+    return (f"round({b[0]} + {b[1]} / {n} + {b[2]} / ({n} * {n}) + {b[3]} / ({n} * {n} * {n}), 6) "
+            f"AS crit_{level.rstrip('%')}")
+
+
+@register("unit_root_lag0", with_views(f"""
+SELECT msno, nobs, round(CASE WHEN ok THEN sxy / sxx END, 6) AS slope,
+       round(CASE WHEN ok AND se > 0 THEN (sxy / sxx) / se END, 6) AS adf_stat,
+       {', '.join(_crit_sql(k) for k in TS.ADF_CRIT_CONSTANT)}
+FROM (SELECT *, n >= 3 AND sxx > 0 AS ok,
+             sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0.0) / (n - 2) / nullif(sxx, 0)) AS se,
+             CAST(n AS BIGINT) AS nobs
+      FROM (SELECT msno, regr_count(x - xl, xl) AS n, regr_sxx(x - xl, xl) AS sxx,
+                   regr_syy(x - xl, xl) AS syy, regr_sxy(x - xl, xl) AS sxy
+            FROM (SELECT msno, t, x, lag(x) OVER (PARTITION BY msno ORDER BY t) AS xl FROM ds) d
+            WHERE xl IS NOT NULL GROUP BY msno) g) q""", "user_logs", extra=[_DS]), "E9 (lag 0)")
+def q_unit_root_lag0(spark, sf_dir):
+    return TS.unit_root_lag0(_series(spark, sf_dir))
+
+
+@register("unit_root_adf", None, "E9 (lag by AIC, grouped map)")
+def q_unit_root_adf(spark, sf_dir):
+    return TS.unit_root_adf(_series(spark, sf_dir))
