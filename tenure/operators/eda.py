@@ -174,8 +174,19 @@ def calendar_fill(logs: DataFrame, users: DataFrame, first_day: _dt.date, n_days
 
 
 def logs_right_labels(logs: DataFrame, train: DataFrame) -> DataFrame:
-    """Every labelled user with their log rows (NULL log columns when none)."""
-    return logs.join(train.select("msno", "is_churn"), "msno", "right")
+    """Every labelled user with their log rows (NULL log columns when none).
+
+    Same rows as ``logs RIGHT JOIN train``, built as an inner join plus the
+    labelled users without logs (anti join): AQE can split a hot user's
+    partition in an inner join, but not on the outer side of an outer join.
+    """
+    labels = train.select("msno", "is_churn")
+    matched = logs.join(labels, "msno")
+    log_cols = [c for c in logs.columns if c != "msno"]
+    types = dict(logs.dtypes)
+    unmatched = labels.join(logs.select("msno"), "msno", "left_anti").select(
+        "msno", *[F.lit(None).cast(types[c]).alias(c) for c in log_cols], "is_churn")
+    return matched.unionByName(unmatched)
 
 
 def discount_users(tx: DataFrame) -> DataFrame:

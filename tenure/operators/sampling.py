@@ -9,7 +9,7 @@ and merges the per-task winners (TakeOrderedAndProject), so only
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.windows import prefix_sums
@@ -32,9 +32,37 @@ def hash_unit(key: str | Column, seed: int = DEFAULT_SEED) -> Column:
     return hash_int(key, seed) / F.lit(4294967296.0)
 
 
-def sample_exact(df: DataFrame, n: int, key: str = "msno", seed: int = DEFAULT_SEED) -> DataFrame:
-    """Exactly min(n, rows) rows without replacement."""
-    return df.orderBy(hash_key(key, seed)).limit(n)
+SMALL_SAMPLE = 10_000
+BUCKET_HEX = 5          # 2^20 hash buckets for large exact samples
+
+
+def sample_exact(df: DataFrame, n: int, key: str = "msno", seed: int = DEFAULT_SEED,
+                 small_limit: int = SMALL_SAMPLE) -> DataFrame:
+    """Exactly min(n, rows) rows without replacement: the n smallest key hashes.
+
+    ``key`` identifies a row (the sampling unit).  Up to ``small_limit`` rows:
+    ``orderBy(hash).limit(n)`` (each task keeps n, the merge sees tasks x n).
+    Larger n (the reference draws 856,851): rows are counted per hash-prefix
+    bucket (2^20 buckets), a running count finds the bucket where the n-th
+    row falls, every row of earlier buckets is taken and only that one
+    boundary bucket (about rows / 2^20 keys) is ranked.  Same rows either way.
+    """
+    if n <= small_limit:
+        return df.orderBy(hash_key(key, seed)).limit(n)
+    cols = df.columns
+    d = (df.withColumn("_h", hash_key(key, seed))
+           .withColumn("_bucket", F.conv(F.substring("_h", 1, BUCKET_HEX), 16, 10).cast("long")))
+    counts = d.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    cum = prefix_sums(counts, ["_bucket"], ["_cnt"])
+    edge = cum.filter(F.col("_cnt_cum") >= n)
+    b_star = edge.select(F.min("_bucket")).scalar()
+    before = edge.select(F.min_by(F.col("_cnt_cum") - F.col("_cnt"), F.col("_bucket"))).scalar()
+    inside = d.filter(F.col("_bucket") < F.coalesce(b_star, F.lit(1 << (4 * BUCKET_HEX))))
+    w = Window.partitionBy("_bucket").orderBy("_h")
+    boundary = (d.filter(F.col("_bucket") == b_star)
+                 .withColumn("_rn", F.row_number().over(w))
+                 .filter(F.col("_rn") <= F.lit(n) - before))
+    return inside.select(*cols).unionByName(boundary.select(*cols))
 
 
 def downsample_majority(df: DataFrame, label_col: str, majority_value, n: int, key: str = "msno",

@@ -51,6 +51,8 @@ def test_samples_exact_and_subset(spark, sf_dir):
     counts = {r["is_churn"]: r["count"] for r in st.groupBy("is_churn").count().collect()}
     assert counts[1] == 10 and counts[0] == tr.filter("is_churn = 0").count()   # capped at population
     assert rows(SMP.sample_exact(tr, 40), ["msno"]) == rows(SMP.sample_exact(tr, 40), ["msno"])
+    big = SMP.sample_exact(tr, 97, small_limit=10)       # bucketed exact path
+    assert sorted(r.msno for r in big.collect()) == sorted(r.msno for r in SMP.sample_exact(tr, 97).collect())
     wr = SMP.sample_with_replacement(tr, 60)
     assert 0 < wr.count() <= 60 and wr.join(tr, "msno", "left_anti").count() == 0
 
