@@ -86,9 +86,12 @@ def _scores(pred: DataFrame, key: str = "msno") -> DataFrame:
 def random_forest(num_trees: int = RF_TREES, features: str = RF_FEATURES, min_leaf: int = RF_MIN_LEAF,
                   max_depth: int = MAX_DEPTH, seed: int = 42) -> RandomForestClassifier:
     """L2 + L3: class-weighted forest."""
+    # Larger node groups per pass and cached node ids: fewer passes over the
+    # training rows for deep trees (node-id cache is checkpointed to the shared folder).
     return RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy=features,
                                   minInstancesPerNode=min_leaf, maxDepth=max_depth, seed=seed,
-                                  weightCol="weight", labelCol="label", featuresCol="features")
+                                  weightCol="weight", labelCol="label", featuresCol="features",
+                                  maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
 
 
 def rf_scores(design: Design, **kw) -> tuple[DataFrame, object]:

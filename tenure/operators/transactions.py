@@ -62,8 +62,14 @@ def spend_totals(tx: DataFrame) -> DataFrame:
         F.sum("actual_amount_paid").alias("total_Actual_amount_paid"))
 
 
-def _bucket_summary(tx: DataFrame, order_cols: list[str], bucket_days: int,
-                    full: bool) -> DataFrame:
+def _windowed(tx: DataFrame, order_cols: list[str], bucket_days: int) -> DataFrame:
+    """Transactions with the previous plan inside their (msno, time bucket) window."""
+    d = tx.withColumn("_b", day_bucket(order_cols[0], bucket_days))
+    w = Window.partitionBy("msno", "_b").orderBy(*order_cols)
+    return d.withColumn("_prev", F.lag("payment_plan_days").over(w))
+
+
+def _bucket_summary(inner: DataFrame, order_cols: list[str], full: bool) -> DataFrame:
     """Per (user, time bucket) partial aggregates, with plan-change counts inside the bucket.
 
     The lag runs over (msno, bucket) windows, so a user with a third of all
@@ -72,10 +78,6 @@ def _bucket_summary(tx: DataFrame, order_cols: list[str], bucket_days: int,
     this small summary afterwards.  The aggregation reuses the window's
     (msno, bucket) partitioning: no extra shuffle of the transactions.
     """
-    b = day_bucket(order_cols[0], bucket_days)
-    d = tx.withColumn("_b", b)
-    w = Window.partitionBy("msno", "_b").orderBy(*order_cols)
-    inner = d.withColumn("_prev", F.lag("payment_plan_days").over(w))
     v, key = F.col("payment_plan_days"), F.struct(*order_cols)
     aggs = [F.count(F.lit(1)).alias("_n"),
             F.count_if(v > F.col("_prev")).alias("_up"),
@@ -126,7 +128,8 @@ def plan_change_shares_cols() -> list:
 def plan_change_shares(tx: DataFrame, order_cols: list[str] = TX_ORDER,
                        bucket_days: int = LAG_BUCKET_DAYS) -> DataFrame:
     """Shares of plan-length changes up / down / same over consecutive transactions."""
-    g = _bucket_summary(tx, order_cols, bucket_days, full=False).groupBy("msno").agg(*_change_counts())
+    inner = _windowed(tx, order_cols, bucket_days)
+    g = _bucket_summary(inner, order_cols, full=False).groupBy("msno").agg(*_change_counts())
     return g.select("msno", *plan_change_shares_cols())
 
 
@@ -148,10 +151,11 @@ def tx_profile(tx: DataFrame, order_cols: list[str] = TX_ORDER,
 
     D2, D7, D8, E1 and E3 are decomposable: computed per (user, bucket) in
     the pass that also counts plan changes, then combined per user.  The two
-    modes (D6) are one partial aggregation on ``msno``.  Both sides end
-    hash-partitioned on ``msno`` for the final join.
+    modes (D6) are one partial aggregation on ``msno`` over the same windowed
+    rows.  Both sides end hash-partitioned on ``msno`` for the final join.
     """
-    summ = _bucket_summary(tx, order_cols, bucket_days, full=True)
+    inner = _windowed(tx, order_cols, bucket_days)
+    summ = _bucket_summary(inner, order_cols, full=True)
     g = summ.groupBy("msno").agg(
         *_change_counts(),
         F.sum("_ar").alias("_ar"),
@@ -162,7 +166,8 @@ def tx_profile(tx: DataFrame, order_cols: list[str] = TX_ORDER,
         F.sum("_tpp").alias("total_plan_price"),
         F.sum("_tap").alias("total_Actual_amount_paid"),
         F.max_by("_last_cancel", "_last_key").alias("is_cancel"))
-    modes = frequent_payment(tx)
+    # From the windowed rows: reads the (msno, bucket) shuffle output, not the table again.
+    modes = frequent_payment(inner)
     return g.join(modes, "msno").select(
         "msno", "frequent_payment_method", "frequent_payment_plan",
         (F.col("_ar") / F.col("_n")).alias("autorenew_percent"),
