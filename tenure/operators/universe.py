@@ -31,3 +31,14 @@ def table_row_counts(named: dict[str, DataFrame]) -> DataFrame:
         part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def user_rows(df: DataFrame, user, order_cols: list[str], n: int | None = None,
+              key: str = "msno") -> DataFrame:
+    """B5 + G1 + G3: one user's rows in order, optionally the first ``n``.
+
+    The equality filter on the key reaches the parquet scan (row-group
+    statistics skip data when files are clustered by user).
+    """
+    out = df.filter(F.col(key) == F.lit(user)).orderBy(*order_cols)
+    return out.limit(n) if n is not None else out

@@ -189,3 +189,15 @@ def test_histogram_numpy_rules(spark):
     edges = spark.createDataFrame([(0,), (1,), (3,)], "e int")
     got = rows(D.rate_histogram(vals, "r", edges, "e"), ["bin"])
     assert [(g["bin"], g["n"]) for g in got] == [(1, 1), (2, 3)]   # 3.0 in the closed last bin
+
+
+def test_user_rows_lookup_ordered_head(spark, sf_dir):
+    from tenure.operators.universe import user_rows
+    from tenure.sources.fixtures import Tables
+    tx = Tables(spark, sf_dir).tx
+    some = tx.select("msno").first()["msno"]
+    got = user_rows(tx, some, X.TX_ORDER, n=3).collect()
+    allr = user_rows(tx, some, X.TX_ORDER).collect()
+    assert 0 < len(got) <= 3 and got == allr[:len(got)]
+    keys = [tuple(r[c] for c in X.TX_ORDER) for r in allr]
+    assert keys == sorted(keys) and {r["msno"] for r in allr} == {some}
