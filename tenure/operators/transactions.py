@@ -18,7 +18,7 @@ from tenure.functions.windows import day_bucket
 # Row order of a user's transactions (fixture keys repeat; every column used
 # for ordering is listed so that ties are equal rows).
 TX_ORDER = ["transaction_date", "seq1", "seq2", "payment_plan_days", "is_cancel"]
-LAG_BUCKET_DAYS = 30
+LAG_BUCKET_DAYS = None  # None: range buckets (skew-proof); an int: calendar buckets of that many days
 
 
 def frequent_value(tx: DataFrame, col: str, out: str, key: str = "msno") -> DataFrame:
@@ -62,15 +62,28 @@ def spend_totals(tx: DataFrame) -> DataFrame:
         F.sum("actual_amount_paid").alias("total_Actual_amount_paid"))
 
 
-def _windowed(tx: DataFrame, order_cols: list[str], bucket_days: int) -> DataFrame:
-    """Transactions with the previous plan inside their (msno, time bucket) window."""
-    d = tx.withColumn("_b", day_bucket(order_cols[0], bucket_days))
+def _windowed(tx: DataFrame, order_cols: list[str], bucket_days: int | None = None,
+              num_ranges: int | None = None) -> DataFrame:
+    """Transactions with the previous plan inside their (msno, bucket) window.
+
+    Default buckets are the ranges of a range partitioning on (msno, order
+    keys): each holds about rows / ranges rows however the data cluster, so
+    neither a hot user nor a hot user-day makes a large window (one extra
+    exchange).  ``bucket_days`` uses calendar buckets instead (one exchange
+    fewer; a user's busy month stays one window).
+    """
+    if bucket_days:
+        d = tx.withColumn("_b", day_bucket(order_cols[0], bucket_days))
+    else:
+        n = num_ranges or int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        d = (tx.repartitionByRange(n, F.col("msno"), *[F.col(c) for c in order_cols])
+               .withColumn("_b", F.spark_partition_id()))
     w = Window.partitionBy("msno", "_b").orderBy(*order_cols)
     return d.withColumn("_prev", F.lag("payment_plan_days").over(w))
 
 
 def _bucket_summary(inner: DataFrame, order_cols: list[str], full: bool) -> DataFrame:
-    """Per (user, time bucket) partial aggregates, with plan-change counts inside the bucket.
+    """Per (user, bucket) partial aggregates, with plan-change counts inside the bucket.
 
     The lag runs over (msno, bucket) windows, so a user with a third of all
     rows is spread over its buckets.  The pair that straddles two buckets
@@ -126,7 +139,7 @@ def plan_change_shares_cols() -> list:
 
 
 def plan_change_shares(tx: DataFrame, order_cols: list[str] = TX_ORDER,
-                       bucket_days: int = LAG_BUCKET_DAYS) -> DataFrame:
+                       bucket_days: int | None = LAG_BUCKET_DAYS) -> DataFrame:
     """Shares of plan-length changes up / down / same over consecutive transactions."""
     inner = _windowed(tx, order_cols, bucket_days)
     g = _bucket_summary(inner, order_cols, full=False).groupBy("msno").agg(*_change_counts())
@@ -146,7 +159,7 @@ def tx_bounds(tx: DataFrame) -> DataFrame:
 
 
 def tx_profile(tx: DataFrame, order_cols: list[str] = TX_ORDER,
-               bucket_days: int = LAG_BUCKET_DAYS) -> DataFrame:
+               bucket_days: int | None = LAG_BUCKET_DAYS) -> DataFrame:
     """The whole transaction feature block.
 
     D2, D7, D8, E1 and E3 are decomposable: computed per (user, bucket) in

@@ -71,7 +71,9 @@ def test_plan_changes_across_many_buckets_equal_plain_lag(spark):
         for i in range(5):
             data.append((u, 1, 10 * ((i * u) % 4), 1.0, 1.0, 0, day(50 * i), day(50 * i), 0, i, 1))
     t = tx_rows(spark, data)
-    got = {r["msno"]: r for r in rows(X.plan_change_shares(t, bucket_days=30))}
+    got = {r["msno"]: r for r in rows(X.plan_change_shares(t))}
+    by_days = {r["msno"]: r for r in rows(X.plan_change_shares(t, bucket_days=30))}
+    assert got == by_days
     from pyspark.sql import Window
     w = Window.partitionBy("msno").orderBy(*X.TX_ORDER)
     ref = (t.withColumn("prev", F.lag("payment_plan_days").over(w)).groupBy("msno")

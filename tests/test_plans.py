@@ -41,5 +41,5 @@ def test_no_python_udf_in_core_queries(spark, sf_dir, name):
 
 def test_plan_changes_window_is_bucketed(spark, sf_dir):
     p = plan_of(E.queries()["plan_change_shares"](spark, sf_dir))
-    # the row-level window partitions by (msno, bucket), never by msno alone
-    assert "_b#" in p
+    # the row-level window partitions by (msno, range bucket), never by msno alone
+    assert "_b#" in p and "rangepartitioning" in p.lower()
