@@ -51,13 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the configured shared folder (survives executor loss)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-        if not configured:
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; configure a shared folder for checkpoints")
-        sc.setCheckpointDir(configured)
+    """Reliable checkpoint into the configured checkpoint folder (survives executor loss).
+
+    Uses ``spark.checkpoint.dir`` (the cluster's shared folder); only when no
+    folder is configured at all (local runs) is a local one chosen.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
