@@ -46,6 +46,9 @@ def feature_table(tx: DataFrame, tx_ev: DataFrame, logs: DataFrame, members: Dat
     hash-partitioned on ``msno``.  ``tx_ev`` (transactions on the log
     calendar) gives the first/last transaction dates for E4.
 
+    Attributes and the label are attached by key joins on ``msno`` (C2); the
+    reference's positional assignments (C5, C6) have no counterpart.
+
     ``users`` (e.g. a stratified label sample, as the reference draws) is
     semi-joined into every input first (C1), so a small sample costs only
     its own rows.

@@ -67,7 +67,7 @@ def sample_exact(df: DataFrame, n: int, key: str = "msno", seed: int = DEFAULT_S
 
 def downsample_majority(df: DataFrame, label_col: str, majority_value, n: int, key: str = "msno",
                         seed: int = DEFAULT_SEED) -> DataFrame:
-    """I2 + H2: keep every minority row, draw n majority rows, union."""
+    """I2 + H2 (+ B4 class filters): keep every minority row, draw n majority rows, union."""
     keep = df.filter(F.col(label_col) != F.lit(majority_value))
     drawn = sample_exact(df.filter(F.col(label_col) == F.lit(majority_value)), n, key, seed)
     return keep.unionByName(drawn)

@@ -3,7 +3,8 @@
 New log files arrive in a folder; each micro-batch keeps only the rows of
 the chosen users (a stream-static LEFT SEMI join) and appends them to a
 parquet table.  No state and no watermark are needed: every row is decided
-on its own.  The checkpoint makes the append exactly-once across restarts
+on its own, and the sink's append replaces the reference's append of
+filtered chunks (H3).  The checkpoint makes the append exactly-once across restarts
 and executor loss; ``availableNow`` drains what is there and stops, which
 makes the result equal to the batch ``keep_users`` on the same files.
 """
