@@ -60,13 +60,21 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily usage logs: one row per (user, day) with play counters."""
+    """Daily usage logs: one row per (user, day) with play counters.
+
+    Two plain aggregations, (user, day, k) then (user, day), instead of a
+    DISTINCT aggregate, which Spark would evaluate by expanding every row.
+    ``num_unq`` counts the non-null k groups, i.e. COUNT(DISTINCT k).
+    """
     ev = read_table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    aggs = [F.count_if(F.col("event_type") == t).alias(c) for t, c in EVENT_TYPE_TO_COUNTER]
-    aggs += [F.count_distinct(k).alias("num_unq"), F.sum("value").alias("total_secs")]
-    return (ev.groupBy(F.col("user_id").alias("msno"), F.col("ts").cast("date").alias("date"))
-              .agg(*aggs))
+    per_k = (ev.groupBy(F.col("user_id").alias("msno"), F.col("ts").cast("date").alias("date"),
+                        k.alias("_k"))
+               .agg(*[F.count_if(F.col("event_type") == t).alias(c) for t, c in EVENT_TYPE_TO_COUNTER],
+                    F.sum("value").alias("_v")))
+    return per_k.groupBy("msno", "date").agg(
+        *[F.sum(c).alias(c) for _, c in EVENT_TYPE_TO_COUNTER],
+        F.count("_k").alias("num_unq"), F.sum("_v").alias("total_secs"))
 
 
 def tx_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
