@@ -113,3 +113,50 @@ def test_csv_roundtrip_with_dirty_dates(spark, tmp_path):
     got = {r["msno"]: r for r in rows(io.read_retention_csv(spark, p, "members"))}
     assert got["a"]["registration_init_time"] == dt.date(2016, 1, 5)
     assert got["b"]["registration_init_time"] is None and got["b"]["gender"] is None
+
+
+def _decompose_numpy(x, m):
+    """Additive decomposition by the textbook definition (centred MA, phase means)."""
+    n, h = len(x), m // 2
+    trend = np.full(n, np.nan)
+    if m % 2 == 0:
+        w = np.r_[0.5, np.ones(m - 1), 0.5] / m
+    else:
+        w = np.ones(m) / m
+    for t in range(h, n - h):
+        trend[t] = float(np.dot(w, x[t - h:t + h + 1]))
+    det = x - trend
+    phase = np.array([np.nanmean(det[p::m]) for p in range(m)])
+    phase -= phase.mean()
+    seasonal = np.array([phase[t % m] for t in range(n)])
+    return trend, seasonal, x - trend - seasonal
+
+
+def test_decomposition_matches_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, size=30).astype(float)
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 1) + dt.timedelta(days=t), t, float(v))
+                                for t, v in enumerate(x)], "msno long, date date, t int, num_25 double")
+    for m in (6, 7):
+        trend, seasonal, resid = _decompose_numpy(x, m)
+        got = sorted(TS.seasonal_decompose(df, m).collect(), key=lambda r: r.t)
+        for r in got:
+            if np.isnan(trend[r.t]):
+                assert r.trend is None and r.resid is None
+            else:
+                assert math.isclose(r.trend, trend[r.t], abs_tol=1e-9)
+                assert math.isclose(r.resid, resid[r.t], abs_tol=1e-9)
+            assert math.isclose(r.seasonal, seasonal[r.t], abs_tol=1e-9)
+
+
+def test_adf_lag0_agrees_with_regr_aggregates(spark, sf_dir):
+    series = TS.daily_series(Tables(spark, sf_dir).user_logs, LOG_FIRST_DAY, 30)
+    adf = {r.msno: r for r in TS.unit_root_adf(series).collect()}
+    lag0 = {r.msno: r for r in TS.unit_root_lag0(series).collect()}
+    checked = 0
+    for k, r in adf.items():
+        if r.used_lag == 0 and r.adf_stat is not None and lag0[k].adf_stat is not None:
+            assert math.isclose(r.adf_stat, lag0[k].adf_stat, rel_tol=1e-7)
+            assert r.nobs == lag0[k].nobs
+            checked += 1
+    assert checked > 0
