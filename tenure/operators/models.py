@@ -9,7 +9,9 @@ the driver.  Scores stay DataFrames and feed ``operators.metrics``.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -128,7 +130,7 @@ def importance_by_variable(model, feature_names: list[str], spark) -> DataFrame:
 
 def grid_search(design: Design, min_leaf_grid: list[int] = GRID_MIN_LEAF, n_folds: int = 5,
                 num_trees: int = GRID_TREES, features: str = GRID_FEATURES, seed: int = 42,
-                refit_metric: str = "roc_auc") -> DataFrame:
+                refit_metric: str = "roc_auc", parallelism: int = 4) -> DataFrame:
     """L5 + M7: k-fold grid search with several scores per (parameter, fold).
 
     Folds are a hash of the key; every fit is an MLlib job; the held-out
@@ -138,13 +140,18 @@ def grid_search(design: Design, min_leaf_grid: list[int] = GRID_MIN_LEAF, n_fold
     """
     train = design.data.filter(F.col("split") == "train").withColumn(
         "fold", (hash_int("msno", seed, "fold:") % n_folds).cast("int"))
-    preds = None
-    for leaf in min_leaf_grid:
-        for k in range(n_folds):
-            m = random_forest(num_trees, features, leaf, seed=seed).fit(train.filter(F.col("fold") != k))
-            p = _scores(m.transform(train.filter(F.col("fold") == k))).withColumn(
-                "min_leaf", F.lit(leaf)).withColumn("fold", F.lit(k))
-            preds = p if preds is None else preds.unionByName(p)
+
+    def fit_one(task):
+        leaf, k = task
+        m = random_forest(num_trees, features, leaf, seed=seed).fit(train.filter(F.col("fold") != k))
+        return (_scores(m.transform(train.filter(F.col("fold") == k)))
+                .withColumn("min_leaf", F.lit(leaf)).withColumn("fold", F.lit(k)))
+
+    # Independent fits are separate Spark jobs; a few run at once (like CrossValidator's parallelism).
+    tasks = [(leaf, k) for leaf in min_leaf_grid for k in range(n_folds)]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = list(pool.map(fit_one, tasks))
+    preds = reduce(lambda a, b: a.unionByName(b), parts)
     scores = cv_scores(preds, ["min_leaf", "fold"])
     best = (scores.groupBy("min_leaf").agg(F.avg(refit_metric).alias("_m"))
                   .orderBy(F.desc("_m"), "min_leaf").limit(1).select("min_leaf", F.lit(True).alias("refit")))
