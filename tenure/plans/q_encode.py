@@ -9,6 +9,7 @@ from tenure.plans.oracle_views import with_views
 from tenure.plans.q_features import FEATURE_TABLE_SQL, build_feature_table
 from tenure.plans.q_members import MEMBER_CLEAN_SQL
 from tenure.plans.registry import register, report
+from tenure.session import cut_lineage
 from tenure.sources.fixtures import MEMBER_LAST_DAY, Tables
 
 
@@ -28,7 +29,9 @@ _FT = f"(SELECT * FROM ({FEATURE_TABLE_SQL}) q)"
     f"CAST(1.0 AS DOUBLE) AS value FROM {_FT} ft{i}" for i, c in enumerate(FT.CATEGORICAL)),
     "K2 K3")
 def q_one_hot_long(spark, sf_dir):
-    return K.one_hot_long(build_feature_table(spark, sf_dir), FT.CATEGORICAL)
+    # The codes and the rows both read the feature table: checkpoint it once
+    # (shared checkpoint folder) instead of computing it twice.
+    return K.one_hot_long(cut_lineage(build_feature_table(spark, sf_dir)), FT.CATEGORICAL)
 
 
 _NUM = K.numeric_columns(FT.feature_columns(), FT.CATEGORICAL)
@@ -45,5 +48,5 @@ SELECT msno, lg.feature, round(CASE WHEN mx - mn = 0 THEN 0.0 ELSE (v - mn) / (m
 FROM lg JOIN st ON lg.feature = st.feature""", "K4 K6 B9 B10")
 def q_minmax_scaled(spark, sf_dir):
     # Scaled from the reported (6-place) feature table, as the oracle does.
-    ft = report(build_feature_table(spark, sf_dir))
+    ft = cut_lineage(report(build_feature_table(spark, sf_dir)))
     return K.minmax_scaled_long(ft, _NUM)
