@@ -148,6 +148,36 @@ def test_interval_open_ends_and_empty_interval(spark):
     assert [r["tx_id"] for r in fm] == [10]
 
 
+def test_interval_methods_match_brute_force_on_stacked_hot_user(spark):
+    # User 1 holds most transactions, many on the same day with overlapping
+    # intervals; one reversed and one empty interval; a NULL metric value.
+    import random
+    rnd = random.Random(7)
+    tx = [(1, 100 + i, day(rnd.randrange(0, 40)), day(rnd.randrange(0, 60))) for i in range(300)]
+    tx += [(1, 1, day(5), day(5)), (1, 2, day(9), day(3)), (2, 3, day(1), day(30)), (3, 4, day(1), day(9))]
+    t = spark.createDataFrame(tx, "msno long, tx_id long, transaction_date date, "
+                                  "membership_expire_date date")
+    log_data = [(1, day(d), d, 1, 2, 3, 4, d % 5, None if d == 12 else d * 1.37) for d in range(0, 50)]
+    log_data += [(2, day(d), 2 * d, 0, 0, 0, 0, 1, 0.01 * d) for d in range(3, 20, 2)]
+    logs = log_rows(spark, log_data)
+    expect = {}
+    for u, k, lo, hi in tx:
+        inside = [r for r in log_data if r[0] == u and lo < r[1] < hi]
+        means = []
+        for j in range(2, 9):
+            vals = [r[j] for r in inside if r[j] is not None]
+            means.append(sum(vals) / len(vals) if vals else None)
+        expect[k] = means
+    for method in ("buckets", "prefix"):
+        got = {r["tx_id"]: r for r in rows(I.interval_log_means(t, logs, method=method))}
+        assert got.keys() == expect.keys(), method
+        for k, means in expect.items():
+            for m, e in zip(["num_25", "num_50", "num_75", "num_985", "num_100", "num_unq",
+                             "total_secs"], means):
+                g = got[k][m]
+                assert (g is None and e is None) or math.isclose(g, e, rel_tol=1e-12), (method, k, m)
+
+
 def test_member_cleaning(spark):
     m = spark.createDataFrame([(1, 1, 0, None, 3, 20160101), (2, 1, 95, "male", 3, 20160230),
                                (3, 1, 40, "female", 3, 20150228)],
