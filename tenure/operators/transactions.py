@@ -164,8 +164,10 @@ def tx_profile(tx: DataFrame, order_cols: list[str] = TX_ORDER,
 
     D2, D7, D8, E1 and E3 are decomposable: computed per (user, bucket) in
     the pass that also counts plan changes, then combined per user.  The two
-    modes (D6) are one partial aggregation on ``msno`` over the same windowed
-    rows.  Both sides end hash-partitioned on ``msno`` for the final join.
+    modes (D6) are one partial aggregation on ``msno`` straight off the scan:
+    fed from the windowed rows instead, column pruning drops the window but
+    keeps the range exchange, which shuffles every row before aggregating.
+    Both sides end hash-partitioned on ``msno`` for the final join.
     """
     inner = _windowed(tx, order_cols, bucket_days)
     summ = _bucket_summary(inner, order_cols, full=True)
@@ -179,8 +181,7 @@ def tx_profile(tx: DataFrame, order_cols: list[str] = TX_ORDER,
         F.sum("_tpp").alias("total_plan_price"),
         F.sum("_tap").alias("total_Actual_amount_paid"),
         F.max_by("_last_cancel", "_last_key").alias("is_cancel"))
-    # From the windowed rows: reads the (msno, bucket) shuffle output, not the table again.
-    modes = frequent_payment(inner)
+    modes = frequent_payment(tx)
     return g.join(modes, "msno").select(
         "msno", "frequent_payment_method", "frequent_payment_plan",
         (F.col("_ar") / F.col("_n")).alias("autorenew_percent"),
