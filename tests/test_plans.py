@@ -43,3 +43,18 @@ def test_plan_changes_window_is_bucketed(spark, sf_dir):
     p = plan_of(E.queries()["plan_change_shares"](spark, sf_dir))
     # the row-level window partitions by (msno, range bucket), never by msno alone
     assert "_b#" in p and "rangepartitioning" in p.lower()
+
+
+def test_feature_table_from_staged_logs_is_identical(spark, sf_dir):
+    from tenure.operators import features as FT
+    from tenure.sources.fixtures import LOG_LAST_DAY, MEMBER_LAST_DAY, Tables
+    t = Tables(spark, sf_dir)
+
+    def build(stage):
+        return FT.feature_table(t.tx, t.tx_ev, t.user_logs, t.members, t.train,
+                                MEMBER_LAST_DAY, LOG_LAST_DAY, stage_logs=stage)
+
+    staged = build(True)
+    assert any("tenure-stage/daily_logs" in f for f in staged.inputFiles())
+    key = lambda r: r["msno"]
+    assert sorted(staged.collect(), key=key) == sorted(build(False).collect(), key=key)
