@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenure.session import stage_shared
+
 # Word rule of the text operators: lower-case A-Z, then words are runs of
 # 0-9, a-z and everything above ASCII.
 _KEPT = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -85,3 +88,52 @@ def arrow_type(t: T.DataType) -> pa.DataType:
         return pa.struct([pa.field(f.name, arrow_type(f.dataType)) for f in t.fields])
     return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
             "boolean": pa.bool_(), "binary": pa.binary()}[t.simpleString()]
+
+
+FILTER_BITS = 1 << 23
+
+
+class HashFilter:
+    """A one-hash Bloom filter of fixed size (1 MB): says which rows of a second pass are worth
+    their work.  It may let others through (an exact join follows), and never loses one; with more
+    keys it only becomes less selective, so what is collected and broadcast does not grow."""
+
+    def __init__(self, keys: DataFrame, col: str):
+        bit = F.col(col).bitwiseAND(F.lit(FILTER_BITS - 1))
+        rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(
+            F.shiftleft(F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).collect()
+        words = np.zeros(FILTER_BITS // 64, np.int64)
+        for r in rows:
+            words[r["word"]] = r["bits"]
+        self.shared = keys.sparkSession.sparkContext.broadcast(words.tobytes())
+
+    def test(self) -> Callable[[int], int]:
+        """In a task: whether a key (a signed 64-bit hash) may be among the keys."""
+        words = np.frombuffer(self.shared.value, np.uint64).tolist()
+        return lambda key: words[(key & (FILTER_BITS - 1)) >> 6] >> (key & 63) & 1
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the connected component of every node that has an edge, from edges (a, b).
+
+    Each round every node takes the smallest node of its neighbourhood as its label, and the graph
+    shrinks to the edges between different labels, until none are left.  Node ids are hashes, so a
+    round removes a constant share of the nodes in expectation.  Rounds are written tables.
+    """
+    mapping = None
+    while True:
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = stage_shared(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select(
+            "node", F.least("node", "b").alias("label")), "labels")
+        if mapping is None:
+            mapping = step
+        else:
+            later = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            mapping = stage_shared(mapping.join(later, "label", "left").select(
+                "node", F.coalesce("next", "label").alias("label")), "labels")
+        a = step.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        b = step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        edges = stage_shared(edges.join(a, "a").join(b, "b").where("la <> lb").select(
+            F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return mapping
