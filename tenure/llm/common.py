@@ -101,7 +101,7 @@ class HashFilter:
     def __init__(self, keys: DataFrame, col: str):
         bit = F.col(col).bitwiseAND(F.lit(FILTER_BITS - 1))
         rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(
-            F.shiftleft(F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).collect()
+            F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
         words = np.zeros(FILTER_BITS // 64, np.int64)
         for r in rows:
             words[r["word"]] = r["bits"]
