@@ -179,3 +179,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         F.sha2(F.concat_ws(",", c["items"]), 256).alias("items_sha256"),
         (F.col(c["n_hit"]) > 0).alias("contaminated"),
         F.when(F.size(c["spans"]) > 0, F.concat_ws(",", pair)).otherwise("").alias("spans"))
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    hits, c = scan(docs, items, text_col, **options)
+    return hits.where(F.col(c["n_hit"]) == 0).select(*[F.col(f"`{x}`") for x in docs.columns])

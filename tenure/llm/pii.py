@@ -12,7 +12,9 @@ full is also found where it is repeated without its prefix or separators.
 
 The potentials are trained here from the whole corpus: one pass counts token
 shapes (a finite set of coarse features) against base kinds, and the kinds at
-both ends of chain and skip edges.  Node weights are a softmax regression over
+both ends of chain and skip edges.  Base matches are positive examples; a token
+outside them is a negative one unless a skip edge joins it to a match, when it
+may be a mention that the patterns miss, and is left out.  Node weights are a softmax regression over
 those counts; edge weights are smoothed pointwise mutual information.
 
 Defined results: a null or empty text has no spans; identical documents get
@@ -135,7 +137,7 @@ def observe(tokens, spans) -> list[int]:
     return out
 
 
-def graph(tokens, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def graph(tokens) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges (adjacent candidate tokens with at most a space and punctuation between) and skip
     edges (each occurrence of a key with the one before it: linear, however often the key occurs)."""
     chain = [(i, i + 1) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if b[0] - a[1] <= 3]
@@ -163,11 +165,15 @@ def training_counts(docs: DataFrame, text_col: str = "text") -> list:
                 text = raw.decode()
                 tokens = tokens_of(text)
                 kinds = observe(tokens, base_spans(text))
-                seen.update(("node", shape(t), k) for (_, _, t), k in zip(tokens, kinds))
-                for name, edges in zip(("chain", "skip"), graph(tokens, text)):
+                chain, skip = graph(tokens)
+                # Beside a base match, a token without one may be a mention that the patterns miss: no example.
+                unsure = {t for i, j in skip if bool(kinds[i]) != bool(kinds[j]) for t in (i, j) if not kinds[t]}
+                seen.update(("node", shape(t), k) for i, ((_, _, t), k) in enumerate(zip(tokens, kinds)) if i not in unsure)
+                for name, edges in (("chain", chain), ("skip", skip)):
                     for i, j in edges:
-                        seen[name, kinds[i], kinds[j]] += 1
-                        seen[name, kinds[j], kinds[i]] += 1
+                        if i not in unsure and j not in unsure:
+                            seen[name, kinds[i], kinds[j]] += 1
+                            seen[name, kinds[j], kinds[i]] += 1
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
@@ -228,7 +234,7 @@ class Field:
         observed = observe(tokens, spans)
         if not any(observed) or all(observed):
             return []       # nothing to be consistent with, or nothing to decide
-        chain, skip = graph(tokens, text)
+        chain, skip = graph(tokens)
         p = self.marginals([shape(t) for _, _, t in tokens], observed, chain, skip)
         best = p[:, 1:].argmax(axis=1)
         return [(s, int(best[i]), e) for i, (s, e, _) in enumerate(tokens)

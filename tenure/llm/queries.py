@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tenure.llm import decontaminate, licenses, lines, minhash, packing, pii, quality, secrets, tokens, warc
+from tenure.llm import oracles as O
 from tenure.llm.common import table
 
 
@@ -15,7 +16,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived_pages(table(spark, sf_dir, "pages"))
+    return warc.archived_pages(table(spark, sf_dir, "pages")).drop("archive", "offset")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +54,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
-    "op2_decontaminate": (op2_decontaminate, None),
-    "op3_minhash": (op3_minhash, None),
-    "op4_lines": (op4_lines, None),
+    "op2_decontaminate": (op2_decontaminate, O.OP2),
+    "op3_minhash": (op3_minhash, O.OP3),
+    "op4_lines": (op4_lines, O.OP4),
     "op5_secrets": (op5_secrets, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_packing": (op7_packing, None),
-    "op8_warc": (op8_warc, None),
+    "op8_warc": (op8_warc, O.OP8),
     "op9_pii": (op9_pii, None),
     "op10_licenses": (op10_licenses, None),
 }
