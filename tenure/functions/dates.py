@@ -15,11 +15,6 @@ def ymd_int_to_date(c: Column | str, strict: bool = False) -> Column:
     return F.to_date(text, "yyyyMMdd") if strict else F.try_to_date(text, "yyyyMMdd")
 
 
-def date_to_ymd_int(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.date_format(c, "yyyyMMdd").cast("int")
-
-
 def as_date_lit(d: str | _dt.date) -> Column:
     if isinstance(d, str):
         d = _dt.date.fromisoformat(d)

@@ -22,10 +22,6 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(col_of(num).cast("double"), col_of(den).cast("double"))
 
 
-def round6(c: Column | str) -> Column:
-    return F.round(col_of(c), 6)
-
-
 def pandas_z(diff: Column, std: Column, inf_value: float) -> Column:
     """(mean_cur - mean_hist) / std_hist with pandas' outcome, already imputed.
 
@@ -35,10 +31,3 @@ def pandas_z(diff: Column, std: Column, inf_value: float) -> Column:
     return (F.when(std.isNull() | diff.isNull(), F.lit(0.0))
              .when(std == 0, F.when(diff == 0, F.lit(0.0)).otherwise(F.lit(float(inf_value))))
              .otherwise(diff / std))
-
-
-def pandas_z_status(std: Column, diff: Column) -> Column:
-    return (F.when(std.isNull(), F.lit("std_null"))
-             .when((std == 0) & (diff == 0), F.lit("std_zero_nan"))
-             .when(std == 0, F.lit("std_zero_inf"))
-             .otherwise(F.lit("ok")))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.bins import bin_spine, equal_width_bin, explicit_bin, interval_labels, label_of
-from tenure.functions.safe import ratio
 from tenure.functions.windows import prefix_sums
 from tenure.operators.logs import normalised_counters, repeat_columns
 
@@ -36,19 +35,14 @@ def discount_churn(tx: DataFrame, train: DataFrame) -> DataFrame:
     """D17 (+B3, D1, C4): churn rate by number of undiscounted transactions, over users
     with at least one discounted transaction.
 
-    Counts are non-null label counts (the reference counts ``is_churn`` after a
-    left merge), and users without a label drop out at the inner merge.
+    Transactions are counted per user first; the label joins one row per user,
+    and users without one drop out (the reference's inner merge).
     """
     discounted = (F.col("plan_list_price") - F.col("actual_amount_paid")) > 0
-    per_user = (tx.join(train.select("msno", "is_churn"), "msno", "left")
-                  .groupBy("msno").agg(
-                      F.count("is_churn").alias("total_transactions"),
-                      F.count(F.when(discounted, F.col("is_churn"))).alias("discounted_transactions"),
-                      F.count_if(discounted).alias("_n_discount_rows"),
-                      F.max("is_churn").alias("is_churn"))
-                  .filter((F.col("_n_discount_rows") > 0) & F.col("is_churn").isNotNull())
-                  .withColumn("no_discount_transactions",
-                              F.col("total_transactions") - F.col("discounted_transactions")))
+    per_user = (tx.groupBy("msno").agg(F.count(F.lit(1)).alias("_n"), F.count_if(discounted).alias("_n_discount"))
+                  .filter(F.col("_n_discount") > 0)
+                  .join(train.select("msno", "is_churn").filter(F.col("is_churn").isNotNull()), "msno")
+                  .withColumn("no_discount_transactions", F.col("_n") - F.col("_n_discount")))
     return churn_crosstab(per_user, "no_discount_transactions")
 
 
@@ -111,23 +105,26 @@ def age_group_counts(member_features: DataFrame, cancel_counts: DataFrame,
 def rate_histogram(values: DataFrame, value_col: str, edges: DataFrame, edge_col: str) -> DataFrame:
     """histogram counts of ``value_col`` over the sorted distinct ``edge_col`` values.
 
-    numpy rules: bins [e_k, e_k+1) with the last bin closed.  Values and
-    edges are merged in one sorted pass (edges first on ties); a value's bin
-    is the number of edges at or below it, so no value is compared with every edge.
+    numpy rules: bins [e_k, e_k+1) with the last bin closed.  Values are
+    collapsed to one row per distinct value first, then merged with the edges
+    in one sorted pass; a value's bin is the number of edges at or below it,
+    so no value is compared with every edge.
     """
     e = edges.select(F.col(edge_col).cast("double").alias("v")).distinct() \
-             .select("v", F.lit(0).alias("kind"), F.lit(1).alias("is_edge"))
+             .select("v", F.lit(0).cast("long").alias("n_values"), F.lit(1).alias("is_edge"))
     v = values.select(F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull()) \
-              .select("v", F.lit(1).alias("kind"), F.lit(0).alias("is_edge"))
-    ranked = prefix_sums(e.unionByName(v), ["v", "kind"], ["is_edge"])
+              .groupBy("v").agg(F.count(F.lit(1)).alias("n_values")).withColumn("is_edge", F.lit(0))
+    # One row per distinct point, so that no tie is left to the running sum.
+    points = e.unionByName(v).groupBy("v").agg(F.sum("n_values").alias("n_values"), F.max("is_edge").alias("is_edge"))
+    ranked = prefix_sums(points, ["v"], ["is_edge"])
     n_edges = e.select(F.count(F.lit(1))).scalar()
     e_max = e.select(F.max("v")).scalar()
-    vals = (ranked.filter(F.col("kind") == 1)
-                  .select(F.when((F.col("is_edge_cum") == n_edges) & (F.col("v") == e_max), n_edges - 1)
+    vals = (ranked.filter(F.col("n_values") > 0)
+                  .select("n_values", F.when((F.col("is_edge_cum") == n_edges) & (F.col("v") == e_max), n_edges - 1)
                            .otherwise(F.col("is_edge_cum")).alias("bin")))
     counts = (vals.filter((F.col("bin") >= 1) & (F.col("bin") < n_edges))
-                  .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
-    bounds = (ranked.filter(F.col("kind") == 0)
+                  .groupBy("bin").agg(F.sum("n_values").alias("n")))
+    bounds = (ranked.filter(F.col("is_edge") == 1)
                     .select(F.col("is_edge_cum").cast("int").alias("bin"), F.col("v").alias("lower_edge")))
     nxt = bounds.select((F.col("bin") - 1).alias("bin"), F.col("lower_edge").alias("upper_edge"))
     return (bounds.join(nxt, "bin").join(counts, "bin", "left")
@@ -159,6 +156,12 @@ def share_num25_by_class(logs: DataFrame, train: DataFrame) -> DataFrame:
         F.avg("std").alias("mean_of_std"), F.stddev_samp("std").alias("std_of_std"))
 
 
+def calendar_of(logs: DataFrame) -> tuple[_dt.date, int]:
+    """First day and number of days of the logs' own calendar (one aggregate; no day without any logs)."""
+    first, last = logs.agg(F.min("date"), F.max("date")).first()
+    return (first, (last - first).days + 1) if first else (_dt.date(1970, 1, 1), 0)
+
+
 def calendar_fill(logs: DataFrame, users: DataFrame, first_day: _dt.date, n_days: int,
                   value_col: str = "num_100") -> DataFrame:
     """C7 + B9: every user's value on every day of a fixed calendar, gaps filled with 0.
@@ -166,6 +169,8 @@ def calendar_fill(logs: DataFrame, users: DataFrame, first_day: _dt.date, n_days
     The calendar is generated per user row (``explode(sequence)``), not by a
     cross join, then left-joined to the logs on (msno, date).
     """
+    if n_days < 1:
+        users, n_days = users.limit(0), 1
     last = F.date_add(F.lit(first_day), n_days - 1)
     dense = users.select("msno", F.explode(F.sequence(F.lit(first_day), last)).alias("date"))
     vals = logs.select("msno", "date", F.col(value_col).alias("value"))
@@ -173,27 +178,19 @@ def calendar_fill(logs: DataFrame, users: DataFrame, first_day: _dt.date, n_days
                  .select("msno", "date", F.coalesce(F.col("value"), F.lit(0)).cast("double").alias(value_col)))
 
 
-def logs_right_labels(logs: DataFrame, train: DataFrame) -> DataFrame:
+def logs_right_labels(logs: DataFrame, train: DataFrame, log_users: DataFrame | None = None) -> DataFrame:
     """Every labelled user with their log rows (NULL log columns when none).
 
     Same rows as ``logs RIGHT JOIN train``, built as an inner join plus the
     labelled users without logs (anti join): AQE can split a hot user's
     partition in an inner join, but not on the outer side of an outer join.
+    ``log_users`` gives the users with logs where that is cheaper than ``logs``.
     """
     labels = train.select("msno", "is_churn")
     matched = logs.join(labels, "msno")
     log_cols = [c for c in logs.columns if c != "msno"]
     types = dict(logs.dtypes)
-    unmatched = labels.join(logs.select("msno"), "msno", "left_anti").select(
+    present = (logs if log_users is None else log_users).select("msno").distinct()
+    unmatched = labels.join(present, "msno", "left_anti").select(
         "msno", *[F.lit(None).cast(types[c]).alias(c) for c in log_cols], "is_churn")
     return matched.unionByName(unmatched)
-
-
-def discount_users(tx: DataFrame) -> DataFrame:
-    """B3 + D10: users with at least one discounted transaction."""
-    return (tx.filter((F.col("plan_list_price") - F.col("actual_amount_paid")) > 0)
-              .select("msno").distinct())
-
-
-def ratio_pct(num: str, den: str) -> F.Column:
-    return ratio(F.col(num) * 100.0, den)

@@ -22,8 +22,8 @@ DROP_NUMERIC = ["avg_50", "avg_75", "avg_985", "avg_secs", "z_985", "z_50", "z_7
 
 
 def category_codes(df: DataFrame, col: str, base: int = 0) -> DataFrame:
-    """(value, code): codes ``base``, ``base``+1, ... in ascending value order."""
-    d = df.select(col).distinct().withColumn("_one", F.lit(1))
+    """(value, code): codes ``base``, ``base``+1, ... in ascending value order; NULL is no category."""
+    d = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
     ranked = prefix_sums(d, [col], ["_one"])
     return ranked.select(col, (F.col("_one_cum") - 1 + base).cast("int").alias("code"))
 
@@ -34,27 +34,31 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.join(codes, col, "left")
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 def one_hot_long(df: DataFrame, cat_cols: list[str], key: str = "msno") -> DataFrame:
     """K2 + K3: sparse one-hot in long form: (key, 'var@k', 1.0), k 1-based in sorted order.
 
-    Every category is kept (no dropped level).  The categorical columns are
-    unpivoted once; numeric categories sort numerically, text ones as text;
-    codes are a running count per variable over the distinct (variable, value)
-    pairs, so the input is read once whatever the number of variables.
+    Every category is kept (no dropped level); a NULL is none.  Columns are
+    unpivoted once per kind of value (text, whole number, other number), each
+    in its own type, so 64-bit ids stay apart and numbers sort as numbers;
+    codes are a running count per variable over the distinct (variable, value) pairs.
     """
-    types = dict(df.dtypes)
-    parts = []
-    for c in cat_cols:
-        is_text = types[c] == "string"
-        num = "CAST(0.0 AS DOUBLE)" if is_text else f"CAST(`{c}` AS DOUBLE)"
-        txt = f"CAST(`{c}` AS STRING)" if is_text else "''"
-        parts.append(f"'{c}', {num}, {txt}")
-    long = df.selectExpr(key, f"stack({len(cat_cols)}, {', '.join(parts)}) AS (variable, _num, _txt)")
-    distinct = long.select("variable", "_num", "_txt").distinct().withColumn("_one", F.lit(1))
-    codes = prefix_sums(distinct, ["_num", "_txt"], ["_one"], group_cols=["variable"])
-    return (long.join(codes, ["variable", "_num", "_txt"])
-                .select(key, F.concat(F.col("variable"), F.lit("@"), F.col("_one_cum").cast("string"))
-                         .alias("feature"), F.lit(1.0).alias("value")))
+    kinds: dict[str, list[str]] = {}
+    for c, t in df.select(*cat_cols).dtypes:
+        kinds.setdefault("string" if t == "string" else "bigint" if t in _WHOLE else "double", []).append(c)
+    out = None
+    for kind, cols in sorted(kinds.items()):
+        parts = ", ".join(f"'{c}', CAST(`{c}` AS {kind})" for c in cols)
+        long = df.selectExpr(key, f"stack({len(cols)}, {parts}) AS (variable, _value)").where("_value IS NOT NULL")
+        distinct = long.select("variable", "_value").distinct().withColumn("_one", F.lit(1))
+        codes = prefix_sums(distinct, ["_value"], ["_one"], group_cols=["variable"])
+        part = long.join(codes, ["variable", "_value"]).select(
+            key, F.concat(F.col("variable"), F.lit("@"), F.col("_one_cum").cast("string")).alias("feature"),
+            F.lit(1.0).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def numeric_columns(columns: list[str], categorical: list[str], key: str = "msno",
@@ -93,18 +97,6 @@ def minmax_scaled_long(df: DataFrame, num_cols: list[str], key: str = "msno",
                          .alias("value")))
 
 
-def minmax_scaled_wide(df: DataFrame, num_cols: list[str], inf_fill: float = INF_FILL) -> DataFrame:
-    """K6 in wide form (for model input); min/max enter as merged scalar subqueries."""
-    imputed = df.select(*[c for c in df.columns if c not in num_cols],
-                        *[impute(F.col(c), inf_fill=inf_fill).alias(c) for c in num_cols])
-    cols = []
-    for c in num_cols:
-        mn = imputed.select(F.min(c)).scalar()
-        mx = imputed.select(F.max(c)).scalar()
-        cols.append(F.when(mx == mn, F.lit(0.0)).otherwise((F.col(c) - mn) / (mx - mn)).alias(c))
-    return imputed.select(*[c for c in imputed.columns if c not in num_cols], *cols)
-
-
 def variable_of(feature: F.Column) -> F.Column:
     """K5: 'var@k' -> 'var'."""
     return F.split(feature, "@").getItem(0)

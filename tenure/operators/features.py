@@ -1,9 +1,10 @@
-"""The full per-user feature table with its label, and J5 (per-transaction rows).
+"""The full per-user feature table with its label.
 
-Plan shape: the common-user set is computed once and semi-joined into each
-input first (the reference's early user filter, C1); J1, J2, J3 and the
-labels are each keyed by ``msno``, so the final joins line up on the same
-hash partitioning of ``msno`` without re-shuffling the aggregated sides.
+Plan shape: the usage block (J3), a row per user, is computed first and
+written to the shared folder.  Its users, reduced to those with a member row
+and a label, are the common users (H1); they are semi-joined into the
+transactions (C1), the most expensive block, before anything else touches
+them.  All blocks are keyed by ``msno`` for the final joins.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tenure.operators import logs as L
 from tenure.operators import members as M
 from tenure.operators import transactions as X
 from tenure.operators import universe as U
-from tenure.session import estimated_bytes, stage_shared
+from tenure.session import stage_shared
 from tenure.sources.schemas import LOG_METRICS
 
 CATEGORICAL = ["frequent_payment_method", "frequent_payment_plan", "city", "gender", "registered_via"]
@@ -36,48 +37,27 @@ def feature_columns() -> list[str]:
             + ["login_diff_3014", "login_diff_147", "is_cancel", "is_churn"])
 
 
-STAGE_LOGS_MIN_BYTES = 1 << 30
-
-
 def feature_table(tx: DataFrame, tx_ev: DataFrame, logs: DataFrame, members: DataFrame,
                   train: DataFrame, member_last_day: _dt.date, log_last_day: _dt.date,
-                  users: DataFrame | None = None, stage_logs: bool | None = None) -> DataFrame:
+                  users: DataFrame | None = None) -> DataFrame:
     """One row per common user (H1): J1 + J2 + J3 + label.
 
-    The common-user set is the inner join of the per-user blocks themselves
-    (a user missing from any table has no row in that block), so no separate
-    INTERSECT and no extra pass is needed; the four blocks all end
-    hash-partitioned on ``msno``.  ``tx_ev`` (transactions on the log
-    calendar) gives the first/last transaction dates for E4.
-
-    Attributes and the label are attached by key joins on ``msno`` (C2); the
-    reference's positional assignments (C5, C6) have no counterpart.
+    ``tx_ev`` (transactions on the log calendar) gives the first/last
+    transaction dates for E4.  Attributes and the label are attached by key
+    joins on ``msno`` (C2); the reference's positional assignments (C5, C6)
+    have no counterpart.
 
     ``users`` (e.g. a stratified label sample, as the reference draws) is
     semi-joined into every input first (C1), so a small sample costs only
     its own rows.
-
-    The daily logs are an aggregation of the largest input (events) that J3
-    reads three ways (pass 1, its last-login anchors, pass 2); each reader
-    prunes other columns, so Spark cannot reuse one exchange for all.  With
-    ``stage_logs`` they are computed once and written to the shared
-    checkpoint folder (``session.stage_shared``), and J3 reads that copy.
-    By default (None) that happens when Catalyst estimates the daily logs at
-    ``STAGE_LOGS_MIN_BYTES`` or more (or gives no estimate): below it, two
-    more reads cost less than the extra write job (sf0.1: 7.6 s re-reading
-    vs 10.3 s staged).
     """
     if users is not None:
         tx, tx_ev, logs, members, train = (U.keep_users(d, users)
                                            for d in (tx, tx_ev, logs, members, train))
     j2 = M.member_clean(members, member_last_day).drop("registration_date")
     labels = train.select("msno", "is_churn")
-    if stage_logs is None:
-        est = estimated_bytes(logs)
-        stage_logs = est is None or est >= STAGE_LOGS_MIN_BYTES
-    if stage_logs:
-        logs = stage_shared(logs, "daily_logs")
-    j3 = L.log_block(logs, X.tx_bounds(tx_ev), log_last_day)
-    j1 = X.tx_profile(tx)
+    j3 = stage_shared(L.log_block(logs, X.tx_bounds(tx_ev), log_last_day), "usage_block")
+    common = U.keep_users(U.keep_users(j3.select("msno"), members.select("msno")), labels.select("msno"))
+    j1 = X.tx_profile(U.keep_users(tx, common))
     out = j1.join(j2, "msno").join(j3, "msno").join(labels, "msno")
     return out.select(*feature_columns())

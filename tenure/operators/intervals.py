@@ -3,25 +3,12 @@
 C8: for each transaction, the mean of every usage column over the same
 user's log days strictly inside (transaction_date, membership_expire_date).
 
-Default plan (``method="buckets"``): an equi-join on (msno, day bucket) plus
-the range residual, then one aggregation by transaction.  Each transaction is
-exploded into the buckets its open interval covers, clamped to the user's
-observed log span, so the join key is (user, bucket), not the user alone.
-Daily logs hold one row per (user, day), so a transaction meets at most its
-interval's days, and a hot (user, bucket) is an inner-join key that AQE's
-skew join splits.
-
-Pair-free plan (``method="prefix"``): the log days and two zero-valued query points per
-transaction go through one global running sum in (user, date, kind, key)
-order.  The point at (user, expire_date, before the day's logs) minus the
-point at (user, transaction_date, after the day's logs) is the sum over the
-open interval, so the mean needs no (transaction, log day) pair at all: the
-work is one range-partitioned sort of logs + 2 x transactions, however many
-transactions of a user overlap or however long they run.  The running sums
-are longs and decimals, so the differences are exact; only the #ranges
-offsets are broadcast (``functions.windows.prefix_sums``).  At sf0.1 it
-takes about 2.5x the bucketed join's time (range sampling, two exchanges,
-decimal sums), so it is the choice for long, stacked intervals only.
+An equi-join on (msno, day bucket) plus the range residual, then one
+aggregation by transaction.  Each transaction is exploded into the buckets its
+open interval covers, clamped to the user's observed log span, so the join key
+is (user, bucket), not the user alone.  Daily logs hold one row per
+(user, day), so a transaction meets at most its interval's days, and a hot
+(user, bucket) is an inner-join key that AQE's skew join splits.
 """
 
 from __future__ import annotations
@@ -29,63 +16,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.windows import day_bucket, prefix_sums
+from tenure.functions.windows import day_bucket
 from tenure.sources.schemas import LOG_METRICS
 
 BUCKET_DAYS = 7
-# Exact running sums of double columns: decimal with 10 places (sums stay below 1e28).
-_EXACT = "decimal(28,10)"
 
 
 def interval_log_means(tx: DataFrame, logs: DataFrame, tx_key: str = "tx_id",
-                       bucket_days: int = BUCKET_DAYS, method: str = "buckets") -> DataFrame:
+                       bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """One row per transaction: (tx_key, msno, mean of each usage column).
 
     Both interval ends are open; a transaction without log days inside gets
-    NULLs.  ``tx_key`` is unique per transaction.  ``method`` is "buckets"
-    (bucketed equi-join) or "prefix" (pair-free running sums).
+    NULLs.  ``tx_key`` is unique per transaction.
     """
-    if method == "prefix":
-        return _interval_means_prefix(tx, logs, tx_key)
-    if method != "buckets":
-        raise ValueError(f"unknown method {method!r}")
-    return _interval_means_bucketed(tx, logs, tx_key, bucket_days)
-
-
-def _interval_means_prefix(tx: DataFrame, logs: DataFrame, tx_key: str) -> DataFrame:
-    types = dict(logs.dtypes)
-    # (metric, running-sum column, non-null count column); integer metrics sum as longs.
-    cols = [(m, f"_s{i}", f"_n{i}") for i, m in enumerate(LOG_METRICS)]
-    exact = {m: "long" if types[m] in ("tinyint", "smallint", "int", "bigint") else _EXACT
-             for m in LOG_METRICS}
-    # kind 1: a log day; kind 0: "before the logs of this date"; kind 2: "after them".
-    days = logs.select("msno", "date", F.lit(1).alias("_kind"),
-                       F.lit(None).cast(tx.schema[tx_key].dataType).alias(tx_key),
-                       *[F.coalesce(F.col(m).cast(exact[m]), F.lit(0).cast(exact[m])).alias(s)
-                         for m, s, _ in cols],
-                       *[F.col(m).isNotNull().cast("long").alias(n) for m, _, n in cols])
-    t = tx.select(tx_key, "msno", "transaction_date", "membership_expire_date")
-    zeros = [*[F.lit(0).cast(exact[m]).alias(s) for m, s, _ in cols],
-             *[F.lit(0).cast("long").alias(n) for _, _, n in cols]]
-    hi = t.select("msno", F.col("membership_expire_date").alias("date"), F.lit(0).alias("_kind"),
-                  tx_key, *zeros)
-    lo = t.select("msno", F.col("transaction_date").alias("date"), F.lit(2).alias("_kind"),
-                  tx_key, *zeros)
-    sums = [s for _, s, _ in cols] + [n for _, _, n in cols]
-    # tx_key last in the order: equal (user, date, kind) points still spread over ranges.
-    cum = prefix_sums(days.unionByName(hi).unionByName(lo), ["msno", "date", "_kind", tx_key], sums)
-    # Upper point minus lower point (negation keeps the decimal scale; a product would not).
-    # An empty or reversed interval leaves a count <= 0 -> NULL mean, as avg over no rows.
-    per_tx = (cum.filter(F.col("_kind") != 1)
-                 .groupBy(tx_key, "msno")
-                 .agg(*[F.sum(F.when(F.col("_kind") == 0, F.col(f"{c}_cum"))
-                              .otherwise(-F.col(f"{c}_cum"))).alias(c) for c in sums]))
-    return per_tx.select(tx_key, "msno", *[
-        F.when(F.col(n) > 0, F.col(s).cast("double") / F.col(n)).alias(m) for m, s, n in cols])
-
-
-def _interval_means_bucketed(tx: DataFrame, logs: DataFrame, tx_key: str,
-                             bucket_days: int) -> DataFrame:
     span = logs.groupBy("msno").agg(F.min("date").alias("_log_lo"), F.max("date").alias("_log_hi"))
     lo = F.greatest(F.date_add("transaction_date", 1), F.col("_log_lo"))
     hi = F.least(F.date_sub("membership_expire_date", 1), F.col("_log_hi"))
@@ -104,11 +47,11 @@ def _interval_means_bucketed(tx: DataFrame, logs: DataFrame, tx_key: str,
 
 
 def first_model_rows(tx: DataFrame, logs: DataFrame, tx_key: str = "tx_id",
-                     carry: list[str] | None = None, method: str = "buckets") -> DataFrame:
+                     carry: list[str] | None = None) -> DataFrame:
     """J5 + B11: C8 means per transaction with the transaction's own columns
     (``carry``, e.g. ``is_cancel``) attached by key, rows with any NULL dropped."""
     carry = carry or []
-    means = interval_log_means(tx, logs, tx_key, method=method)
+    means = interval_log_means(tx, logs, tx_key)
     if carry:
         means = means.join(tx.select(tx_key, *carry), tx_key)
     return means.dropna(how="any")

@@ -4,14 +4,14 @@ The reference computes each window feature by masking the whole log table
 once per user, five times over.  Here every window pair is a set of
 conditional aggregates inside one ``groupBy(msno)``; E4 and E6 need a
 per-user anchor (transaction bounds, last log day) joined to the log rows
-first, so J3 is two aggregations over the logs in total.
+first, which J3 does within one exchange on the user.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.safe import pandas_z, ratio
@@ -63,6 +63,14 @@ def _z(tag: str, m: str, inf_value: float) -> Column:
     return pandas_z(diff, F.col(f"{tag}_std_{m}"), inf_value)
 
 
+def _std_zero(tag: str) -> Column:
+    """Whether any column's historical deviation is 0, i.e. its z is NaN or infinite before imputation."""
+    out = F.lit(False)
+    for m in LOG_METRICS:
+        out = out | F.coalesce(F.col(f"{tag}_std_{m}") == 0, F.lit(False))
+    return out
+
+
 def z_boundary_cols(tag: str = "zb", inf_value: float = INF_FILL_FINAL,
                     names: str = "z_{s}", status: bool = True) -> list[Column]:
     """E4 outputs: current window empty -> 5; historical empty -> 1; else z (imputed)."""
@@ -74,7 +82,8 @@ def z_boundary_cols(tag: str = "zb", inf_value: float = INF_FILL_FINAL,
             for m in LOG_METRICS]
     if status:
         cols.append(F.when(ncur == 0, F.lit("cur_empty")).when(nhist == 0, F.lit("hist_empty"))
-                     .when(nhist == 1, F.lit("std_null")).otherwise(F.lit("ok")).alias("status"))
+                     .when(nhist == 1, F.lit("std_null")).when(_std_zero(tag), F.lit("std_zero"))
+                     .otherwise(F.lit("ok")).alias("status"))
     return cols
 
 
@@ -91,7 +100,8 @@ def z_trailing_cols(tag: str, suffix: str, inf_value: float = INF_FILL_FINAL,
                      .otherwise(_z(tag, m, inf_value)).alias(f"z_{METRIC_SUFFIX[m]}_{suffix}"))
     if status:
         cols.append(F.when(nhist == 0, F.lit("hist_empty")).when(ncur == 0, F.lit("cur_empty"))
-                     .when(nhist == 1, F.lit("std_null")).otherwise(F.lit("ok")).alias("status"))
+                     .when(nhist == 1, F.lit("std_null")).when(_std_zero(tag), F.lit("std_zero"))
+                     .otherwise(F.lit("ok")).alias("status"))
     return cols
 
 
@@ -207,28 +217,24 @@ def song_length(logs: DataFrame) -> DataFrame:
 
 def log_block(logs: DataFrame, bounds: DataFrame, last_day: _dt.date,
               e5_pairs=E5_PAIRS, e6_pairs=E6_PAIRS, inf_value: float = INF_FILL_FINAL) -> DataFrame:
-    """D3, D5/B20, E4, E5 and E6 per user with logs, in two log aggregations.
+    """D3, D5/B20, E4, E5 and E6 per user with logs, in one aggregation over the logs.
 
-    Pass 1 (fixed calendar): averages, last login, the E5 window pairs.
-    Pass 2 (per-user anchors): E4 against transaction bounds, E6 against the
-    user's last log day.  Both passes are partial aggregations on ``msno``.
+    E6 needs the user's last log day beside every row: a window maximum over the
+    user's daily rows (at most one per calendar day).  The window, the join of the
+    transaction bounds and the aggregation all need the logs by user: one exchange.
     """
-    p1_aggs = [F.avg(m).alias(f"avg_{METRIC_SUFFIX[m]}") for m in LOG_METRICS]
-    p1_aggs.append(F.max("date").alias("last_login_date"))
+    dated = logs.withColumn("last_login_date", F.max("date").over(Window.partitionBy("msno")))
+    anchored = dated.join(bounds, "msno", "left")
+    aggs = [F.avg(m).alias(f"avg_{METRIC_SUFFIX[m]}") for m in LOG_METRICS]
+    aggs.append(F.max("last_login_date").alias("_last"))
     for h, c, sfx in e5_pairs:
-        cur, hist = trailing_conditions(last_day, h, c)
-        p1_aggs += z_aggs(f"zt{sfx}", cur, hist)
-    p1 = logs.groupBy("msno").agg(*p1_aggs)
-
-    anchors = p1.select("msno", "last_login_date").join(bounds, "msno", "left")
-    cur, hist = boundary_conditions(True)
-    p2 = (logs.join(anchors, "msno")
-              .groupBy("msno").agg(*z_aggs("zb", cur, hist), *login_rate_aggs(e6_pairs)))
-
+        aggs += z_aggs(f"zt{sfx}", *trailing_conditions(last_day, h, c))
+    aggs += z_aggs("zb", *boundary_conditions(True)) + login_rate_aggs(e6_pairs)
+    block = anchored.groupBy("msno").agg(*aggs)
     out_cols = [F.col(f"avg_{METRIC_SUFFIX[m]}") for m in LOG_METRICS]
-    out_cols.append(F.datediff(F.lit(last_day), "last_login_date").alias("days_since_last_login"))
+    out_cols.append(F.datediff(F.lit(last_day), "_last").alias("days_since_last_login"))
     out_cols += z_boundary_cols("zb", inf_value, status=False)
     for h, c, sfx in e5_pairs:
         out_cols += z_trailing_cols(f"zt{sfx}", sfx, inf_value, status=False)
     out_cols += login_rate_cols(e6_pairs)
-    return p1.join(p2, "msno").select("msno", *out_cols)
+    return block.select("msno", *out_cols)

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.operators.encode import impute, numeric_columns, variable_of
+from tenure.functions.windows import prefix_sums
 from tenure.operators.metrics import cv_scores
-from tenure.operators.sampling import hash_int, train_test_split
-from tenure.session import cut_lineage
+from tenure.operators.sampling import downsample_majority, hash_key, train_test_split
+from tenure.session import cut_lineage, stage_shared
 
 # Reference model settings (final script): 300 trees, 30 features per split,
 # at least 6 rows per leaf, class weights {0: 1, 1: 3}; grid over leaf size.
@@ -31,7 +32,9 @@ RF_TREES, RF_FEATURES, RF_MIN_LEAF = 300, "30", 6
 GRID_TREES, GRID_FEATURES = 100, "60"
 GRID_MIN_LEAF = [3, 6, 10, 20]
 CLASS_WEIGHTS = {0: 1.0, 1: 3.0}
+FIRST_MODEL_TREES, FIRST_MODEL_FEATURES, FIRST_MODEL_WEIGHTS = 100, "50", {0: 1.0, 1: 100.0}
 MAX_DEPTH = 30  # MLlib's ceiling; the reference grows trees without a depth limit
+MAX_BINS = 256  # candidate split points per feature (MLlib's own default is 32)
 
 
 @dataclass
@@ -48,14 +51,11 @@ def design_matrix(ft: DataFrame, categorical: list[str], key: str = "msno", labe
     scaled = minmax_scaled_fitted(ft, num)
     idx = [f"{c}__idx" for c in categorical]
     oh = [f"{c}__oh" for c in categorical]
-    stages = [StringIndexer(inputCols=[c for c in categorical], outputCols=idx,
-                            stringOrderType="alphabetAsc"),
-              OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=False),
-              VectorAssembler(inputCols=oh + num, outputCol="features")]
-    model = Pipeline(stages=stages).fit(scaled)
-    indexer = model.stages[0]
-    names = [f"{c}@{k + 1}" for c, labels in zip(categorical, indexer.labelsArray)
-             for k in range(len(labels))] + num
+    encode = [StringIndexer(inputCols=list(categorical), outputCols=idx, stringOrderType="alphabetAsc"),
+              OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=False)] if categorical else []
+    model = Pipeline(stages=encode + [VectorAssembler(inputCols=oh + num, outputCol="features")]).fit(scaled)
+    levels = model.stages[0].labelsArray if categorical else []
+    names = [f"{c}@{k + 1}" for c, labels in zip(categorical, levels) for k in range(len(labels))] + num
     w = F.lit(None).cast("double")
     for cls, wt in weights.items():
         w = F.when(F.col(label) == cls, F.lit(float(wt))).otherwise(w)
@@ -86,20 +86,20 @@ def _scores(pred: DataFrame, key: str = "msno") -> DataFrame:
 
 
 def random_forest(num_trees: int = RF_TREES, features: str = RF_FEATURES, min_leaf: int = RF_MIN_LEAF,
-                  max_depth: int = MAX_DEPTH, seed: int = 42) -> RandomForestClassifier:
+                  max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, seed: int = 42) -> RandomForestClassifier:
     """L2 + L3: class-weighted forest."""
     # Larger node groups per pass and cached node ids: fewer passes over the
     # training rows for deep trees (node-id cache is checkpointed to the shared folder).
     return RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy=features,
-                                  minInstancesPerNode=min_leaf, maxDepth=max_depth, seed=seed,
+                                  minInstancesPerNode=min_leaf, maxDepth=max_depth, maxBins=max_bins, seed=seed,
                                   weightCol="weight", labelCol="label", featuresCol="features",
                                   maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
 
 
-def rf_scores(design: Design, **kw) -> tuple[DataFrame, object]:
+def rf_scores(design: Design, key: str = "msno", **kw) -> tuple[DataFrame, object]:
     """L2 + L4: fit on the train split, score both splits (label, class, class-1 probability)."""
     model = random_forest(**kw).fit(design.data.filter(F.col("split") == "train"))
-    return _scores(model.transform(design.data)), model
+    return _scores(model.transform(design.data), key), model
 
 
 def logreg_scores(design: Design, c: float = 0.5) -> DataFrame:
@@ -128,18 +128,33 @@ def importance_by_variable(model, feature_names: list[str], spark) -> DataFrame:
               .orderBy(F.desc("importance"), "variable"))
 
 
+def stratified_folds(df: DataFrame, n_folds: int, label: str = "is_churn", key: str = "msno", seed: int = 42,
+                     out: str = "fold") -> DataFrame:
+    """Folds that keep the class shares: rows are numbered in key-hash order within their class and
+    dealt round.  The numbering is a running count over ranges of the hash, never one window per class."""
+    keyed = df.withColumn("_h", hash_key(key, seed)).withColumn("_one", F.lit(1))
+    numbered = prefix_sums(keyed.select(key, label, "_h", "_one"), ["_h"], ["_one"], group_cols=[label])
+    return df.join(numbered.select(key, ((F.col("_one_cum") - 1) % n_folds).cast("int").alias(out)), key)
+
+
+@dataclass
+class GridResult:
+    scores: DataFrame        # one row per (min_leaf, fold), with a refit flag on the best parameter
+    best_min_leaf: int
+    refit_scores: DataFrame  # both splits, scored by the refitted model
+
+
 def grid_search(design: Design, min_leaf_grid: list[int] = GRID_MIN_LEAF, n_folds: int = 5,
                 num_trees: int = GRID_TREES, features: str = GRID_FEATURES, seed: int = 42,
-                refit_metric: str = "roc_auc", parallelism: int = 4) -> DataFrame:
-    """L5 + M7: k-fold grid search with several scores per (parameter, fold).
+                refit_metric: str = "roc_auc", parallelism: int = 4) -> GridResult:
+    """L5 + M7: stratified k-fold grid search with several scores per (parameter, fold), and the refit.
 
-    Folds are a hash of the key; every fit is an MLlib job; the held-out
-    predictions of all fits are scored together by grouped aggregations.
-    Returns one row per (min_leaf, fold) with the scores and a ``refit`` flag
-    on the parameter with the best mean ``refit_metric``.
+    Every fit is an MLlib job; the held-out predictions of all fits are scored
+    together by grouped aggregations.  The parameter with the best mean
+    ``refit_metric`` is fitted again on all training rows and scores both splits.
     """
-    train = design.data.filter(F.col("split") == "train").withColumn(
-        "fold", (hash_int("msno", seed, "fold:") % n_folds).cast("int"))
+    train = design.data.filter(F.col("split") == "train")
+    train = cut_lineage(stratified_folds(train, n_folds, "label", seed=seed))
 
     def fit_one(task):
         leaf, k = task
@@ -152,10 +167,25 @@ def grid_search(design: Design, min_leaf_grid: list[int] = GRID_MIN_LEAF, n_fold
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         parts = list(pool.map(fit_one, tasks))
     preds = reduce(lambda a, b: a.unionByName(b), parts)
-    scores = cv_scores(preds, ["min_leaf", "fold"])
-    best = (scores.groupBy("min_leaf").agg(F.avg(refit_metric).alias("_m"))
-                  .orderBy(F.desc("_m"), "min_leaf").limit(1).select("min_leaf", F.lit(True).alias("refit")))
-    return scores.join(best, "min_leaf", "left").withColumn("refit", F.coalesce("refit", F.lit(False)))
+    scores = stage_shared(cv_scores(preds, ["min_leaf", "fold"]), "cv_scores")    # parameters x folds rows
+    best = scores.groupBy("min_leaf").agg(F.avg(refit_metric).alias("_m")).orderBy(F.desc("_m"), "min_leaf").first()[0]
+    refit = random_forest(num_trees, features, best, seed=seed).fit(design.data.filter(F.col("split") == "train"))
+    return GridResult(scores.withColumn("refit", F.col("min_leaf") == best), best,
+                      _scores(refit.transform(design.data)))
+
+
+def first_model(rows: DataFrame, train: DataFrame, n_majority: int, key: str = "tx_id", label: str = "is_churn",
+                num_trees: int = FIRST_MODEL_TREES, features: str = FIRST_MODEL_FEATURES,
+                weights: dict = FIRST_MODEL_WEIGHTS, test_fraction: float = 0.3, seed: int = 42) -> DataFrame:
+    """L2 + L3 + I2 of the first model: per-transaction rows (J5) with the user's label, majority class
+    drawn down to ``n_majority`` rows, a forest with weights {0: 1, 1: 100}; both splits scored."""
+    labelled = rows.join(train.select("msno", label), "msno")
+    drawn = downsample_majority(labelled, label, 0, n_majority, key, seed).drop("msno")
+    design = design_matrix(drawn, [], key, label, weights, test_fraction, seed)
+    scores, _ = rf_scores(design, num_trees=num_trees, key=key,
+                          features=features if int(features) < len(design.feature_names) else "all",
+                          min_leaf=1, seed=seed)
+    return scores
 
 
 def ada_boost_rf(design: Design, rounds: int = 15, num_trees: int = GRID_TREES,
@@ -176,7 +206,7 @@ def ada_boost_rf(design: Design, rounds: int = 15, num_trees: int = GRID_TREES,
     base = cut_lineage(base)
     models = []
     for m in range(rounds):
-        rf = random_forest(num_trees, features, RF_MIN_LEAF, seed=seed + m)
+        rf = random_forest(num_trees, features, 1, seed=seed + m)     # the boosted forest sets no leaf size
         model = rf.fit(base)
         models.append(model)
         p = F.least(F.greatest(vector_to_array("probability").getItem(1), F.lit(eps)), F.lit(1 - eps))
@@ -195,4 +225,4 @@ def ada_boost_rf(design: Design, rounds: int = 15, num_trees: int = GRID_TREES,
     mean_h = sum(F.col(f"h{i}") for i in range(len(models))) / F.lit(float(len(models)))
     p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-2 * mean_h))
     return data.select("msno", F.col("label").cast("int").alias("is_churn"), "split",
-                       (p1 >= 0.5).cast("int").alias("prediction"), p1.alias("p1"))
+                       (p1 > 0.5).cast("int").alias("prediction"), p1.alias("p1"))

@@ -2,9 +2,9 @@
 
 Randomness is a seeded md5 of the row key, so a sample is reproducible,
 identical in any engine that has md5, and independent of partitioning.
-Exact-n samples are ``orderBy(hash).limit(n)``: Spark keeps n rows per task
-and merges the per-task winners (TakeOrderedAndProject), so only
-(tasks x n) keys reach the final merge, whatever the table size.
+Exact-n samples and slices are cut by rank of the hash without a global sort:
+rows are counted per hash-prefix bucket, a running count finds the buckets in
+which the cut's two ends fall, and only those buckets are ranked.
 """
 
 from __future__ import annotations
@@ -32,37 +32,39 @@ def hash_unit(key: str | Column, seed: int = DEFAULT_SEED) -> Column:
     return hash_int(key, seed) / F.lit(4294967296.0)
 
 
-SMALL_SAMPLE = 10_000
-BUCKET_HEX = 5          # 2^20 hash buckets for large exact samples
+BUCKET_HEX = 5          # 2^20 hash buckets
 
 
-def sample_exact(df: DataFrame, n: int, key: str = "msno", seed: int = DEFAULT_SEED,
-                 small_limit: int = SMALL_SAMPLE) -> DataFrame:
-    """Exactly min(n, rows) rows without replacement: the n smallest key hashes.
+def rank_cut(df: DataFrame, first: int, last: int, key: str = "msno", seed: int = DEFAULT_SEED) -> DataFrame:
+    """The rows of rank ``first`` .. ``last`` (1-based) in hash order; ``key`` identifies a row.
 
-    ``key`` identifies a row (the sampling unit).  Up to ``small_limit`` rows:
-    ``orderBy(hash).limit(n)`` (each task keeps n, the merge sees tasks x n).
-    Larger n (the reference draws 856,851): rows are counted per hash-prefix
-    bucket (2^20 buckets), a running count finds the bucket where the n-th
-    row falls, every row of earlier buckets is taken and only that one
-    boundary bucket (about rows / 2^20 keys) is ranked.  Same rows either way.
+    Whole buckets strictly between the two ends are taken as they are; the
+    (at most two) buckets that hold an end, about rows / 2^20 keys each, are ranked.
     """
-    if n <= small_limit:
-        return df.orderBy(hash_key(key, seed)).limit(n)
     cols = df.columns
     d = (df.withColumn("_h", hash_key(key, seed))
            .withColumn("_bucket", F.conv(F.substring("_h", 1, BUCKET_HEX), 16, 10).cast("long")))
     counts = d.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
     cum = prefix_sums(counts, ["_bucket"], ["_cnt"])
-    edge = cum.filter(F.col("_cnt_cum") >= n)
-    b_star = edge.select(F.min("_bucket")).scalar()
-    before = edge.select(F.min_by(F.col("_cnt_cum") - F.col("_cnt"), F.col("_bucket"))).scalar()
-    inside = d.filter(F.col("_bucket") < F.coalesce(b_star, F.lit(1 << (4 * BUCKET_HEX))))
+    ends = cum.filter(F.col("_cnt_cum") >= first).select(
+        "_bucket", "_cnt_cum", (F.col("_cnt_cum") - F.col("_cnt")).alias("_before"))
+    low = ends.agg(F.min("_bucket").alias("b"), F.min_by("_before", "_bucket").alias("n"))
+    high = ends.filter(F.col("_cnt_cum") >= last).agg(F.min("_bucket").alias("b"), F.min_by("_before", "_bucket").alias("n"))
+    low_bucket, low_before = low.select("b").scalar(), low.select("n").scalar()
+    high_bucket, high_before = high.select("b").scalar(), high.select("n").scalar()
+    inside = d.filter((F.col("_bucket") > low_bucket)
+                      & (F.col("_bucket") < F.coalesce(high_bucket, F.lit(1 << (4 * BUCKET_HEX)))))
     w = Window.partitionBy("_bucket").orderBy("_h")
-    boundary = (d.filter(F.col("_bucket") == b_star)
-                 .withColumn("_rn", F.row_number().over(w))
-                 .filter(F.col("_rn") <= F.lit(n) - before))
-    return inside.select(*cols).unionByName(boundary.select(*cols))
+    before = F.when(F.col("_bucket") == low_bucket, low_before).otherwise(high_before)
+    edge = (d.filter((F.col("_bucket") == low_bucket) | (F.col("_bucket") == high_bucket))
+             .withColumn("_rank", F.row_number().over(w) + before)
+             .filter((F.col("_rank") >= first) & (F.col("_rank") <= last)))
+    return inside.select(*cols).unionByName(edge.select(*cols))
+
+
+def sample_exact(df: DataFrame, n: int, key: str = "msno", seed: int = DEFAULT_SEED) -> DataFrame:
+    """Exactly min(n, rows) rows without replacement: the n smallest key hashes."""
+    return rank_cut(df, 1, n, key, seed) if n > 0 else df.limit(0)
 
 
 def downsample_majority(df: DataFrame, label_col: str, majority_value, n: int, key: str = "msno",
@@ -77,7 +79,7 @@ def stratified_sample(df: DataFrame, label_col: str, n_per_class: dict, key: str
                       seed: int = DEFAULT_SEED) -> DataFrame:
     """A fixed number of rows per class (capped at the class size).
 
-    One bounded top-n per class; no window over a whole class.
+    One rank cut per class; no window over a whole class.
     """
     out = None
     for value, n in sorted(n_per_class.items()):
@@ -116,4 +118,4 @@ def train_test_split(df: DataFrame, test_fraction: float, key: str = "msno",
 def sample_slice(df: DataFrame, offset: int, n: int, key: str = "msno",
                  seed: int = DEFAULT_SEED) -> DataFrame:
     """Rows offset..offset+n-1 of the hash order (the reference's ``[1:20]``)."""
-    return df.orderBy(hash_key(key, seed)).offset(offset).limit(n)
+    return rank_cut(df, offset + 1, offset + n, key, seed) if n > 0 else df.limit(0)

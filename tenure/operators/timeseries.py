@@ -60,11 +60,11 @@ def seasonal_decompose(series: DataFrame, period: int, value_col: str = "num_25"
     d = (series.select("msno", "date", "t", F.col(value_col).cast("double").alias("observed"))
                .withColumn("trend", F.when(complete, trend))
                .withColumn("phase", F.col("t") % m))
-    phase_mean = (d.groupBy("msno", "phase")
-                   .agg(F.avg(F.col("observed") - F.col("trend")).alias("_pm")))
-    adj = phase_mean.withColumn(
-        "seasonal", F.col("_pm") - F.avg("_pm").over(Window.partitionBy("msno")))
-    out = d.join(adj.select("msno", "phase", "seasonal"), ["msno", "phase"])
+    # Phase means are windows inside the user's series, then one value per phase: no join, no other exchange.
+    phase_mean = F.avg(F.col("observed") - F.col("trend")).over(Window.partitionBy("msno", "phase"))
+    d = d.withColumn("_pm", phase_mean)
+    first_of_phase = F.when(F.col("t") < m, F.col("_pm"))      # t = 0..m-1 are the phases, each once
+    out = d.withColumn("seasonal", F.col("_pm") - F.avg(first_of_phase).over(Window.partitionBy("msno")))
     return out.select("msno", "date", "t", "observed", "trend", "seasonal",
                       (F.col("observed") - F.col("trend") - F.col("seasonal")).alias("resid"))
 

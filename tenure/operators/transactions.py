@@ -18,7 +18,7 @@ from tenure.functions.windows import day_bucket
 # Row order of a user's transactions (fixture keys repeat; every column used
 # for ordering is listed so that ties are equal rows).
 TX_ORDER = ["transaction_date", "seq1", "seq2", "payment_plan_days", "is_cancel"]
-LAG_BUCKET_DAYS = None  # None: range buckets (skew-proof); an int: calendar buckets of that many days
+LAG_BUCKET_DAYS = 7     # a user's transactions are ordered within calendar weeks, so a hot user is many windows
 
 
 def frequent_value(tx: DataFrame, col: str, out: str, key: str = "msno") -> DataFrame:
@@ -62,22 +62,13 @@ def spend_totals(tx: DataFrame) -> DataFrame:
         F.sum("actual_amount_paid").alias("total_Actual_amount_paid"))
 
 
-def _windowed(tx: DataFrame, order_cols: list[str], bucket_days: int | None = None,
-              num_ranges: int | None = None) -> DataFrame:
-    """Transactions with the previous plan inside their (msno, bucket) window.
+def _windowed(tx: DataFrame, order_cols: list[str], bucket_days: int) -> DataFrame:
+    """Transactions with the previous plan inside their (msno, calendar bucket) window.
 
-    Default buckets are the ranges of a range partitioning on (msno, order
-    keys): each holds about rows / ranges rows however the data cluster, so
-    neither a hot user nor a hot user-day makes a large window (one extra
-    exchange).  ``bucket_days`` uses calendar buckets instead (one exchange
-    fewer; a user's busy month stays one window).
+    The bucket is a function of the row's date, so one hash exchange on
+    (msno, bucket) serves the window and the summary after it.
     """
-    if bucket_days:
-        d = tx.withColumn("_b", day_bucket(order_cols[0], bucket_days))
-    else:
-        n = num_ranges or int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        d = (tx.repartitionByRange(n, F.col("msno"), *[F.col(c) for c in order_cols])
-               .withColumn("_b", F.spark_partition_id()))
+    d = tx.withColumn("_b", day_bucket(order_cols[0], bucket_days))
     w = Window.partitionBy("msno", "_b").orderBy(*order_cols)
     return d.withColumn("_prev", F.lag("payment_plan_days").over(w))
 
@@ -139,7 +130,7 @@ def plan_change_shares_cols() -> list:
 
 
 def plan_change_shares(tx: DataFrame, order_cols: list[str] = TX_ORDER,
-                       bucket_days: int | None = LAG_BUCKET_DAYS) -> DataFrame:
+                       bucket_days: int = LAG_BUCKET_DAYS) -> DataFrame:
     """Shares of plan-length changes up / down / same over consecutive transactions."""
     inner = _windowed(tx, order_cols, bucket_days)
     g = _bucket_summary(inner, order_cols, full=False).groupBy("msno").agg(*_change_counts())
@@ -159,14 +150,12 @@ def tx_bounds(tx: DataFrame) -> DataFrame:
 
 
 def tx_profile(tx: DataFrame, order_cols: list[str] = TX_ORDER,
-               bucket_days: int | None = LAG_BUCKET_DAYS) -> DataFrame:
+               bucket_days: int = LAG_BUCKET_DAYS) -> DataFrame:
     """The whole transaction feature block.
 
     D2, D7, D8, E1 and E3 are decomposable: computed per (user, bucket) in
     the pass that also counts plan changes, then combined per user.  The two
-    modes (D6) are one partial aggregation on ``msno`` straight off the scan:
-    fed from the windowed rows instead, column pruning drops the window but
-    keeps the range exchange, which shuffles every row before aggregating.
+    modes (D6) are one partial aggregation on ``msno`` straight off the scan.
     Both sides end hash-partitioned on ``msno`` for the final join.
     """
     inner = _windowed(tx, order_cols, bucket_days)
@@ -206,9 +195,9 @@ def tx_per_year(tx: DataFrame, first_year: int = 2004, n_years: int = 14) -> Dat
     < (Y+1)*10000+100, i.e. the calendar year Y.
     """
     spark = tx.sparkSession
-    y = F.year("transaction_date")
-    counts = (tx.filter((y >= first_year) & (y < first_year + n_years))
-                .groupBy(y.alias("year")).agg(F.count(F.lit(1)).alias("n_transactions")))
+    d = F.col("transaction_date")
+    counts = (tx.filter((d >= F.lit(_dt.date(first_year, 1, 1))) & (d < F.lit(_dt.date(first_year + n_years, 1, 1))))
+                .groupBy(F.year(d).alias("year")).agg(F.count(F.lit(1)).alias("n_transactions")))
     spine = spark.range(first_year, first_year + n_years).select(F.col("id").cast("int").alias("year"))
     return (spine.join(F.broadcast(counts), "year", "left")
                  .select("year", F.coalesce("n_transactions", F.lit(0)).cast("long").alias("n_transactions")))

@@ -10,9 +10,7 @@ from tenure.plans.oracle_views import with_views
 from tenure.plans.q_members import MEMBER_CLEAN_SQL
 from tenure.plans.q_transactions import _LAG_CTE
 from tenure.plans.registry import register
-from tenure.sources.fixtures import LOG_FIRST_DAY, MEMBER_LAST_DAY, Tables
-
-CALENDAR_DAYS = 30
+from tenure.sources.fixtures import MEMBER_LAST_DAY, Tables, read_table
 
 _DISCOUNT_PU = ("pu", """SELECT tx.msno, count(t.is_churn) AS total_transactions,
        count(CASE WHEN plan_list_price - actual_amount_paid > 0 THEN t.is_churn END)
@@ -157,15 +155,15 @@ def q_share_num25_by_class(spark, sf_dir):
     return D.share_num25_by_class(t.user_logs, t.train)
 
 
-@register("calendar_fill", with_views(f"""
+@register("calendar_fill", with_views("""
 SELECT u.msno, d.date, CAST(coalesce(l.num_100, 0) AS DOUBLE) AS num_100
 FROM (SELECT DISTINCT msno FROM user_logs) u
-CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '{LOG_FIRST_DAY}',
-                   DATE '{LOG_FIRST_DAY}' + {CALENDAR_DAYS - 1}, INTERVAL 1 DAY)) AS DATE) AS date) d
+CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT min(date) FROM user_logs),
+                   (SELECT max(date) FROM user_logs), INTERVAL 1 DAY)) AS DATE) AS date) d
 LEFT JOIN user_logs l ON l.msno = u.msno AND l.date = d.date""", "user_logs"), "C7 B9")
 def q_calendar_fill(spark, sf_dir):
     logs = Tables(spark, sf_dir).user_logs
-    return D.calendar_fill(logs, logs.select("msno").distinct(), LOG_FIRST_DAY, CALENDAR_DAYS)
+    return D.calendar_fill(logs, logs.select("msno").distinct(), *D.calendar_of(logs))
 
 
 @register("logs_right_labels", with_views("""
@@ -174,4 +172,5 @@ SELECT t.msno AS msno, l.date, l.num_25, l.num_50, l.num_75, l.num_985, l.num_10
 FROM user_logs l RIGHT JOIN train t ON l.msno = t.msno""", "user_logs", "train"), "C3")
 def q_logs_right_labels(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return D.logs_right_labels(t.user_logs, t.train)
+    log_users = read_table(spark, sf_dir, "events").selectExpr("user_id AS msno")
+    return D.logs_right_labels(t.user_logs, t.train, log_users)

@@ -50,3 +50,19 @@ def q_minmax_scaled(spark, sf_dir):
     # Scaled from the reported (6-place) feature table, as the oracle does.
     ft = cut_lineage(report(build_feature_table(spark, sf_dir)))
     return K.minmax_scaled_long(ft, _NUM)
+
+
+@register("user_one_hot", with_views("""
+SELECT msno, 'msno@' || CAST(dense_rank() OVER (ORDER BY msno) AS VARCHAR) AS feature, CAST(1.0 AS DOUBLE) AS value
+FROM train""", "train"), "K2 over user ids")
+def q_user_one_hot(spark, sf_dir):
+    ids = Tables(spark, sf_dir).train.selectExpr("msno AS row_id", "msno")
+    return K.one_hot_long(ids, ["msno"], key="row_id").withColumnRenamed("row_id", "msno")
+
+
+@register("order_label_encoded", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderkey % 99991) - 1 AS INT) AS code FROM orders""",
+          "K1 over many categories")
+def q_order_label_encoded(spark, sf_dir):
+    od = Tables(spark, sf_dir).raw("orders").selectExpr("o_orderkey", "o_orderkey % 99991 AS category")
+    return K.label_encode(od, "category", "code").select("o_orderkey", "code")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tenure.operators import members as M
 from tenure.operators import universe as U
+from tenure.operators.transactions import TX_ORDER
 from tenure.plans.oracle_views import with_views
 from tenure.plans.registry import register
 from tenure.sources.fixtures import MEMBER_LAST_DAY, Tables
@@ -82,3 +83,15 @@ def q_common_user_tables(spark, sf_dir):
     return U.table_row_counts({
         "members": U.keep_users(t.members, cu), "tx": U.keep_users(t.tx, cu),
         "user_logs": U.keep_users(t.user_logs, cu), "train": U.keep_users(t.train, cu)})
+
+
+LOOKUP_ROWS = 5
+
+
+@register("user_lookup", with_views(f"""
+SELECT * FROM tx WHERE msno = (SELECT min(o_custkey) FROM orders)
+ORDER BY transaction_date, seq1, seq2, payment_plan_days, is_cancel LIMIT {LOOKUP_ROWS}""", "tx"), "B5 G1 G3")
+def q_user_lookup(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    first = t.raw("orders").agg({"o_custkey": "min"}).first()[0]
+    return U.user_rows(t.tx, first, TX_ORDER, n=LOOKUP_ROWS)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenure.operators import metrics as MT
-from tenure.operators.sampling import hash_int
+from tenure.operators.sampling import hash_int, train_test_split
 from tenure.plans.oracle_views import with_views
-from tenure.plans.registry import register
+from tenure.plans.registry import REGISTRY, register, report
+from tenure.session import stage_path
+from tenure.sources import io
 from tenure.sources.fixtures import Tables
 
 N_FOLDS = 5
-_S = ("s", "SELECT msno, is_churn, p1, CAST(p1 >= 0.5 AS INT) AS prediction FROM scored")
+_S = ("s", "SELECT msno, is_churn, p1, CAST(p1 > 0.5 AS INT) AS prediction FROM scored")
 _COUNTS = ("c", """SELECT count(*) FILTER (WHERE is_churn = 1 AND prediction = 1) AS tp,
        count(*) FILTER (WHERE is_churn = 0 AND prediction = 1) AS fp,
        count(*) FILTER (WHERE is_churn = 1 AND prediction = 0) AS fn,
@@ -130,3 +132,79 @@ JOIN (SELECT fold, sum(CAST(n_pos AS DOUBLE) * ((cum - n_neg) + n_neg / 2.0))
 def q_cv_scores(spark, sf_dir):
     s = _scored(spark, sf_dir).withColumn("fold", hash_int("msno", 42) % N_FOLDS)
     return MT.cv_scores(s, ["fold"])
+
+
+def _split_eval_sql() -> str:
+    """Long-form metrics per split, from the same fragments as the single queries."""
+    parts = [
+        """SELECT split, 'accuracy' AS item, avg(CASE WHEN is_churn = prediction THEN CAST(1 AS DOUBLE)
+                ELSE CAST(0 AS DOUBLE) END) AS value FROM sp GROUP BY split""",
+        f"""SELECT split, 'log_loss', avg(-(CAST(is_churn AS DOUBLE) * ln({_PCLIP})
+                + (1 - CAST(is_churn AS DOUBLE)) * ln(1 - {_PCLIP}))) FROM sp GROUP BY split""",
+        """SELECT split, 'roc_auc', sum(CAST(n_pos AS DOUBLE) * ((cum - n_neg) + n_neg / 2.0))
+                / CAST(sum(n_pos) * sum(n_neg) AS DOUBLE)
+           FROM (SELECT *, CAST(sum(n_neg) OVER (PARTITION BY split ORDER BY score ROWS UNBOUNDED PRECEDING)
+                           AS DOUBLE) AS cum
+                 FROM (SELECT split, p1 AS score, count(*) FILTER (WHERE is_churn = 1) AS n_pos,
+                         count(*) FILTER (WHERE is_churn = 0) AS n_neg FROM sp GROUP BY split, p1) g) h GROUP BY split"""]
+    for cell, name in (("tn", "0/0"), ("fp", "0/1"), ("fn", "1/0"), ("tp", "1/1")):
+        parts.append(f"SELECT split, 'confusion {name}', CAST({cell} AS DOUBLE) FROM sc")
+    report = {"0": (_P0, _R0, _F0, "tn + fp"), "1": (_P1, _R1, _F1, "tp + fn")}
+    for i, m in enumerate(("precision", "recall", "f1_score")):
+        a, b = report["0"][i], report["1"][i]
+        for cls in report:
+            parts.append(f"SELECT split, '{m} {cls}', {report[cls][i]} FROM sc")
+        parts.append(f"SELECT split, '{m} macro avg', (({a}) + ({b})) / 2 FROM sc")
+        parts.append(f"SELECT split, '{m} weighted avg', (({a}) * (tn + fp) + ({b}) * (tp + fn)) "
+                     "/ CAST(tp + fn + tn + fp AS DOUBLE) FROM sc")
+    for cls, n in (("0", "tn + fp"), ("1", "tp + fn"), ("macro avg", "tp + fn + tn + fp"),
+                   ("weighted avg", "tp + fn + tn + fp")):
+        parts.append(f"SELECT split, 'support {cls}', CAST({n} AS DOUBLE) FROM sc")
+    union = "\nUNION ALL ".join(parts)
+    return with_views(f"SELECT split, item, round(value, 6) AS value FROM ({union}) u", "scored", extra=[
+        _S, ("sp", """SELECT *, CASE WHEN CAST(('0x' || substr(md5(concat('42:', CAST(msno AS VARCHAR))), 1, 8)) AS BIGINT)
+                / CAST(4294967296.0 AS DOUBLE) < CAST(0.7 AS DOUBLE) THEN 'train' ELSE 'test' END AS split FROM s"""),
+        ("sc", _COUNTS[1].replace("SELECT count", "SELECT split, count", 1).replace("FROM s", "FROM sp GROUP BY split"))])
+
+
+@register("split_evaluation", _split_eval_sql(), "M1-M5 per split")
+def q_split_evaluation(spark, sf_dir):
+    return MT.evaluation(train_test_split(_scored(spark, sf_dir), 0.3, seed=42), ["split"])
+
+
+# A score per line item: many more distinct scores than users.
+_LINES = ("lines", """SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_churn,
+       CAST((l_orderkey * 31 + l_linenumber) * 7919 % 999983 AS DOUBLE) / 999983 AS p1 FROM lineitem""")
+_LINE_SC = ("sc", _SC[1].replace("FROM scored", "FROM lines"))
+
+
+def _line_scores(spark, sf_dir):
+    li = Tables(spark, sf_dir).raw("lineitem")
+    code = (F.col("l_orderkey") * 31 + F.col("l_linenumber")) * 7919 % 999983
+    return li.select("l_orderkey", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("is_churn"),
+                     (code.cast("double") / 999983).alias("p1"))
+
+
+@register("roc_auc_lines", f"""WITH lines AS ({_LINES[1]}), sc AS ({_LINE_SC[1]})
+SELECT round(sum(CAST(n_pos AS DOUBLE) * ((cum - n_neg) + n_neg / 2.0))
+             / CAST(sum(n_pos) * sum(n_neg) AS DOUBLE), 6) AS roc_auc
+FROM (SELECT *, CAST(sum(n_neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cum
+      FROM sc) c""", "M5 over line items")
+def q_roc_auc_lines(spark, sf_dir):
+    return MT.roc_auc(_line_scores(spark, sf_dir))
+
+
+@register("roc_points_lines", f"""WITH lines AS ({_LINES[1]}), sc AS ({_LINE_SC[1]})
+SELECT CAST(0.0 AS DOUBLE) AS fpr, CAST(0.0 AS DOUBLE) AS tpr, CAST(NULL AS DOUBLE) AS threshold
+UNION ALL
+SELECT round(CAST(cn AS DOUBLE) / (SELECT sum(n_neg) FROM sc), 6),
+       round(CAST(cp AS DOUBLE) / (SELECT sum(n_pos) FROM sc), 6), round(score, 6)
+FROM (SELECT score, sum(n_pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp,
+             sum(n_neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn FROM sc) c""", "M6 over line items")
+def q_roc_points_lines(spark, sf_dir):
+    return MT.roc_points(_line_scores(spark, sf_dir))
+
+
+@register("cv_table_roundtrip", REGISTRY["cv_scores"].sql, "A6: a result table written as CSV and read back")
+def q_cv_table_roundtrip(spark, sf_dir):
+    return io.result_roundtrip(report(q_cv_scores(spark, sf_dir)), stage_path(spark, "cv_table"))

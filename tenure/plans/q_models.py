@@ -1,11 +1,22 @@
-"""Registered model queries (L1-L7, M7): rows-only checks (no SQL counterpart)."""
+"""Registered model queries (L1-L7, M7): rows-only checks (no SQL counterpart).
+
+The layers around the fits have oracles of their own: folds (``cv_folds``),
+metrics (``split_evaluation`` and the other metric queries).
+"""
 
 from __future__ import annotations
 
 from tenure.operators import features as FT
+from tenure.operators import intervals as I
+from tenure.operators import metrics as MT
 from tenure.operators import models as ML
+from tenure.plans.oracle_views import with_views
 from tenure.plans.q_features import build_feature_table
 from tenure.plans.registry import register
+from tenure.sources.fixtures import Tables
+
+N_FOLDS = 5
+FIRST_MODEL_MAJORITY = 1500
 
 
 def _design(spark, sf_dir):
@@ -18,6 +29,12 @@ def q_rf_scores(spark, sf_dir):
     return scores
 
 
+@register("rf_evaluation", None, "M1-M5 of the fitted forest on both splits")
+def q_rf_evaluation(spark, sf_dir):
+    scores, _ = ML.rf_scores(_design(spark, sf_dir))
+    return MT.evaluation(scores, ["split"])
+
+
 @register("importance_by_variable", None, "L7 K5 G2")
 def q_importance_by_variable(spark, sf_dir):
     design = _design(spark, sf_dir)
@@ -32,9 +49,29 @@ def q_logreg_scores(spark, sf_dir):
 
 @register("rf_grid", None, "L5 M7")
 def q_rf_grid(spark, sf_dir):
-    return ML.grid_search(_design(spark, sf_dir))
+    return ML.grid_search(_design(spark, sf_dir)).scores
+
+
+@register("rf_grid_refit", None, "L5 refit on all training rows, both splits scored")
+def q_rf_grid_refit(spark, sf_dir):
+    return ML.grid_search(_design(spark, sf_dir)).refit_scores
+
+
+@register("first_model_scores", None, "J5 I2 L2 L3: the first model")
+def q_first_model_scores(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = I.first_model_rows(t.tx_ev, t.user_logs, carry=["payment_plan_days"])
+    return ML.first_model(rows, t.train, FIRST_MODEL_MAJORITY)
 
 
 @register("ada_rf", None, "L6")
 def q_ada_rf(spark, sf_dir):
     return ML.ada_boost_rf(_design(spark, sf_dir))
+
+
+@register("cv_folds", with_views(f"""
+SELECT msno, is_churn, CAST((row_number() OVER (PARTITION BY is_churn
+         ORDER BY md5(concat('42:', CAST(msno AS VARCHAR)))) - 1) % {N_FOLDS} AS INT) AS fold
+FROM train""", "train"), "L5 folds")
+def q_cv_folds(spark, sf_dir):
+    return ML.stratified_folds(Tables(spark, sf_dir).train, N_FOLDS)

@@ -12,6 +12,7 @@ from tenure.operators import sampling as SMP
 from tenure.plans.oracle_views import with_views
 from tenure.plans.q_sampling import PER_CLASS, SEED, _h
 from tenure.plans.registry import register
+from tenure.session import stage_shared
 from tenure.sources import io
 from tenure.sources.fixtures import Tables, read_table
 from tenure.streaming.log_filter import run_folder, stream_keep_users
@@ -26,12 +27,11 @@ SELECT * FROM events WHERE user_id IN (SELECT msno FROM ({_SAMPLE_SQL}) s)""", "
           "N1 A3 C1", rounded=False)
 def q_stream_filter_append(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    users = (SMP.stratified_sample(t.train, "is_churn", PER_CLASS, seed=SEED)
-             .select(F.col("msno").alias("user_id")))
+    users = stage_shared(SMP.stratified_sample(t.train, "is_churn", PER_CLASS, seed=SEED)
+                         .select(F.col("msno").alias("user_id")), "stream_users")
     schema = read_table(spark, sf_dir, "events").schema
     sink, ckpt = run_folder(spark, "stream_filter_append")
-    return stream_keep_users(spark, sf_dir, schema, users, "user_id", sink, ckpt,
-                             file_glob="events.parquet")
+    return stream_keep_users(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema, users, "user_id", sink, ckpt)
 
 
 @register("members_csv_roundtrip", with_views("""

@@ -1,31 +1,52 @@
 """Registered time-series queries (E8, E9) on every user's daily series.
 
-The fixture calendar has 30 days; the reference's period 30 needs 60 points,
-so periods 7 and 6 are registered (odd and even trend filters).
+The calendar is the logs' own (first to last day of the data).  It is too short
+for the reference's period 30, so periods 7 and 6 (odd and even trend filters)
+run on the users' usage, and period 30 on the daily transaction counts of each
+payment method, whose calendar spans years.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tenure.operators import eda as D
 from tenure.operators import timeseries as TS
 from tenure.plans.oracle_views import with_views
 from tenure.plans.registry import register
-from tenure.sources.fixtures import LOG_FIRST_DAY, Tables
+from tenure.sources.fixtures import Tables
+
+
+def _series_sql(rows: str) -> tuple[str, str]:
+    """The dense daily series ``ds`` of a view (msno, date, num_25)."""
+    return ("ds", f"""SELECT u.msno, d.date, CAST(coalesce(l.num_25, 0) AS DOUBLE) AS x,
+       CAST(date_diff('day', (SELECT min(date) FROM {rows}), d.date) AS INT) AS t
+       FROM (SELECT DISTINCT msno FROM {rows}) u
+       CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT min(date) FROM {rows}),
+                   (SELECT max(date) FROM {rows}), INTERVAL 1 DAY)) AS DATE) AS date) d
+       LEFT JOIN {rows} l ON l.msno = u.msno AND l.date = d.date""")
 
-N_DAYS = 30
 
-_DS = ("ds", f"""SELECT u.msno, d.date, CAST(coalesce(l.num_25, 0) AS DOUBLE) AS x,
-       CAST(date_diff('day', DATE '{LOG_FIRST_DAY}', d.date) AS INT) AS t
-       FROM (SELECT DISTINCT msno FROM user_logs) u
-       CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '{LOG_FIRST_DAY}',
-                   DATE '{LOG_FIRST_DAY}' + {N_DAYS - 1}, INTERVAL 1 DAY)) AS DATE) AS date) d
-       LEFT JOIN user_logs l ON l.msno = u.msno AND l.date = d.date""")
+_DS = _series_sql("user_logs")
 
 
 def _series(spark, sf_dir):
-    return TS.daily_series(Tables(spark, sf_dir).user_logs, LOG_FIRST_DAY, N_DAYS)
+    logs = Tables(spark, sf_dir).user_logs
+    return TS.daily_series(logs, *D.calendar_of(logs))
+
+
+_METHOD_DAYS = ("md", """SELECT CAST(payment_method_id AS BIGINT) AS msno, transaction_date AS date,
+       count(*) AS num_25 FROM tx GROUP BY 1, 2""")
 
 
-def _decompose_sql(m: int) -> str:
+def _method_series(spark, sf_dir):
+    days = Tables(spark, sf_dir).tx.groupBy(
+        F.col("payment_method_id").cast("long").alias("msno"), F.col("transaction_date").alias("date")).agg(
+        F.count(F.lit(1)).alias("num_25"))
+    return TS.daily_series(days, *D.calendar_of(days))
+
+
+def _decompose_sql(m: int, views: tuple = ("user_logs",), ctes: tuple = (_DS,)) -> str:
     h = m // 2
     frame = f"sum(x) OVER (PARTITION BY msno ORDER BY t ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
     if m % 2 == 0:
@@ -37,8 +58,8 @@ def _decompose_sql(m: int) -> str:
     return with_views(f"""
 SELECT tr.msno, tr.date, tr.t, round(tr.x, 6) AS observed, round(tr.trend, 6) AS trend,
        round(se.seasonal, 6) AS seasonal, round(tr.x - tr.trend - se.seasonal, 6) AS resid
-FROM tr JOIN se ON tr.msno = se.msno AND tr.phase = se.phase""", "user_logs", extra=[
-        _DS,
+FROM tr JOIN se ON tr.msno = se.msno AND tr.phase = se.phase""", *views, extra=[
+        *ctes,
         ("tr", f"""SELECT msno, date, t, x, t % {m} AS phase,
        CASE WHEN t >= {h} AND t <= max(t) OVER (PARTITION BY msno) - {h} THEN {trend} END AS trend
        FROM ds"""),
@@ -57,6 +78,11 @@ for _m in (7, 6):
     register(f"seasonal_decompose_{_m}", _decompose_sql(_m), "E8")(_decompose_query(_m))
 
 
+@register("seasonal_decompose_30", _decompose_sql(30, ("tx",), (_METHOD_DAYS, _series_sql("md"))), "E8 (period 30)")
+def q_seasonal_decompose_30(spark, sf_dir):
+    return TS.seasonal_decompose(_method_series(spark, sf_dir), 30)
+
+
 def _crit_sql(level: str) -> str:
     b = TS.ADF_CRIT_CONSTANT[level]
     n = "CAST(nobs AS DOUBLE)"

@@ -25,6 +25,10 @@ def z_expr_sql(tag: str, m: str, inf_value: float) -> str:
             f"ELSE {diff} / {s} END")
 
 
+def _std_zero_sql(tag: str) -> str:
+    return "(" + " OR ".join(f"coalesce({tag}_std_{m} = 0, FALSE)" for m in LOG_METRICS) + ")"
+
+
 def z_boundary_cols_sql(tag: str, inf_value: float = 5.0, names: str = "z_{s}",
                         status: bool = True) -> str:
     ncur, nhist = f"coalesce({tag}_ncur, 0)", f"coalesce({tag}_nhist, 0)"
@@ -33,7 +37,7 @@ def z_boundary_cols_sql(tag: str, inf_value: float = 5.0, names: str = "z_{s}",
             for m in LOG_METRICS]
     if status:
         cols.append(f"CASE WHEN {ncur} = 0 THEN 'cur_empty' WHEN {nhist} = 0 THEN 'hist_empty' "
-                    f"WHEN {nhist} = 1 THEN 'std_null' ELSE 'ok' END AS status")
+                    f"WHEN {nhist} = 1 THEN 'std_null' WHEN {_std_zero_sql(tag)} THEN 'std_zero' ELSE 'ok' END AS status")
     return ",\n  ".join(cols)
 
 
@@ -46,7 +50,7 @@ def z_trailing_cols_sql(tag: str, suffix: str, inf_value: float = 5.0, status: b
                     f"ELSE {z_expr_sql(tag, m, inf_value)} END, 6) AS z_{METRIC_SUFFIX[m]}_{suffix}")
     if status:
         cols.append(f"CASE WHEN {nhist} = 0 THEN 'hist_empty' WHEN {ncur} = 0 THEN 'cur_empty' "
-                    f"WHEN {nhist} = 1 THEN 'std_null' ELSE 'ok' END AS status")
+                    f"WHEN {nhist} = 1 THEN 'std_null' WHEN {_std_zero_sql(tag)} THEN 'std_zero' ELSE 'ok' END AS status")
     return ",\n  ".join(cols)
 
 

@@ -82,12 +82,3 @@ def stage_shared(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``'s optimized plan (no job runs), or None
-    where the plan statistics are not reachable (e.g. a remote session)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None

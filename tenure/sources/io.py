@@ -26,6 +26,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def result_roundtrip(df: DataFrame, path: str) -> DataFrame:
+    """A small result table as CSV, read back under its own schema."""
+    write_csv(df, path)
+    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """A5: materialise an intermediate as parquet and continue from the written copy.
 

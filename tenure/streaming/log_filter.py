@@ -19,14 +19,20 @@ from pyspark.sql import types as T
 from tenure.session import ensure_checkpoint_dir
 
 
-def stream_keep_users(spark: SparkSession, source_dir: str, schema: T.StructType, users: DataFrame,
-                      key: str, sink_path: str, checkpoint_path: str, file_glob: str | None = None,
-                      max_files_per_trigger: int = 1) -> DataFrame:
-    """Run the filter-and-append stream until the source is drained; return the sink table."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
-    kept = reader.parquet(source_dir).join(users, key, "left_semi")
+def stream_keep_users(spark: SparkSession, source: str, schema: T.StructType, users: DataFrame,
+                      key: str, sink_path: str, checkpoint_path: str,
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """Run the filter-and-append stream until the source is drained; return the sink table.
+
+    ``source`` is the table's own path: a folder of part files, or one file.
+    ``users`` is read again in every micro-batch, so pass a written table.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    # As a pattern that matches this one path, the source may be a folder or a single file.
+    source = source.rstrip("/")
+    kept = reader.parquet(f"{source[:-1]}[{source[-1]}]").join(users, key, "left_semi")
     query = (kept.writeStream.format("parquet").outputMode("append")
                  .option("checkpointLocation", checkpoint_path)
                  .trigger(availableNow=True).start(sink_path))

@@ -72,8 +72,8 @@ def test_plan_changes_across_many_buckets_equal_plain_lag(spark):
             data.append((u, 1, 10 * ((i * u) % 4), 1.0, 1.0, 0, day(50 * i), day(50 * i), 0, i, 1))
     t = tx_rows(spark, data)
     got = {r["msno"]: r for r in rows(X.plan_change_shares(t))}
-    by_days = {r["msno"]: r for r in rows(X.plan_change_shares(t, bucket_days=30))}
-    assert got == by_days
+    for days in (1, 30, 10_000):
+        assert got == {r["msno"]: r for r in rows(X.plan_change_shares(t, bucket_days=days))}
     from pyspark.sql import Window
     w = Window.partitionBy("msno").orderBy(*X.TX_ORDER)
     ref = (t.withColumn("prev", F.lag("payment_plan_days").over(w)).groupBy("msno")
@@ -109,6 +109,7 @@ def test_z_boundary_branches(spark):
     assert z[3]["status"] == "hist_empty"
     assert z[4]["status"] == "std_null" and z[4]["z_25"] == 0.0
     assert z[5]["z_25"] == 5.0 and z[5]["z_50"] == 0.0   # inf -> 5; NaN (0/0) -> 0
+    assert z[5]["status"] == "std_zero"
     open_ = {r["msno"]: r for r in rows(L.z_boundary(bounds, logs, lower_bound=False, inf_value=10.0))}
     assert open_[3]["status"] == "std_null" and open_[5]["z_25"] == 10.0
 
@@ -148,7 +149,7 @@ def test_interval_open_ends_and_empty_interval(spark):
     assert [r["tx_id"] for r in fm] == [10]
 
 
-def test_interval_methods_match_brute_force_on_stacked_hot_user(spark):
+def test_interval_means_match_brute_force_on_stacked_hot_user(spark):
     # User 1 holds most transactions, many on the same day with overlapping
     # intervals; one reversed and one empty interval; a NULL metric value.
     import random
@@ -168,14 +169,14 @@ def test_interval_methods_match_brute_force_on_stacked_hot_user(spark):
             vals = [r[j] for r in inside if r[j] is not None]
             means.append(sum(vals) / len(vals) if vals else None)
         expect[k] = means
-    for method in ("buckets", "prefix"):
-        got = {r["tx_id"]: r for r in rows(I.interval_log_means(t, logs, method=method))}
-        assert got.keys() == expect.keys(), method
+    for days in (2, I.BUCKET_DAYS):
+        got = {r["tx_id"]: r for r in rows(I.interval_log_means(t, logs, bucket_days=days))}
+        assert got.keys() == expect.keys(), days
         for k, means in expect.items():
             for m, e in zip(["num_25", "num_50", "num_75", "num_985", "num_100", "num_unq",
                              "total_secs"], means):
                 g = got[k][m]
-                assert (g is None and e is None) or math.isclose(g, e, rel_tol=1e-12), (method, k, m)
+                assert (g is None and e is None) or math.isclose(g, e, rel_tol=1e-12), (days, k, m)
 
 
 def test_member_cleaning(spark):

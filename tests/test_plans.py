@@ -39,22 +39,39 @@ def test_no_python_udf_in_core_queries(spark, sf_dir, name):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "FlatMapGroupsInPandas" not in p
 
 
-def test_plan_changes_window_is_bucketed(spark, sf_dir):
-    p = plan_of(E.queries()["plan_change_shares"](spark, sf_dir))
-    # the row-level window partitions by (msno, range bucket), never by msno alone
-    assert "_b#" in p and "rangepartitioning" in p.lower()
+def test_plan_changes_take_one_exchange_of_the_rows(spark, sf_dir):
+    p = plan_of(E.queries()["tx_profile"](spark, sf_dir))
+    # the row-level window partitions by (msno, calendar bucket), never by msno alone
+    assert "_b#" in p and "rangepartitioning" not in p.lower()
+    assert p.split("Initial Plan")[0].count("l_quantity") and _scans(p, "lineitem") <= 2
 
 
-def test_feature_table_from_staged_logs_is_identical(spark, sf_dir):
-    from tenure.operators import features as FT
-    from tenure.sources.fixtures import LOG_LAST_DAY, MEMBER_LAST_DAY, Tables
+def _scans(plan, table):
+    final = plan.split("== Initial Plan ==")[0]
+    return sum("FileScan parquet" in line and f"{table}.parquet" in line for line in final.splitlines())
+
+
+def test_feature_table_reduces_transactions_to_common_users_first(spark, sf_dir):
+    df = E.queries()["feature_table"](spark, sf_dir)
+    p = plan_of(df)
+    assert "LeftSemi" in p and any("tenure-stage/usage_block" in f for f in df.inputFiles())
+    assert _scans(p, "events") == 0 and _scans(p, "lineitem") <= 2      # the events are in the written block
+
+
+def test_usage_block_reads_events_twice(spark, sf_dir):
+    from tenure.operators import logs as L
+    from tenure.operators import transactions as X
+    from tenure.sources.fixtures import LOG_LAST_DAY
     t = Tables(spark, sf_dir)
+    p = plan_of(L.log_block(t.user_logs, X.tx_bounds(t.tx_ev), LOG_LAST_DAY))
+    assert _scans(p, "events") <= 2
+
+
+def test_decomposition_needs_no_join_of_its_own(spark, sf_dir):
+    p = plan_of(E.queries()["seasonal_decompose_7"](spark, sf_dir)).split("== Initial Plan ==")[0]
+    assert p.count("Join") == 1         # the calendar's left join
 
-    def build(stage):
-        return FT.feature_table(t.tx, t.tx_ev, t.user_logs, t.members, t.train,
-                                MEMBER_LAST_DAY, LOG_LAST_DAY, stage_logs=stage)
 
-    staged = build(True)
-    assert any("tenure-stage/daily_logs" in f for f in staged.inputFiles())
-    key = lambda r: r["msno"]
-    assert sorted(staged.collect(), key=key) == sorted(build(False).collect(), key=key)
+def test_samples_take_no_ordered_merge_of_rows(spark, sf_dir):
+    for name in ("sample_exact", "sample_slice", "downsample_union", "stratified_sample"):
+        assert "TakeOrderedAndProject" not in plan_of(E.queries()[name](spark, sf_dir))

@@ -5,9 +5,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tenure.functions.windows import prefix_sums
+from tenure.operators import encode as K
 from tenure.operators import metrics as MT
 from tenure.operators import sampling as SMP
 from tenure.operators import timeseries as TS
@@ -28,6 +30,93 @@ def test_prefix_sums_equal_brute_force(spark):
             assert got[(g, i)] == acc
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """100,000 distinct keys with a payload column, far beyond what a range sampler holds."""
+    return spark.range(100_000).select(((F.col("id") * 7919) % 100_003).alias("k"), (F.col("id") % 10).alias("v"),
+                                       F.md5(F.col("id").cast("string")).alias("payload"))
+
+
+@pytest.mark.parametrize("partitions", [4, 8, 200])
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_running_sums_do_not_depend_on_the_plan(spark, many, partitions, reuse):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        got = prefix_sums(many, ["k"], ["v"]).select("k", "v", "v_cum", "payload").toPandas().sort_values("k")
+        assert len(got) == 100_000 and (got["v"].cumsum() == got["v_cum"]).all()
+        positions = SMP.numbered_keys(many, "payload").agg(F.countDistinct("position"), F.max("position")).first()
+        assert tuple(positions) == (100_000, 99_999)
+        codes = K.label_encode(many, "payload", "code").agg(F.countDistinct("code"), F.max("code")).first()
+        assert tuple(codes) == (100_000, 99_999)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_auc_and_roc_with_many_scores(spark, many):
+    scored = many.select("payload", (F.col("k") / 100_003).alias("p1"),
+                         (F.col("k") * (F.col("v") + 3) % 11 < 4).cast("int").alias("is_churn"))
+    pdf = scored.toPandas()
+    ranks = pdf["p1"].rank().to_numpy()
+    pos = pdf["is_churn"].to_numpy() == 1
+    brute = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert math.isclose(rows(MT.roc_auc(scored))[0]["roc_auc"], brute, rel_tol=1e-12)
+    pts = MT.roc_points(scored).toPandas().sort_values(["fpr", "tpr"])
+    assert len(pts) == 100_001 and (pts["tpr"].diff().dropna() >= 0).all()
+
+
+def test_groups_with_null_keep_their_running_sums(spark):
+    df = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 5), ("a", None, 1)], "g string, k int, v int")
+    got = {(r["g"], r["k"]): r["v_cum"] for r in rows(prefix_sums(df, ["k"], ["v"], group_cols=["g"]))}
+    assert got == {(None, 1): 2, (None, 2): 5, ("a", None): 1, ("a", 1): 6}
+
+
+def test_null_is_no_category(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "msno long, c string")
+    assert {r["msno"]: r["c_code"] for r in rows(K.label_encode(df, "c"))} == {1: 0, 2: None, 3: 1}
+    assert {(r["msno"], r["feature"]) for r in rows(K.one_hot_long(df, ["c"]))} == {(1, "c@1"), (3, "c@2")}
+
+
+def test_one_hot_keeps_64_bit_ids_apart(spark):
+    df = spark.createDataFrame([(1, 2**53, "x", 0.5), (2, 2**53 + 1, "y", 0.25), (3, 7, "x", None)],
+                               "msno long, id long, t string, d double")
+    got = {(r["msno"], r["feature"]) for r in rows(K.one_hot_long(df, ["id", "t", "d"]))}
+    assert got == {(1, "id@2"), (2, "id@3"), (3, "id@1"), (1, "t@1"), (2, "t@2"), (3, "t@1"), (1, "d@2"), (2, "d@1")}
+
+
+def test_stream_on_a_folder_table_equals_batch(spark, tmp_path):
+    from tenure.streaming.log_filter import run_folder, stream_keep_users
+    events = spark.range(3000).selectExpr("id", "id % 50 AS user_id")
+    folder = str(tmp_path / "events.parquet")
+    events.repartition(6).write.parquet(folder)
+    users = spark.createDataFrame([(3,), (7,), (49,)], "user_id long")
+    for files in (None, 1):
+        sink, ckpt = run_folder(spark, "folder_test")
+        got = stream_keep_users(spark, folder, events.schema, users, "user_id", sink, ckpt, max_files_per_trigger=files)
+        assert sorted(r.id for r in got.collect()) == sorted(i for i in range(3000) if i % 50 in (3, 7, 49))
+
+
+def test_calendar_follows_the_data(spark):
+    from tenure.operators import eda as D
+    logs = spark.createDataFrame([(1, dt.date(2023, 12, 30), 2), (2, dt.date(2024, 3, 1), 3)], "msno long, date date, num_100 long")
+    first, n = D.calendar_of(logs)
+    assert (first, n) == (dt.date(2023, 12, 30), 63)
+    filled = D.calendar_fill(logs, logs.select("msno"), first, n)
+    assert filled.count() == 126 and filled.agg(F.sum("num_100")).first()[0] == 5
+    assert D.calendar_fill(logs.limit(0), logs.select("msno"), *D.calendar_of(logs.limit(0))).count() == 0
+
+
+def test_off_one_machine_a_checkpoint_folder_is_required():
+    from types import SimpleNamespace
+    from tenure.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077",
+                         getConf=lambda: SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
+
+
 def test_auc_brute_force_and_symmetry(spark):
     rnd = random.Random(3)
     data = [(i, rnd.randint(0, 1), round(rnd.random(), 1)) for i in range(300)]   # many ties
@@ -51,8 +140,10 @@ def test_samples_exact_and_subset(spark, sf_dir):
     counts = {r["is_churn"]: r["count"] for r in st.groupBy("is_churn").count().collect()}
     assert counts[1] == 10 and counts[0] == tr.filter("is_churn = 0").count()   # capped at population
     assert rows(SMP.sample_exact(tr, 40), ["msno"]) == rows(SMP.sample_exact(tr, 40), ["msno"])
-    big = SMP.sample_exact(tr, 97, small_limit=10)       # bucketed exact path
-    assert sorted(r.msno for r in big.collect()) == sorted(r.msno for r in SMP.sample_exact(tr, 97).collect())
+    in_order = [r.msno for r in tr.orderBy(SMP.hash_key("msno")).collect()]
+    for first, n in ((0, 97), (0, 10**6), (5, 20), (0, 1), (len(in_order) - 3, 10), (len(in_order) + 1, 5), (3, 0)):
+        cut = [r.msno for r in SMP.sample_slice(tr, first, n).collect()]
+        assert sorted(cut) == sorted(in_order[first:first + n])
     wr = SMP.sample_with_replacement(tr, 60)
     assert 0 < wr.count() <= 60 and wr.join(tr, "msno", "left_anti").count() == 0
 
