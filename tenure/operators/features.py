@@ -12,7 +12,6 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tenure.operators import logs as L
 from tenure.operators import members as M
