@@ -10,12 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenure.session import stage_shared
-
 # Word rule of the text operators: lower-case A-Z, then words are runs of
 # 0-9, a-z and everything above ASCII.
 _KEPT = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -113,27 +111,12 @@ class HashFilter:
         return lambda key: words[(key & (FILTER_BITS - 1)) >> 6] >> (key & 63) & 1
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the connected component of every node that has an edge, from edges (a, b).
+BROADCAST_CELLS = 1_000_000
 
-    Each round every node takes the smallest node of its neighbourhood as its label, and the graph
-    shrinks to the edges between different labels, until none are left.  Node ids are hashes, so a
-    round removes a constant share of the nodes in expectation.  Rounds are written tables.
-    """
-    mapping = None
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stage_shared(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select(
-            "node", F.least("node", "b").alias("label")), "labels")
-        if mapping is None:
-            mapping = step
-        else:
-            later = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            mapping = stage_shared(mapping.join(later, "label", "left").select(
-                "node", F.coalesce("next", "label").alias("label")), "labels")
-        a = step.select(F.col("node").alias("a"), F.col("label").alias("la"))
-        b = step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        edges = stage_shared(edges.join(a, "a").join(b, "b").where("la <> lb").select(
-            F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            return mapping
+
+def small_side(written: DataFrame, cells: Column | None = None, most: int = BROADCAST_CELLS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``most`` values of fixed size (``cells`` to a
+    row, by default its columns), so that the whole documents on the other side stay where they are; a
+    larger one is joined as Spark decides."""
+    cells = F.lit(len(written.columns)) if cells is None else cells
+    return F.broadcast(written) if (written.agg(F.sum(cells)).first()[0] or 0) <= most else written

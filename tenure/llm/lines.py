@@ -12,10 +12,15 @@ bit-parallel edit distance.  Connected lines form a class; its first line in
 document order is kept.
 
 Scale: a line travels as a 64-bit reference under 64-bit keys, one exchange by
-key serves both sides of the join, and equal lines are one reference (dropped
-in the worker that makes them, and again after the exchange).  Text is read
-again only for lines in candidate pairs.  The identity of a line is a 128-bit
-hash; references are only used to propose candidates.
+key serves dropping repeats, counting and joining; equal lines are one
+reference.  Lines under one key are linked as ``groups`` describes: through
+hubs, and across components only where lengths allow it and neither line has
+more substrings of its own than the edits could explain (inside tasks, over
+blocks of bounded size, which return links only).  So classes are exact
+without pairing all copies; the number of links is not counted, as that would
+need every pair.  Text is read again only for lines that share a key with
+another.  The identity of a line is a 128-bit hash, and links between
+references are verified once more between identities.
 
 Defined results: a null or empty text has no lines; shorter lines are never
 compared, dropped or counted as repeats; equal lines are one class without a
@@ -27,17 +32,22 @@ lines' places).
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenure.llm.common import LOWER, HashFilter, append_columns, components, fresh
+from tenure.llm.common import LOWER, HashFilter, append_columns, fresh, small_side
+from tenure.llm.groups import across_blocks, components, link, mixed_only
 from tenure.session import stage_shared
 
 EDITS = 2
+GRAM = 6            # length of the substrings that tell a line with no link
+BLOCK_CHARS = 1 << 22   # of a large bucket's lines that one task holds, twice
 MIN_CHARS = 20
 COPY_SHARE = 0.2
 SEEN_LINES = 200_000    # lines a task remembers, to make their keys once
@@ -51,6 +61,7 @@ def chars(line: bytes) -> int:
     return len(line) if line.isascii() else len(line.decode())
 
 
+@lru_cache(4096)
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """(start, size) of ``edits + 1`` segments, as equal as can be, the longer ones last."""
     short, longer = divmod(length, edits + 1)
@@ -62,11 +73,11 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def index_keys(line: str, edits: int) -> list[int]:
+def index_keys(line: str | bytes, edits: int) -> list[int]:
     return [_key(len(line), i, line[s:s + n]) for i, (s, n) in enumerate(segments(len(line), edits))]
 
 
-def probe_keys(line: str, edits: int) -> list[int]:
+def probe_keys(line: str | bytes, edits: int) -> list[int]:
     """Keys of the indexed lines that may lie within ``edits`` of this one and are not longer."""
     out = []
     for shorter in range(edits + 1):
@@ -79,8 +90,9 @@ def probe_keys(line: str, edits: int) -> list[int]:
     return out
 
 
-def _key(length: int, segment: int, content: str) -> int:
-    return xxhash.xxh3_64_intdigest(content.encode(), seed=length * 64 + segment) - (1 << 63)
+def _key(length: int, segment: int, content: str | bytes) -> int:
+    """The same for a text and its bytes: ASCII lines are cut as bytes."""
+    return xxhash.xxh3_64_intdigest(content, seed=length * 64 + segment) - (1 << 63)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -138,8 +150,8 @@ def _reference(line: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(line) - (1 << 63)) & ~1
 
 
-def candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """Distinct pairs (a, b) of references of lines that share a segment where they could be linked."""
+def segment_buckets(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
+    """(bucket, node, k): lines, by reference, that share a segment where they could be linked; k to a bucket."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -148,30 +160,31 @@ def candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> Da
                 for raw in normal_lines(text):
                     if len(raw) < min_chars or (ref := _reference(raw)) in seen:
                         continue
-                    line = raw.decode()
+                    line = raw if raw.isascii() else raw.decode()
                     if len(line) < min_chars:
                         continue
                     if len(seen) < SEEN_LINES:
                         seen.add(ref)
-                    index, probe = index_keys(line, edits), probe_keys(line, edits)
-                    keys += index + probe
+                    index = index_keys(line, edits)
+                    probe = set(probe_keys(line, edits)) - set(index)
+                    keys += [*index, *probe]
                     refs += [ref] * len(index) + [ref | 1] * len(probe)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(refs, pa.int64())],
-                                             names=["key", "ref"])
+                                             names=["bucket", "ref"])
 
     sent = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
-    # One exchange by key; dropping repeats and joining need no other.
-    keyed = sent.mapInArrow(run, "key bigint, ref bigint").repartition("key").dropDuplicates(["key", "ref"])
-    probe = F.col("ref").bitwiseAND(F.lit(1)) == 1
-    a = keyed.where(~probe).select("key", F.col("ref").alias("a"))
-    b = keyed.where(probe).select("key", F.col("ref").bitwiseAND(F.lit(-2)).alias("b"))
-    met = a.join(b, "key").where("a <> b")
-    return stage_shared(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line_pairs")
+    # One exchange by key: dropping repeats and counting need no other.
+    keyed = sent.mapInArrow(run, "bucket bigint, ref bigint").repartition("bucket").dropDuplicates(["bucket", "ref"])
+    # A bucket without an indexed line proposes nothing (probing lines meet indexed ones only).
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(
+        F.col("ref").bitwiseAND(F.lit(1))).alias("role")).where("k > 1 and role = 0").drop("role")
+    return stage_shared(keyed.join(sizes, "bucket").select(
+        "bucket", F.col("ref").bitwiseAND(F.lit(-2)).alias("node"), "k"), "segment_buckets")
 
 
 def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(ref, line, content) of the lines whose reference is in ``wanted`` (ref)."""
-    worth = HashFilter(wanted.select(F.shiftright("ref", 1).alias("key")), "key")
+    """(node, line, content) of the lines whose reference is in ``wanted`` (node)."""
+    worth = HashFilter(wanted.select(F.shiftright("node", 1).alias("key")), "key")
 
     def run(batches):
         test, seen = worth.test(), set()
@@ -188,62 +201,113 @@ def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                     lines.append(xxhash.xxh3_128_digest(raw))
                     texts.append(raw.decode())
             yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(lines, pa.binary()),
-                                              pa.array(texts, pa.string())], names=["ref", "line", "content"])
+                                              pa.array(texts, pa.string())], names=["node", "line", "content"])
 
     sent = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
-    found = sent.mapInArrow(run, "ref bigint, line binary, content string")
-    return stage_shared(found.join(wanted, "ref", "left_semi").dropDuplicates(["ref", "line"]), "line_texts")
+    found = sent.mapInArrow(run, "node bigint, line binary, content string")
+    return stage_shared(found.join(wanted, "node", "left_semi").dropDuplicates(["node", "line"]), "line_texts")
 
 
-def links(docs: DataFrame, text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct pairs (a, b) of different lines, by identity, within ``edits`` of each other."""
-    pairs = candidates(docs, text_col, edits, min_chars)
-    wanted = stage_shared(pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct(), "wanted_lines")
-    texts = line_texts(docs, text_col, wanted)
-    a = texts.select(F.col("ref").alias("a"), F.col("line").alias("la"), F.col("content").alias("ca"))
-    b = texts.select(F.col("ref").alias("b"), F.col("line").alias("lb"), F.col("content").alias("cb"))
-
-    def verify(batches):
+def checked(pairs: DataFrame, schema: str, edits: int) -> DataFrame:
+    """The first two columns of the rows whose last two, texts, are within ``edits`` of each other."""
+    def run(batches):
+        for batch in batches:
+            x, y = (c.to_pylist() for c in batch.columns[2:])
+            good = pa.array([within(s, t, edits) for s, t in zip(x, y)], pa.bool_())
+            yield batch.filter(good).select(batch.schema.names[:2])
+    return pairs.mapInArrow(run, schema)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """The pairs (a, b) of references whose lines are within ``edits``."""
+    a = texts.select(F.col("node").alias("a"), F.col("content").alias("ca"))
+    b = texts.select(F.col("node").alias("b"), F.col("content").alias("cb"))
+    return checked(pairs.join(a, "a").join(b, "b").select("a", "b", "ca", "cb"), "a bigint, b bigint", edits).distinct()
+
+
+def resolve(table: pa.Table, edits: int) -> pa.Table:
+    """Links between lines of one bucket (or of two blocks of it) with different labels, as many as
+    connect what is connected: lengths first, then the bounded edit distance."""
+    nodes, texts = table["node"].to_pylist(), table["content"].to_pylist()
+    label = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+    block, size = table["block"].to_numpy(), np.array([len(t) for t in texts])
+    one_block, out = table["i"][0] == table["j"][0], []
+    for x in range(len(nodes) - 1):
+        y = np.arange(x + 1, len(nodes))
+        y = y[(label[y] != label[x]) & (one_block | (block[y] != block[x])) & (abs(size[y] - size[x]) <= edits)]
+        for k in y:
+            if label[k] != label[x] and within(texts[x], texts[k], edits):
+                out.append((nodes[x], nodes[k]))
+                label[label == label[k]] = label[x]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def own_grams(labelled: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Members of mixed buckets that may still have a link across components.
+
+    An edit changes at most ``GRAM`` of a line's substrings of that length.  So a line with more than
+    ``edits`` times as many that no other line of a mixed bucket has is linked with none of them.
+    """
+    rest = mixed_only(labelled)
+    nodes = stage_shared(rest.select("node").distinct(), "mixed_lines")
+
+    def run(batches):
         for batch in batches:
-            la, lb, ca, cb = [c.to_pylist() for c in batch.columns]
-            good = [k for k in range(len(la)) if within(ca[k], cb[k], edits)]
-            yield pa.RecordBatch.from_arrays([pa.array([la[k] for k in good], pa.binary()),
-                                              pa.array([lb[k] for k in good], pa.binary())], names=["a", "b"])
+            out_nodes, out_grams = [], []
+            for node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
+                out_nodes += [node] * len(grams)
+                out_grams += [xxhash.xxh3_64_intdigest(g.encode()) - (1 << 63) for g in grams]
+            yield pa.RecordBatch.from_arrays([pa.array(out_nodes, pa.int64()), pa.array(out_grams, pa.int64())],
+                                             names=["node", "gram"])
 
-    met = pairs.join(a, "a").join(b, "b").select("la", "lb", "ca", "cb")
-    return stage_shared(met.mapInArrow(verify, "a binary, b binary").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line_links")
+    grams = texts.join(nodes, "node", "left_semi").select("node", "content").mapInArrow(run, "node bigint, gram bigint")
+    once = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    alone = stage_shared(once.groupBy("node").agg(F.count(F.lit(1)).alias("own")).where(
+        F.col("own") > edits * GRAM).select("node"), "lines_alone")
+    return rest.join(alone, "node", "left_anti")
+
+
+def links(docs: DataFrame, text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Links (a, b), by identity, between lines within ``edits``: enough to connect every class."""
+    buckets = segment_buckets(docs, text_col, edits, min_chars)
+    texts = line_texts(docs, text_col, stage_shared(buckets.select("node").distinct(), "wanted_lines"))
+    lengths = texts.groupBy("node").agg(F.max(F.length("content")).alias("high"))
+    members = stage_shared(buckets.join(lengths, "node"), "members")
+    found = link(members, lambda pairs: verified(pairs, texts, edits), lambda labelled: own_grams(labelled, texts, edits),
+                 lambda rest: across_blocks(rest, texts, F.col("high"), BLOCK_CHARS, lambda group: resolve(group, edits),
+                                            "a bigint, b bigint"))
+    # From references to identities; two lines that share a reference are told apart by verifying again.
+    a = texts.select(F.col("node").alias("a"), F.col("line").alias("la"), F.col("content").alias("ca"))
+    b = texts.select(F.col("node").alias("b"), F.col("line").alias("lb"), F.col("content").alias("cb"))
+    named = found.join(a, "a").join(b, "b").select("la", "lb", "ca", "cb")
+    return stage_shared(checked(named, "la binary, lb binary", edits).select(
+        F.col("la").alias("a"), F.col("lb").alias("b")), "line_links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
             min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line long enough: ``id``, ``text_key``, ``line_no``, ``n_chars``, ``n_links`` (different lines
-    within ``edits``), ``first`` (struct of the class's first place) and ``kept`` (whether this is that place)."""
+    """One row per line long enough: ``id``, ``text_key``, ``line_no``, ``n_chars``, ``first`` (struct of the
+    class's first place) and ``kept`` (whether this is that place)."""
     lines = occurrences(docs, id_col, text_col, min_chars)
-    edges = links(docs, text_col, edits, min_chars)
-    labels = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(
-        F.count(F.lit(1)).alias("n_links"))
+    labels = components(links(docs, text_col, edits, min_chars)).select(F.col("node").alias("line"), "label")
     place = F.struct("id", "text_key", "line_no")
     per_line = lines.groupBy("line").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
-    labelled = stage_shared(per_line.join(labels.withColumnRenamed("node", "line"), "line", "left").join(
-        degree, "line", "left").select("line", "place", "n", F.coalesce("label", "line").alias("label"),
-                                       F.coalesce("n_links", F.lit(0)).alias("n_links")), "labelled_lines")
-    firsts = labelled.groupBy("label").agg(F.min("place").alias("first"))
     # Only lines with copies or links need to look their class up; any other is a class of its own.
-    classed = stage_shared(labelled.where("n > 1 or n_links > 0").join(firsts, "label").select(
-        "line", "first", "n_links"), "line_classes")
+    labelled = stage_shared(per_line.join(labels, "line", "left").where("n > 1 or label is not null").select(
+        "line", "place", F.coalesce("label", "line").alias("label")), "labelled_lines")
+    firsts = labelled.groupBy("label").agg(F.min("place").alias("first"))
+    classed = stage_shared(labelled.join(firsts, "label").select("line", "first"), "line_classes")
     own = F.coalesce(F.col("first"), place)
     return lines.join(classed, "line", "left").select(
-        "id", "text_key", "line_no", "n_chars", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        own.alias("first"), (own == place).alias("kept"))
+        "id", "text_key", "line_no", "n_chars", own.alias("first"), (own == place).alias("kept"))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per line long enough: its document and number, the class's first document and line, the
-    number of links, and whether it is the line that its class keeps."""
+    """One row per line long enough: its document and number, the class's first document and line, and
+    whether it is the line that its class keeps."""
     found = classes(docs, id_col, text_col, **options)
-    return found.select(F.col("id").alias(id_col), "line_no", "n_chars", "n_links",
+    return found.select(F.col("id").alias(id_col), "line_no", "n_chars",
                         F.col("first.id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "kept")
 
 
@@ -262,11 +326,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("gone")).where(
         (F.col("repeated") > 0) & (F.col("repeated") <= F.lit(copy_share) * F.col("all_chars"))).select(
         "id", "text_key", "gone"), "repeated_lines")
-    [key, gone, left] = fresh(docs, "text_key", "gone", "id")
+    [key, gone, left, left_key] = fresh(docs, "text_key", "gone", "left_id", "left_key")
     text = F.col(f"`{text_col}`")
     joined = docs.withColumn(key, F.xxhash64(text)).join(
-        out.select(F.col("id").alias(left), F.col("text_key").alias(key + "_"), F.col("gone").alias(gone)),
-        F.col(f"`{id_col}`").eqNullSafe(F.col(left)) & (F.col(key) == F.col(key + "_")), "left")
+        small_side(out.select(F.col("id").alias(left), F.col("text_key").alias(left_key), F.col("gone").alias(gone)),
+                   2 + F.size(gone)),
+        F.col(f"`{id_col}`").eqNullSafe(F.col(left)) & (F.col(key) == F.col(left_key)), "left")
     rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i.cast("long"))), "\n")
     return joined.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(rest)).select(
         *[F.col(f"`{c}`") for c in docs.columns])

@@ -117,7 +117,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """(id, base, more): sorted arrays of (start, kind index, end), of the base and of the entropy spans."""
     allow_list = ALLOW_LIST if allow_list is None else allow_list
     text = F.col("text")
-    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col),
+                       F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     lowered = F.lower(text)
     has_assign = F.lit(False)
     for w in ASSIGN_WORDS:

@@ -11,7 +11,6 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tenure.llm import lines, minhash, packing, tokens, warc
 from tenure.llm.groups import components
@@ -313,3 +312,20 @@ def test_damage_is_noticed():
     assert warc.parse(raw)["payload_bytes"] == 7
     with pytest.raises(ValueError):
         warc.parse(raw.replace(b"payload\r", b"paXload\r"))
+
+
+def test_large_buckets_are_resolved_block_by_block(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, spare = [word() for _ in range(70)], [word() for _ in range(3)]
+    rows = []
+    for i in range(150):       # variants that share their edits, so that no shingle is anyone's own
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(len(copy))] = rng.choice(spare)
+        rows.append((i, " ".join(copy)))
+    expected = {i: c for i, _, c in brute_components(rows, 4)}
+    assert 1 < len(set(expected.values())) < 150
+    for block in (1 << 21, 400):
+        got = minhash.near_duplicates(docs(spark, rows), block_shingles=block).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == expected
