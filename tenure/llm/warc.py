@@ -173,13 +173,21 @@ def assign(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_by
                F.col("keeper").cast("string")).alias("refers_to"))
 
 
+def sample(pages: DataFrame, payload_col: str) -> list[bytes]:
+    """The first ``SAMPLE_BYTES`` of the ``SAMPLE_RECORDS`` different payloads of smallest hash.  Hashes are
+    chosen first, so that only the chosen payloads travel."""
+    payload = F.col(f"`{payload_col}`").cast("string")
+    hashed = pages.where(payload.isNotNull()).select(
+        F.xxhash64(payload).alias("h"), F.substring(payload, 1, SAMPLE_BYTES).cast("binary").alias("payload"))
+    chosen = stage_shared(hashed.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS), "sample_hashes")
+    rows = hashed.join(chosen, "h", "left_semi").groupBy("h").agg(F.first("payload").alias("payload")).collect()
+    return [bytes(r["payload"]) for r in sorted(rows, key=lambda r: r["h"])]
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
           min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` into archives below ``folder``; the manifest, a written table with a row per archive."""
-    sample = pages.where(F.col(f"`{payload_col}`").isNotNull()).select(
-        F.substring(F.col(f"`{payload_col}`").cast("string"), 1, SAMPLE_BYTES).cast("binary").alias("payload"),
-        F.xxhash64(F.col(f"`{payload_col}`")).alias("h")).orderBy("h").limit(SAMPLE_RECORDS).collect()
-    dictionary = train_dictionary([record("0", "http://", bytes(r["payload"]), None) for r in sample])
+    dictionary = train_dictionary([record("0", "http://", p, None) for p in sample(pages, payload_col)])
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)      # DICTIONARY_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
