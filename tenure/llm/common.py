@@ -23,7 +23,19 @@ LOWER = bytes((b + 32 if 0x41 <= b <= 0x5A else b) for b in range(256))
 CONTINUATION = bytes(range(0x80, 0xC0))     # UTF-8 bytes that do not start a code point
 
 
+BATCH_ROWS = 512
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows that hold whole texts go to Python ``BATCH_ROWS`` at a time: Spark's default of 10,000 long
+    texts would fill a worker's memory.  A session that has set the size itself keeps it."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
