@@ -37,10 +37,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenure.llm import minhash
 from tenure.llm.common import LOWER, HashFilter, append_columns, fresh, small_side
 from tenure.llm.groups import across_blocks, components, link, mixed_only
 from tenure.session import stage_shared
@@ -49,7 +50,8 @@ EDITS = 2
 GRAM = 6            # length of the substrings that tell a line with no link
 BLOCK_CHARS = 1 << 22   # of a large bucket's lines that one task holds, twice
 MIN_CHARS = 20
-COPY_SHARE = 0.2
+COPY_SHARE = 0.2    # the rule before ``copies``; read by a test alone
+COPY_WORDS = 5      # near-dedup's shingles in the pipeline
 SEEN_LINES = 200_000    # lines a task remembers, to make their keys once
 
 
@@ -311,27 +313,98 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         F.col("first.id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "kept")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy_share: float = COPY_SHARE,
-                 **options) -> DataFrame:
+def shingled(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words: int, sets: bool) -> DataFrame:
+    """(id, text_key, role, node, n) of the documents in ``wanted`` (id, text_key, role, gone) without their lines
+    ``gone``, or (node, shingles) with ``sets``: near-dedup's shingle sets and their identity."""
+    def run(batches):
+        shingler = minhash.Shingler(words)
+        for batch in batches:
+            found = [shingler(t) for t in batch.column(3).to_pylist()]
+            nodes = pa.array([minhash.node_of(s) if len(s) else None for s in found], pa.binary())
+            if sets:
+                yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
+                                                 names=["node", "shingles"])
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], nodes, pa.array(map(len, found), pa.int64())],
+                                                 names=["id", "text_key", "role", "node", "n"])
+
+    text = F.col(f"`{text_col}`").cast("string")
+    given = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), text.alias("text"))
+    held = given.join(small_side(wanted, 3 + F.size("gone")), ["id", "text_key"]).select(
+        "id", "text_key", "role", without("text", "gone").cast("binary").alias("text"))
+    of = docs.schema[id_col].dataType.simpleString()
+    return held.mapInArrow(run, "node binary, shingles array<bigint>" if sets else
+                           f"id {of}, text_key bigint, role string, node binary, n bigint")
+
+
+def without(text: str, gone: str) -> Column:
+    return F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1),
+                                 lambda x, i: ~F.array_contains(gone, i.cast("long"))), "\n")
+
+
+def copies(docs: DataFrame, id_col: str, text_col: str, repeats: DataFrame, words: int, similarity: int) -> DataFrame:
+    """(id, text_key) of the documents that near-dedup removes if they keep the lines that repeat their source.
+
+    ``repeats`` names each document's source (``src_id``, ``src_key``), a document of smaller id.  The document
+    without ``rest`` has to be a near copy of the source as it will be, without its own repeats; so a
+    source that would itself stay as a copy does not count.  One comparison a document, no pairs.
+    """
+    own = repeats.where("src_id is not null")
+    sources = own.select(F.col("src_id").alias("id"), F.col("src_key").alias("text_key")).distinct()
+    wanted = stage_shared(own.select("id", "text_key", F.lit("copy").alias("role"), F.col("rest").alias("gone")).unionByName(
+        sources.join(repeats.select("id", "text_key", "gone"), ["id", "text_key"], "left").select(
+            "id", "text_key", F.lit("source").alias("role"),
+            F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"))), "copies_wanted")
+    sized = stage_shared(shingled(docs, id_col, text_col, wanted, words, False).where("node is not null").distinct(), "copies_sized")
+    a = sized.where("role = 'copy'").select("id", "text_key", F.col("node").alias("a"), F.col("n").alias("na"))
+    b = sized.where("role = 'source'").select(F.col("id").alias("src_id"), F.col("text_key").alias("src_key"),
+                                              F.col("node").alias("b"), F.col("n").alias("nb"))
+    pairs = stage_shared(own.select("id", "text_key", "src_id", "src_key").join(a, ["id", "text_key"]).join(
+        b, ["src_id", "src_key"]).where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")), "copy_pairs")
+    open_pairs = pairs.where("a <> b")
+    worth = open_pairs.select("id", "text_key", F.lit("copy").alias("role")).unionByName(
+        open_pairs.select(F.col("src_id").alias("id"), F.col("src_key").alias("text_key"), F.lit("source").alias("role")))
+    again = stage_shared(wanted.join(worth.distinct(), ["id", "text_key", "role"], "left_semi"), "copies_again")
+    sets = stage_shared(shingled(docs, id_col, text_col, again, words, True).where("node is not null").groupBy("node").agg(
+        F.first("shingles").alias("shingles")), "copy_sets")
+    near = stage_shared(minhash.confirmed(open_pairs.select("a", "b").distinct(), sets, similarity), "copies_near")
+    found = stage_shared(pairs.where("a = b").unionByName(open_pairs.join(near, ["a", "b"], "left_semi")).select(
+        "id", "text_key", "src_id", "src_key"), "copies_found")
+    held = found.select(F.col("id").alias("src_id"), F.col("text_key").alias("src_key"))
+    return found.join(held, ["src_id", "src_key"], "left_anti").select("id", "text_key")
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS,
+                 similarity: int = minhash.SIMILARITY, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of their texts; every document stays.
 
-    A document whose repeated lines hold more than ``copy_share`` of its (long enough) lines'
-    characters is left whole: it copies another document, which is for document dedup to decide,
-    and would be mutilated here so that it could not be recognised any more.
+    Whatever share of a document repeats others, its repeated lines go.  Only a document that near-dedup
+    (shingles of ``words`` words, ``similarity`` per cent) is going to remove as a near copy of the document
+    that most of its repeats come from keeps the lines it shares with that one: without them it could not be
+    recognised any more.
     """
-    found = classes(docs, id_col, text_col, **options)
-    repeated = F.when(~F.col("kept"), F.col("n_chars")).otherwise(0)
-    out = stage_shared(found.groupBy("id", "text_key").agg(
-        F.sum("n_chars").alias("all_chars"), F.sum(repeated).alias("repeated"),
-        F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("gone")).where(
-        (F.col("repeated") > 0) & (F.col("repeated") <= F.lit(copy_share) * F.col("all_chars"))).select(
-        "id", "text_key", "gone"), "repeated_lines")
+    found = classes(docs, id_col, text_col, **options).where(~F.col("kept"))
+    by_source = found.groupBy("id", "text_key", F.col("first.id").alias("src_id"), F.col("first.text_key").alias("src_key")).agg(
+        F.sum("n_chars").alias("chars"), F.collect_set("line_no").alias("nos"))
+    # Near-dedup keeps the smallest id, and never a null one.
+    best = F.max(F.when(F.col("src_id") < F.col("id"), F.struct("chars", "src_id", "src_key")))
+    per_doc = by_source.groupBy("id", "text_key").agg(
+        F.collect_list(F.struct("src_id", "src_key", "nos")).alias("every"), best.alias("best"))
+    other = F.filter("every", lambda x: ~(x["src_id"].eqNullSafe(F.col("best.src_id")) & x["src_key"].eqNullSafe(F.col("best.src_key"))))
+    repeats = stage_shared(per_doc.select(
+        "id", "text_key", F.flatten(F.transform("every", lambda x: x["nos"])).alias("gone"),
+        F.flatten(F.transform(other, lambda x: x["nos"])).alias("rest"),
+        F.col("best.src_id").alias("src_id"), F.col("best.src_key").alias("src_key")), "repeats")
+    whole = copies(docs, id_col, text_col, repeats, words, similarity).distinct().withColumn("copy", F.lit(True))
+    # Documents without an id have no source, and none is found for them here.
+    out = stage_shared(repeats.join(whole, ["id", "text_key"], "left").select(
+        "id", "text_key", F.when(F.col("copy"), F.col("rest")).otherwise(F.col("gone")).alias("gone")).where(
+        F.size("gone") > 0), "repeated_lines")
     [key, gone, left, left_key] = fresh(docs, "text_key", "gone", "left_id", "left_key")
     text = F.col(f"`{text_col}`")
     joined = docs.withColumn(key, F.xxhash64(text)).join(
         small_side(out.select(F.col("id").alias(left), F.col("text_key").alias(left_key), F.col("gone").alias(gone)),
                    2 + F.size(gone)),
         F.col(f"`{id_col}`").eqNullSafe(F.col(left)) & (F.col(key) == F.col(left_key)), "left")
-    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i.cast("long"))), "\n")
-    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(rest)).select(
+    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(without(text_col, gone))).select(
         *[F.col(f"`{c}`") for c in docs.columns])

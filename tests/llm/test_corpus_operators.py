@@ -217,6 +217,47 @@ def test_repeated_lines_go_and_copies_stay_whole(spark):
     assert lines.drop_repeats(df.limit(0)).count() == 0 and lines.line_classes(df.limit(0)).count() == 0
 
 
+def brute_drop(rows, words=5):
+    """Every repeated line goes, but a near copy of the document it repeats most keeps what it shares with it."""
+    first = {place: f for (place, _), f in brute_lines(rows).items()}
+    gone, source, text = {}, {}, dict(rows)
+    for i, t in rows:
+        gone[i] = {n for (d, n), f in first.items() if d == i and f != (d, n)}
+        size = {}
+        for n in gone[i]:
+            size[first[i, n][0]] = size.get(first[i, n][0], 0) + len(" ".join(t.split("\n")[n].split()))
+        size.pop(i, None)
+        source[i] = max(size, key=lambda s: (size[s], s)) if size else None
+
+    def rest(i, lost):
+        return "\n".join(x for n, x in enumerate((text[i] or "").split("\n")) if n not in lost)
+
+    near, other = set(), {}
+    for i, s in source.items():
+        other[i] = {n for n in gone[i] if first[i, n][0] != s}
+        if s is not None:
+            a, b = shingle_set(rest(i, other[i]), words), shingle_set(rest(s, gone[s]), words)
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                near.add(i)
+    return {i: rest(i, other[i] if i in near and source[i] not in near else gone[i]) for i in gone}
+
+
+def test_no_share_of_repeated_lines_is_left_in(spark):
+    rng = random.Random(14)
+    line = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(12))
+    own = [[line() for _ in range(10)] for _ in range(8)]
+    rows = list(enumerate(own))
+    for share in range(1, 10):      # ``share`` tenths of another document, in one piece and from several
+        rows.append((10 + share, own[share % 8][:share] + [line() for _ in range(10 - share)]))
+        rows.append((20 + share, [own[k % 8][k] for k in range(share)] + [line() for _ in range(10 - share)]))
+    rows += [(30, [own[k % 8][k] for k in range(10)]),     # nothing but repeats, a copy of no single document
+             (31, own[3]), (32, own[3][:9] + [line()]), (33, own[4][:5] + own[5][5:])]
+    rows = [(i, "\n".join(x)) for i, x in rows]
+    left = {r["doc_id"]: r["text"] for r in lines.drop_repeats(docs(spark, rows)).collect()}
+    assert left == brute_drop(rows)
+    assert left[31] == "\n".join(own[3]) and left[30] == left[33] == "" and len(left[25].split("\n")) == 5
+
+
 # -- packing ------------------------------------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
