@@ -4,8 +4,9 @@ Base matches (email, ip, card, phone) are found by pattern and validated.
 Beyond them, a document's candidate tokens (white-space tokens with a digit or
 ``@``) form a graph: neighbours in the text share a chain edge, and tokens
 whose key (digits of a number, or lower-cased letters and digits) is equal
-share a skip edge however far apart they stand.  Loopy sum-product messages
-then give every token a marginal over {none, email, ip, card, phone}.  Tokens
+share a skip edge however far apart they stand, each mention with the nearest
+base matches of its key too.  Loopy sum-product messages, passed until they
+settle, then give every token a marginal over {none, email, ip, card, phone}.  Tokens
 inside base matches are observed.  A token outside them whose marginal for one
 kind reaches ``THRESHOLD`` becomes a further span: so a number written once in
 full is also found where it is repeated without its prefix or separators.
@@ -37,7 +38,7 @@ from tenure.llm.common import append_columns, fresh
 
 KINDS = ["email", "ip", "card", "phone"]
 THRESHOLD = 0.9
-ROUNDS, DAMPING = 12, 0.3
+TOLERANCE, DAMPING = 1e-4, 0.3
 MIN_KEY = 6         # characters of a key that a skip edge may join
 
 _HAS = re.compile(rb"[0-9@]")
@@ -137,20 +138,38 @@ def observe(tokens, spans) -> list[int]:
     return out
 
 
-def graph(tokens) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges (adjacent candidate tokens with at most a space and punctuation between) and skip
-    edges (each occurrence of a key with the one before it: linear, however often the key occurs)."""
-    chain = [(i, i + 1) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if b[0] - a[1] <= 3]
-    skip, last = [], {}
+def places_of(tokens) -> list[list[int]]:
+    """The occurrences of every key that a skip edge may join."""
+    places: dict[str, list[int]] = {}
     for i, (_, _, token) in enumerate(tokens):
         key = key_of(token)
         if len(key) >= MIN_KEY:
             # A number's key also meets longer numbers that end in it: the last digits are its second key.
             for k in {key, key[-7:]} if key.isdigit() else {key}:
-                if k in last:
-                    skip.append((last[k], i))
-                last[k] = i
-    return chain, skip
+                places.setdefault(k, []).append(i)
+    return list(places.values())
+
+
+def graph(tokens) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain edges (adjacent candidate tokens with at most a space and punctuation between) and skip
+    edges (each occurrence of a key with the one before it: linear, however often the key occurs)."""
+    chain = [(i, i + 1) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if b[0] - a[1] <= 3]
+    return chain, [e for own in places_of(tokens) for e in zip(own, own[1:])]
+
+
+def far_edges(tokens, kinds) -> list[tuple[int, int]]:
+    """Further skip edges for inference: each occurrence outside the base matches with the nearest match of
+    its key on either side that is not its neighbour, however many mentions away.  At most two an occurrence."""
+    out = set()
+    for own in places_of(tokens):
+        for way in (1, -1):
+            match = None
+            for at, i in enumerate(own[::way]):
+                if kinds[i]:
+                    match = at, i
+                elif match and at - match[0] > 1:
+                    out.add((min(i, match[1]), max(i, match[1])))
+    return sorted(out)
 
 
 def training_counts(docs: DataFrame, text_col: str = "text") -> list:
@@ -198,7 +217,8 @@ class Field:
         self.edge = {name: _association(c) for name, c in edges.items()}
 
     def marginals(self, shapes: list[int], observed: list[int], chain, skip) -> np.ndarray:
-        """Loopy sum-product: one row per token, over none and the kinds."""
+        """Loopy sum-product until no message moves by ``TOLERANCE``, or for as many rounds as a message
+        needs along the longest path and back: one row per token, over none and the kinds."""
         k = self.node.shape[1]
         unary = self.node[np.asarray(shapes, np.int64)].copy()
         seen = np.asarray(observed, np.int64)
@@ -215,7 +235,7 @@ class Field:
         weight = np.concatenate([weight, weight.transpose(0, 2, 1)])
         back = np.roll(np.arange(len(src)), len(pairs))
         messages = np.zeros((len(src), k))
-        for _ in range(ROUNDS):
+        for _ in range(2 * len(unary) + 10):
             belief = unary.copy()
             np.add.at(belief, dst, messages)
             sent = belief[src] - messages[back]
@@ -223,7 +243,10 @@ class Field:
             top = new.max(axis=1)
             new = top + np.log(np.exp(new - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
+            moved = np.abs(new - messages).max()
             messages = DAMPING * messages + (1 - DAMPING) * new
+            if moved < TOLERANCE:
+                break
         belief = unary.copy()
         np.add.at(belief, dst, messages)
         return _normal(belief)
@@ -235,6 +258,7 @@ class Field:
         if not any(observed) or all(observed):
             return []       # nothing to be consistent with, or nothing to decide
         chain, skip = graph(tokens)
+        skip = skip + far_edges(tokens, observed)
         p = self.marginals([shape(t) for _, _, t in tokens], observed, chain, skip)
         best = p[:, 1:].argmax(axis=1)
         return [(s, int(best[i]), e) for i, (s, e, _) in enumerate(tokens)

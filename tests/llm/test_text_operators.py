@@ -265,6 +265,17 @@ def test_skip_edges_carry_a_label_to_distant_mentions(spark):
     assert got[61]["spans"] == ""
 
 
+def test_every_one_of_many_mentions_is_found(spark):
+    filler = " and then some more plain words follow here "
+    texts = [f"call +1 ({200 + i}) 555-{1000 + i} now{filler}again 555-{1000 + i} please" for i in range(40)]
+    texts += [f"order 7{i % 90 + 10}-{2000 + i} of shop" for i in range(250)]     # alike in shape, no phone numbers
+    texts += ["call +1 (300) 555-7777 now" + f"{filler}again 555-7777 please" * 60]
+    got = by_id(pii.personal_data(docs(spark, texts)))
+    spans = [x.split(":") for x in got[len(texts)]["spans"].split(",")]
+    assert [texts[-1][int(s):int(e)] for _, s, e in spans] == ["+1 (300) 555-7777"] + ["555-7777"] * 60
+    assert not any(got[i]["spans"] for i in range(41, 291))
+
+
 # -- licences -----------------------------------------------------------------------------------
 
 LICENSES = ["This work is licensed under the GNU General Public License, version 3.", "All rights reserved. ALL RIGHTS RESERVED",
