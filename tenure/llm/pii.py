@@ -7,7 +7,8 @@ whose key (digits of a number, or lower-cased letters and digits) is equal
 share a skip edge however far apart they stand, each mention with the nearest
 base matches of its key too.  Loopy sum-product messages, passed until they
 settle, then give every token a marginal over {none, email, ip, card, phone}.  Tokens
-inside base matches are observed.  A token outside them whose marginal for one
+inside base matches are observed, a match being one node whose key is the whole
+match's, and split numbers that end as a match does are one node too.  A token outside them whose marginal for one
 kind reaches ``THRESHOLD`` becomes a further span: so a number written once in
 full is also found where it is repeated without its prefix or separators.
 
@@ -40,6 +41,7 @@ KINDS = ["email", "ip", "card", "phone"]
 THRESHOLD = 0.9
 TOLERANCE, DAMPING = 1e-4, 0.3
 MIN_KEY = 6         # characters of a key that a skip edge may join
+TAIL = 7            # last digits of a number that are its second key
 
 _HAS = re.compile(rb"[0-9@]")
 _MAILBOX = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -49,6 +51,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+_GAP = re.compile(r"[ ().-]{1,3}")      # between the parts of one number
 _EDGES = "\"'()[]{}<>,;:.!?"
 
 
@@ -104,10 +107,13 @@ def tokens_of(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def numeric(token: str) -> bool:
+    return all(c in "0123456789+-().  " for c in token)
+
+
 def key_of(token: str) -> str:
     """What repeated or similar mentions have in common."""
-    numeric = all(c in "0123456789+-(). " for c in token)
-    return digits(token) if numeric else "".join(c for c in token.lower() if c.isalnum() or c == "@")
+    return digits(token) if numeric(token) else "".join(c for c in token.lower() if c.isalnum() or c == "@")
 
 
 def shape(token: str) -> int:
@@ -138,6 +144,32 @@ def observe(tokens, spans) -> list[int]:
     return out
 
 
+def nodes_of(text, spans, tokens, kinds) -> tuple[list[tuple[int, int, str]], list[int]]:
+    """The nodes of inference and 1 + the kind of each, or 0: every base match as a whole, and the tokens
+    that touch none.  Adjacent tokens of digits are one node where together they are the end (``TAIL``
+    digits or more, without leading zeros) of a card or phone match: a mention with other separators."""
+    numbers = [digits(text[s:e]) for s, k, e in spans if KINDS[k] in ("card", "phone")]
+    ends = {n[-size:] for n in numbers for size in range(TAIL, len(n) + 1)}
+    longest = max(map(len, numbers), default=0)
+    nodes = [(s, e, text[s:e], 1 + k) for s, k, e in spans]
+    free, i = [t for t, k in zip(tokens, kinds) if not k], 0
+    while i < len(free):
+        start, end, token = free[i]
+        at, j = end, i + 1
+        number = digits(token) if ends and numeric(token) else ""
+        i += 1
+        while number and j < len(free) and len(number.lstrip("0")) < longest and j - i < 2 * longest:
+            s, e, part = free[j]
+            if s - at > 3 or not numeric(part) or not _GAP.fullmatch(text, at, s):
+                break
+            number, at, j = number + digits(part), e, j + 1
+            if number.lstrip("0") in ends:
+                end, i = at, j
+        nodes.append((start, end, text[start:end], 0))
+    nodes.sort(key=lambda n: (n[0], n[1], n[3]))
+    return [n[:3] for n in nodes], [n[3] for n in nodes]
+
+
 def places_of(tokens) -> list[list[int]]:
     """The occurrences of every key that a skip edge may join."""
     places: dict[str, list[int]] = {}
@@ -145,7 +177,7 @@ def places_of(tokens) -> list[list[int]]:
         key = key_of(token)
         if len(key) >= MIN_KEY:
             # A number's key also meets longer numbers that end in it: the last digits are its second key.
-            for k in {key, key[-7:]} if key.isdigit() else {key}:
+            for k in {key, key[-TAIL:]} if key.isdigit() else {key}:
                 places.setdefault(k, []).append(i)
     return list(places.values())
 
@@ -183,16 +215,23 @@ def training_counts(docs: DataFrame, text_col: str = "text") -> list:
                     continue
                 text = raw.decode()
                 tokens = tokens_of(text)
-                kinds = observe(tokens, base_spans(text))
-                chain, skip = graph(tokens)
+                spans = base_spans(text)
+                kinds = observe(tokens, spans)
+                nodes, held = nodes_of(text, spans, tokens, kinds)
+                chain, skip = graph(nodes)
                 # Beside a base match, a token without one may be a mention that the patterns miss: no example.
-                unsure = {t for i, j in skip if bool(kinds[i]) != bool(kinds[j]) for t in (i, j) if not kinds[t]}
-                seen.update(("node", shape(t), k) for i, ((_, _, t), k) in enumerate(zip(tokens, kinds)) if i not in unsure)
+                unsure = {n for i, j in skip if bool(held[i]) != bool(held[j]) for n in (i, j) if not held[n]}
+                areas, at = [nodes[n] for n in sorted(unsure)], 0
+                for (start, end, t), k in zip(tokens, kinds):
+                    while at < len(areas) and areas[at][1] <= start:
+                        at += 1
+                    if k or at == len(areas) or areas[at][0] >= end:
+                        seen["node", shape(t), k] += 1
                 for name, edges in (("chain", chain), ("skip", skip)):
                     for i, j in edges:
                         if i not in unsure and j not in unsure:
-                            seen[name, kinds[i], kinds[j]] += 1
-                            seen[name, kinds[j], kinds[i]] += 1
+                            seen[name, held[i], held[j]] += 1
+                            seen[name, held[j], held[i]] += 1
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
@@ -254,9 +293,10 @@ class Field:
     def added_spans(self, text: str, spans) -> list[tuple[int, int, int]]:
         """Further (start, kind, end), outside the base matches."""
         tokens = tokens_of(text)
-        observed = observe(tokens, spans)
-        if not any(observed) or all(observed):
+        touched = observe(tokens, spans)
+        if not any(touched) or all(touched):
             return []       # nothing to be consistent with, or nothing to decide
+        tokens, observed = nodes_of(text, spans, tokens, touched)
         chain, skip = graph(tokens)
         skip = skip + far_edges(tokens, observed)
         p = self.marginals([shape(t) for _, _, t in tokens], observed, chain, skip)

@@ -276,6 +276,29 @@ def test_every_one_of_many_mentions_is_found(spark):
     assert not any(got[i]["spans"] for i in range(41, 291))
 
 
+def test_mentions_with_other_separators_are_found(spark):
+    filler = " and then some more plain words follow here "
+    forms = ["{a}{b}{c}", "{b} {c}", "0{a} {b} {c}", "{b}-{c}", "({a}) {b} {c}"]
+    texts = []
+    for i in range(60):
+        part = {"a": 20 + i, "b": 7000 + 13 * i, "c": 1000 + 7 * i}
+        whole = "+44 {a} {b} {c}".format(**part)
+        texts.append((f"call {whole} now{filler}write " + filler.join(f"again {f.format(**part)} please" for f in forms),
+                      whole, [f.format(**part).strip("(") for f in forms]))
+    plain = f"call +44 20 7946 0958 now{filler}12 7946 11 0958 and 46 0958 of 2024 {filler} 4 5 6"
+    card = f"card 4111 1111 1111 1111{filler}again 1111 1111 1111 please"
+    # What the field learns from: whole numbers that come again, and other numbers that do.
+    more = [f"call +44 {10 + i} 555 {2000 + i} now{filler}call +44 {10 + i} 555 {2000 + i} again" for i in range(60)]
+    more += [f"order {700000 + i} of shop{filler}order {700000 + i} again" for i in range(60)]
+    got = by_id(pii.personal_data(docs(spark, [t for t, _, _ in texts] + [plain, card] + more)))
+    for i, (text, whole, found) in enumerate(texts, 1):
+        spans = [x.split(":") for x in got[i]["spans"].split(",")]
+        assert [(k, text[int(s):int(e)]) for k, s, e in spans] == [("phone", x) for x in [whole, *found]]
+    assert got[61]["spans"].count(":") == 2
+    assert pii.nodes_of(card, pii.base_spans(card), t := pii.tokens_of(card), pii.observe(t, pii.base_spans(card)))[0] == [
+        (5, 24, "4111 1111 1111 1111"), (len(card) - 21, len(card) - 7, "1111 1111 1111")]
+
+
 # -- licences -----------------------------------------------------------------------------------
 
 LICENSES = ["This work is licensed under the GNU General Public License, version 3.", "All rights reserved. ALL RIGHTS RESERVED",
