@@ -8,8 +8,9 @@ from which the window's Shannon entropy follows.  The sum is held in
 millionths as a whole number, so it never drifts.  A window is hot when its
 entropy reaches the threshold of the candidate's character class (hex, alnum,
 base64); the stretch from the first hot window's start to the last one's end is
-a further span, unless an allow-list pattern suppresses the candidate or a base
-match already covers the stretch.
+a further span, unless an allow-list pattern matches the whole candidate or a base
+match already covers the stretch.  Allowed parts of a candidate (placeholder words,
+runs) suppress the windows that overlap them; what is left is swept part by part.
 
 Everything is one pass over the rows: no shuffle, no Python on the executors.
 Positions come from splitting the text at the pattern: the lengths of the
@@ -38,14 +39,15 @@ WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-# Candidates that are known not to be secrets: identifiers, placeholders, paths, runs of the alphabet.
+# Candidates that are known, as a whole, not to be secrets: identifiers, placeholders, paths of names.
 ALLOW_LIST = [
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]",
-    r"(.)\1{5}",
-    r"(?i)0123456789|abcdefghij",
-    r"^/?([A-Za-z_-]+[0-9]{0,4}/){2,}",
+    r"(?i)^(?:example|sample|dummy|placeholder|changeme|redacted|your[_-])[^/]*$",
+    r"^/?([A-Za-z_-]+[0-9]{0,4}/){2,}([A-Za-z_-]+[0-9]{0,4})?$",
 ]
+# Parts of a candidate that are no part of a secret: placeholder words, runs of the alphabet or of one character.
+ALLOWED_PARTS = (r"(?i:example|sample|dummy|placeholder|changeme|redacted|your[_-])|(?i:0123456789|abcdefghij)"
+                 r"|(.)\1{5,}")
 SCALE = 1_000_000
 
 
@@ -72,8 +74,22 @@ def _spans(kind: str, found: Column) -> Column:
         m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
 
 
-def hot_stretch(candidate: Column, window: int = WINDOW, thresholds: dict[str, float] | None = None) -> Column:
-    """struct(lo, hi) of a candidate's hot stretch in characters, lo = -1 if no window is hot."""
+def parts(candidate: Column, pattern: str = ALLOWED_PARTS) -> Column:
+    """Array of (at, part): what is left of a candidate between its allowed parts."""
+    pairs = F.zip_with(F.split(candidate, pattern, -1), F.regexp_extract_all(candidate, F.lit(pattern), F.lit(0)),
+                       lambda p, m: F.struct(p.alias("part"), F.coalesce(F.length(m), F.lit(0)).alias("skip")))
+    none = F.array().cast("array<struct<at:int,part:string>>")
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, x: F.struct(
+        (acc["at"] + F.length(x["part"]) + x["skip"]).alias("at"),
+        F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x["part"].alias("part")))).alias("out")),
+        lambda acc: acc["out"])
+
+
+def hot_stretch(part: Column, window: int = WINDOW, thresholds: dict[str, float] | None = None,
+                candidate: Column | None = None) -> Column:
+    """struct(lo, hi) of the hot stretch in a candidate, or in a part of one, in characters; lo = -1 if no
+    window is hot.  The candidate's characters decide the threshold."""
+    candidate = part if candidate is None else candidate
     thresholds = thresholds or THRESHOLDS
     weighted = F.array(*[F.lit(round(SCALE * c * math.log2(c)) if c else 0).cast("long") for c in range(window + 2)])
     # Entropy = log2(window) - sum / window, so "entropy >= t" is "sum <= window * (log2(window) - t)".
@@ -81,7 +97,7 @@ def hot_stretch(candidate: Column, window: int = WINDOW, thresholds: dict[str, f
     limit = (F.when(candidate.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), F.lit(most["hex"]))
              .when(candidate.rlike(r"^[A-Za-z0-9]+$"), F.lit(most["alnum"]))
              .otherwise(F.lit(most["base64"]))).cast("long")
-    codes = F.transform(F.filter(F.split(candidate, "", -1), lambda c: c != ""),
+    codes = F.transform(F.filter(F.split(part, "", -1), lambda c: c != ""),
                         lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     # Each step carries the character that enters, the one that leaves (-1: none) and the index.
     steps = F.transform(codes, lambda c, i: F.struct(
@@ -132,9 +148,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     long_value = F.filter("assign", lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= ASSIGN_MIN)
     base = F.array_sort(F.concat(_spans("assign", long_value), _spans("access", F.col("access")),
                                  _spans("hex", F.col("hex"))))
-    swept = F.filter(F.transform(
+    swept = F.filter(F.flatten(F.transform(
         F.filter("candidate", lambda m: ~allowed(m["match"], allow_list)),
-        lambda m: F.struct(m["start"].alias("at"), hot_stretch(m["match"], window, thresholds).alias("hot"))),
+        lambda m: F.transform(F.filter(parts(m["match"]), lambda p: F.length(p["part"]) >= window), lambda p: F.struct(
+            (m["start"] + p["at"]).alias("at"),
+            hot_stretch(p["part"], window, thresholds, m["match"]).alias("hot"))))),
         lambda h: h["hot"]["lo"] >= 0)
     stretches = F.transform(swept, lambda h: F.struct(
         (h["at"] + h["hot"]["lo"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"),

@@ -168,6 +168,31 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.secrets(docs(spark, [])).count() == 0
 
 
+def test_allowed_parts_do_not_hide_the_rest(spark):
+    blob = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQ9xKq2LmZ7pR4tVw8YbN3sD6fAAAAAAAAAAHj5Gt0"
+    texts = ["see com/services/T0AB12CD3/B04EF56GH/x9Kq2LmZ7pR4tVw8YbN3sD6f now", f"key {blob}.",
+             f"{KEY}/sample-{KEY}", "usr/lib/python3/site-packages/tests2", "/" + "x" * 20 + "1 " + "your-" + KEY,
+             "abcdefghij" + "0123456789" * 3, "123e4567-e89b-12d3-a456-426614174000", f"ünï /sample/{KEY}"]
+    got = by_id(secrets.secrets(docs(spark, texts)))
+    for i, text in enumerate(texts, 1):
+        more = []
+        for m in re.finditer(secrets.CANDIDATE, text):
+            c, w, hot = m.group(), secrets.WINDOW, []
+            if any(re.search(p, c) for p in secrets.ALLOW_LIST):
+                continue
+            kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else "alnum" if c.isalnum() else "base64"
+            masks = [x.span() for x in re.finditer(secrets.ALLOWED_PARTS, c)]
+            for k in range(len(c) - w + 1):
+                h = -sum(n / w * math.log2(n / w) for n in Counter(c[k:k + w]).values())
+                if h >= secrets.THRESHOLDS[kind] - 1e-5 and not any(a < k + w and k < b for a, b in masks):
+                    hot.append((k, sum(b <= k for _, b in masks)))
+            for part in sorted({p for _, p in hot}):
+                own = [k for k, p in hot if p == part]
+                more.append(f"entropy:{m.start() + own[0]}:{m.start() + own[-1] + w}")
+        assert [x for x in got[i]["spans"].split(",") if x.startswith("entropy")] == more, text
+    assert [got[i]["n_entropy"] for i in range(1, 9)] == [1, 1, 2, 0, 0, 0, 0, 1]
+
+
 # -- quality rules ------------------------------------------------------------------------------
 
 STATS = ["", None, "a b c", "x y z x y z", "#$ % word\nsame line\n\nsame line\n  \nsame line", "né x y\tz", "a a a a a",
