@@ -1,11 +1,11 @@
 """Dictionary-compressed WARC archives (operator 8).
 
 Pages become WARC 1.1 records: a response record with the whole payload, or,
-where another page has the same payload (SHA-1) and a larger id, a revisit
+where another page has the same payload (SHA-256) and a larger id, a revisit
 record that refers to that page.  Archives follow the ``.warc.zst`` layout: a
-Zstandard dictionary, trained on records of this very collection, sits in a
+Zstandard dictionary, made from records of this very collection, sits in a
 leading skippable frame, and every record is a frame of its own, so a reader
-can start at any record.
+can start at any record (``offset`` is its place in the file).
 
 Each task writes its own archives, rolled over at ``ARCHIVE_BYTES``, under new
 names, into the folder given (any file system pyarrow knows), and returns one
@@ -14,13 +14,21 @@ names the archives of successful task attempts only, so a lost executor or a
 repeated attempt leaves at most an unnamed file.  Reading back starts from the
 manifest, an archive at a time, and checks every payload against its digest.
 
-The dictionary is trained on a bounded sample, the ``SAMPLE_RECORDS`` records
+The dictionary comes from a bounded sample, the ``SAMPLE_RECORDS`` records
 of smallest hash, ``SAMPLE_BYTES`` of each; every record is written whole.
+Where the sampled records are too few, or too alike, for Zstandard to train a
+dictionary, their raw content is the dictionary (frames then carry no id).
+
+Scale: payloads are read twice, once for their digests and once to be written.
+Only digests that occur twice are joined back; while these are few the
+payloads are not shuffled at all.
 
 Defined results: a null payload is the empty payload; a null id counts as
 smaller than any other, and pages without any id are responses; several rows
-of the largest id are all responses; an empty table gives no archive.  Line
-breaks in an address are percent-encoded.
+of the largest id (ties, repeated rows) are all responses; a very long payload
+is one record, held whole by the task that writes or reads it; an empty table
+gives no archive; further columns, whatever their names, are not archived.
+Line breaks in an address are percent-encoded.
 """
 
 from __future__ import annotations
@@ -38,6 +46,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenure.llm.common import small_side
 from tenure.session import stage_path, stage_shared
 
 # Fixed value: the skippable frame that holds a .warc.zst dictionary.
@@ -95,11 +104,12 @@ def parse(raw: bytes) -> dict:
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A Zstandard dictionary, or none where the records are too few to train one."""
+    """A Zstandard dictionary of at most ``size`` bytes; the records' raw content where they are too few or too
+    alike to train one, and none without records."""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if samples else b""
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:size]
 
 
 def _open_folder(folder: str) -> tuple[fs.FileSystem, str]:
@@ -113,7 +123,8 @@ class Archive:
         self.system, base = _open_folder(folder)
         self.system.create_dir(base, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
-        self.out = self.system.open_output_stream(f"{base}/{self.name}")
+        # Without this, the suffix would make pyarrow compress the file once more, as one frame.
+        self.out = self.system.open_output_stream(f"{base}/{self.name}", compression=None)
         self.bytes = self.records = 0
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress
@@ -136,7 +147,7 @@ class Archive:
 def read_archive(folder: str, name: str) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of every record, holding one record and one read buffer at a time."""
     system, base = _open_folder(folder)
-    with system.open_input_stream(f"{base}/{name}") as stream:
+    with system.open_input_stream(f"{base}/{name}", compression=None) as stream:
         buffer, offset, dictionary = stream.read(READ_BYTES), 0, None
         if len(buffer) >= 8 and struct.unpack("<I", buffer[:4])[0] == DICTIONARY_MAGIC:
             size = 8 + struct.unpack("<I", buffer[4:8])[0]
@@ -163,10 +174,10 @@ def assign(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_by
     """(page, url, payload, refers_to): refers_to is the largest id of an equal payload, where it is another's."""
     rows = pages.select(F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"),
                         F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("payload")
-                        ).withColumn("digest", F.unhex(F.sha1("payload")))
+                        ).withColumn("digest", F.unhex(F.sha2("payload", 256)))
     # Only digests that occur twice take part in the join; their rows meet one row each.
-    keepers = rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(
-        F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    keepers = small_side(stage_shared(rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(
+        F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "keepers"))
     return rows.join(keepers, "digest", "left").select(
         F.col("page").cast("string").alias("page"), "url", "payload",
         F.when(F.col("keeper").isNotNull() & ~F.col("page").eqNullSafe(F.col("keeper")),
@@ -178,7 +189,7 @@ def sample(pages: DataFrame, payload_col: str) -> list[bytes]:
     chosen first, so that only the chosen payloads travel."""
     payload = F.col(f"`{payload_col}`").cast("string")
     hashed = pages.where(payload.isNotNull()).select(
-        F.xxhash64(payload).alias("h"), F.substring(payload, 1, SAMPLE_BYTES).cast("binary").alias("payload"))
+        F.xxhash64(payload).alias("h"), F.substring(payload.cast("binary"), 1, SAMPLE_BYTES).alias("payload"))
     chosen = stage_shared(hashed.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS), "sample_hashes")
     rows = hashed.join(chosen, "h", "left_semi").groupBy("h").agg(F.first("payload").alias("payload")).collect()
     return [bytes(r["payload"]) for r in sorted(rows, key=lambda r: r["h"])]

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tenure.llm import lines, minhash, packing, tokens, warc
+from tenure.llm.common import table
 from tenure.llm.groups import components
 
 DOCS = "doc_id bigint, text string, node string, label string, text_key bigint, id string, block int"
@@ -340,6 +341,37 @@ def test_archives_round_trip(spark, tmp_path, least):
     assert record.startswith(b"WARC/1.1\r\nWARC-Type: response") and rows[5][2].encode() in record
 
 
+def test_archives_are_readable_from_their_raw_bytes(spark, tmp_path):
+    """Plain file reads: the dictionary's frame leads, frames follow each other, and each record's frame decodes alone."""
+    folder, sf = str(tmp_path / "warc"), "/root/testdata/sf0.01"
+    given = table(spark, sf, "pages")
+    manifest = warc.write(given, folder, archive_bytes=100_000)
+    placed = {(r["archive"], r["offset"]): r["id"] for r in warc.read(manifest, folder).collect()}
+    html = {str(r["page_id"]): (r["html"] or "").encode() for r in given.collect()}
+    seen = set()
+    for r in manifest.collect():
+        raw = (tmp_path / "warc" / r["archive"]).read_bytes()
+        assert len(raw) == r["bytes"] and raw[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little")
+        at = 8 + int.from_bytes(raw[4:8], "little")
+        shared = zstandard.ZstdCompressionDict(raw[8:at])
+        assert shared.dict_id()
+        for n in range(r["records"]):
+            frame = zstandard.get_frame_parameters(raw[at:at + 18])
+            assert frame.dict_id == shared.dict_id()
+            one = zstandard.ZstdDecompressor(dict_data=shared).decompressobj()
+            record = one.decompress(raw[at:])
+            page = placed[r["archive"], at]
+            assert f"<urn:page:{page}>".encode() in record and (b"\r\nWARC-Type: revisit" in record or html[page] in record)
+            seen.add(page)
+            at = len(raw) - len(one.unused_data)
+        assert at == len(raw)
+    assert seen == set(html)
+
+
+def test_dictionary_of_records_that_cannot_be_trained_on():
+    assert warc.train_dictionary([]) == b"" and warc.train_dictionary([b"one record"]) == b"one record"
+
+
 def test_archives_of_few_or_no_pages(spark):
     few = [(1, "u", "tiny"), (2, "u", None)]
     got = warc.archived_pages(pages(spark, few)).collect()
