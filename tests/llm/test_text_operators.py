@@ -127,6 +127,11 @@ SECRETS = ["password = 'abcdefghijkl1'", "PassWord:short token: tOkEn=abcdefghij
            "a" * 3000 + "1", "token=secret=abcdefghijkl token==x", "AKIA" * 6, "secret:\n abcdefghijklmn"]
 
 
+def allow_listed(c):
+    return (any(re.search(p, c) for p in secrets.ALLOW_LIST)
+            or bool(re.search(r"^/?([A-Za-z_-]+[0-9]{0,4}/){2,}([A-Za-z_-]+[0-9]{0,4})?$", c)))
+
+
 def brute_secrets(text):
     text = text or ""
     out = []
@@ -140,7 +145,7 @@ def brute_secrets(text):
     for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", text):
         c = m.group()
         body = c.rstrip("=")
-        if not (re.search("[A-Za-z]", body) and re.search("[0-9]", body)) or any(re.search(p, c) for p in secrets.ALLOW_LIST):
+        if not (re.search("[A-Za-z]", body) and re.search("[0-9]", body)) or allow_listed(c):
             continue
         kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else "alnum" if re.fullmatch("[A-Za-z0-9]+", c) else "base64"
         w = secrets.WINDOW
@@ -178,7 +183,7 @@ def test_allowed_parts_do_not_hide_the_rest(spark):
         more = []
         for m in re.finditer(secrets.CANDIDATE, text):
             c, w, hot = m.group(), secrets.WINDOW, []
-            if any(re.search(p, c) for p in secrets.ALLOW_LIST):
+            if allow_listed(c):
                 continue
             kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else "alnum" if c.isalnum() else "base64"
             masks = [x.span() for x in re.finditer(secrets.ALLOWED_PARTS, c)]
@@ -193,6 +198,36 @@ def test_allowed_parts_do_not_hide_the_rest(spark):
     assert [got[i]["n_entropy"] for i in range(1, 9)] == [1, 1, 2, 0, 0, 0, 0, 1]
 
 
+def test_secrets_of_very_long_texts(spark):
+    """Time is linear: 100,000 path segments, a candidate of 1,000,000 characters and 100,000 matches."""
+    import random
+    import time
+    rng = random.Random(6)
+    sign = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    blob = "".join(rng.choices(sign, k=1_000_000))
+    path, hexes = "a/" * 100_000 + "b1/", "0123456789abcdef " * 100_000
+    marked = ("x" * 10 + KEY + "example") * 20_000
+    texts = [path, blob, hexes, marked, f"api_key={KEY} " * 30_000, "a/" * 1000 + "b12345/" + "c" * 20]
+    secrets.secrets(docs(spark, SECRETS)).collect()
+    began = time.time()
+    got = by_id(secrets.secrets(docs(spark, texts)))
+    assert time.time() - began < 150
+    assert got[1]["spans"] == "" and got[2]["spans"] == f"entropy:0:{len(blob)}"
+    assert got[3]["n_hex"] == 100_000 and got[3]["spans"].endswith(f"hex:{len(hexes) - 17}:{len(hexes) - 1}")
+    assert got[4]["n_entropy"] == 20_000 and got[5]["n_assign"] == 30_000 and got[5]["n_entropy"] == 0
+    assert got[5]["spans"] == ",".join(f"assign:{40 * k}:{40 * k + 39}" for k in range(30_000))
+    assert got[6]["n_entropy"] == 0
+
+
+def test_running_sums_of_every_size(spark):
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 300_000):
+        values = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda x: x % 7).alias("all"))
+        r = values.select(F.slice("all", 1, n).alias("v")).select("v", secrets.running(
+            F.col("v"), lambda a, b: a + b, F.lit(0)).alias("sums")).first()
+        assert r["sums"] == [sum(r["v"][:k]) for k in range(min(n, 200))] + (r["sums"][200:] if n > 200 else [])
+        assert len(r["sums"]) == n and (n == 0 or r["sums"][-1] == sum(r["v"][:-1]))
+
+
 # -- quality rules ------------------------------------------------------------------------------
 
 STATS = ["", None, "a b c", "x y z x y z", "#$ % word\nsame line\n\nsame line\n  \nsame line", "né x y\tz", "a a a a a",
