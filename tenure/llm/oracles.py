@@ -63,3 +63,28 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_DIGEST} AS payl
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM m"""
+
+# CRC-32 byte by byte, over its table of 256 remainders.
+OP11 = rf"""
+WITH RECURSIVE t(i, c, k) AS (SELECT i, i, 0 FROM range(256) x(i) UNION ALL
+      SELECT i, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+w AS (SELECT doc_id, {lowered('run')} AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) x
+      WHERE length(run) >= 6 GROUP BY 1, 2),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(2 * strlen(key) AS BIGINT), 2),
+             lambda i: CAST('0x' || substr(hex(encode(key)), i, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h
+      FROM (SELECT run, n, doc_id || ':' || run AS key FROM w) x, tab),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS len FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS (SELECT word, n, len, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+      FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM v) x),
+e AS (SELECT a.word, b.word AS other, b.n AS other_n FROM g a JOIN g b ON a.len = b.len AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT g.word, v.word, v.n FROM g JOIN v ON v.word = g.rest
+      UNION SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = g.rest),
+b AS (SELECT e.word, count(*) AS n_near, min({{'less': -other_n, 'form': encode(other)}}) AS best FROM e GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * v.n THEN decode(best.form) END AS form,
+             CASE WHEN -best.less >= 5 * v.n THEN -best.less END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+r(word, root) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM f JOIN r ON r.word = f.word JOIN f z ON z.word = r.root AND z.form IS NULL"""

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenure.llm import decontaminate, licenses, lines, minhash, packing, pii, quality, secrets, tokens, warc
+from tenure.llm import (decontaminate, fingerprints, licenses, lines, minhash, packing, pii, quality, secrets, spelling,
+                        tokens, warc, whitening)
 from tenure.llm import oracles as O
 from tenure.llm.common import table
 
@@ -52,6 +53,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_decontaminate": (op2_decontaminate, O.OP2),
@@ -63,4 +76,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_warc": (op8_warc, O.OP8),
     "op9_pii": (op9_pii, None),
     "op10_licenses": (op10_licenses, None),
+    "op11_spelling": (op11_spelling, O.OP11),
+    "op12_fingerprints": (op12_fingerprints, None),
+    "op13_whitening": (op13_whitening, None),
 }
