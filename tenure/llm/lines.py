@@ -50,7 +50,6 @@ EDITS = 2
 GRAM = 6            # length of the substrings that tell a line with no link
 BLOCK_CHARS = 1 << 22   # of a large bucket's lines that one task holds, twice
 MIN_CHARS = 20
-COPY_SHARE = 0.2    # the rule before ``copies``; read by a test alone
 COPY_WORDS = 5      # near-dedup's shingles in the pipeline
 SEEN_LINES = 200_000    # lines a task remembers, to make their keys once
 

@@ -218,9 +218,9 @@ def test_repeated_lines_go_and_copies_stay_whole(spark):
     assert lines.drop_repeats(df.limit(0)).count() == 0 and lines.line_classes(df.limit(0)).count() == 0
 
 
-def brute_drop(rows, words=5):
+def brute_drop(rows, words=5, first=None):
     """Every repeated line goes, but a near copy of the document it repeats most keeps what it shares with it."""
-    first = {place: f for (place, _), f in brute_lines(rows).items()}
+    first = first or {place: f for (place, _), f in brute_lines(rows).items()}
     gone, source, text = {}, {}, dict(rows)
     for i, t in rows:
         gone[i] = {n for (d, n), f in first.items() if d == i and f != (d, n)}
