@@ -122,6 +122,15 @@ class HashFilter:
         words = np.frombuffer(self.shared.value, np.uint64).tolist()
         return lambda key: words[(key & (FILTER_BITS - 1)) >> 6] >> (key & 63) & 1
 
+    def mask(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The same for an array of keys."""
+        words = np.frombuffer(self.shared.value, np.uint64)
+
+        def test(keys: np.ndarray) -> np.ndarray:
+            bit = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+            return (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return test
+
 
 BROADCAST_CELLS = 1_000_000
 

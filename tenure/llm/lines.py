@@ -11,28 +11,32 @@ up to ``EDITS`` shorter with the substrings that could stand there
 bit-parallel edit distance.  Connected lines form a class; its first line in
 document order is kept.
 
-Scale: a line travels as a 64-bit reference under 64-bit keys, one exchange by
-key serves dropping repeats, counting and joining; equal lines are one
-reference.  Lines under one key are linked as ``groups`` describes: through
-hubs, and across components only where lengths allow it and neither line has
-more substrings of its own than the edits could explain (inside tasks, over
-blocks of bounded size, which return links only).  So classes are exact
-without pairing all copies; the number of links is not counted, as that would
-need every pair.  Text is read again only for lines that share a key with
-another.  The identity of a line is a 128-bit hash, and links between
-references are verified once more between identities.
-
-Defined results: a null or empty text has no lines; shorter lines are never
-compared, dropped or counted as repeats; equal lines are one class without a
-link; a null id sorts before every other and lines of rows with equal ids are
-told apart by a hash of their text, then by nothing (repeated rows share their
-lines' places).
+Scale: texts are read once, into a row a line, each with its content where its
+task meets it first; distinct contents are one table from there on.  The keys
+of a batch of lines are computed together, from running sums of a polynomial
+over all their code points.  Keys are made twice: first only to find the
+buckets that several lines share (combined per bucket, so no task sees a hot
+bucket's rows), then, behind a filter, for the members of these.  Lines under one
+key are linked as ``groups`` describes: through hubs, and across components
+only where lengths allow it and neither line has more substrings of its own
+than the edits could explain (inside tasks, over blocks of bounded size, which
+return links only).  So classes are exact without pairing all copies; the
+number of links is not counted, as that would need every pair.  The identity
+of a line is a 128-bit hash, and links between references are verified once
+more between identities.
+
+Defined results: a null or empty text has no lines, an empty table no rows;
+shorter lines are never compared, dropped or counted as repeats; equal lines
+(ties, repeated rows) are one class without a link; a null id sorts before
+every other and lines of rows with equal ids are told apart by a hash of their
+text, then by nothing (repeated rows share their lines' places); very long
+texts and lines are taken whole; columns whose names clash pass through.
 """
 
 from __future__ import annotations
 
 import os
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +55,9 @@ GRAM = 6            # length of the substrings that tell a line with no link
 BLOCK_CHARS = 1 << 22   # of a large bucket's lines that one task holds, twice
 MIN_CHARS = 20
 COPY_WORDS = 5      # near-dedup's shingles in the pipeline
-SEEN_LINES = 200_000    # lines a task remembers, to make their keys once
+SEEN_LINES = 200_000    # lines a task remembers, to give their content once
+
+_BASE, _M1, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ones(1, np.uint64)
 
 
 def normal_lines(text: bytes | None) -> list[bytes]:
@@ -62,38 +68,37 @@ def chars(line: bytes) -> int:
     return len(line) if line.isascii() else len(line.decode())
 
 
-@lru_cache(4096)
-def segments(length: int, edits: int) -> list[tuple[int, int]]:
-    """(start, size) of ``edits + 1`` segments, as equal as can be, the longer ones last."""
-    short, longer = divmod(length, edits + 1)
-    out, start = [], 0
-    for i in range(edits + 1):
-        size = short + (i > edits - longer)
-        out.append((start, size))
-        start += size
-    return out
-
+def running_hashes(codes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of (starts, sizes) that hashes pieces of ``codes``, equal ones alike wherever they stand."""
+    n = len(codes)
+    power = np.concatenate([_ONE, np.cumprod(np.full(n, _BASE))])
+    inverse = np.concatenate([_ONE, np.cumprod(np.full(n, np.uint64(pow(int(_BASE), -1, 2**64))))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + _ONE[0]) * power[:n], dtype=np.uint64)])
+    return lambda starts, sizes: (sums[starts + sizes] - sums[starts]) * inverse[starts]
 
-def index_keys(line: str | bytes, edits: int) -> list[int]:
-    return [_key(len(line), i, line[s:s + n]) for i, (s, n) in enumerate(segments(len(line), edits))]
 
-
-def probe_keys(line: str | bytes, edits: int) -> list[int]:
-    """Keys of the indexed lines that may lie within ``edits`` of this one and are not longer."""
-    out = []
+def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, role, key): role 0 for the keys that index a line, its ``edits + 1`` segments (as equal as can be, the
+    longer ones last); role 1 for those that probe the index of lines up to ``edits`` shorter."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.array([len(x) for x in lines], np.int64)
+    begin = np.cumsum(size) - size
+    piece, rows, roles, keys = running_hashes(codes), [], [], []
     for shorter in range(edits + 1):
-        length = len(line) - shorter
-        for i, (s, n) in enumerate(segments(length, edits)):
+        length = size - shorter
+        short, longer = np.divmod(length, edits + 1)
+        for i in range(edits + 1):
+            own = short + (i > edits - longer)
+            start = i * short + np.maximum(0, i - (edits - longer + 1))
             # From the left, at most i edits can precede segment i; from the right, at most edits - i follow it.
-            low = max(0, s - i, s + shorter - (edits - i))
-            high = min(len(line) - n, s + i, s + shorter + (edits - i))
-            out += [_key(length, i, line[p:p + n]) for p in range(low, high + 1)]
-    return out
-
-
-def _key(length: int, segment: int, content: str | bytes) -> int:
-    """The same for a text and its bytes: ASCII lines are cut as bytes."""
-    return xxhash.xxh3_64_intdigest(content, seed=length * 64 + segment) - (1 << 63)
+            for moved in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+                at = start + moved
+                row = np.nonzero((at >= 0) & (at + own <= size) & (own > 0))[0]
+                h = piece(begin[row] + at[row], own[row]) + length[row].astype(np.uint64) * _M1 + np.uint64(i)
+                rows.append(row)
+                roles.append(np.full(len(row), int(shorter > 0 or moved != 0), np.int64))
+                keys.append(minhash._mix(h).view(np.int64))
+    return np.concatenate(rows), np.concatenate(roles), np.concatenate(keys)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -129,16 +134,32 @@ def within(a: str, b: str, k: int) -> bool:
     return distance <= k
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, text_key, line_no, line, n_chars) of every line long enough, written once; ``line`` is its identity."""
+def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(id, text_key, line_no, line, n_chars, node, content) of every line long enough, written once.  ``line`` is its
+    identity, ``node`` a 64-bit reference; ``content`` is given where the task meets the line for the first time
+    (of the last ``SEEN_LINES`` at least)."""
     row = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("line", T.BinaryType()),
-                        T.StructField("n_chars", T.LongType())])
+                        T.StructField("n_chars", T.LongType()), T.StructField("node", T.LongType()),
+                        T.StructField("content", T.StringType())])
 
     def make():
-        def values(texts):
-            return [[[{"line_no": i, "line": xxhash.xxh3_128_digest(x), "n_chars": n}
-                      for i, x in enumerate(normal_lines(t)) if (n := chars(x)) >= min_chars] for t in texts]]
-        return values
+        seen: set[bytes] = set()
+
+        def rows_of(text):
+            out = []
+            for i, x in enumerate(normal_lines(text)):
+                if len(x) < min_chars or (n := chars(x)) < min_chars:
+                    continue
+                line, new = xxhash.xxh3_128_digest(x), None
+                if line not in seen:
+                    new = x.decode()
+                    if len(seen) >= SEEN_LINES:
+                        seen.clear()
+                    seen.add(line)
+                out.append({"line_no": i, "line": line, "n_chars": n, "node": _reference(line), "content": new})
+            return out
+
+        return lambda texts: [[rows_of(t) for t in texts]]
 
     text = F.col(f"`{text_col}`")
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -147,66 +168,37 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 def _reference(line: bytes) -> int:
-    """A line's 64-bit reference, its last bit free for the role."""
-    return (xxhash.xxh3_64_intdigest(line) - (1 << 63)) & ~1
-
+    """A line's 64-bit reference, part of its identity, with its last bit free for the role."""
+    return int.from_bytes(line[:8], "little", signed=True) & ~1
 
-def segment_buckets(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """(bucket, node, k): lines, by reference, that share a segment where they could be linked; k to a bucket."""
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            keys, refs = [], []
-            for text in batch.column(0).to_pylist():
-                for raw in normal_lines(text):
-                    if len(raw) < min_chars or (ref := _reference(raw)) in seen:
-                        continue
-                    line = raw if raw.isascii() else raw.decode()
-                    if len(line) < min_chars:
-                        continue
-                    if len(seen) < SEEN_LINES:
-                        seen.add(ref)
-                    index = index_keys(line, edits)
-                    probe = set(probe_keys(line, edits)) - set(index)
-                    keys += [*index, *probe]
-                    refs += [ref] * len(index) + [ref | 1] * len(probe)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(refs, pa.int64())],
-                                             names=["bucket", "ref"])
-
-    sent = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
-    # One exchange by key: dropping repeats and counting need no other.
-    keyed = sent.mapInArrow(run, "bucket bigint, ref bigint").repartition("bucket").dropDuplicates(["bucket", "ref"])
-    # A bucket without an indexed line proposes nothing (probing lines meet indexed ones only).
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(
-        F.col("ref").bitwiseAND(F.lit(1))).alias("role")).where("k > 1 and role = 0").drop("role")
-    return stage_shared(keyed.join(sizes, "bucket").select(
-        "bucket", F.col("ref").bitwiseAND(F.lit(-2)).alias("node"), "k"), "segment_buckets")
 
+def contents(rows: DataFrame) -> DataFrame:
+    """(node, line, content) of every distinct line, written once."""
+    return stage_shared(rows.where("content is not null").select("node", "line", "content").distinct(), "contents")
 
-def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, line, content) of the lines whose reference is in ``wanted`` (node)."""
-    worth = HashFilter(wanted.select(F.shiftright("node", 1).alias("key")), "key")
 
-    def run(batches):
-        test, seen = worth.test(), set()
-        for batch in batches:
-            refs, lines, texts = [], [], []
-            for text in batch.column(0).to_pylist():
-                for raw in normal_lines(text):
-                    ref = _reference(raw)
-                    if not test(ref >> 1) or ref in seen:
-                        continue
-                    if len(seen) < SEEN_LINES:
-                        seen.add(ref)
-                    refs.append(ref)
-                    lines.append(xxhash.xxh3_128_digest(raw))
-                    texts.append(raw.decode())
-            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(lines, pa.binary()),
-                                              pa.array(texts, pa.string())], names=["node", "line", "content"])
-
-    sent = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
-    found = sent.mapInArrow(run, "node bigint, line binary, content string")
-    return stage_shared(found.join(wanted, "node", "left_semi").dropDuplicates(["node", "line"]), "line_texts")
+def segment_buckets(texts: DataFrame, edits: int) -> DataFrame:
+    """(bucket, node, k): lines, by reference, that share a segment where they could be linked; k to a bucket."""
+    def keyed(worth: HashFilter | None) -> DataFrame:
+        def run(batches):
+            test = worth.mask() if worth else None
+            for batch in batches:
+                nodes = batch.column(0).to_numpy()
+                row, role, key = segment_keys(batch.column(1).to_pylist(), edits)
+                if test:
+                    good = test(key)
+                    row, role, key = row[good], role[good], key[good]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[row] | role)], names=["bucket", "ref"])
+        return texts.select("node", "content").mapInArrow(run, "bucket bigint, ref bigint")
+
+    node, role = F.col("ref").bitwiseAND(F.lit(-2)), F.col("ref").bitwiseAND(F.lit(1))
+    # A bucket without an indexed line proposes nothing (probing lines meet indexed ones only).
+    shared = stage_shared(keyed(None).groupBy("bucket").agg(
+        F.min(node).alias("lo"), F.max(node).alias("hi"), F.min(role).alias("role")).where("lo <> hi and role = 0").select(
+        "bucket"), "shared_buckets")
+    members = stage_shared(keyed(HashFilter(shared, "bucket")).join(shared, "bucket", "left_semi").select(
+        "bucket", node.alias("node")).distinct(), "bucket_members")
+    return stage_shared(members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")), "bucket"), "segment_buckets")
 
 
 def checked(pairs: DataFrame, schema: str, edits: int) -> DataFrame:
@@ -269,10 +261,11 @@ def own_grams(labelled: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return rest.join(alone, "node", "left_anti")
 
 
-def links(docs: DataFrame, text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Links (a, b), by identity, between lines within ``edits``: enough to connect every class."""
-    buckets = segment_buckets(docs, text_col, edits, min_chars)
-    texts = line_texts(docs, text_col, stage_shared(buckets.select("node").distinct(), "wanted_lines"))
+def links(every: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Links (a, b), by identity, between lines of ``every`` (node, line, content) within ``edits``: enough to connect
+    every class."""
+    buckets = segment_buckets(every, edits)
+    texts = stage_shared(every.join(buckets.select("node").distinct(), "node", "left_semi"), "line_texts")
     lengths = texts.groupBy("node").agg(F.max(F.length("content")).alias("high"))
     members = stage_shared(buckets.join(lengths, "node"), "members")
     found = link(members, lambda pairs: verified(pairs, texts, edits), lambda labelled: own_grams(labelled, texts, edits),
@@ -290,8 +283,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
             min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line long enough: ``id``, ``text_key``, ``line_no``, ``n_chars``, ``first`` (struct of the
     class's first place) and ``kept`` (whether this is that place)."""
-    lines = occurrences(docs, id_col, text_col, min_chars)
-    labels = components(links(docs, text_col, edits, min_chars)).select(F.col("node").alias("line"), "label")
+    lines = line_rows(docs, id_col, text_col, min_chars)
+    labels = components(links(contents(lines), edits)).select(F.col("node").alias("line"), "label")
     place = F.struct("id", "text_key", "line_no")
     per_line = lines.groupBy("line").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
     # Only lines with copies or links need to look their class up; any other is a class of its own.

@@ -5,27 +5,33 @@ white space.  Beyond the base rule (too few words, or mostly repeated
 three-word windows) a document is judged by scores whose cutoffs are chosen on
 labelled documents, separately in every stratum (language):
 
-* Every score is an integer; a rule rejects a document whose score is over the
-  cutoff.  For each stratum, rule and cutoff the labelled good documents that
-  the rule would reject are counted exactly (Spark aggregates, all labels).
-* A cutoff is certified when, were the true false-rejection rate above the
-  rule's share of ``max_false_rejection``, seeing so few rejected good
-  documents would have exact binomial probability of at most the rule's share
-  of ``error`` (the same as the Clopper-Pearson upper bound being below the
-  rate).  The error is shared over strata x rules (Bonferroni); cutoffs of one
-  rule are tested from the most lenient to the strictest and the first failure
-  ends the rule, which needs no further correction.
-* Of the certified cutoffs the one that removes most bad minus good labelled
-  documents is taken (ties: the more lenient).  A rule without a certified,
-  useful cutoff rejects nothing in that stratum.
+* Every score is an integer, higher is worse; a rule rejects a document whose
+  score is over the rule's cutoff.  How harsh a score is follows from all of
+  the stratum's documents: the share that have less of it, in millionths (exact,
+  by a histogram).  A document's harshness is the largest of its scores'.  So one
+  number cuts all rules of a stratum at once, and cutting it lower rejects more.
+* For each cut the labelled good documents that it would reject are counted.
+  A cut is certified when, were the true rate of false rejections above
+  ``max_false_rejection``, seeing so few would have exact binomial
+  probability of at most the stratum's share of ``error`` (the same as the
+  Clopper-Pearson upper bound being below the rate).  The error is shared over
+  strata (Bonferroni); the cuts of a stratum are tested from the most lenient to
+  the strictest and the first failure ends it, which needs no further
+  correction.  What is harsh is found without looking at labels.
+* Of the certified cuts the one that removes most bad minus good labelled
+  documents is taken (ties: the more lenient); each rule's cutoff is the largest
+  score that it lets stand.  Without a certified, useful cut nothing is rejected.
 
 So with probability 1 - ``error``, in no stratum are more than
-``max_false_rejection`` of the good documents rejected by these rules.
-
-Defined results: a null text has no words (and fails the base rule); a null
-stratum is a stratum of its own; labels without a document, or without a
-value, are ignored; a document with several label rows counts once for each;
-without labels no rule rejects anything.
+``max_false_rejection`` of the good documents rejected by these rules.  A
+stratum needs some 60 good labels if it is the only one, 86 if it is one of four.
+
+Defined results: a null or empty text has no words (and fails the base rule); a
+null stratum is a stratum of its own; labels without a document, or without a
+value, are ignored; a document with several label rows, and each of repeated
+rows, counts once for each; ties in a score stand or fall together; without
+labels no rule rejects anything, and an empty table gives no rows; a very long
+text is counted whole; columns whose names clash with a statistic's are kept.
 """
 
 from __future__ import annotations
@@ -35,17 +41,18 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenure.llm.common import CONTINUATION, append_columns, fresh
+from tenure.llm.common import CONTINUATION, append_columns, fresh, small_side
 from tenure.session import stage_shared
 
 MIN_WORDS = 50
 MAX_FALSE_REJECTION = 0.05
 ERROR = 0.05
 TOP = 2000          # scores are integers from 0 to TOP
+HARSHEST = 1_000_000
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -110,63 +117,80 @@ RULES = ["symbols", "dup_lines", "repeats", "word_length", "upper", "shout"]
 
 
 def tail_at_most(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), summed exactly in logs."""
+    """P(X <= k) for X ~ Binomial(n, p): the regularised incomplete beta function I(1 - p; n - k, k + 1), by its
+    continued fraction, so that its time does not grow with k."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
-            + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    a, b, x = n - k, k + 1, 1 - p
+    if x > (a + 1) / (a + b + 2):       # the fraction converges fast on this side
+        return 1 - _beta(b, a, 1 - x)
+    return _beta(a, b, x)
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    out = d
+    for m in range(1, 1_000_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return min(1.0, front * out / a)
 
 
 def choose_cutoff(score: np.ndarray, good: np.ndarray, bad: np.ndarray, rate: float, error: float) -> int | None:
-    """The cutoff for one stratum and rule, from a histogram of scores of good and bad documents."""
-    n = int(good.sum())
-    g, b = np.zeros(TOP + 2, np.int64), np.zeros(TOP + 2, np.int64)
-    np.add.at(g, score, good)
-    np.add.at(b, score, bad)
-    g_over, b_over = g[::-1].cumsum()[::-1], b[::-1].cumsum()[::-1]     # at or over a score
-    best, cutoff, k_before, p = 0, None, -1, 0.0
-    for c in range(TOP, -1, -1):            # reject scores over c
-        k = int(g_over[c + 1])
-        if k != k_before:
-            p, k_before = tail_at_most(k, n, rate) if n else 1.0, k
-        if p > error:
+    """The cutoff for one stratum, from a histogram of scores of good and bad documents: scores over it are rejected."""
+    n, best, cutoff, k, caught = int(good.sum()), 0, None, 0, 0
+    for i in np.argsort(-score):            # from the most lenient cutoff on
+        k, caught = k + int(good[i]), caught + int(bad[i])
+        if not n or tail_at_most(k, n, rate) > error:
             break
-        if int(b_over[c + 1]) - k > best:
-            best, cutoff = int(b_over[c + 1]) - k, c
+        if caught - k > best:
+            best, cutoff = caught - k, int(score[i]) - 1
     return cutoff
 
 
 def fit_cutoffs(stats: DataFrame, c: dict[str, str], labels: DataFrame, stratum: Column, id_col: str = "doc_id",
                 label_id_col: str = "doc_id", label_col: str = "quality",
                 max_false_rejection: float = MAX_FALSE_REJECTION, error: float = ERROR) -> DataFrame:
-    """One row per stratum of the labelled documents: a cutoff per rule, null where none is certified.
+    """One row per stratum with a certified cut: a cutoff per rule, null where the rule rejects nothing.
 
     ``stats`` has the statistics' columns (text not needed).  Documents that
     fail the base rule take no part: the method does not decide on them.
     """
     judged = stats.where(~base_failed(c)).select(
-        F.col(f"`{id_col}`").alias("id"), stratum.alias("stratum"),
-        F.array(*[scores(c)[r] for r in RULES]).alias("scores"))
+        F.col(f"`{id_col}`").alias("id"), stratum.alias("stratum"), F.array(*[scores(c)[r] for r in RULES]).alias("scores"))
     marks = labels.select(F.col(f"`{label_id_col}`").alias("id"), F.col(f"`{label_col}`").alias("good")).where(
         "id is not null and good in (0, 1)")
-    # A histogram, at most TOP + 1 rows for each stratum and rule.
-    histogram = stage_shared(
-        judged.join(marks, "id").select("stratum", "good", F.posexplode("scores").alias("rule", "score"))
-        .groupBy("stratum", "rule", "score").agg(F.sum("good").cast("long").alias("good"),
-                                                 F.sum(1 - F.col("good")).cast("long").alias("bad")), "rule_scores")
-    n_tests = max(1, histogram.select("stratum", "rule").distinct().count())
-    rate, level = max_false_rejection / len(RULES), error / n_tests
+    # A histogram, at most TOP + 1 rows for each stratum and rule, and in each the share of documents below a score.
+    counts = judged.select("stratum", F.posexplode("scores").alias("rule", "score")).groupBy("stratum", "rule", "score").agg(
+        F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy("stratum", "rule")
+    below = F.coalesce(F.sum("n").over(every.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    harsh = stage_shared(counts.select("stratum", "rule", "score", F.floor(
+        F.lit(HARSHEST) * below / F.sum("n").over(every)).cast("bigint").alias("harsh")), "harshness")
+    # Labelled documents, equal scores together, with the largest harshness of their scores.
+    marked = judged.join(marks, "id").groupBy("stratum", "scores").agg(
+        F.sum("good").cast("long").alias("good"), F.sum(1 - F.col("good")).cast("long").alias("bad"))
+    histogram = stage_shared(marked.select("*", F.posexplode("scores").alias("rule", "score")).join(
+        small_side(harsh), ["stratum", "rule", "score"]).groupBy("stratum", "scores").agg(
+        F.max("harsh").alias("harsh"), F.first("good").alias("good"), F.first("bad").alias("bad")).groupBy("stratum", "harsh").agg(
+        F.sum("good").alias("good"), F.sum("bad").alias("bad")), "label_scores")
+    level = error / max(1, histogram.select("stratum").distinct().count())
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        cutoff = choose_cutoff(group["score"].to_numpy(), group["good"].to_numpy(), group["bad"].to_numpy(),
-                               rate, level)
-        return pd.DataFrame({"stratum": group["stratum"].iloc[:1], "rule": group["rule"].iloc[:1],
-                             "cutoff": pd.array([cutoff], dtype="Int32")})
+        # As many rows as harshnesses differ: at most TOP + 1 for each rule.
+        cutoff = choose_cutoff(group["harsh"].to_numpy(), group["good"].to_numpy(), group["bad"].to_numpy(), max_false_rejection, level)
+        return pd.DataFrame({"stratum": group["stratum"].iloc[:1], "cut": pd.array([cutoff], dtype="Int64")})
 
-    chosen = histogram.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule int, cutoff int")
-    return stage_shared(chosen.groupBy("stratum").agg(
+    chosen = histogram.groupBy("stratum").applyInPandas(choose, "stratum string, cut bigint")
+    over = harsh.join(chosen, "stratum").where("harsh > cut").groupBy("stratum", "rule").agg((F.min("score") - 1).alias("cutoff"))
+    return stage_shared(over.groupBy("stratum").agg(
         *[F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"cutoff_{r}") for k, r in enumerate(RULES)]),
         "cutoffs")
 
@@ -205,12 +229,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               stratum_col: str = "lang", **options) -> DataFrame:
     """``docs`` without the documents that the base rule or a certified cutoff rejects."""
-    stratum = stratum_of(stratum_col)
-    slim = docs.select(F.col(f"`{id_col}`").alias(id_col), stratum.alias("stratum_of_doc"),
-                       F.col(f"`{text_col}`").alias("text"))
-    fitted, c = with_statistics(slim, "text", keep_text=False)
-    cutoffs = fit_cutoffs(fitted, c, labels, F.col("stratum_of_doc"), id_col, **options)
     made, c = with_statistics(docs, text_col)
+    made = stage_shared(made, "quality_documents")      # statistics are computed once; the fit reads these columns only
+    stratum = stratum_of(stratum_col)
+    cutoffs = fit_cutoffs(made, c, labels, stratum, id_col, **options)
     [kept] = fresh(made, "kept")
     return verdict(made, c, cutoffs, stratum, kept).where(F.col(kept)).select(
         *[F.col(f"`{x}`") for x in docs.columns])

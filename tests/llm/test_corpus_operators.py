@@ -151,7 +151,8 @@ def test_segments_lose_no_pair(a, data, k):
         b[at:at + data.draw(st.integers(0, 1))] = data.draw(st.text("ab", max_size=1))
     short, long = sorted((a, "".join(b)), key=len)
     if len(short) > k and edit_distance(short, long) <= k:
-        assert set(lines.index_keys(short, k)) & set(lines.probe_keys(long, k))
+        row, role, key = lines.segment_keys([long, short], k)
+        assert set(key[(row == 1) & (role == 0)].tolist()) & set(key[row == 0].tolist())
 
 
 LINE = "this line is long enough to be compared with others"

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenure.llm import decontaminate, licenses, pii, quality, secrets, tokens
+from tenure.llm.common import table
 
 DOCS = "doc_id bigint, text string, lang string, n_words bigint, text_utf8_ string, label string, spans string"
 LONG = " ".join(f"word{i % 97} filler" for i in range(30_000))
@@ -268,10 +269,59 @@ def test_cutoffs_are_certified(spark):
     assert kept.columns == df.columns and kept.count() == 400
 
 
+def brute_cutoffs(rows, labels, rate=0.05, error=0.05):
+    """Which documents the certified rules leave, by plain definition: rows of (id, text, lang)."""
+    stats = {i: (quality.statistics((t or "").encode()), lang) for i, t, lang in rows}
+    ok = {i: (s, lang) for i, (s, lang) in stats.items() if not (s[0] < 50 or 100 * s[4] > 50 * s[0])}
+
+    def scores(s):
+        words, chars, symbols, dup, repeats, n_lines, upper, shout = s
+        per = lambda a, b, scale: min(scale * a // max(b, 1), quality.TOP)
+        return [per(symbols, words, 1000), per(dup, n_lines, 1000), per(repeats, words, 1000), per(chars, words, 50),
+                per(upper, chars, 1000), per(shout, words, 1000)]
+
+    own = {i: scores(s) for i, (s, _) in ok.items()}
+    langs = {lang for _, lang in ok.values()}
+    harsh, marked = {}, {lang: [] for lang in langs}
+    for lang in langs:
+        members = [i for i in ok if ok[i][1] == lang]
+        for i in members:
+            harsh[i] = max(10**6 * sum(own[j][r] < own[i][r] for j in members) // len(members) for r in range(6))
+    for i, good in labels:
+        if i in ok:
+            marked[ok[i][1]].append((harsh[i], good))
+    strata, cuts = [x for x in langs if marked[x]], {}
+    for lang in strata:
+        n, best = sum(g for _, g in marked[lang]), 0
+        for cut in sorted({h for h, _ in marked[lang]}, reverse=True):
+            gone = [g for h, g in marked[lang] if h >= cut]
+            k = sum(gone)
+            if not n or sum(math.comb(n, x) * rate**x * (1 - rate)**(n - x) for x in range(k + 1)) > error / len(strata):
+                break
+            if len(gone) - 2 * k > best:
+                best, cuts[lang] = len(gone) - 2 * k, cut
+    return {i for i in ok if not (ok[i][1] in cuts and harsh[i] >= cuts[ok[i][1]])}, set(ok), cuts
+
+
+def test_cutoffs_on_a_given_table_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    df, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in df.collect()]
+    marks = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] is not None]
+    left, base, cuts = brute_cutoffs(rows, marks)
+    got = {r["doc_id"] for r in quality.judge(df, labels).collect() if r["kept"]}
+    assert got == left and cuts and left < base
+
+
 def test_binomial_tail_and_cutoff():
     import numpy as np
     exact = sum(math.comb(40, k) * 0.1**k * 0.9**(40 - k) for k in range(3))
     assert math.isclose(quality.tail_at_most(2, 40, 0.1), exact, rel_tol=1e-9)
+    for k, n, p in [(0, 1, 0.05), (0, 59, 0.05), (7, 200, 0.05), (480, 10_000, 0.05), (30, 40, 0.3), (39, 40, 0.9)]:
+        exact = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p)
+                                   + (n - i) * math.log1p(-p)) for i in range(k + 1))
+        assert math.isclose(quality.tail_at_most(k, n, p), exact, rel_tol=1e-8)
+    assert 5e-6 < quality.tail_at_most(49_970_000, 10**9, 0.05) < 8e-6 and quality.tail_at_most(5, 5, 0.1) == 1
     score = np.array([1, 5, 900])
     good, bad = np.array([500, 3, 0]), np.array([0, 10, 40])
     assert quality.choose_cutoff(score, good, bad, 0.05, 0.01) == 4      # 3 good lost, 50 bad caught
