@@ -104,30 +104,30 @@ FILTER_BITS = 1 << 23
 
 
 class HashFilter:
-    """A one-hash Bloom filter of fixed size (1 MB): says which rows of a second pass are worth
-    their work.  It may let others through (an exact join follows), and never loses one; with more
+    """A one-hash Bloom filter of fixed size (1 MB unless ``bits`` says otherwise): says which rows of a second pass
+    are worth their work.  It may let others through (an exact join follows), and never loses one; with more
     keys it only becomes less selective, so what is collected and broadcast does not grow."""
 
-    def __init__(self, keys: DataFrame, col: str):
-        bit = F.col(col).bitwiseAND(F.lit(FILTER_BITS - 1))
-        rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(
-            F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
-        words = np.zeros(FILTER_BITS // 64, np.int64)
-        for r in rows:
-            words[r["word"]] = r["bits"]
+    def __init__(self, keys: DataFrame, col: str, bits: int = FILTER_BITS):
+        self.bits = bits
+        bit = F.col(col).bitwiseAND(F.lit(bits - 1))
+        found = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(
+            F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+        words = np.zeros(bits // 64, np.int64)
+        words[found.column(0).to_numpy()] = found.column(1).to_numpy()
         self.shared = keys.sparkSession.sparkContext.broadcast(words.tobytes())
 
     def test(self) -> Callable[[int], int]:
         """In a task: whether a key (a signed 64-bit hash) may be among the keys."""
-        words = np.frombuffer(self.shared.value, np.uint64).tolist()
-        return lambda key: words[(key & (FILTER_BITS - 1)) >> 6] >> (key & 63) & 1
+        words, last = np.frombuffer(self.shared.value, np.uint64).tolist(), self.bits - 1
+        return lambda key: words[(key & last) >> 6] >> (key & 63) & 1
 
     def mask(self) -> Callable[[np.ndarray], np.ndarray]:
         """The same for an array of keys."""
         words = np.frombuffer(self.shared.value, np.uint64)
 
         def test(keys: np.ndarray) -> np.ndarray:
-            bit = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+            bit = keys.view(np.uint64) & np.uint64(self.bits - 1)
             return (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
         return test
 

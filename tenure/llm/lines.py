@@ -11,12 +11,12 @@ up to ``EDITS`` shorter with the substrings that could stand there
 bit-parallel edit distance.  Connected lines form a class; its first line in
 document order is kept.
 
-Scale: texts are read once, into a row a line, each with its content where its
-task meets it first; distinct contents are one table from there on.  The keys
-of a batch of lines are computed together, from running sums of a polynomial
-over all their code points.  Keys are made twice: first only to find the
-buckets that several lines share (combined per bucket, so no task sees a hot
-bucket's rows), then, behind a filter, for the members of these.  Lines under one
+Scale: texts are read twice.  The first pass makes every line's keys, a batch of
+lines together (from running sums of a polynomial over their code points), and
+finds the buckets that several lines share; keys are combined per bucket, so no
+task sees a hot bucket's rows.  The second pass writes a row a line, and, for
+lines with a key that a filter of these buckets lets through, their keys and
+their content, where its task meets the line for the first time.  Lines under one
 key are linked as ``groups`` describes: through hubs, and across components
 only where lengths allow it and neither line has more substrings of its own
 than the edits could explain (inside tasks, over blocks of bounded size, which
@@ -36,7 +36,8 @@ texts and lines are taken whole; columns whose names clash pass through.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,9 @@ GRAM = 6            # length of the substrings that tell a line with no link
 BLOCK_CHARS = 1 << 22   # of a large bucket's lines that one task holds, twice
 MIN_CHARS = 20
 COPY_WORDS = 5      # near-dedup's shingles in the pipeline
-SEEN_LINES = 200_000    # lines a task remembers, to give their content once
+SEEN_LINES = 200_000    # lines a task remembers, to make their keys and give their content once
+KEY_CHARS = 1 << 19     # code points whose keys are made at once
+MEMBER_BITS = 1 << 26   # of the filter of shared buckets (8 MB)
 
 _BASE, _M1, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ones(1, np.uint64)
 
@@ -68,11 +71,16 @@ def chars(line: bytes) -> int:
     return len(line) if line.isascii() else len(line.decode())
 
 
+@lru_cache(4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the polynomial's base and of its inverse, modulo 2 to the power of 64."""
+    return tuple(np.concatenate([_ONE, np.cumprod(np.full(n, base, np.uint64))]) for base in (int(_BASE), pow(int(_BASE), -1, 2**64)))
+
+
 def running_hashes(codes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A function of (starts, sizes) that hashes pieces of ``codes``, equal ones alike wherever they stand."""
     n = len(codes)
-    power = np.concatenate([_ONE, np.cumprod(np.full(n, _BASE))])
-    inverse = np.concatenate([_ONE, np.cumprod(np.full(n, np.uint64(pow(int(_BASE), -1, 2**64))))])
+    power, inverse = powers(1 << n.bit_length())
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + _ONE[0]) * power[:n], dtype=np.uint64)])
     return lambda starts, sizes: (sums[starts + sizes] - sums[starts]) * inverse[starts]
 
@@ -134,37 +142,14 @@ def within(a: str, b: str, k: int) -> bool:
     return distance <= k
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, text_key, line_no, line, n_chars, node, content) of every line long enough, written once.  ``line`` is its
-    identity, ``node`` a 64-bit reference; ``content`` is given where the task meets the line for the first time
-    (of the last ``SEEN_LINES`` at least)."""
-    row = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("line", T.BinaryType()),
-                        T.StructField("n_chars", T.LongType()), T.StructField("node", T.LongType()),
-                        T.StructField("content", T.StringType())])
-
-    def make():
-        seen: set[bytes] = set()
-
-        def rows_of(text):
-            out = []
-            for i, x in enumerate(normal_lines(text)):
-                if len(x) < min_chars or (n := chars(x)) < min_chars:
-                    continue
-                line, new = xxhash.xxh3_128_digest(x), None
-                if line not in seen:
-                    new = x.decode()
-                    if len(seen) >= SEEN_LINES:
-                        seen.clear()
-                    seen.add(line)
-                out.append({"line_no": i, "line": line, "n_chars": n, "node": _reference(line), "content": new})
-            return out
-
-        return lambda texts: [[rows_of(t) for t in texts]]
-
-    text = F.col(f"`{text_col}`")
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = append_columns(narrow, "text", [("lines", T.ArrayType(row))], make, keep_text=False)
-    return stage_shared(found.select("id", "text_key", F.inline("lines")), "lines")
+def pieces(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first, lines): runs of ``lines`` of about ``KEY_CHARS`` code points, or of one line that is longer."""
+    first, size = 0, 0
+    for k, x in enumerate(lines):
+        size += len(x)
+        if size >= KEY_CHARS or k == len(lines) - 1:
+            yield first, lines[first:k + 1]
+            first, size = k + 1, 0
 
 
 def _reference(line: bytes) -> int:
@@ -172,33 +157,83 @@ def _reference(line: bytes) -> int:
     return int.from_bytes(line[:8], "little", signed=True) & ~1
 
 
-def contents(rows: DataFrame) -> DataFrame:
-    """(node, line, content) of every distinct line, written once."""
-    return stage_shared(rows.where("content is not null").select("node", "line", "content").distinct(), "contents")
+class Met:
+    """Which lines a task has met, of the last ``SEEN_LINES`` at least."""
+
+    def __init__(self):
+        self.seen: set[bytes] = set()
 
+    def new(self, line: bytes) -> bool:
+        if line in self.seen:
+            return False
+        if len(self.seen) >= SEEN_LINES:
+            self.seen.clear()
+        self.seen.add(line)
+        return True
 
-def segment_buckets(texts: DataFrame, edits: int) -> DataFrame:
-    """(bucket, node, k): lines, by reference, that share a segment where they could be linked; k to a bucket."""
-    def keyed(worth: HashFilter | None) -> DataFrame:
-        def run(batches):
-            test = worth.mask() if worth else None
-            for batch in batches:
-                nodes = batch.column(0).to_numpy()
-                row, role, key = segment_keys(batch.column(1).to_pylist(), edits)
-                if test:
-                    good = test(key)
-                    row, role, key = row[good], role[good], key[good]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[row] | role)], names=["bucket", "ref"])
-        return texts.select("node", "content").mapInArrow(run, "bucket bigint, ref bigint")
 
+def shared_buckets(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
+    """(bucket) of the keys that several lines have, one of them as an index key (probing lines meet indexed ones only)."""
+    def run(batches):
+        met = Met()
+        for batch in batches:
+            texts, refs = [], []
+            for text in batch.column(0).to_pylist():
+                for x in normal_lines(text):
+                    if len(x) >= min_chars and met.new(line := xxhash.xxh3_128_digest(x)) and len(x := x.decode()) >= min_chars:
+                        texts.append(x)
+                        refs.append(_reference(line))
+            nodes = np.array(refs, np.int64)
+            for first, part in pieces(texts):
+                row, role, key = segment_keys(part, edits)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[first + row] | role)], names=["bucket", "ref"])
+
+    sent = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     node, role = F.col("ref").bitwiseAND(F.lit(-2)), F.col("ref").bitwiseAND(F.lit(1))
-    # A bucket without an indexed line proposes nothing (probing lines meet indexed ones only).
-    shared = stage_shared(keyed(None).groupBy("bucket").agg(
+    return stage_shared(sent.mapInArrow(run, "bucket bigint, ref bigint").groupBy("bucket").agg(
         F.min(node).alias("lo"), F.max(node).alias("hi"), F.min(role).alias("role")).where("lo <> hi and role = 0").select(
         "bucket"), "shared_buckets")
-    members = stage_shared(keyed(HashFilter(shared, "bucket")).join(shared, "bucket", "left_semi").select(
-        "bucket", node.alias("node")).distinct(), "bucket_members")
-    return stage_shared(members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")), "bucket"), "segment_buckets")
+
+
+def line_rows(docs: DataFrame, id_col: str, text_col: str, shared: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(id, text_key, line_no, line, n_chars, node, content, buckets) of every line long enough, written once.  ``line``
+    is its identity, ``node`` a reference; the last two are given where a task first meets a line that may be in a bucket
+    of ``shared``."""
+    row = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("line", T.BinaryType()),
+                        T.StructField("n_chars", T.LongType()), T.StructField("node", T.LongType()),
+                        T.StructField("content", T.StringType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+    worth = HashFilter(shared, "bucket", MEMBER_BITS)
+
+    def make():
+        met, test = Met(), worth.mask()
+
+        def rows_of(texts):
+            out, fresh_rows, fresh_lines = [], [], []
+            for text in texts:
+                own = []
+                for i, x in enumerate(normal_lines(text)):
+                    if len(x) >= min_chars and (n := chars(x)) >= min_chars:
+                        line = xxhash.xxh3_128_digest(x)
+                        own.append({"line_no": i, "line": line, "n_chars": n, "node": _reference(line), "content": None, "buckets": None})
+                        if met.new(line):
+                            fresh_rows.append(own[-1])
+                            fresh_lines.append(x.decode())
+                out.append(own)
+            for first, part in pieces(fresh_lines):
+                which, _, key = segment_keys(part, edits)
+                good = test(key)
+                for k, bucket in zip(which[good].tolist(), key[good].tolist()):
+                    r = fresh_rows[first + k]
+                    if r["buckets"] is None:
+                        r["content"], r["buckets"] = part[k], []
+                    r["buckets"].append(bucket)
+            return [out]
+        return rows_of
+
+    text = F.col(f"`{text_col}`")
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    found = append_columns(narrow, "text", [("lines", T.ArrayType(row))], make, keep_text=False)
+    return stage_shared(found.select("id", "text_key", F.inline("lines")), "lines")
 
 
 def checked(pairs: DataFrame, schema: str, edits: int) -> DataFrame:
@@ -261,11 +296,15 @@ def own_grams(labelled: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return rest.join(alone, "node", "left_anti")
 
 
-def links(every: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links (a, b), by identity, between lines of ``every`` (node, line, content) within ``edits``: enough to connect
-    every class."""
-    buckets = segment_buckets(every, edits)
-    texts = stage_shared(every.join(buckets.select("node").distinct(), "node", "left_semi"), "line_texts")
+def links(rows: DataFrame, shared: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Links (a, b), by identity, between lines of ``rows`` within ``edits``: enough to connect every class."""
+    held = rows.where("content is not null")
+    found = stage_shared(held.select("node", F.explode("buckets").alias("bucket")).join(shared, "bucket", "left_semi").distinct(),
+                         "bucket_members")
+    buckets = stage_shared(found.join(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "bucket"),
+                           "segment_buckets")
+    texts = stage_shared(held.select("node", "line", "content").join(buckets.select("node").distinct(), "node", "left_semi").distinct(),
+                         "line_texts")
     lengths = texts.groupBy("node").agg(F.max(F.length("content")).alias("high"))
     members = stage_shared(buckets.join(lengths, "node"), "members")
     found = link(members, lambda pairs: verified(pairs, texts, edits), lambda labelled: own_grams(labelled, texts, edits),
@@ -283,8 +322,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
             min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line long enough: ``id``, ``text_key``, ``line_no``, ``n_chars``, ``first`` (struct of the
     class's first place) and ``kept`` (whether this is that place)."""
-    lines = line_rows(docs, id_col, text_col, min_chars)
-    labels = components(links(contents(lines), edits)).select(F.col("node").alias("line"), "label")
+    shared = shared_buckets(docs, text_col, edits, min_chars)
+    lines = line_rows(docs, id_col, text_col, shared, edits, min_chars)
+    labels = components(links(lines, shared, edits)).select(F.col("node").alias("line"), "label")
     place = F.struct("id", "text_key", "line_no")
     per_line = lines.groupBy("line").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
     # Only lines with copies or links need to look their class up; any other is a class of its own.
