@@ -9,6 +9,8 @@ E8  additive decomposition with a centred moving average (period m).
 E9a Dickey-Fuller regression without lagged differences, from regr_* aggregates.
 E9b augmented Dickey-Fuller with the lag chosen by AIC: a small numpy helper
     applied per user by ``applyInPandas`` (one group = one user's series).
+E9c p-values of E9a from a simulated null distribution: random walks are drawn in
+    blocks over all tasks, and only counts per bin of the statistic come together.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ import datetime as _dt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenure.operators.eda import calendar_fill
+from tenure.session import stage_shared
 
 # MacKinnon (2010), response-surface critical values of the Dickey-Fuller tau
 # statistic, constant and no trend, one variable: c(n) = b0 + b1/n + b2/n^2 + b3/n^3.
@@ -163,3 +166,73 @@ def unit_root_adf(series: DataFrame, value_col: str = "num_25") -> DataFrame:
               "crit_1 double, crit_5 double, crit_10 double")
     return (series.select("msno", "t", F.col(value_col).cast("double").alias(value_col))
                   .groupBy("msno").applyInPandas(per_user, schema))
+
+
+# --- E9c: p-values from a simulated null distribution ---------------------------
+
+NULL_LENGTHS = [25, 50, 100, 250, 500, 1000]    # a series is judged by the nearest of these lengths
+NULL_DRAWS, NULL_BLOCK = 200_000, 2_000
+NULL_BINS = 1000            # to a unit of the statistic
+NULL_RANGE = 20             # the statistic is clipped at plus and minus this
+
+
+def null_statistics(rng: np.random.Generator, draws: int, nobs: int) -> np.ndarray:
+    """The lag-0 statistic (with a constant) of ``draws`` random walks with ``nobs`` steps."""
+    step = rng.standard_normal((draws, nobs))
+    level = np.cumsum(step, axis=1) - step          # the level before each step
+    level -= level.mean(axis=1, keepdims=True)
+    step -= step.mean(axis=1, keepdims=True)
+    sxx, syy, sxy = (np.einsum("ij,ij->i", a, b) for a, b in ((level, level), (step, step), (level, step)))
+    return sxy / np.sqrt(sxx * (syy - sxy * sxy / sxx) / (nobs - 2))
+
+
+def null_distribution(spark: SparkSession, lengths: list[int], draws: int = NULL_DRAWS, seed: int = 7) -> DataFrame:
+    """(length, bin, n, below, total): how the statistic falls where every series is a random walk.
+
+    A block of draws is a row and has its own seed, so retries repeat it; blocks add up to counts per
+    bin (2 x ``NULL_RANGE`` x ``NULL_BINS`` for each length at most, whatever the number of draws).
+    """
+    blocks = -(-draws // NULL_BLOCK)
+    given = spark.range(blocks * len(lengths), numPartitions=max(1, blocks * len(lengths) // 8)).select(
+        "id", F.get(F.array(*[F.lit(n) for n in lengths]), (F.col("id") % len(lengths)).cast("int")).alias("length"))
+
+    def simulate(batches):
+        for batch in batches:
+            for block, length in zip(batch["id"], batch["length"]):
+                tau = null_statistics(np.random.default_rng([seed, int(block)]), NULL_BLOCK, int(length))
+                bins, n = np.unique(np.floor(np.clip(tau, -NULL_RANGE, NULL_RANGE) * NULL_BINS).astype(np.int64), return_counts=True)
+                yield pd.DataFrame({"length": np.int32(length), "bin": bins, "n": n})
+
+    counts = given.mapInPandas(simulate, "length int, bin bigint, n bigint").groupBy("length", "bin").agg(F.sum("n").alias("n"))
+    every = Window.partitionBy("length")
+    upto = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return stage_shared(counts.select("length", "bin", "n", F.sum("n").over(upto).alias("at_most"), F.sum("n").over(every).alias("total")),
+                        "adf_null")
+
+
+def critical_points(null: DataFrame, shares: list[float]) -> DataFrame:
+    """(length, share, point): below ``point`` lies that share of the simulated statistics."""
+    wanted = F.explode(F.array(*[F.lit(x) for x in shares])).alias("share")
+    return null.select("length", "bin", "at_most", "total", wanted).where(F.col("at_most") >= F.col("share") * F.col("total")).groupBy(
+        "length", "share").agg(((F.min("bin") + 1) / NULL_BINS).alias("point"))
+
+
+def with_p_values(tested: DataFrame, draws: int = NULL_DRAWS) -> DataFrame:
+    """``tested`` (``nobs``, ``adf_stat``) with ``p_value``, the share of simulated random walks of about the same
+    length whose statistic is at most the series' own; null without a statistic."""
+    length = F.lit(NULL_LENGTHS[-1])
+    for small, large in reversed(list(zip(NULL_LENGTHS, NULL_LENGTHS[1:]))):
+        length = F.when(F.col("nobs") * 2 < small + large, F.lit(small)).otherwise(length)
+    keyed = tested.withColumn("length", length).withColumn("bin", F.when(F.col("adf_stat").isNotNull(), F.floor(
+        F.greatest(F.lit(-NULL_RANGE), F.least(F.lit(NULL_RANGE), F.col("adf_stat"))) * NULL_BINS)))
+    lengths = [r[0] for r in keyed.where("adf_stat is not null").select("length").distinct().collect()]      # of NULL_LENGTHS
+    if not lengths:
+        return keyed.drop("length", "bin").withColumn("p_value", F.lit(None).cast("double"))
+    null = null_distribution(tested.sparkSession, sorted(lengths), draws)
+    # Every bin of a length, empty ones too, so that the join is by equality.
+    bins = null.groupBy("length").agg(F.min("bin").alias("lo"), F.max("total").alias("total"))
+    whole = bins.select("length", "total", F.explode(F.sequence(F.lit(-NULL_RANGE * NULL_BINS), F.lit(NULL_RANGE * NULL_BINS))).alias("bin"))
+    upto = Window.partitionBy("length").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = whole.join(null.select("length", F.col("bin").cast("int").alias("bin"), "n"), ["length", "bin"], "left").select(
+        "length", F.col("bin").cast("bigint").alias("bin"), (F.sum(F.coalesce("n", F.lit(0))).over(upto) / F.col("total")).alias("p_value"))
+    return keyed.join(F.broadcast(shares), ["length", "bin"], "left").drop("length", "bin")   # lengths x bins rows at most

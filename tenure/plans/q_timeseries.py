@@ -108,3 +108,8 @@ def q_unit_root_lag0(spark, sf_dir):
 @register("unit_root_adf", None, "E9 (lag by AIC, grouped map)")
 def q_unit_root_adf(spark, sf_dir):
     return TS.unit_root_adf(_series(spark, sf_dir))
+
+
+@register("unit_root_p_values", None, "E9 (p-values by simulation)")
+def q_unit_root_p_values(spark, sf_dir):
+    return TS.with_p_values(TS.unit_root_lag0(_series(spark, sf_dir)).select("msno", "nobs", "adf_stat"))
