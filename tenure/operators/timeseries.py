@@ -7,8 +7,8 @@ user's share of the data, so a heavy user does not make a heavy partition.
 
 E8  additive decomposition with a centred moving average (period m).
 E9a Dickey-Fuller regression without lagged differences, from regr_* aggregates.
-E9b augmented Dickey-Fuller with the lag chosen by AIC: a small numpy helper
-    applied per user by ``applyInPandas`` (one group = one user's series).
+E9b augmented Dickey-Fuller with the lag chosen by AIC: one aggregation gives each
+    user's cross-products, a small matrix whose columns are taken out one by one.
 E9c p-values of E9a from a simulated null distribution: random walks are drawn in
     blocks over all tasks, and only counts per bin of the statistic come together.
 """
@@ -16,6 +16,7 @@ E9c p-values of E9a from a simulated null distribution: random walks are drawn i
 from __future__ import annotations
 
 import datetime as _dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -100,72 +101,117 @@ def unit_root_lag0(series: DataFrame, value_col: str = "num_25") -> DataFrame:
     return out
 
 
-# --- E9b: lag-selected ADF, per user in numpy ----------------------------------
+# --- E9b: lag-selected ADF, from one aggregation of cross-products ---------------
 
-def _ols(y: np.ndarray, X: np.ndarray):
-    beta, _, rank, _ = np.linalg.lstsq(X, y, rcond=None)
-    if rank < X.shape[1]:
-        return None
-    resid = y - X @ beta
-    ssr = float(resid @ resid)
-    nobs, k = X.shape
-    llf = -nobs / 2.0 * (np.log(2 * np.pi) + np.log(ssr / nobs) + 1) if ssr > 0 else np.inf
-    aic = -2 * llf + 2 * k
-    dof = nobs - k
-    if dof <= 0 or ssr <= 0:
-        return beta, None, aic
-    cov = ssr / dof * np.linalg.inv(X.T @ X)
-    return beta, np.sqrt(np.diag(cov)), aic
-
-
-def _lagged(x: np.ndarray, lags: int):
-    """Rows t = lags+1..n-1: dx_t, [x_{t-1}, dx_{t-1}, ..., dx_{t-lags}]."""
-    dx = np.diff(x)
-    rows = len(dx) - lags
-    y = dx[lags:]
-    cols = [x[lags:lags + rows]]
-    for j in range(1, lags + 1):
-        cols.append(dx[lags - j:lags - j + rows])
-    return y, np.column_stack(cols)
-
-
-def adf_one(x: np.ndarray) -> tuple:
-    """ADF with a constant, lag by AIC up to 12 (n/100)^(1/4): (stat, used_lag, nobs)."""
-    n = len(x)
-    maxlag = int(np.ceil(12.0 * (n / 100.0) ** 0.25))
-    maxlag = max(0, min(n // 2 - 2, maxlag))
-    # Lag choice on a common sample (the one the longest lag allows).
-    y, Z = _lagged(x, maxlag)
-    best, best_aic = 0, np.inf
-    for lag in range(0, maxlag + 1):
-        X = np.column_stack([np.ones(len(y)), Z[:, :lag + 1]])
-        r = _ols(y, X)
-        if r is not None and r[2] < best_aic:
-            best, best_aic = lag, r[2]
-    y, Z = _lagged(x, best)
-    X = np.column_stack([Z, np.ones(len(y))])
-    r = _ols(y, X)
-    if r is None or r[1] is None or r[1][0] == 0:
-        return None, best, len(y)
-    return float(r[0][0] / r[1][0]), best, len(y)
-
-
-def unit_root_adf(series: DataFrame, value_col: str = "num_25") -> DataFrame:
-    """Lag-selected ADF per user via ``applyInPandas`` (one user's series per call)."""
-    def per_user(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        stat, lag, nobs = adf_one(pdf[value_col].to_numpy(dtype=float))
-        out = {"msno": [pdf["msno"].iloc[0]], "adf_stat": [stat], "used_lag": [int(lag)],
-               "nobs": [int(nobs)]}
-        for level, b in ADF_CRIT_CONSTANT.items():
-            out[f"crit_{level.rstrip('%')}"] = [b[0] + b[1] / nobs + b[2] / nobs ** 2 + b[3] / nobs ** 3]
-        return pd.DataFrame(out)
+RANK_TOL = 1e-9     # a column of which the others leave less than this share is explained by them
+
+
+def lag_limit(n: int) -> int:
+    """The longest lag tried on ``n`` values: 12 (n/100)^(1/4) rounded up, half the series at most."""
+    return max(0, min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25)))
 
+
+def lagged_products(series: DataFrame, value_col: str, longest: int) -> DataFrame:
+    """A row per user: sums and products of the regression's columns over the rows that every lag allows.
+
+    Columns: the level before the step, the steps 1 to ``longest`` days earlier, the step.  Levels are
+    taken from the user's mean, which the constant absorbs.  ``head`` holds the values before those
+    rows (``lag_limit`` + 1 of them), from which the rows that a shorter lag adds can be rebuilt.
+    """
+    user = Window.partitionBy("msno")
+    x = F.coalesce(F.col(value_col).cast("double"), F.lit(0.0))
+    d = series.select("msno", x.alias("x"), (F.row_number().over(user.orderBy("t")) - 1).alias("row"),
+                      F.count(F.lit(1)).over(user).alias("n"), F.avg(x).over(user).alias("mean"))
+    limit = F.least(F.ceil(12.0 * F.pow(F.col("n") / 100.0, F.lit(0.25))), F.floor(F.col("n") / 2) - 2)
+    level = [F.lag("x", j).over(user.orderBy("row")).alias(f"x{j}") for j in range(1, longest + 2)]
+    d = d.select("msno", "n", "row", (F.col("x") - F.col("mean")).alias("x"),
+                 F.greatest(F.lit(0), limit).cast("int").alias("limit")).select("*", *level)
+    cols = ([F.col("x1")] + [F.col(f"x{j}") - F.col(f"x{j + 1}") for j in range(1, longest + 1)]
+            + [F.col("x") - F.col("x1")])
+    inside = F.col("row") > F.col("limit")
+    products = [F.sum(F.when(inside, cols[i] * cols[j])) for i in range(len(cols)) for j in range(i, len(cols))]
+    return d.groupBy("msno", "n", "limit").agg(
+        F.array(*[F.sum(F.when(inside, c)) for c in cols]).alias("sums"),
+        F.array(*products).alias("products"),
+        F.sort_array(F.collect_list(F.when(~inside, F.struct("row", "x")))).getField("x").alias("head"))
+
+
+def _without(a: np.ndarray, scale: np.ndarray, k: int) -> np.ndarray | None:
+    """``a`` after regressing every column on column ``k``; None where earlier columns explain ``k``."""
+    if not a[k, k] > RANK_TOL * scale[k]:
+        return None
+    return a - np.outer(a[:, k], a[k]) / a[k, k]
+
+
+def best_lag(a: np.ndarray, rows: int, limit: int) -> int:
+    """The lag of least AIC: taking the columns out one after the other gives every lag's residual sum."""
+    scale, best, least = a.diagonal().copy(), 0, np.inf
+    for lag in range(limit + 1):
+        a = _without(a, scale, lag)
+        if a is None:
+            break
+        aic = rows * np.log(a[-1, -1]) + 2 * lag if a[-1, -1] > RANK_TOL * scale[-1] else -np.inf
+        if aic < least:
+            best, least = lag, aic
+    return best
+
+
+def adf_statistic(a: np.ndarray, rows: int) -> float | None:
+    """slope / se(slope) of the level (column 0); None where it is not defined or the fit is exact."""
+    scale, free = a.diagonal().copy(), rows - len(a)
+    for k in range(1, len(a) - 1):
+        a = _without(a, scale, k)
+        if a is None:
+            return None
+    if free <= 0 or not a[0, 0] > RANK_TOL * scale[0]:
+        return None
+    left = a[-1, -1] - a[0, -1] ** 2 / a[0, 0]
+    return float(a[0, -1] / np.sqrt(left / free * a[0, 0])) if left > RANK_TOL * scale[-1] else None
+
+
+def adf_of_products(n: int, limit: int, sums: np.ndarray, products: np.ndarray, head: np.ndarray) -> tuple:
+    """(statistic, lag, rows) of one user's sums (see ``lagged_products``)."""
+    width, rows = len(sums), max(0, n - 1 - limit)
+    raw = np.zeros((width, width))
+    raw[np.triu_indices(width)] = products
+    raw = np.triu(raw) + np.triu(raw, 1).T
+    use = [*range(limit + 1), width - 1]
+    raw, sums = np.nan_to_num(raw[np.ix_(use, use)]), np.nan_to_num(sums[use])
+    lag = best_lag(raw - np.outer(sums, sums) / max(rows, 1), rows, limit)
+    use = [*range(lag + 1), len(use) - 1]
+    raw, sums, step = raw[np.ix_(use, use)], sums[use], np.diff(head)     # step[i]: from value i to value i + 1
+    for t in range(lag + 1, min(limit + 1, n)):                         # the rows that the shorter lag adds
+        row = np.array([head[t - 1], *(step[t - 1 - j] for j in range(1, lag + 1)), step[t - 1]])
+        raw, sums, rows = raw + np.outer(row, row), sums + row, rows + 1
+    return adf_statistic(raw - np.outer(sums, sums) / max(rows, 1), rows), lag, rows
+
+
+def unit_root_adf(series: DataFrame, value_col: str = "num_25", days: int | None = None) -> DataFrame:
+    """ADF with a constant for every user, lag by AIC on the rows that the longest lag allows.
+
+    One window and one aggregation by user give the cross-products; only those (a small matrix a user)
+    reach Python.  ``days`` is the length of the longest series, counted where it is not given.  A null
+    value counts as 0, like a missing day; a series without variance, too short or fitted exactly has a
+    null statistic.
+    """
+    if days is None:
+        days = series.groupBy("msno").count().agg(F.max("count")).first()[0]
     key_type = dict(series.dtypes)["msno"]
-    schema = (f"msno {key_type}, adf_stat double, used_lag int, nobs int, "
-              "crit_1 double, crit_5 double, crit_10 double")
-    return (series.select("msno", "t", F.col(value_col).cast("double").alias(value_col))
-                  .groupBy("msno").applyInPandas(per_user, schema))
+
+    def solve(batches):
+        for batch in batches:
+            found = [adf_of_products(int(n), int(limit), np.array(sums, dtype=float), np.array(products, dtype=float),
+                                     np.array(head, dtype=float))
+                     for n, limit, sums, products, head in zip(batch["n"], batch["limit"], batch["sums"],
+                                                               batch["products"], batch["head"])]
+            yield pd.DataFrame({"msno": batch["msno"], "adf_stat": pd.array([f[0] for f in found], dtype="Float64"),
+                                "used_lag": [f[1] for f in found], "nobs": [f[2] for f in found]})
+
+    out = lagged_products(series, value_col, lag_limit(int(days or 0))).mapInPandas(
+        solve, f"msno {key_type}, adf_stat double, used_lag int, nobs int")
+    n = F.when(F.col("nobs") > 0, F.col("nobs").cast("double"))
+    return out.select("*", *[(b[0] + b[1] / n + b[2] / (n * n) + b[3] / (n * n * n)).alias(f"crit_{level.rstrip('%')}")
+                             for level, b in ADF_CRIT_CONSTANT.items()])
 
 
 # --- E9c: p-values from a simulated null distribution ---------------------------

@@ -105,9 +105,74 @@ def q_unit_root_lag0(spark, sf_dir):
     return TS.unit_root_lag0(_series(spark, sf_dir))
 
 
-@register("unit_root_adf", None, "E9 (lag by AIC, grouped map)")
+SQL_LAGS = 13      # steps written out in the oracle: enough for a calendar of up to 137 days
+_LEVEL, _STEP = 998, 999        # column numbers of the level and the step; 1, 2, ... are the lagged steps
+
+
+def _products_sql(source: str) -> str:
+    """Centred cross-products (a, b, v) of a long table (msno, t, c, v), with ``d``, column a's own."""
+    return f"""SELECT *, max(CASE WHEN a = b THEN v END) OVER (PARTITION BY msno, a) AS d
+       FROM (SELECT l.msno, l.c AS a, r.c AS b, count(*) AS m, sum(l.v * r.v) - sum(l.v) * sum(r.v) / count(*) AS v
+             FROM {source} l JOIN {source} r ON l.msno = r.msno AND l.t = r.t GROUP BY l.msno, l.c, r.c) q"""
+
+
+def _without_sql(source: str, k: int, taken: str) -> str:
+    """``source`` after regressing every column on column ``k``.  Users whose column k the others explain
+    drop out; those without a column k stay as they are."""
+    return f"""SELECT e.msno, e.a, e.b, e.m, e.d, e.v - coalesce(r.v * c.v / p.v, 0) AS v FROM {source} e
+       LEFT JOIN {source} p ON p.msno = e.msno AND p.a = {k} AND p.b = {k}
+       LEFT JOIN {source} r ON r.msno = e.msno AND r.a = e.a AND r.b = {k}
+       LEFT JOIN {source} c ON c.msno = e.msno AND c.a = {k} AND c.b = e.b
+       WHERE e.a {taken} AND e.b {taken} AND coalesce(p.v > {TS.RANK_TOL} * p.d, true)"""
+
+
+def _adf_sql() -> str:
+    steps = [_LEVEL, *range(1, SQL_LAGS + 1)]
+    ctes = [
+        ("dd", """SELECT msno, t, x - lag(x) OVER w AS dx, lag(x) OVER w AS xl,
+       greatest(0, least(CAST(ceil(12 * pow(count(*) OVER (PARTITION BY msno) / 100.0, 0.25)) AS INT),
+                         CAST(count(*) OVER (PARTITION BY msno) // 2 - 2 AS INT))) AS lim
+       FROM ds WINDOW w AS (PARTITION BY msno ORDER BY t)"""),
+        ("lo", f"""SELECT msno, t, lim, {_LEVEL} AS c, xl AS v FROM dd WHERE t > 0
+       UNION ALL SELECT msno, t, lim, {_STEP}, dx FROM dd WHERE t > 0
+       UNION ALL SELECT a.msno, a.t, a.lim, a.t - b.t, b.dx FROM dd a JOIN dd b
+         ON a.msno = b.msno AND b.t < a.t AND b.t >= a.t - a.lim AND b.t > 0"""),
+        ("common", "SELECT * FROM lo WHERE t > lim"),
+        ("a0", _products_sql("common"))]
+    for i, k in enumerate(steps):       # the level first, then one lagged step after the other
+        ctes.append((f"a{i + 1}", _without_sql(f"a{i}", k, "<> " + str(k)) + f"""
+       AND EXISTS (SELECT 1 FROM a{i} h WHERE h.msno = e.msno AND h.a = {k})"""))
+    tried = " UNION ALL ".join(
+        f"""SELECT msno, {i} AS lag, CASE WHEN v > {TS.RANK_TOL} * d THEN m * ln(v) + {2 * i}
+       ELSE CAST('-infinity' AS DOUBLE) END AS aic FROM a{i + 1} WHERE a = {_STEP} AND b = {_STEP}"""
+        for i in range(len(steps)))
+    ctes += [
+        ("tried", tried),
+        ("chosen", """SELECT u.msno, coalesce(k.lag, 0) AS lag, u.n FROM (SELECT msno, count(*) AS n FROM ds GROUP BY msno) u
+       LEFT JOIN (SELECT msno, lag FROM tried QUALIFY row_number() OVER (PARTITION BY msno ORDER BY aic, lag) = 1) k
+         ON k.msno = u.msno"""),
+        ("own", """SELECT lo.msno, lo.t, lo.c, lo.v FROM lo JOIN chosen ON chosen.msno = lo.msno
+       WHERE lo.t > chosen.lag AND (lo.c <= chosen.lag OR lo.c >= """ + f"{_LEVEL})"),
+        ("b0", _products_sql("own"))]
+    for k in range(1, SQL_LAGS + 1):
+        ctes.append((f"b{k}", _without_sql(f"b{k - 1}", k, f"<> {k}")))
+    last = f"b{SQL_LAGS}"
+    return with_views(f"""
+SELECT c.msno, c.lag AS used_lag, CAST(c.n - 1 - c.lag AS INT) AS nobs,
+       round(CASE WHEN z.v > {TS.RANK_TOL} * z.d AND z.m > c.lag + 2 AND y.v - zy.v * zy.v / z.v > {TS.RANK_TOL} * y.d
+                  THEN zy.v / sqrt((y.v - zy.v * zy.v / z.v) / (z.m - c.lag - 2) * z.v) END, 6) AS adf_stat,
+       {', '.join(_crit_sql(k) for k in TS.ADF_CRIT_CONSTANT)}
+FROM chosen c LEFT JOIN {last} z ON z.msno = c.msno AND z.a = {_LEVEL} AND z.b = {_LEVEL}
+LEFT JOIN {last} zy ON zy.msno = c.msno AND zy.a = {_LEVEL} AND zy.b = {_STEP}
+LEFT JOIN {last} y ON y.msno = c.msno AND y.a = {_STEP} AND y.b = {_STEP}""", "user_logs", extra=[_DS, *ctes]).replace(
+        "AS (SELECT", "AS MATERIALIZED (SELECT")
+
+
+@register("unit_root_adf", _adf_sql(), "E9 (lag by AIC)")
 def q_unit_root_adf(spark, sf_dir):
-    return TS.unit_root_adf(_series(spark, sf_dir))
+    logs = Tables(spark, sf_dir).user_logs
+    first_day, days = D.calendar_of(logs)
+    return TS.unit_root_adf(TS.daily_series(logs, first_day, days), days=days)
 
 
 @register("unit_root_p_values", None, "E9 (p-values by simulation)")

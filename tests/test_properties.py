@@ -15,6 +15,7 @@ from tenure.operators import sampling as SMP
 from tenure.operators import timeseries as TS
 from tenure.sources.fixtures import LOG_FIRST_DAY, Tables
 
+from adf_plain import adf_one
 from conftest import rows
 
 
@@ -164,14 +165,36 @@ def test_adf_on_random_walk_and_stationary_series():
     rng = np.random.default_rng(0)
     walk = np.cumsum(rng.normal(size=200))
     noise = rng.normal(size=200)
-    s_walk, _, n1 = TS.adf_one(walk)
-    s_noise, _, n2 = TS.adf_one(noise)
+    s_walk, _, n1 = adf_one(walk)
+    s_noise, _, n2 = adf_one(noise)
     assert s_noise < -3.5 < s_walk          # white noise rejects a unit root, the walk does not
     assert n1 <= 199 and n2 <= 199
-    stat, lag, nobs = TS.adf_one(np.zeros(30))
+    stat, lag, nobs = adf_one(np.zeros(30))
     assert stat is None                     # singular: no statistic
 
 
+def test_lag_selected_adf_equals_plain_regressions(spark):
+    rng = np.random.default_rng(5)
+    made = {f"walk{n}": np.cumsum(rng.normal(size=n)) + 1e4 for n in (9, 25, 60, 137)}
+    made |= {f"ar{n}": rng.poisson(3, n) + np.roll(rng.poisson(3, n), 2) * 2.0 for n in (14, 30, 100)}
+    made["weekly"] = np.tile([0.0, 5, 1, 0, 2, 0, 9], 20) + rng.normal(size=140) * 0.1
+    odd = {"flat": np.full(30, 4.0), "one": np.array([3.0]), "two": np.array([3.0, 1.0]), "late": np.eye(30)[29],
+           "early": np.eye(30)[1], "line": np.arange(30.0)}
+    data = [(k, t, float(v)) for k, x in (made | odd).items() for t, v in enumerate(x)] + [("nulls", t, None) for t in range(20)]
+    df = spark.createDataFrame(data, "msno string, t int, num_25 double").repartition(7)
+    got = {r["msno"]: r for r in rows(TS.unit_root_adf(df))}
+    assert set(got) == set(made) | set(odd) | {"nulls"}
+    for k, x in made.items():
+        stat, lag, nobs = adf_one(x)
+        assert (got[k]["used_lag"], got[k]["nobs"]) == (lag, nobs), k
+        assert math.isclose(got[k]["adf_stat"], stat, rel_tol=1e-6), k
+        assert math.isclose(got[k]["crit_5"], sum(b / nobs ** i for i, b in enumerate(TS.ADF_CRIT_CONSTANT["5%"])))
+    for k in ("flat", "one", "two", "line", "nulls"):
+        assert got[k]["adf_stat"] is None, k
+    assert got["one"]["nobs"] == 0 and got["one"]["crit_5"] is None
+    assert TS.unit_root_adf(df.limit(0)).count() == 0
+
+
 def test_lag0_matches_numpy(spark):
     x = np.array([3.0, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7])
     df = spark.createDataFrame([(1, int(t), float(v)) for t, v in enumerate(x)], "msno long, t int, num_25 double")
