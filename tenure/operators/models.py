@@ -14,9 +14,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from tenure.operators.encode import impute, numeric_columns, variable_of
 from tenure.functions.windows import prefix_sums
 from tenure.operators.metrics import cv_scores
 from tenure.operators.sampling import downsample_majority, hash_key, train_test_split
-from tenure.session import cut_lineage, stage_shared
+from tenure.session import cut_lineage, stage_path, stage_shared
 
 # Reference model settings (final script): 300 trees, 30 features per split,
 # at least 6 rows per leaf, class weights {0: 1, 1: 3}; grid over leaf size.
@@ -33,6 +34,7 @@ GRID_TREES, GRID_FEATURES = 100, "60"
 GRID_MIN_LEAF = [3, 6, 10, 20]
 CLASS_WEIGHTS = {0: 1.0, 1: 3.0}
 FIRST_MODEL_TREES, FIRST_MODEL_FEATURES, FIRST_MODEL_WEIGHTS = 100, "50", {0: 1.0, 1: 100.0}
+LOGREG_C = 0.5
 MAX_DEPTH = 30  # MLlib's ceiling; the reference grows trees without a depth limit
 MAX_BINS = 256  # candidate split points per feature (MLlib's own default is 32)
 
@@ -102,7 +104,7 @@ def rf_scores(design: Design, key: str = "msno", **kw) -> tuple[DataFrame, objec
     return _scores(model.transform(design.data), key), model
 
 
-def logreg_scores(design: Design, c: float = 0.5) -> DataFrame:
+def logreg_fit(design: Design, c: float = LOGREG_C) -> LogisticRegressionModel:
     """L1: L2-penalised logistic regression with scikit-learn's C.
 
     scikit-learn minimises C * sum(loss) + |w|^2 / 2; MLlib minimises
@@ -111,21 +113,82 @@ def logreg_scores(design: Design, c: float = 0.5) -> DataFrame:
     train = design.data.filter(F.col("split") == "train")
     n = train.count()
     lr = LogisticRegression(regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False,
-                            labelCol="label", featuresCol="features", maxIter=200)
-    return _scores(lr.fit(train).transform(design.data))
+                            labelCol="label", featuresCol="features", maxIter=1000, tol=1e-12)
+    return lr.fit(train)
 
 
-def importance_by_variable(model, feature_names: list[str], spark) -> DataFrame:
+def logreg_scores(design: Design, c: float = LOGREG_C) -> DataFrame:
+    """L1 + L4: both splits scored by the fitted regression."""
+    return _scores(logreg_fit(design, c).transform(design.data))
+
+
+def logreg_optimality(design: Design, c: float = LOGREG_C) -> DataFrame:
+    """L1: is the fit the optimum?  One row per feature and one for the intercept.
+
+    ``observed`` sums the feature over the training rows of class 1, ``expected`` over all training rows
+    times their class-1 probability.  ``gradient`` is the derivative of scikit-learn's penalised loss,
+    c * (expected - observed) + weight (the intercept has no penalty); it vanishes at the optimum, and the
+    loss is convex, so that no other weights do better.  One aggregation over the training rows.
+    """
+    model = logreg_fit(design, c)
+    scored = model.transform(design.data.filter(F.col("split") == "train")).withColumn(
+        "_p", vector_to_array("probability").getItem(1))
+    total = Summarizer.metrics("sum")
+    sums = scored.agg(total.summary(F.col("features"), F.col("label"))["sum"].alias("o"),
+                      total.summary(F.col("features"), F.col("_p"))["sum"].alias("e"),
+                      F.sum("label").alias("o0"), F.sum("_p").alias("e0"))
+    # As many entries as there are features: the coefficient vector's own size.
+    names, weights = [*design.feature_names, "intercept"], [*model.coefficients.toArray().tolist(), 0.0]
+    known = design.data.sparkSession.createDataFrame(
+        [(i, n, float(w)) for i, (n, w) in enumerate(zip(names, weights))], "position int, feature string, weight double")
+    each = sums.select(F.posexplode(F.arrays_zip(
+        F.concat(vector_to_array("o"), F.array("o0")).alias("observed"),
+        F.concat(vector_to_array("e"), F.array("e0")).alias("expected"))).alias("position", "s"))
+    return each.join(known, "position").select(
+        "feature", F.col("s.observed").alias("observed"), F.col("s.expected").alias("expected"),
+        (c * (F.col("s.expected") - F.col("s.observed")) + F.col("weight")).alias("gradient"))
+
+
+def forest_nodes(model, spark) -> DataFrame:
+    """L2: a fitted forest as a table, one row per node: (tree, node, left, right, feature, threshold, gain,
+    weight, impurity, w0, w1).
+
+    The model is saved below the shared folder and its node file read back.  Node 0 is a tree's root;
+    ``left`` and ``right`` are its children and ``feature`` the split position in the design, all null
+    at a leaf.  A row goes left if its value is at most ``threshold``.  ``w0`` and ``w1`` are the
+    training weights of the classes that reached the node, ``weight`` their sum.
+    """
+    path = stage_path(spark, "forest")
+    model.write().save(path)
+    node = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    inner = F.col("leftChild") >= 0
+    w0, w1 = F.col("impurityStats")[0], F.col("impurityStats")[1]
+    return node.select(
+        "tree", F.col("id").alias("node"), F.when(inner, F.col("leftChild")).alias("left"),
+        F.when(inner, F.col("rightChild")).alias("right"), F.when(inner, F.col("split.featureIndex")).alias("feature"),
+        F.when(inner, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+        F.when(inner, F.col("gain")).alias("gain"), (w0 + w1).alias("weight"), "impurity", w0.alias("w0"), w1.alias("w1"))
+
+
+def importance_by_variable(nodes: DataFrame, feature_names: list[str]) -> DataFrame:
     """L7 + K5 + G2: forest importances summed per source variable, rounded to 4 places.
 
-    (The reference rounds at each addition; rounding once differs by at most 1e-4 x levels.)
+    A split gives its feature the impurity decrease times the node's weight; each tree's shares add up
+    to 1, and so do the forest's.  (The reference rounds at each addition; rounding once differs by at
+    most 1e-4 x levels.)
     """
-    imp = model.featureImportances.toArray().tolist()
-    rows = list(zip(feature_names[:len(imp)], [float(x) for x in imp]))
-    df = spark.createDataFrame(rows, "feature string, importance double")
-    return (df.groupBy(variable_of(F.col("feature")).alias("variable"))
-              .agg(F.round(F.sum("importance"), 4).alias("importance"))
-              .orderBy(F.desc("importance"), "variable"))
+    spark = nodes.sparkSession
+    names = spark.createDataFrame(list(enumerate(feature_names)), "feature int, name string")   # the design's columns
+    gains = nodes.where("feature IS NOT NULL").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("weight")).alias("_g"))
+    totals = gains.groupBy("tree").agg(F.sum("_g").alias("_t"))
+    share = (gains.join(totals.where("_t > 0"), "tree")
+                  .groupBy("feature").agg(F.sum(F.col("_g") / F.col("_t")).alias("_s")))
+    whole = share.agg(F.sum("_s"))
+    return (names.join(share, "feature", "left")
+                 .groupBy(variable_of(F.col("name")).alias("variable"))
+                 .agg(F.sum(F.coalesce("_s", F.lit(0.0))).alias("_s"))
+                 .select("variable", F.round(F.coalesce(F.try_divide("_s", whole.scalar()), F.lit(0.0)), 4).alias("importance"))
+                 .orderBy(F.desc("importance"), "variable"))
 
 
 def stratified_folds(df: DataFrame, n_folds: int, label: str = "is_churn", key: str = "msno", seed: int = 42,

@@ -129,11 +129,13 @@ def lagged_products(series: DataFrame, value_col: str, longest: int) -> DataFram
     cols = ([F.col("x1")] + [F.col(f"x{j}") - F.col(f"x{j + 1}") for j in range(1, longest + 1)]
             + [F.col("x") - F.col("x1")])
     inside = F.col("row") > F.col("limit")
-    products = [F.sum(F.when(inside, cols[i] * cols[j])) for i in range(len(cols)) for j in range(i, len(cols))]
+    names = [f"c{i}" for i in range(len(cols))]
+    d = d.select("msno", "n", "limit", F.when(~inside, F.struct("row", "x")).alias("head"),
+                 *[F.when(inside, c).alias(name) for c, name in zip(cols, names)])
+    products = [F.expr(f"sum({a} * {b})") for i, a in enumerate(names) for b in names[i:]]
     return d.groupBy("msno", "n", "limit").agg(
-        F.array(*[F.sum(F.when(inside, c)) for c in cols]).alias("sums"),
-        F.array(*products).alias("products"),
-        F.sort_array(F.collect_list(F.when(~inside, F.struct("row", "x")))).getField("x").alias("head"))
+        F.array(*[F.sum(c) for c in names]).alias("sums"), F.array(*products).alias("products"),
+        F.sort_array(F.collect_list("head")).getField("x").alias("head"))
 
 
 def _without(a: np.ndarray, scale: np.ndarray, k: int) -> np.ndarray | None:

@@ -1,4 +1,5 @@
-"""Registered model queries (L1-L7, M7): rows-only checks (no SQL counterpart).
+"""Registered model queries (L1-L7, M7): rows-only checks but for the optimum of the regression,
+which SQL can state.
 
 The layers around the fits have oracles of their own: folds (``cv_folds``),
 metrics (``split_evaluation`` and the other metric queries).
@@ -6,16 +7,20 @@ metrics (``split_evaluation`` and the other metric queries).
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tenure.operators import encode as K
 from tenure.operators import features as FT
 from tenure.operators import intervals as I
 from tenure.operators import metrics as MT
 from tenure.operators import models as ML
 from tenure.plans.oracle_views import with_views
-from tenure.plans.q_features import build_feature_table
-from tenure.plans.registry import register
+from tenure.plans.q_features import FEATURE_TABLE_SQL, build_feature_table
+from tenure.plans.registry import register, report
 from tenure.sources.fixtures import Tables
 
 N_FOLDS = 5
+MAX_GRADIENT = 1e-4
 FIRST_MODEL_MAJORITY = 1500
 
 
@@ -39,7 +44,7 @@ def q_rf_evaluation(spark, sf_dir):
 def q_importance_by_variable(spark, sf_dir):
     design = _design(spark, sf_dir)
     _, model = ML.rf_scores(design)
-    return ML.importance_by_variable(model, design.feature_names, spark)
+    return ML.importance_by_variable(ML.forest_nodes(model, spark), design.feature_names)
 
 
 @register("logreg_scores", None, "L1")
@@ -47,6 +52,33 @@ def q_logreg_scores(spark, sf_dir):
     return ML.logreg_scores(_design(spark, sf_dir))
 
 
+_TRAIN = ("CAST(('0x' || substr(md5(concat('42:', CAST(msno AS VARCHAR))), 1, 8)) AS BIGINT) "
+          "/ CAST(4294967296.0 AS DOUBLE) < CAST(0.7 AS DOUBLE)")
+_LEVELS = "\nUNION ALL\n".join(
+    f"SELECT msno, '{c}@' || CAST(dense_rank() OVER (ORDER BY CAST({c} AS VARCHAR)) AS VARCHAR) AS feature, 1.0 AS x FROM ft"
+    for c in FT.CATEGORICAL)
+_NUMBERS = "\nUNION ALL\n".join(
+    f"SELECT msno, '{c}' AS feature, CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) THEN 0.0 "
+    f"WHEN isinf(CAST({c} AS DOUBLE)) THEN 5.0 ELSE CAST({c} AS DOUBLE) END AS v FROM ft"
+    for c in K.numeric_columns(FT.feature_columns(), FT.CATEGORICAL))
+
+
+@register("logreg_optimality", f"""
+WITH ft AS MATERIALIZED (SELECT * FROM ({FEATURE_TABLE_SQL}) q),
+lg AS MATERIALIZED ({_NUMBERS}),
+st AS (SELECT feature, min(v) AS mn, max(v) AS mx FROM lg GROUP BY feature),
+x AS ({_LEVELS}
+UNION ALL SELECT msno, lg.feature, CASE WHEN mx = mn THEN 0.0 ELSE (v - mn) / (mx - mn) END FROM lg JOIN st ON lg.feature = st.feature
+UNION ALL SELECT msno, 'intercept', 1.0 FROM ft)
+SELECT feature, round(CAST(sum(CASE WHEN is_churn = 1 AND {_TRAIN} THEN x ELSE 0 END) AS DOUBLE), 6) AS observed,
+       true AS optimal
+FROM (SELECT x.*, ft.is_churn FROM x JOIN ft USING (msno)) j GROUP BY feature""", "L1: gradient of the penalised loss")
+def q_logreg_optimality(spark, sf_dir):
+    # Fitted on the reported (6-place) feature table, as the oracle sums it.
+    design = ML.design_matrix(report(build_feature_table(spark, sf_dir)), FT.CATEGORICAL)
+    return ML.logreg_optimality(design).select("feature", "observed", (F.abs("gradient") < MAX_GRADIENT).alias("optimal"))
+
+
 @register("rf_grid", None, "L5 M7")
 def q_rf_grid(spark, sf_dir):
     return ML.grid_search(_design(spark, sf_dir)).scores
