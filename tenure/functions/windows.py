@@ -9,6 +9,9 @@ order column; each range is summed on its own and shifted by the totals of the
 ranges before it.  A row's range is a pure function of its value (the number
 of split points at or below it, the split points being literals of the plan),
 so every branch of the plan, every retry and every partition count agrees on it.
+
+``next_values`` looks one row ahead in the same way: inside the range, and for
+a range's last row at the first row of the next one.
 """
 
 from __future__ import annotations
@@ -80,3 +83,24 @@ def prefix_sums(df: DataFrame, order_cols: list[str] | str, sum_cols: list[str],
     for c in sum_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}") + F.col(f"_off_{c}"))
     return out.drop("_range_id", "_r", *[f"_g_{g}" for g in group_cols], *[f"_off_{c}" for c in sum_cols])
+
+
+def next_values(df: DataFrame, order_col: str, value_cols: list[str], group_cols: list[str] | None = None,
+                num_ranges: int | None = None, prefix: str = "next_") -> DataFrame:
+    """``value_cols`` of the next row in ascending ``order_col`` within each ``group_cols`` value, as
+    ``next_...``; NULL on a group's last row.  ``order_col`` is unique within a group.
+    """
+    group_cols = list(group_cols or [])
+    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_range_id", range_id(F.col(order_col), split_points(df, order_col, n)))
+    row = F.struct(*value_cols)
+    firsts = ranged.groupBy(*group_cols, "_range_id").agg(F.min_by(row, F.col(order_col)).alias("_first"))
+    wr = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_range_id")     # a row a range
+    following = firsts.select(*[F.col(g).alias(f"_g_{g}") for g in group_cols], F.col("_range_id").alias("_r"),
+                              F.lead("_first").over(wr).alias("_following"))
+    on = F.col("_range_id") == F.col("_r")
+    for g in group_cols:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    ahead = ranged.withColumn("_next", F.lead(row).over(Window.partitionBy(*group_cols, "_range_id").orderBy(order_col)))
+    out = ahead.join(following, on).withColumn("_next", F.coalesce("_next", "_following"))
+    return out.select(*df.columns, *[F.col(f"_next.{c}").alias(f"{prefix}{c}") for c in value_cols])

@@ -13,6 +13,8 @@ from tenure.functions.dates import days_until, ymd_int_to_date
 AGE_MIN, AGE_MAX, AGE_FILL = 1, 90, 26
 GENDER_FILL = "Not_given"
 
+SKETCH_LG_K = 14         # registers of a distinct sketch, as a power of two: 0.65 % standard error
+
 
 def clean_age(c: str = "bd") -> F.Column:
     """Ages above 90 or below 1 are replaced by 26."""
@@ -47,6 +49,22 @@ def column_distinct_profile(df: DataFrame) -> DataFrame:
     return wide.selectExpr(f"stack({len(cols)}, {stack}) AS (column_name, n_distinct)")
 
 
+def column_distinct_sketch(df: DataFrame, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """D11 by sketches: about how many distinct values a column holds, NULL counted as one value.
+
+    One row per column: (column_name, n_distinct).  Every column has one HyperLogLog sketch of at most
+    2^``lg_k`` registers; sketches merge, so that no row is copied per column and no value is shuffled.
+    The relative standard error is about 0.83 / 2^(``lg_k`` / 2), 0.65 % at 14; few values are counted exactly.
+    """
+    sketched = ("int", "bigint", "string", "binary")       # other types by their text
+    wide = df.agg(*[
+        (F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c) if t in sketched else F.col(c).cast("string"), lg_k))
+         + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))).cast("long").alias(c)
+        for c, t in df.dtypes])
+    stack = ", ".join(f"'{c}', `{c}`" for c in df.columns)
+    return wide.selectExpr(f"stack({len(df.columns)}, {stack}) AS (column_name, n_distinct)")
+
+
 def object_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count / unique / top / freq of text columns (NULLs not counted).
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.windows import prefix_sums
+from tenure.functions.windows import next_values, prefix_sums
 
 LOG_LOSS_EPS = 1e-15
 
@@ -111,15 +111,22 @@ def roc_auc(scored: DataFrame, label: str = "is_churn", prob: str = "p1",
 
 
 def roc_points(scored: DataFrame, label: str = "is_churn", prob: str = "p1",
-               group_cols: list[str] | None = None) -> DataFrame:
+               group_cols: list[str] | None = None, drop_collinear: bool = False) -> DataFrame:
     """M6: (fpr, tpr, threshold) at every distinct score, descending, plus the (0, 0) start, per group.
 
-    Every point is kept (scikit-learn drops collinear ones by default); the
-    start point's threshold is NULL.
+    With ``drop_collinear`` (scikit-learn's default) a point goes if the step to it and the step to the
+    next are the same: it lies on the line between its neighbours.  A group's first and last point stay.
+    The start point's threshold is NULL.
     """
     g = list(group_cols or [])
     sc = score_counts(scored, label, prob, g).withColumn("neg_score", -F.col("score"))
+    if drop_collinear:
+        sc = next_values(sc, "neg_score", ["n_pos", "n_neg"], group_cols=g)
     cum = prefix_sums(sc, ["neg_score"], ["n_pos", "n_neg"], group_cols=g)   # counts with score >= s
+    if drop_collinear:
+        same_step = (F.col("n_pos") == F.col("next_n_pos")) & (F.col("n_neg") == F.col("next_n_neg"))
+        first = (F.col("n_pos_cum") == F.col("n_pos")) & (F.col("n_neg_cum") == F.col("n_neg"))
+        cum = cum.where(first | ~F.coalesce(same_step, F.lit(False)))
     totals = sc.groupBy(*g).agg(F.sum("n_pos").alias("_p"), F.sum("n_neg").alias("_n"))
     if g:
         of = totals.select(*[F.col(c).alias(f"_t_{c}") for c in g], "_p", "_n")

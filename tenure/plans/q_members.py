@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tenure.operators import members as M
 from tenure.operators import universe as U
 from tenure.operators.transactions import TX_ORDER
@@ -33,6 +35,22 @@ def q_column_distinct_profile(spark, sf_dir):
     return M.column_distinct_profile(Tables(spark, sf_dir).members)
 
 
+_LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+              "l_shipdate", "l_returnflag"]
+SKETCH_ERROR = 0.03
+
+
+@register("column_distinct_sketch", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct, true AS sketch_agrees FROM lineitem"
+    for c in _LINE_COLS), "D11 by sketches, beside the exact counts")
+def q_column_distinct_sketch(spark, sf_dir):
+    lines = Tables(spark, sf_dir).raw("lineitem").select(*_LINE_COLS)
+    sketched = M.column_distinct_sketch(lines).withColumnRenamed("n_distinct", "about")
+    return M.column_distinct_profile(lines).join(sketched, "column_name").select(
+        "column_name", "n_distinct", (F.abs(F.col("about") - F.col("n_distinct")) <= SKETCH_ERROR * F.col("n_distinct"))
+        .alias("sketch_agrees"))
+
+
 @register("object_summary", with_views("""
 SELECT 'gender' AS column_name, CAST(sum(freq) AS BIGINT) AS count, count(*) AS unique,
        arg_min(value, (-freq, value)) AS top, max(freq) AS freq

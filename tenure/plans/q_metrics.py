@@ -205,6 +205,29 @@ def q_roc_points_lines(spark, sf_dir):
     return MT.roc_points(_line_scores(spark, sf_dir))
 
 
+def _curve_sql(lead: str, views: tuple = ()) -> str:
+    """The curve without the points between two equal steps."""
+    down = "OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)"
+    return with_views(f"""
+SELECT CAST(0.0 AS DOUBLE) AS fpr, CAST(0.0 AS DOUBLE) AS tpr, CAST(NULL AS DOUBLE) AS threshold
+UNION ALL
+SELECT round(CAST(cn AS DOUBLE) / (SELECT sum(n_neg) FROM sc), 6),
+       round(CAST(cp AS DOUBLE) / (SELECT sum(n_pos) FROM sc), 6), round(score, 6)
+FROM (SELECT *, sum(n_pos) {down} AS cp, sum(n_neg) {down} AS cn, row_number() OVER (ORDER BY score DESC) AS place,
+             lead(n_pos) OVER (ORDER BY score DESC) AS next_pos, lead(n_neg) OVER (ORDER BY score DESC) AS next_neg FROM sc) c
+WHERE place = 1 OR next_pos IS NULL OR next_pos <> n_pos OR next_neg <> n_neg""", *views, extra=lead)
+
+
+@register("roc_curve", _curve_sql([_SC], ("scored",)), "M6, collinear points dropped")
+def q_roc_curve(spark, sf_dir):
+    return MT.roc_points(Tables(spark, sf_dir).scored, drop_collinear=True)
+
+
+@register("roc_curve_lines", _curve_sql([_LINES, _LINE_SC]), "M6 over line items, collinear points dropped")
+def q_roc_curve_lines(spark, sf_dir):
+    return MT.roc_points(_line_scores(spark, sf_dir), drop_collinear=True)
+
+
 @register("cv_table_roundtrip", REGISTRY["cv_scores"].sql, "A6: a result table written as CSV and read back")
 def q_cv_table_roundtrip(spark, sf_dir):
     return io.result_roundtrip(report(q_cv_scores(spark, sf_dir)), stage_path(spark, "cv_table"))

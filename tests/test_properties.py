@@ -2,14 +2,17 @@
 
 import datetime as dt
 import math
+import os
 import random
+import shutil
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.functions.windows import prefix_sums
+from tenure.functions.windows import next_values, prefix_sums
 from tenure.operators import encode as K
+from tenure.operators import members as M
 from tenure.operators import metrics as MT
 from tenure.operators import sampling as SMP
 from tenure.operators import timeseries as TS
@@ -99,6 +102,65 @@ def test_stream_on_a_folder_table_equals_batch(spark, tmp_path):
         assert sorted(r.id for r in got.collect()) == sorted(i for i in range(3000) if i % 50 in (3, 7, 49))
 
 
+def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
+    """A run that stopped between a batch's write and its commit, then new files: every row is there once."""
+    from tenure.streaming.log_filter import run_folder, stream_keep_users
+    events = spark.range(4000).selectExpr("id", "id % 50 AS user_id")
+    folder = str(tmp_path / "events.parquet")
+    events.where("id < 2000").repartition(4).write.parquet(folder)
+    users = spark.createDataFrame([(3,), (7,), (49,)], "user_id long")
+    sink, ckpt = run_folder(spark, "restart_test")
+    first = stream_keep_users(spark, folder, events.schema, users, "user_id", sink, ckpt, max_files_per_trigger=1).count()
+    assert first == sum(1 for i in range(2000) if i % 50 in (3, 7, 49))
+    done = ckpt.removeprefix("file:")
+    last = max(int(f) for f in os.listdir(f"{done}/commits") if f.isdigit())
+    stopped = str(tmp_path / "stopped")
+    shutil.copytree(done, stopped, ignore=lambda d, names: [f for f in names if d.endswith("commits") and f.strip(".").split(".")[0] == str(last)])
+    assert last >= 3 and not os.path.exists(f"{stopped}/commits/{last}")
+    events.where("id >= 2000").repartition(3).write.mode("append").parquet(folder)
+    got = stream_keep_users(spark, folder, events.schema, users, "user_id", sink, stopped, max_files_per_trigger=1)
+    assert sorted(r.id for r in got.collect()) == [i for i in range(4000) if i % 50 in (3, 7, 49)]
+    assert os.path.exists(f"{stopped}/commits/{last}")
+
+
+def test_next_values_cross_range_borders(spark):
+    rnd = random.Random(3)
+    data = [(g, k, rnd.choice([None, 1, 2])) for g in ("a", None) for k in rnd.sample(range(1000), 90)]
+    df = spark.createDataFrame(data, "g string, k int, v int").repartition(5)
+    for ranges in (1, 4, 40):
+        got = {(r["g"], r["k"]): r["next_v"] for r in rows(next_values(df, "k", ["v"], ["g"], num_ranges=ranges))}
+        for g in ("a", None):
+            run = sorted((k, v) for h, k, v in data if h == g)
+            assert [got[g, k] for k, _ in run] == [v for _, v in run[1:]] + [None]
+    assert next_values(df.limit(0), "k", ["v"], ["g"]).count() == 0
+
+
+def test_dropped_points_lie_between_equal_steps(spark):
+    rnd = random.Random(11)
+    data = [(rnd.randint(0, 60) / 60, int(rnd.random() < 0.5)) for _ in range(70)] + [(2 + i / 8, 0) for i in range(9)]
+    scored = spark.createDataFrame(data, "p1 double, is_churn int")
+    every = sorted((r.tpr, r.fpr, r.threshold) for r in MT.roc_points(scored).where("threshold is not null").collect())
+    every.sort(key=lambda p: -p[2])
+    pos, neg = sum(y for _, y in data), sum(1 - y for _, y in data)
+    fps, tps = [round(p[1] * neg) for p in every], [round(p[0] * pos) for p in every]
+    keep = [i == 0 or i == len(every) - 1 or fps[i + 1] - 2 * fps[i] + fps[i - 1] != 0 or tps[i + 1] - 2 * tps[i] + tps[i - 1] != 0
+            for i in range(len(every))]
+    got = MT.roc_points(scored, drop_collinear=True).where("threshold is not null").collect()
+    assert sorted(r.threshold for r in got) == sorted(p[2] for p, k in zip(every, keep) if k)
+    assert 2 < len(got) < len(every)
+
+
+def test_distinct_sketch_error(spark):
+    df = spark.range(200_000).selectExpr("id", "cast(id % 7 as int) AS few", "cast(id % 50000 as string) AS text",
+                                         "if(id % 3 = 0, null, id / 2.0) AS half", "cast(null as string) AS none",
+                                         "date_add(date'2000-01-01', cast(id % 900 as int)) AS day")
+    exact = {r.column_name: r.n_distinct for r in M.column_distinct_profile(df).collect()}
+    about = {r.column_name: r.n_distinct for r in M.column_distinct_sketch(df).collect()}
+    assert set(about) == set(df.columns) and about["few"] == 7 and about["none"] == 1 and about["day"] == 900
+    assert max(abs(about[c] - n) / n for c, n in exact.items()) < 4 * 0.0065
+    assert {r.n_distinct for r in M.column_distinct_sketch(df.limit(0)).collect()} == {0}
+
+
 def test_calendar_follows_the_data(spark):
     from tenure.operators import eda as D
     logs = spark.createDataFrame([(1, dt.date(2023, 12, 30), 2), (2, dt.date(2024, 3, 1), 3)], "msno long, date date, num_100 long")
