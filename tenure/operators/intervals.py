@@ -3,55 +3,99 @@
 C8: for each transaction, the mean of every usage column over the same
 user's log days strictly inside (transaction_date, membership_expire_date).
 
-An equi-join on (msno, day bucket) plus the range residual, then one
-aggregation by transaction.  Each transaction is exploded into the buckets its
-open interval covers, clamped to the user's observed log span, so the join key
-is (user, bucket), not the user alone.  Daily logs hold one row per
-(user, day), so a transaction meets at most its interval's days, and a hot
-(user, bucket) is an inner-join key that AQE's skew join splits.
+No log day is paired with a transaction.  A sum over an interval is the
+difference of two running sums: up to the last day inside it and up to the
+transaction's own day.  They are taken over a user's daily rows (as many as the
+calendar has days, at most) and looked up by (user, day), so the joined rows
+are two a transaction, however long its interval and however hot its user.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenure.functions.windows import day_bucket
 from tenure.sources.schemas import LOG_METRICS
 
-BUCKET_DAYS = 7
+_FRACTIONS = ("double", "float")
 
 
-def interval_log_means(tx: DataFrame, logs: DataFrame, tx_key: str = "tx_id",
-                       bucket_days: int = BUCKET_DAYS) -> DataFrame:
-    """One row per transaction: (tx_key, msno, mean of each usage column).
+def _counters(logs: DataFrame) -> dict[str, Column]:
+    """What is summed for each usage column: its values, how many there are and, where the type has
+    them, how many are NaN or infinite.  These stay out of the sum: one of them would spoil every later
+    difference."""
+    out: dict[str, Column] = {}
+    kinds = dict(logs.dtypes)
+    for m in LOG_METRICS:
+        c = F.col(m)
+        if kinds[m] in _FRACTIONS:
+            up, down = c == F.lit(float("inf")), c == F.lit(float("-inf"))
+            usual = c.isNotNull() & ~F.isnan(c) & ~up & ~down
+            out |= {m: F.sum(F.when(usual, c.cast("double")).otherwise(0.0)), f"{m}_nan": F.count_if(F.isnan(c)),
+                    f"{m}_up": F.count_if(up), f"{m}_down": F.count_if(down)}
+        else:
+            out[m] = F.coalesce(F.sum(m), F.lit(0))
+        out[f"{m}_n"] = F.count(m)
+    return out
+
+
+def running_sums(logs: DataFrame, points: DataFrame) -> DataFrame:
+    """The distinct (msno, date) rows of ``points`` with the sums of all the user's log days up to and with that date.
+
+    The window holds a user's days and points: at most two rows a calendar day, however many log rows or
+    transactions the user has.
+    """
+    counters = _counters(logs)
+    daily = logs.groupBy("msno", "date").agg(*[c.alias(n) for n, c in counters.items()])
+    nothing = [F.lit(0).cast(daily.schema[n].dataType).alias(n) for n in counters]
+    both = (daily.withColumn("_asked", F.lit(False))
+                 .unionByName(points.select("msno", "date").distinct().select("*", *nothing, F.lit(True).alias("_asked"))))
+    upto = Window.partitionBy("msno").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.select("msno", "date", "_asked", *[F.sum(n).over(upto).alias(n) for n in counters]) \
+               .where("_asked").drop("_asked")
+
+
+def interval_log_means(tx: DataFrame, logs: DataFrame, tx_key: str = "tx_id", carry: list[str] | None = None) -> DataFrame:
+    """One row per transaction: (tx_key, msno, mean of each usage column, ``carry`` columns).
 
     Both interval ends are open; a transaction without log days inside gets
-    NULLs.  ``tx_key`` is unique per transaction.
+    NULLs, and so does one whose user or either date is NULL.  A NaN or
+    infinite usage value counts in the intervals that hold its day alone.
+    Sums of fractions are differences of running sums, hence equal to direct
+    ones but for rounding in the last places of the user's total.
     """
-    span = logs.groupBy("msno").agg(F.min("date").alias("_log_lo"), F.max("date").alias("_log_hi"))
-    lo = F.greatest(F.date_add("transaction_date", 1), F.col("_log_lo"))
-    hi = F.least(F.date_sub("membership_expire_date", 1), F.col("_log_hi"))
-    t = (tx.select(tx_key, "msno", "transaction_date", "membership_expire_date")
-           .join(span, "msno")
-           .withColumn("_lo", lo).withColumn("_hi", hi)
-           .filter(F.col("_lo") <= F.col("_hi"))
-           .withColumn("_b", F.explode(F.sequence(day_bucket("_lo", bucket_days),
-                                                  day_bucket("_hi", bucket_days)))))
-    lg = logs.withColumn("_b", day_bucket("date", bucket_days))
-    pairs = (t.join(lg, ["msno", "_b"])
-              .filter((F.col("date") > F.col("transaction_date"))
-                      & (F.col("date") < F.col("membership_expire_date"))))
-    means = pairs.groupBy(tx_key).agg(*[F.avg(m).alias(m) for m in LOG_METRICS])
-    return tx.select(tx_key, "msno").join(means, tx_key, "left")
+    t = tx.select(tx_key, "msno", *(carry or []), F.col("transaction_date").alias("_from"),
+                  F.date_sub("membership_expire_date", 1).alias("_to"))
+    asked = t.where((F.col("_to") > F.col("_from")) & F.col("msno").isNotNull())
+    points = asked.select("msno", F.explode(F.array("_from", "_to")).alias("date"))
+    sums = running_sums(logs, points)
+    names = [c for c in sums.columns if c not in ("msno", "date")]
+    side = sums.select(F.col("msno").alias("_user"), F.col("date").alias("_day"), F.struct(*names).alias("_sums"))
+
+    def look_up(rows: DataFrame, end: str) -> DataFrame:
+        met = rows.join(side, (F.col("msno") == F.col("_user")) & (F.col(end) == F.col("_day")), "left")
+        return met.withColumnRenamed("_sums", f"_sums{end}").drop("_user", "_day")
+
+    found = look_up(look_up(t, "_from"), "_to")
+
+    def inside(name: str) -> Column:
+        return F.col(f"_sums_to.{name}") - F.col(f"_sums_from.{name}")
+
+    kinds = dict(logs.dtypes)
+    means = []
+    for m in LOG_METRICS:
+        mean = F.try_divide(inside(m), inside(f"{m}_n"))
+        if kinds[m] in _FRACTIONS:
+            nan, up, down = (inside(f"{m}_{k}") > 0 for k in ("nan", "up", "down"))
+            mean = (F.when(nan | (up & down), F.lit(float("nan"))).when(up, F.lit(float("inf")))
+                     .when(down, F.lit(float("-inf"))).otherwise(mean))
+        filled = (F.col("_to") > F.col("_from")) & (inside(f"{m}_n") > 0)
+        means.append(F.when(filled, mean).alias(m))
+    return found.select(tx_key, "msno", *means, *(carry or []))
 
 
 def first_model_rows(tx: DataFrame, logs: DataFrame, tx_key: str = "tx_id",
                      carry: list[str] | None = None) -> DataFrame:
     """J5 + B11: C8 means per transaction with the transaction's own columns
-    (``carry``, e.g. ``is_cancel``) attached by key, rows with any NULL dropped."""
-    carry = carry or []
-    means = interval_log_means(tx, logs, tx_key)
-    if carry:
-        means = means.join(tx.select(tx_key, *carry), tx_key)
-    return means.dropna(how="any")
+    (``carry``, e.g. ``is_cancel``) beside them, rows with any NULL dropped."""
+    return interval_log_means(tx, logs, tx_key, carry=carry).dropna(how="any")

@@ -141,7 +141,7 @@ def test_interval_open_ends_and_empty_interval(spark):
     t = spark.createDataFrame([(1, 10, day(2), day(6)), (1, 11, day(6), day(7)), (2, 12, day(0), day(9))],
                               "msno long, tx_id long, transaction_date date, membership_expire_date date")
     logs = log_rows(spark, [(1, day(d), d, 0, 0, 0, 0, 0, float(d)) for d in range(0, 10)])
-    got = {r["tx_id"]: r for r in rows(I.interval_log_means(t, logs, bucket_days=2))}
+    got = {r["tx_id"]: r for r in rows(I.interval_log_means(t, logs))}
     assert got[10]["num_25"] == 4.0            # days 3, 4, 5 only
     assert got[11]["num_25"] is None           # (6, 7) holds no day
     assert got[12]["num_25"] is None           # user without logs
@@ -169,14 +169,41 @@ def test_interval_means_match_brute_force_on_stacked_hot_user(spark):
             vals = [r[j] for r in inside if r[j] is not None]
             means.append(sum(vals) / len(vals) if vals else None)
         expect[k] = means
-    for days in (2, I.BUCKET_DAYS):
-        got = {r["tx_id"]: r for r in rows(I.interval_log_means(t, logs, bucket_days=days))}
-        assert got.keys() == expect.keys(), days
-        for k, means in expect.items():
-            for m, e in zip(["num_25", "num_50", "num_75", "num_985", "num_100", "num_unq",
-                             "total_secs"], means):
-                g = got[k][m]
-                assert (g is None and e is None) or math.isclose(g, e, rel_tol=1e-12), (days, k, m)
+    got = {r["tx_id"]: r for r in rows(I.interval_log_means(t, logs))}
+    assert got.keys() == expect.keys()
+    for k, means in expect.items():
+        for m, e in zip(["num_25", "num_50", "num_75", "num_985", "num_100", "num_unq",
+                         "total_secs"], means):
+            g = got[k][m]
+            assert (g is None and e is None) or math.isclose(g, e, rel_tol=1e-12), (k, m)
+
+
+def test_interval_means_keep_odd_values_in_their_own_intervals(spark):
+    inf, nan = float("inf"), float("nan")
+    t = spark.createDataFrame(
+        [(1, 1, day(0), day(3)), (1, 2, day(0), day(5)), (1, 3, day(3), day(7)), (1, 4, day(2), day(20)),
+         (1, 5, day(40), day(90)), (1, 6, None, day(9)), (1, 7, day(2), None), (None, 8, day(0), day(9)),
+         (1, 9, day(-30), day(2)), (1, 9, day(-30), day(2))],
+        "msno long, tx_id long, transaction_date date, membership_expire_date date")
+    value = {1: 2.0, 2: 4.0, 4: inf, 6: -inf, 15: nan, 60: 8.0}
+    logs = log_rows(spark, [(1, day(d), 1, 0, 0, 0, 0, 0, v) for d, v in value.items()]
+                    + [(None, day(1), 1, 0, 0, 0, 0, 0, 1.0)])
+    got = rows(I.interval_log_means(t, logs, carry=["transaction_date"]))
+    assert len(got) == 10 and "transaction_date" in got[0]
+    secs = {r["tx_id"]: r["total_secs"] for r in got}
+    assert secs[1] == 3.0 and secs[2] == inf and math.isnan(secs[3]) and math.isnan(secs[4])
+    assert secs[5] == 8.0 and secs[9] == 2.0 and secs[6] is secs[7] is secs[8] is None
+
+
+def test_interval_lookups_join_two_rows_a_transaction(spark):
+    """Long intervals of one user: nothing is joined but the transactions' own two look-ups."""
+    t = spark.range(400).selectExpr("1L AS msno", "id AS tx_id", "date'2017-01-01' AS transaction_date",
+                                    "date_add(date'2017-01-01', 300 + cast(id % 50 as int)) AS membership_expire_date")
+    logs = log_rows(spark, [(1, day(d), 1, 0, 0, 0, 0, 0, 1.0) for d in range(300)])
+    plan = I.interval_log_means(t, logs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and "Join Inner" not in plan
+    points = t.select("msno", F.lit(day(9)).alias("date"))
+    assert [(r.num_25, r.total_secs) for r in I.running_sums(logs, points).collect()] == [(10, 10.0)]
 
 
 def test_member_cleaning(spark):
