@@ -14,6 +14,7 @@ from tenure.operators import features as FT
 from tenure.operators import intervals as I
 from tenure.operators import metrics as MT
 from tenure.operators import models as ML
+from tenure.operators import user_effects as UE
 from tenure.plans.oracle_views import with_views
 from tenure.plans.q_features import FEATURE_TABLE_SQL, build_feature_table
 from tenure.plans.registry import register, report
@@ -79,6 +80,45 @@ def q_logreg_optimality(spark, sf_dir):
     return ML.logreg_optimality(design).select("feature", "observed", (F.abs("gradient") < MAX_GRADIENT).alias("optimal"))
 
 
+_USER_NUM = ["payment_plan_days", "plan_list_price", "actual_amount_paid", "is_auto_renew"]
+
+
+def _user_rows(spark, sf_dir):
+    """Every transaction with its own columns and its user: the first model's design over all users."""
+    tx = Tables(spark, sf_dir).tx.withColumn("tx_key", F.concat_ws("-", "seq1", "seq2"))
+    return UE.scaled_rows(tx, _USER_NUM, "tx_key", "msno", "is_cancel")
+
+
+_USER_CTES = [
+    ("tk", "SELECT *, CAST(seq1 AS VARCHAR) || '-' || CAST(seq2 AS VARCHAR) AS tx_key FROM tx"),
+    ("lg", "\nUNION ALL\n".join(f"SELECT tx_key, is_cancel, '{n}' AS feature, CAST({n} AS DOUBLE) AS v, CAST({i} AS BIGINT) AS position FROM tk"
+                               for i, n in enumerate(_USER_NUM))),
+    ("st", "SELECT feature, min(v) AS mn, max(v) AS mx FROM lg GROUP BY feature"),
+    ("x", f"""SELECT tx_key, is_cancel, lg.feature, position, CASE WHEN mx = mn THEN 0.0 ELSE (v - mn) / (mx - mn) END AS value
+FROM lg JOIN st ON lg.feature = st.feature
+UNION ALL SELECT tx_key, is_cancel, 'msno@' || CAST(dense_rank() OVER (ORDER BY msno) AS VARCHAR),
+  dense_rank() OVER (ORDER BY msno) + {len(_USER_NUM) - 1}, 1.0 FROM tk"""),
+]
+
+
+@register("user_design", with_views("SELECT tx_key, position, feature, round(value, 6) AS value FROM x WHERE value <> 0",
+                                    "tx", extra=_USER_CTES), "K2 K3 H4: user ids as sparse columns")
+def q_user_design(spark, sf_dir):
+    return UE.sparse_design(_user_rows(spark, sf_dir), _USER_NUM, "tx_key", "msno")
+
+
+@register("user_logreg_optimality", with_views(f"""
+SELECT feature, round(CAST(sum(CASE WHEN is_cancel = 1 AND {_TRAIN.replace("msno", "tx_key")} THEN value ELSE 0 END) AS DOUBLE), 3) AS observed,
+       true AS optimal
+FROM (SELECT tx_key, is_cancel, feature, value FROM x UNION ALL SELECT tx_key, is_cancel, 'intercept', 1.0 FROM tk) a
+GROUP BY feature""", "tx", extra=_USER_CTES), "L1 K2 H4: regression over user ids, gradient of every column")
+def q_user_logreg_optimality(spark, sf_dir):
+    rows = _user_rows(spark, sf_dir)
+    model = UE.fit(rows, _USER_NUM, "tx_key", "msno", "is_cancel")
+    return UE.optimality(model, rows, _USER_NUM, "msno").select(
+        "feature", F.round("observed", 3).alias("observed"), (F.abs("gradient") < MAX_GRADIENT).alias("optimal"))
+
+
 @register("rf_grid", None, "L5 M7")
 def q_rf_grid(spark, sf_dir):
     return ML.grid_search(_design(spark, sf_dir)).scores
