@@ -1,12 +1,15 @@
 """License scans (operator 10): a positional rare-token index over templates.
 
-Templates are short licence notices in the normal word form (A-Z lower-cased,
-words of ``0-9a-z`` and non-ASCII characters).  Each word's document frequency
-over the whole corpus gives its IDF; a template is indexed under its
-``RARE_WORDS`` highest-IDF words that the corpus has, with their positions.
-A document looks its words up in that index: an occurrence at word ``w`` of a
-word that stands at ``p`` in a template votes for that template starting at
-``w - p``.  Where at least ``VOTES`` different rare words agree on the start,
+Templates are licence notices in the normal word form (A-Z lower-cased, words
+of ``0-9a-z`` and non-ASCII characters), some as one opening sentence, some
+whole.  Each word's document frequency over the whole corpus gives its IDF.
+A file looks up its highest-IDF licence words: where a template of n words may differ
+in m places (``MIN_SHARE``), the template's words that the file lacks use up some of the
+m, and of those it has the m + ``VOTES`` of highest IDF (m being what is left) are looked up.
+An occurrence at word ``w`` of a word that stands at ``p`` in a template votes for
+that template starting at ``w - p``.  The remaining differences can spoil at most m of the
+words, so a notice in place always gets ``VOTES`` votes (or one of each word but m, where the
+template has fewer words): the index loses no match.  Where a start has them,
 the template's words are compared in place, and its mandatory key phrases must
 stand inside the matched stretch.  The share of template words found in place
 must reach ``MIN_SHARE``.
@@ -15,8 +18,11 @@ Beside the templates' labels, the base phrases (fixed, given) are counted at
 every place where their words stand consecutively.
 
 Defined results: a null or wordless text has no words, places or labels, and
-score 0; in an empty corpus every list is empty; repeated rows are scanned
-each time.
+score 0; in an empty corpus every list is empty; an empty table gives no rows;
+repeated rows are scanned each time; words of equal IDF are taken in byte
+order, which changes no result; a very long text is scanned whole, in time about linear in
+its words; input columns named like the results keep their names and values in ``scan``, and the
+results get longer names.
 """
 
 from __future__ import annotations
@@ -38,7 +44,8 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Opening words of public licence notices, with the phrases that must stand in a match.
+# Opening words of public licence notices, and the shorter notices whole, with the phrases that
+# must stand in a match.
 TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("agpl-3.0", "licensed under the gnu affero general public license version 3", ["affero general public license"]),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
@@ -66,9 +73,49 @@ TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain",
      ["unencumbered software released into the public domain"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided"
+            " that the following conditions are met 1 redistributions of source code must retain the above copyright"
+            " notice this list of conditions and the following disclaimer 2 redistributions in binary form must"
+            " reproduce the above copyright notice this list of conditions and the following disclaimer in the"
+            " documentation and or other materials provided with the distribution this software is provided by the"
+            " copyright holders and contributors as is and any express or implied warranties including but not"
+            " limited to the implied warranties of merchantability and fitness for a particular purpose are"
+            " disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect"
+            " incidental special exemplary or consequential damages including but not limited to procurement of"
+            " substitute goods or services loss of use data or profits or business interruption however caused and"
+            " on any theory of liability whether in contract strict liability or tort including negligence or"
+            " otherwise arising in any way out of the use of this software even if advised of the possibility of"
+            " such damage", ["source and binary forms"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is"
+            " hereby granted provided that the above copyright notice and this permission notice appear in all"
+            " copies the software is provided as is and the author disclaims all warranties with regard to this"
+            " software including all implied warranties of merchantability and fitness in no event shall the author"
+            " be liable for any special direct indirect or consequential damages or any damages whatsoever resulting"
+            " from loss of use data or profits whether in an action of contract negligence or other tortious action"
+            " arising out of or in connection with the use or performance of this software",
+     ["with or without fee is hereby granted"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and"
+            " associated documentation files the software to deal in the software without restriction including"
+            " without limitation the rights to use copy modify merge publish distribute sublicense and or sell"
+            " copies of the software and to permit persons to whom the software is furnished to do so subject to"
+            " the following conditions the above copyright notice and this permission notice shall be included in"
+            " all copies or substantial portions of the software the software is provided as is without warranty of"
+            " any kind express or implied including but not limited to the warranties of merchantability fitness for"
+            " a particular purpose and noninfringement in no event shall the authors or copyright holders be liable"
+            " for any claim damages or other liability whether in an action of contract tort or otherwise arising"
+            " from out of or in connection with the software or the use or other dealings in the software",
+     ["free of charge"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be"
+             " held liable for any damages arising from the use of this software permission is granted to anyone to"
+             " use this software for any purpose including commercial applications and to alter it and redistribute"
+             " it freely subject to the following restrictions 1 the origin of this software must not be"
+             " misrepresented you must not claim that you wrote the original software if you use this software in a"
+             " product an acknowledgment in the product documentation would be appreciated but is not required 2"
+             " altered source versions must be plainly marked as such and must not be misrepresented as being the"
+             " original software 3 this notice may not be removed or altered from any source distribution",
+     ["permission is granted to anyone to use this software"]),
 ]
 
-RARE_WORDS = 4
 VOTES = 2
 MIN_SHARE = 0.8
 
@@ -94,42 +141,58 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str =
 
 
 class Index:
-    """Postings of every template's rare words: word -> [(template, position)]."""
-
-    def __init__(self, templates, df: dict[str, int], n_docs: int, rare_words: int = RARE_WORDS):
-        self.labels = [t[0] for t in templates]
-        self.words = [t[1].encode().split() for t in templates]
-        self.keys = [[b" " + k.encode() + b" " for k in t[2]] for t in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.needed = []
-        for t, words in enumerate(self.words):
-            idf = {w: math.log((n_docs + 1) / (df[w.decode()] + 1)) for w in words if df.get(w.decode())}
-            rare = set(sorted(idf, key=lambda w: (-idf[w], w))[:rare_words])
-            self.needed.append(min(VOTES, len(rare)))
+    """Every template's words by falling IDF with their positions, and how many places of it may differ."""
+
+    def __init__(self, templates, df: dict[str, int], n_docs: int):
+        self.templates = []
+        for label, text, phrases in templates:
+            words = text.encode().split()
+            positions: dict[bytes, list[int]] = defaultdict(list)
             for p, w in enumerate(words):
-                if w in rare:
-                    self.postings[w].append((t, p))
-        self.lookup = frozenset(self.postings)
+                positions[w].append(p)
+            idf = {w: math.log((n_docs + 1) / (df.get(w.decode(), 0) + 1)) for w in positions}
+            by_idf = [(w, positions[w]) for w in sorted(positions, key=lambda w: (-idf[w], w))]
+            least = next(k for k in range(len(words) + 1) if k / len(words) >= MIN_SHARE)
+            self.templates.append((label, words, [b" " + k.encode() + b" " for k in phrases], by_idf, len(words) - least))
+        self.vocabulary = frozenset(w for t in self.templates for w in t[1])
+
+    def probes(self, present: frozenset[bytes], by_idf, allowed: int) -> tuple[list[tuple[bytes, list[int]]], int]:
+        """The words of one template to look up in a file that has ``present``, and the votes a start needs; no
+        words if the file lacks too many."""
+        had = []
+        for w, positions in by_idf:
+            if w in present:
+                had.append((w, positions))
+            else:
+                allowed -= len(positions)
+                if allowed < 0:
+                    return [], 0
+        had = had[:allowed + VOTES]
+        return had, max(1, len(had) - allowed)
 
     def find(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
         """(label, share of the template in place, first word, word after the last) of every match."""
-        if self.lookup.isdisjoint(words):
-            return []
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for at, w in enumerate(words):
-            if w in self.lookup:
-                for t, p in self.postings[w]:
-                    votes[t, at - p].add(w)
+        present = self.vocabulary.intersection(words)
+        places: dict[bytes, list[int]] = defaultdict(list)
         found = []
-        for (t, start), agreed in sorted(votes.items()):
-            if len(agreed) < self.needed[t]:
+        for label, template, keys, by_idf, allowed in self.templates:
+            looked_up, needed = self.probes(present, by_idf, allowed)
+            if not looked_up:
                 continue
-            template, lo = self.words[t], max(start, 0)
-            stretch = words[lo:start + len(template)]
-            share = sum(a == b for a, b in zip(stretch, template[lo - start:])) / len(template)
-            joined = b" " + b" ".join(stretch) + b" "
-            if share >= MIN_SHARE and all(k in joined for k in self.keys[t]):
-                found.append((self.labels[t], share, lo, lo + len(stretch)))
+            if not places:
+                for at, w in enumerate(words):
+                    if w in present:
+                        places[w].append(at)
+            votes: Counter[int] = Counter()
+            for w, positions in looked_up:
+                votes.update({at - p for at in places[w] for p in positions})
+            for start in sorted(s for s, n in votes.items() if n >= needed):
+                lo = max(start, 0)
+                stretch = words[lo:start + len(template)]
+                share = sum(a == b for a, b in zip(stretch, template[lo - start:])) / len(template)
+                joined = b" " + b" ".join(stretch) + b" "
+                if share >= MIN_SHARE and all(k in joined for k in keys):
+                    found.append((label, share, lo, lo + len(stretch)))
         return found
 
 

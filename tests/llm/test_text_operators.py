@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -417,6 +418,19 @@ LICENSES = ["This work is licensed under the GNU General Public License, version
             "licensed under the very old apache license version 2 0"]
 
 
+def labels_in_place(words):
+    """Labels of every template that stands somewhere with its share of words and its phrases."""
+    expected = set()
+    for label, template, keys in licenses.TEMPLATES:
+        t = template.split()
+        for k in range(1 - len(t), len(words)):
+            place = words[max(k, 0):k + len(t)]
+            share = sum(a == b for a, b in zip(place, t[max(0, -k):])) / len(t)
+            if share >= licenses.MIN_SHARE and all(f" {x} " in f" {' '.join(place)} " for x in keys):
+                expected.add(label)
+    return expected
+
+
 def test_license_scan_equals_brute_force(spark):
     got = by_id(licenses.license_labels(docs(spark, LICENSES)))
     for i, text in enumerate(LICENSES, 1):
@@ -429,14 +443,48 @@ def test_license_scan_equals_brute_force(spark):
         assert r["last_word"] == (places[-1][0] if places else None)
         base = {p[1] for p in places}
         assert r["base_labels"] == ",".join(sorted(base))
-        expected = set()
-        for label, template, keys in licenses.TEMPLATES:
-            t = template.split()
-            for k in range(1 - len(t), len(words)):
-                place = words[max(k, 0):k + len(t)]
-                share = sum(a == b for a, b in zip(place, t[max(0, -k):])) / len(t)
-                if share >= licenses.MIN_SHARE and all(f" {x} " in f" {' '.join(place)} " for x in keys):
-                    expected.add(label)
-        assert r["labels"] == ",".join(sorted(base | expected)), text
+        assert r["labels"] == ",".join(sorted(base | labels_in_place(words))), text
     assert got[9]["labels"] == "apache-2.0" and got[1]["labels"] == "gpl,gpl-3.0"
     assert licenses.license_labels(docs(spark, [])).count() == 0
+
+
+def changed_notices():
+    """Every template with some words replaced: as many as it bears and one more, at random places, and the rarest
+    words first (those that an index of a few rare words would have relied on); some cut at either end."""
+    rnd = random.Random(5)
+    seen = Counter(w for _, t, _ in licenses.TEMPLATES for w in set(t.split()))
+    out = []
+    for _, template, _ in licenses.TEMPLATES:
+        t = template.split()
+        bears = len(t) - next(k for k in range(len(t) + 1) if k / len(t) >= licenses.MIN_SHARE)
+        rarest = sorted(range(len(t)), key=lambda p: (seen[t[p]], t[p], p))
+        for n in (bears, bears + 1):
+            for places in (rarest[:n], rnd.sample(range(len(t)), n), rnd.sample(range(len(t)), n)):
+                words = [rnd.choice(["zzz", "the", "license", "a"]) if p in places else w for p, w in enumerate(t)]
+                out.append(" ".join(["before"] * rnd.randrange(3) + words + ["after", "the", "software"]))
+        out += [" ".join(t[bears:]), " ".join(t[:len(t) - bears]), " ".join(t[:len(t) - bears - 1])]
+    return out
+
+
+def test_changed_notices_are_all_found(spark):
+    texts = changed_notices()
+    got = by_id(licenses.license_labels(docs(spark, texts)))
+    matched = 0
+    for i, text in enumerate(texts, 1):
+        base = {label for phrase, label in licenses.BASE_PHRASES.items() if f" {phrase} " in f" {text} "}
+        expected = labels_in_place(text.split())
+        assert got[i]["labels"] == ",".join(sorted(base | expected)), text
+        matched += bool(expected)
+    assert matched > len(licenses.TEMPLATES)
+
+
+def test_license_scan_of_long_texts_ties_and_repeats(spark):
+    mit = licenses.TEMPLATES[-2][1]
+    long = f"{LONG} {mit} {LONG}"
+    got = by_id(licenses.license_labels(docs(spark, [long, mit, mit, LONG])))
+    assert got[1]["labels"] == "mit" and got[1]["n_words"] == 2 * len(LONG.split()) + len(mit.split())
+    assert {k: v for k, v in got[2].items() if k != "doc_id"} == {k: v for k, v in got[3].items() if k != "doc_id"}
+    assert got[4]["labels"] == "" and f"mit:{len(LONG.split())}:" in got[1]["matches"]
+    kept, names = licenses.scan(docs(spark, [mit]))
+    assert (kept.first()["label"], kept.first()["spans"], kept.first()["n_words"]) == ("y", "z", -1)
+    assert kept.first()[names["n_words"]] == len(mit.split())
