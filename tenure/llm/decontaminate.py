@@ -16,7 +16,10 @@ united before they are counted.
 
 Defined results: a null or wordless text has no words and no hits; an item
 without words has no window; a null item id counts as the item ``null``;
-items or documents that occur twice count like one item, and like two rows.
+items or documents that occur twice count like one item, and like two rows; a
+window of several items (a tie) counts for each of them; a very long text is
+scanned whole; without items nothing is hit, and an empty table gives no rows;
+other input columns pass ``clean`` unchanged, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,7 +21,10 @@ With 40 bands of 5, a pair of similarity 0.8 shares no band with probability
 Defined results: a null text, or one without words, has an empty set and is
 linked with nothing; a text of fewer than ``WORDS`` words is one shingle; equal
 rows are copies; a null id is in a component but is never its smallest id, and
-a component without ids has id null.
+a component without ids has id null.  Of rows that tie for the smallest id
+``near_duplicates`` marks each as kept, while ``keep_one`` lets one row stay.  A
+very long text gives its whole set; an empty table gives no rows; other input
+columns pass ``keep_one`` unchanged, whatever their names.
 """
 
 from __future__ import annotations

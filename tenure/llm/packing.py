@@ -14,7 +14,10 @@ shifted by the counts of the bucket's earlier blocks.
 
 Defined results: a document without tokens (null, empty) has one row with
 ``n_tokens`` 0 and neither bucket nor batch; repeated rows are packed each
-time; fewer distinct lengths than buckets give a bucket per length.
+time; fewer distinct lengths than buckets give a bucket per length; rows equal in
+id and piece (ties) take their slots in any order, each its own; a very long
+text has as many pieces as it needs; a null id is packed like any other; an empty
+table gives no rows; other input columns are not read, whatever their names.
 """
 
 from __future__ import annotations

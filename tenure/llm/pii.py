@@ -17,10 +17,16 @@ shapes (a finite set of coarse features) against base kinds, and the kinds at
 both ends of chain and skip edges.  Base matches are positive examples; a token
 outside them is a negative one unless a skip edge joins it to a match, when it
 may be a mention that the patterns miss, and is left out.  Node weights are a softmax regression over
-those counts; edge weights are smoothed pointwise mutual information.
+those counts; edge weights are smoothed pointwise mutual information.  This is
+piecewise training: each potential is fitted on its own, not all of them by the
+field's likelihood.
 
 Defined results: a null or empty text has no spans; identical documents get
-identical spans; without any base match in the corpus no span is added.
+identical spans, repeated rows each their own; without any base match in the
+corpus no span is added, and none to a document without a base match of its own; of
+kinds with equal marginals the first in the kinds' order is taken; a very long text
+is read whole; an empty table gives no rows; other input columns pass ``find``
+unchanged, whatever their names.
 Spans are in code points, end exclusive.
 """
 

@@ -14,7 +14,10 @@ white space.  So a text's count is the sum of the counts of its space-led
 chunks, and a chunk seen before is not encoded again.
 
 Defined results: a null or empty text has 0 tokens and is counted at length 0;
-a null group is a group of its own; repeated rows count each time.
+a null group is a group of its own; repeated rows count each time; documents of
+equal length (ties) share a histogram row; a very long text is encoded whole; an
+empty table has an empty histogram and no sums; input columns named like the
+results keep their names and values in ``with_token_counts``, and the count gets a longer name.
 """
 
 from __future__ import annotations
