@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from tenure.operators.encode import category_codes
 from tenure.operators.models import LOGREG_C, minmax_scaled_fitted
 from tenure.operators.sampling import train_test_split
-from tenure.session import stage_shared
+from tenure.session import stage_bucketed, stage_shared
 
 PART_ROWS = 1_000_000
+TASK_ROWS = 1_000_000
 MAX_STEPS = 50
 TOLERANCE = 1e-7
 _INTERCEPT = "intercept"
@@ -84,11 +85,18 @@ def fit(rows: DataFrame, num_cols: list[str], key: str, user: str, label: str, c
     k = len(xs)
     train = rows.where("split = 'train'").select(F.col(user).alias("_user"), F.col(label).alias("_y"), key, *num_cols) \
                 .withColumn(_INTERCEPT, F.lit(1.0))
-    parts = train.groupBy("_user").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).alias("_parts"))
-    parts = stage_shared(parts, "user_parts")
-    dealt = (train.join(parts.withColumnRenamed("_user", "_u"), F.col("_user").eqNullSafe(F.col("_u")))
-                  .withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts"))))
-    dealt = stage_shared(dealt.select("_user", "_part", "_y", *xs), "user_rows")
+    counts = train.groupBy("_user").agg(F.count(F.lit(1)).alias("_rows"))
+    parts = stage_shared(counts.select("_user", F.ceil(F.col("_rows") / F.lit(part_rows)).alias("_parts"), "_rows"), "user_parts")
+    # Users of several parts: rows / part_rows at most, so they are broadcast and the rows stay where they are.
+    many = F.broadcast(parts.where("_parts > 1").select(F.col("_user").alias("_u"), "_parts"))
+    n_parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    # Dealt out once by (user, part): the copy is bucketed, so a pass moves the users' weights, not the rows.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                -(-(parts.agg(F.sum("_rows")).first()[0] or 0) // TASK_ROWS))
+    dealt, table = stage_bucketed(train.join(many, F.col("_user").eqNullSafe(F.col("_u")), "left")
+                                       .select("_user", F.pmod(F.xxhash64(key), n_parts).alias("_part"), "_y", *num_cols),
+                                  "user_rows", tasks, "_user", "_part")
+    dealt = dealt.withColumn(_INTERCEPT, F.lit(1.0))
 
     # The state after a pass: one row a user with its weight and the sums at that weight.
     state = parts.select("_user", "_parts", F.lit(0.0).alias("_weight"))
@@ -99,7 +107,9 @@ def fit(rows: DataFrame, num_cols: list[str], key: str, user: str, label: str, c
         here = state.select("_user", "_parts", (F.col("_weight") + move).alias("_weight"))
         spread = here.select(F.col("_user").alias("_u"), F.col("_parts"), "_weight",
                              F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_p"))
-        met = dealt.join(spread, F.col("_user").eqNullSafe(F.col("_u")) & (F.col("_part") == F.col("_p")))
+        # (The rows without a user meet none: weight 0.)
+        met = (dealt.join(spread.where("_u IS NOT NULL").hint("shuffle_hash"), (F.col("_user") == F.col("_u")) & (F.col("_part") == F.col("_p")), "left")
+                    .withColumn("_weight", F.coalesce("_weight", F.lit(0.0))))
         eta = _linear(xs, b) + F.col("_weight")
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_eta")))
         scored = met.withColumn("_eta", eta).withColumn("_e", p).withColumn("_s", F.col("_e") * (1 - F.col("_e")))
@@ -150,6 +160,7 @@ def fit(rows: DataFrame, num_cols: list[str], key: str, user: str, label: str, c
         step = F.when(known, -(g + step) / d).otherwise(0.0)
         base, size = (b, state, step), 1.0
         b, move = b + delta, step
+    rows.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     empty = row["f"] is None
     users = state.where("_user IS NOT NULL").select(
         F.col("_user").alias(user), F.col("_weight").alias("weight"), F.col("_o").alias("observed"),

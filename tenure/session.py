@@ -82,3 +82,14 @@ def stage_shared(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> tuple[DataFrame, str]:
+    """As ``stage_shared``, in ``buckets`` hash buckets of ``keys``: joins and groupings by them read the copy
+    in place.  The files lie below the checkpoint folder; the table's name, also returned, is the caller's to drop."""
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    (df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+       .option("path", path).saveAsTable(table))
+    return spark.table(table), table

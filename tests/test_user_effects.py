@@ -94,3 +94,29 @@ def test_empty_table(spark):
     assert model.weights == {"x": 0.0, "z": 0.0, "intercept": 0.0} and model.users.count() == 0
     assert UE.sparse_design(rows, NUM, "k", "u").count() == 0
     assert {r.feature for r in UE.optimality(model, rows, NUM, "u").collect()} == {"x", "z", "intercept"}
+
+
+def test_a_pass_moves_weights_and_not_rows(spark, monkeypatch):
+    """The rows are dealt out once; a pass shuffles by user what the join with the weights needs, never the rows."""
+    plans = []
+    stage = UE.stage_shared
+
+    def spy(df, name):
+        if name == "user_sums":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(UE, "stage_shared", spy)
+    rows = table_of(spark, sample(200)).cache()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        UE.fit(rows, NUM, "k", "u", "y", part_rows=10)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows.unpersist()
+    assert len(plans) > 1
+    for plan in plans:
+        kept = [line for line in plan.splitlines() if "Exchange" in line]
+        # the weights by (user, part) and the sums by user: none by the rows' own keys
+        assert len(kept) == 2 and not any("_user" in line and "_part#" in line for line in kept), plan
