@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -137,37 +138,78 @@ def _gini(w0, w1):
         return np.where(w0 + w1 > 0, 1 - (w0 * w0 + w1 * w1) / (w0 + w1) ** 2, 0.0)
 
 
-def _first_best(node: np.ndarray, gain: np.ndarray, n: int) -> np.ndarray:
-    """The position of each node's largest gain (the first of equals), -1 without one above rounding."""
+def _first_best(node: np.ndarray, gain: np.ndarray, n: int, place: np.ndarray) -> np.ndarray:
+    """The position of each node's largest gain (of equals that of least ``place``), -1 without one above rounding."""
     best = np.full(n, LEAST_GAIN)
     np.maximum.at(best, node, gain)
     at = np.flatnonzero(gain == best[node])
+    at = at[np.argsort(-place[at], kind="stable")]
     out = np.full(n, -1)
-    out[node[at][::-1]] = at[::-1]
+    out[node[at]] = at
     return out
 
 
-def _split_level(bins, rows, sizes, w, subset, min_leaf):
+class _Columns:
+    """The bins of a subtree's rows: columns of two bins as the rows' ones (few, where one-hot), the others whole."""
+
+    def __init__(self, bins):
+        two = bins.max(axis=0, initial=0) <= 1
+        self.two, self.many, self.shape = np.flatnonzero(two), np.flatnonzero(~two), bins.shape
+        self.values = np.zeros((len(self.many) + 1, len(bins)), np.uint16)             # a column a row; the last one is empty
+        self.values[:-1] = bins[:, self.many].T
+        row, self.one = np.nonzero(bins[:, self.two])
+        self.ones = np.bincount(row, minlength=len(bins))
+        self.start = np.cumsum(self.ones) - self.ones
+
+    def ones_of(self, rows):
+        """The ones of ``rows``: (position in ``rows``, position in ``two``) each."""
+        n = self.ones[rows]
+        at = np.repeat(np.arange(len(rows)), n)
+        return at, self.one[np.arange(len(at)) + (self.start[rows] - np.cumsum(n) + n)[at]]
+
+
+def _split_level(cols: _Columns, rows, sizes, w, subset, min_leaf):
     """Best (feature, bin, gain) of each node of a chunk; ``rows`` lie node by node, ``sizes`` are theirs.
-    One stable sort a feature slot by (node, bin) puts a node's values in order."""
-    node = np.repeat(np.arange(len(sizes)), sizes)
-    key = np.take_along_axis(bins[rows], subset[node], axis=1).T.astype(np.uint16) + (node * 256).astype(np.uint16)
-    order = np.argsort(key, axis=1, kind="stable")
-    key = np.take_along_axis(key, order, axis=1)
-    slot, at = np.nonzero((key[:, 1:] != key[:, :-1]) & (node[1:] == node[:-1]))       # a value ends here, not its node
-    sums, starts = w[rows], np.cumsum(sizes) - sizes
-    total = np.add.reduceat(sums, starts, axis=0)
-    before = np.cumsum(total, axis=0) - total
-    here = node[at]
-    left = [np.cumsum(sums[:, i][order], axis=1)[slot, at] - before[here, i] for i in range(3)]
+    Columns of two bins are summed over their ones; one stable sort a slot of the other features by
+    (node, bin) puts a node's values in order."""
+    n, node, sums = len(sizes), np.repeat(np.arange(len(sizes)), sizes), w[rows]
+    total = np.add.reduceat(sums, np.cumsum(sizes) - sizes, axis=0)
+    drawn = np.zeros((n, cols.shape[1]), bool)
+    np.put_along_axis(drawn, subset, True, axis=1)
+
+    two = drawn[:, cols.two]
+    at, one = cols.ones_of(rows)
+    cell = node[at] * len(cols.two) + one
+    ones = [np.bincount(cell, sums[at, i], two.size).reshape(two.shape) for i in range(3)]
+    two &= (ones[0] > 0) & (ones[0] < total[:, :1])
+    here, slot = np.nonzero(two)
+    left = [[total[here, i] - ones[i][here, slot]] for i in range(3)]
+    found, feature, cut = [here], [cols.two[slot]], [np.zeros(len(here), np.int64)]
+
+    many = drawn[:, cols.many]
+    width = int(many.sum(axis=1).max(initial=0))
+    if width:
+        slots = np.argsort(~many, axis=1, kind="stable")[:, :width]                    # a node's own first, then the empty column
+        slots[~np.take_along_axis(many, slots, axis=1)] = len(cols.many)
+        key = cols.values.ravel().take((slots * cols.shape[0]).T[:, node] + rows) + (node * 256).astype(np.uint16)
+        order = np.argsort(key, axis=1, kind="stable")
+        key = np.take_along_axis(key, order, axis=1)
+        slot, at = np.nonzero((key[:, 1:] != key[:, :-1]) & (node[1:] == node[:-1]))   # a value ends here, not its node
+        here, before = node[at], np.cumsum(total, axis=0) - total
+        for i in range(3):
+            left[i].append(np.cumsum(np.ascontiguousarray(sums[:, i])[order], axis=1)[slot, at] - before[here, i])
+        found.append(here)
+        feature.append(cols.many[slots[here, slot]])
+        cut.append((key[slot, at] & 255).astype(np.int64))
+
+    here, feature, cut = np.concatenate(found), np.concatenate(feature), np.concatenate(cut)
+    left = [np.concatenate(x) for x in left]
     gain = _gains(left[1], left[2], total[here, 1], total[here, 2])
     gain[(left[0] < min_leaf) | (total[here, 0] - left[0] < min_leaf)] = -1.0
-    best = _first_best(here, gain, len(sizes))
-    ok = best >= 0
-    feature, cut = np.full(len(sizes), -1), np.zeros(len(sizes), np.int64)
-    feature[ok] = subset[np.flatnonzero(ok), slot[best[ok]]]
-    cut[ok] = key[slot[best[ok]], at[best[ok]]] & 255
-    return feature, cut, np.where(ok, gain[best] if len(gain) else 0.0, 0.0)
+    best = _first_best(here, gain, n, feature * 256 + cut)
+    if not len(gain):
+        return best, np.zeros(n, np.int64), np.zeros(n)
+    return np.where(best >= 0, feature[best], -1), np.where(best >= 0, cut[best], 0), np.where(best >= 0, gain[best], 0.0)
 
 
 def grow_subtree(bins, w, tree, root, seed, n_sub, min_leaf, max_depth):
@@ -175,7 +217,7 @@ def grow_subtree(bins, w, tree, root, seed, n_sub, min_leaf, max_depth):
     Nodes by level as arrays (number, left and right position or -1, feature, bin, gain, w0, w1), equal leaves merged."""
     cols = {k: [] for k in ("node", "left", "right", "feature", "cut", "gain", "w0", "w1")}
     ids, rows, sizes, made, depth = np.array([root]), np.arange(len(bins)), np.array([len(bins)]), 0, int(root + 1).bit_length() - 1
-    levels = []
+    levels, columns = [], _Columns(bins)
     while len(ids):
         total = np.add.reduceat(w[rows], np.cumsum(sizes) - sizes, axis=0) if len(rows) else np.zeros((len(ids), 3))
         feature, cut, gain = np.full(len(ids), -1), np.zeros(len(ids), np.int64), np.zeros(len(ids))
@@ -187,7 +229,7 @@ def grow_subtree(bins, w, tree, root, seed, n_sub, min_leaf, max_depth):
             first = ends[i] - part[i]
             j = min(max(i + 1, int(np.searchsorted(ends, first + LEVEL_ROWS, side="right"))), i + LEVEL_NODES)
             at = which[i:j]
-            feature[at], cut[at], gain[at] = _split_level(bins, rows[first:ends[j - 1]], part[i:j], w,
+            feature[at], cut[at], gain[at] = _split_level(columns, rows[first:ends[j - 1]], part[i:j], w,
                                                           _subset(seed, tree, ids[at], bins.shape[1], n_sub), min_leaf)
             i = j
         split = feature >= 0
@@ -321,7 +363,7 @@ def _grow_top(binned, n_features, n_rows, trees, n_sub, min_leaf, max_depth, see
             total, left = h[:, 0].sum(axis=1), np.cumsum(h, axis=2)
             gain = _gains(left[1], left[2], total[1], total[2])
             gain[(left[0] < min_leaf) | (total[0] - left[0] < min_leaf) | (h[0] == 0)] = -1.0
-            best = _first_best(np.zeros(gain.size, np.int64), gain.ravel(), 1)[0]
+            best = _first_best(np.zeros(gain.size, np.int64), gain.ravel(), 1, np.arange(gain.size))[0]
             deep = int(node + 1).bit_length() - 1 >= max_depth
             small = total[0] <= limit
             pure = _gini(total[1], total[2]) <= PURE
@@ -362,7 +404,14 @@ def grow_forest(rows: DataFrame, train: Column, score: Column, num_trees: int, f
                 max_depth: int, max_bins: int, seed: int) -> Forest:
     """A forest over the ``train`` rows, and the ``score`` rows with its probability of class 1.
     ``rows`` has label (0 or 1), weight and features; its other columns pass through."""
-    spark = rows.sparkSession
+    made = grow_forests(rows, train, score, num_trees, features, [min_leaf], max_depth, max_bins, seed)
+    return Forest(made.nodes.drop("_min_leaf"), made.scored.drop("_min_leaf"), made.n_features)
+
+
+def grow_forests(rows: DataFrame, train: Column, score: Column, num_trees: int, features: str, min_leafs: list[int],
+                 max_depth: int, max_bins: int, seed: int) -> Forest:
+    """As ``grow_forest``, a forest for each of ``min_leafs``, which ``nodes`` and ``scored`` name in ``_min_leaf``.
+    The forests share split candidates, bins, bootstrap counts and, where a task grows whole trees, the dealt rows."""
     other = rows.columns
     rows = rows.withColumns({"_train": F.coalesce(train, F.lit(False)), "_score": F.coalesce(score, F.lit(False))}).where("_train OR _score")
     fitted = rows.where("_train")
@@ -375,10 +424,65 @@ def grow_forest(rows: DataFrame, train: Column, score: Column, num_trees: int, f
     n_features = len(splits)
     n_sub = n_features if features == "all" else min(int(features), n_features)
     rows = stage_shared(rows.withColumn("_id", F.monotonically_increasing_id()), "forest_rows")    # the numbers are written once
-    slim = stage_shared(_binned(rows, splits), "forest_bins")
-    top, closed = _grow_top(slim, n_features, size["n"], num_trees, n_sub, min_leaf, max_depth, seed)
-    whole = not top and not closed
-    a_group, limit = TREES_A_GROUP if whole else 1, SUBTREE_ROWS
+    slim = _binned(rows, splits)
+    if size["n"] * 1.1 <= SUBTREE_ROWS:
+        nodes, votes = _grow_whole(slim, splits, num_trees, n_sub, min_leafs, max_depth, seed)
+    else:
+        slim = stage_shared(slim, "forest_bins")
+        each = [_grow_below_top(slim, splits, size["n"], num_trees, n_sub, leaf, max_depth, seed) for leaf in min_leafs]
+        nodes, votes = (reduce(DataFrame.unionByName, [d.withColumn("_min_leaf", F.lit(leaf)) for d, leaf in zip(some, min_leafs)])
+                        for some in zip(*each))
+    raw = votes.groupBy("_id", "_min_leaf").agg(F.sum("vote").alias("_votes"))
+    p = F.col("_votes") / F.lit(float(num_trees))
+    scored = rows.join(raw, "_id").select(*other, p.alias("probability"), (F.col("_votes") * 2 > num_trees).cast("double").alias("prediction"),
+                                          "_min_leaf")
+    return Forest(nodes, scored, n_features)
+
+
+def _split_output(grown: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    return (grown.where("node IS NOT NULL").select(*[c.split()[0] for c in _NODE.split(", ")], *more),
+            grown.where("_id IS NOT NULL"))
+
+
+def _tasks(spark, groups: int) -> int:
+    """As many tasks as groups, up to some a core, then some groups a task: these are long, their bytes few."""
+    return min(groups, max(8 * spark.sparkContext.defaultParallelism, groups // 8))
+
+
+def _grow_whole(slim, splits, num_trees, n_sub, min_leafs, max_depth, seed):
+    """Trees that a task grows from the root: ``TREES_A_GROUP`` trees a group, for every leaf size."""
+    n_features = len(splits)
+
+    def grow(key, table):
+        group = key[0].as_py()
+        ids, bins, label, weight, train_, score_ = _matrix(table.to_pandas(), n_features)
+        made, scored = ids[score_], bins[score_]
+        nodes, votes = [], np.zeros((len(min_leafs), len(made)))
+        for tree in range(group * TREES_A_GROUP, min((group + 1) * TREES_A_GROUP, num_trees)):
+            count = bag_counts(ids, tree, seed, num_trees) * train_
+            b = np.flatnonzero(count)
+            bagged, w = bins[b], _weights(count[b], label[b], weight[b])
+            for i, leaf in enumerate(min_leafs):
+                t = grow_subtree(bagged, w, tree, 0, seed, n_sub, leaf, max_depth)
+                nodes.append((leaf, _node_rows(t, tree, splits)))
+                at = _walk(t, scored)
+                votes[i] += _share(t["w0"][at], t["w1"][at])
+        nodes += [(leaf, _out(len(made), {"tree": np.full(len(made), group), "top": np.zeros(len(made)), "_id": made, "vote": v}, {}))
+                  for leaf, v in zip(min_leafs, votes)]
+        return pa.concat_tables([t.append_column("_min_leaf", pa.array(np.full(len(t), leaf), pa.int32())) for leaf, t in nodes])
+
+    groups = -(-num_trees // TREES_A_GROUP)
+    dealt = slim.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    # By number, not by its hash: every task gets as many groups as the others.
+    dealt = dealt.repartitionById(_tasks(slim.sparkSession, groups), F.col("grp"))
+    return _split_output(stage_shared(dealt.groupBy("grp").applyInArrow(grow, _OUT + ", _min_leaf int"), "forest"), "_min_leaf")
+
+
+def _grow_below_top(slim, splits, n_rows, num_trees, n_sub, min_leaf, max_depth, seed):
+    """Trees whose top levels are split from histograms summed by Spark; a task grows one tree below one top leaf."""
+    n_features = len(splits)
+    top, closed = _grow_top(slim, n_features, n_rows, num_trees, n_sub, min_leaf, max_depth, seed)
+    limit = SUBTREE_ROWS
 
     def deal(frames):
         for pdf in frames:
@@ -391,13 +495,12 @@ def grow_forest(rows: DataFrame, train: Column, score: Column, num_trees: int, f
                 yield pdf[take].assign(grp=t, top=leaf[take], part=(ids % parts[leaf] if len(parts) > 1 else 0 * ids)[take])
 
     def grow(key, table):
-        group, root = key[0].as_py(), key[1].as_py()
+        tree, root = key[0].as_py(), key[1].as_py()
         ids, bins, label, weight, train_, score_ = _matrix(table.to_pandas(), n_features)
         frames, votes = [], np.zeros(len(ids))
-        for tree in range(group * a_group, min((group + 1) * a_group, num_trees)):
-            if (tree, root) in closed:
-                votes += _share(*closed[tree, root][1:])
-                continue
+        if (tree, root) in closed:
+            votes += _share(*closed[tree, root][1:])
+        else:
             count = bag_counts(ids, tree, seed, num_trees) * train_
             b = np.flatnonzero(count)
             t = grow_subtree(bins[b], _weights(count[b], label[b], weight[b]), tree, root, seed, n_sub, min_leaf, max_depth)
@@ -405,26 +508,14 @@ def grow_forest(rows: DataFrame, train: Column, score: Column, num_trees: int, f
             leaf = _walk(t, bins)
             votes += _share(t["w0"][leaf], t["w1"][leaf])
         made = ids[score_]
-        frames.append(_out(len(made), {"tree": np.full(len(made), group), "top": np.full(len(made), root), "_id": made, "vote": votes[score_]}, {}))
+        frames.append(_out(len(made), {"tree": np.full(len(made), tree), "top": np.full(len(made), root), "_id": made, "vote": votes[score_]}, {}))
         return pa.concat_tables(frames)
 
-    groups = -(-num_trees // a_group)
-    if whole:
-        pairs = slim.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"),
-                            F.lit(0).alias("top"), F.lit(0).cast("long").alias("part"))
-    else:
-        groups += sum(map(len, top.values()))
-        pairs = slim.mapInPandas(deal, _SLIM + ", grp int, top int, part long")
-    # As many tasks as groups, up to some a core, then some groups a task: these are long, their bytes few.
-    tasks = min(groups, max(8 * spark.sparkContext.defaultParallelism, groups // 8))
+    pairs = slim.mapInPandas(deal, _SLIM + ", grp int, top int, part long")
+    tasks = _tasks(slim.sparkSession, num_trees + sum(map(len, top.values())))
     grown = stage_shared(pairs.repartition(tasks, "grp", "top", "part").groupBy("grp", "top", "part").applyInArrow(grow, _OUT), "forest")
-    nodes, votes = grown.where("node IS NOT NULL").select(*[c.split()[0] for c in _NODE.split(", ")]), grown.where("_id IS NOT NULL")
-    if not whole:
-        nodes, votes = _with_top(nodes, votes, top, closed, splits)
-    raw = votes.groupBy("_id").agg(F.sum("vote").alias("_votes"))
-    p = F.col("_votes") / F.lit(float(num_trees))
-    scored = rows.join(raw, "_id").select(*other, p.alias("probability"), (F.col("_votes") * 2 > num_trees).cast("double").alias("prediction"))
-    return Forest(nodes, scored, n_features)
+    nodes, votes = _split_output(grown)
+    return _with_top(nodes, votes, top, closed, splits) if top or closed else (nodes, votes)
 
 
 def _with_top(nodes, votes, top, closed, splits):

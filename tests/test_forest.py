@@ -97,6 +97,54 @@ def test_large_nodes_that_cannot_split_are_dealt_in_parts(spark, monkeypatch):
     assert forest.scored.select(F.round("probability", 9)).distinct().count() == 1
 
 
+@pytest.mark.parametrize("subtree_rows", [100_000, 40])
+def test_leaf_sizes_grown_together_equal_single_forests(spark, monkeypatch, subtree_rows):
+    rows = rows_of(spark).checkpoint()
+    monkeypatch.setattr(FO, "SUBTREE_ROWS", subtree_rows)
+    both = FO.grow_forests(rows, F.col("split") == "train", F.lit(True), 6, "2", [2, 20], 30, 256, 42)
+    plain = lambda rs: sorted(tuple(-1 if x is None else x for x in r) for r in rs)
+    for leaf in (2, 20):
+        one = grown(rows, monkeypatch, subtree_rows, min_leaf=leaf)
+        assert "_min_leaf" not in one.nodes.columns + one.scored.columns
+        for got, alone in ((both.nodes, one.nodes), (both.scored, one.scored)):
+            cols = [F.round(c, 9) if t == "double" else c for c, t in alone.dtypes if c != "features"]
+            assert plain(got.where(F.col("_min_leaf") == leaf).select(*cols).collect()) == plain(alone.select(*cols).collect())
+
+
+def test_groups_of_trees_are_dealt_evenly(spark, monkeypatch):
+    """A task of its own for every group: hashed group numbers would put several into one task."""
+    made, stage = {}, FO.stage_shared
+
+    def staged(df, name):
+        made[name] = stage(df.withColumn("vote", F.spark_partition_id().cast("double")) if name == "forest" else df, name)
+        return made[name]
+    monkeypatch.setattr(FO, "stage_shared", staged)
+    grown(rows_of(spark, n=60), monkeypatch, trees=48)
+    groups = made["forest"].where("node IS NOT NULL").groupBy("vote").agg(F.count_distinct("tree").alias("n")).collect()
+    assert [r.n for r in groups] == [FO.TREES_A_GROUP] * 12
+
+
+def test_only_columns_of_more_than_two_bins_are_sorted(monkeypatch):
+    """Columns of two bins are summed over their ones; the splits are those of sorting every column."""
+    rnd = np.random.default_rng(3)
+    bins = np.concatenate([rnd.random((400, 9)) < 0.2, rnd.integers(0, 2, (400, 2)), np.zeros((400, 1)), rnd.integers(0, 50, (400, 2))],
+                          axis=1).astype(np.uint8)
+    w = FO._weights(rnd.integers(1, 4, 400), rnd.integers(0, 2, 400), np.ones(400))
+    rows, sizes, subset = rnd.permutation(400), np.array([250, 1, 149]), np.tile(np.arange(14), (3, 1))
+    sorted_, argsort = [], np.argsort
+    monkeypatch.setattr(FO.np, "argsort", lambda a, *k, **kw: (sorted_.append(np.shape(a)), argsort(a, *k, **kw))[1])
+    feature, cut, gain = FO._split_level(FO._Columns(bins), rows, sizes, w, subset, 5)
+    assert max(s[0] for s in sorted_ if len(s) == 2 and s[1] == 400) == 2
+    for v, part in enumerate(np.split(rows, np.cumsum(sizes)[:-1])):
+        found = [(-1e-12, -1, 0)]
+        for f in range(14):
+            for c in np.unique(bins[part, f])[:-1]:
+                l, t = w[part[bins[part, f] <= c]].sum(axis=0), w[part].sum(axis=0)
+                if min(l[0], t[0] - l[0]) >= 5:
+                    found.append((-float(FO._gains(l[1], l[2], t[1], t[2])), f, c))
+        assert (feature[v], cut[v]) == min(found)[1:] and abs(gain[v] - max(0.0, -min(found)[0])) < 1e-11
+
+
 def test_bootstrap_counts_are_poisson_and_need_only_row_and_tree():
     ids = np.arange(200_000)
     a, b = FO.bag_counts(ids, 3, 42, 10), FO.bag_counts(ids, 4, 42, 10)
