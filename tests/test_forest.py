@@ -119,7 +119,7 @@ def test_groups_of_trees_are_dealt_evenly(spark, monkeypatch):
         made[name] = stage(df.withColumn("vote", F.spark_partition_id().cast("double")) if name == "forest" else df, name)
         return made[name]
     monkeypatch.setattr(FO, "stage_shared", staged)
-    grown(rows_of(spark, n=60), monkeypatch, trees=48)
+    grown(rows_of(spark, n=60), monkeypatch, trees=12 * FO.TREES_A_GROUP)
     groups = made["forest"].where("node IS NOT NULL").groupBy("vote").agg(F.count_distinct("tree").alias("n")).collect()
     assert [r.n for r in groups] == [FO.TREES_A_GROUP] * 12
 
