@@ -4,7 +4,9 @@ MLlib sums a full histogram (features x bins) for every node in every task, also
 handful of rows; trees without a depth limit have as many such nodes as rows, so memory, shuffle and
 time were those of the histograms.  Here, as in PLANET, only nodes of more than ``SUBTREE_ROWS`` rows
 are split from histograms summed by Spark, one job a level.  A smaller node's rows are dealt to
-one group, whose task grows the rest of the tree and scores the rows that were dealt to it.
+one group, whose task grows the rest of the tree and scores the rows that were dealt to it.  Inside a task
+a node of many rows is split from histograms, one of few by sorting; forests that differ in their least
+leaf only share every node that the leaf size leaves alike.
 
 The rules are MLlib's: split candidates from (weighted) counts of values in a sample of ``max_bins``
 squared rows, Poisson(1) bootstrap, a random feature subset a node, Gini gain, least bagged rows a
@@ -28,10 +30,14 @@ from pyspark.sql import functions as F
 
 from tenure.session import stage_shared
 
-SUBTREE_ROWS = 100_000       # bagged rows of a node that one task may finish
-TREES_A_GROUP = 4            # trees grown from one dealt copy of a row
+SUBTREE_ROWS = 500_000       # bagged rows of a node that one task may finish
+TREES_A_GROUP = 3            # trees grown from one dealt copy of a row
 LEVEL_NODES = 256            # nodes sorted together: (node, bin) fits 16 bits
-LEVEL_ROWS = 20_000          # rows sorted together, but for a single larger node
+LEVEL_ROWS = 20_000          # rows sorted or summed together, but for a single larger node
+SUMMED_ROWS = 128            # rows from which a node is split by histograms, not by sorting
+SUMMED_NODES = 32            # nodes whose histograms are held together
+SHARED_TRIED = 8             # shared bytes tried for a column of two bins
+WALKED_ROWS = 200            # rows of a node that walk down by themselves
 LEAST_GAIN = 1e-12           # below: rounding
 PURE = 1e-12
 LIVE_SUMS = 200              # histograms held before a task hands them on
@@ -40,8 +46,16 @@ _NODE = ("tree int, node int, left int, right int, feature int, threshold double
          "weight double, impurity double, w0 double, w1 double")
 _SLIM = "_id long, label double, weight double, _train boolean, _score boolean, bins binary"
 _OUT = _NODE + ", top int, _id long, vote double"
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
-_SCHEMA = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in _OUT.split(", ")])
+_BLOCK = "block long, ids binary, label binary, weight binary, train binary, score binary, bins binary"
+_WHOLE = _NODE + ", _min_leaf int, block long, ids binary, votes binary"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in ddl.split(", ")])
+
+
+_SCHEMA = _arrow_schema(_OUT)
 
 
 @dataclass
@@ -114,6 +128,42 @@ def _binned(rows: DataFrame, splits: list[np.ndarray]) -> DataFrame:
                 .mapInPandas(bins, _SLIM))
 
 
+def _blocks(rows: DataFrame, splits: list[np.ndarray]) -> DataFrame:
+    """As ``_binned``, a batch of rows a record: arrays of the rows' numbers, labels, weights and flags, and their
+    bins column by column.  A forest deals every row to many tasks; a record a row would cost more than its tree."""
+    def pack(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(n, len(splits))
+            bins = np.stack([np.searchsorted(s, x[:, i], side="left").astype(np.uint8) for i, s in enumerate(splits)])
+            ids, label, weight, train, score = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "label", "weight", "_train", "_score"))
+            yield pa.RecordBatch.from_pylist([{
+                "block": int(ids[0]), "ids": ids.astype(np.int64).tobytes(), "label": label.astype(float).tobytes(),
+                "weight": weight.astype(float).tobytes(), "train": train.astype(bool).tobytes(), "score": score.astype(bool).tobytes(),
+                "bins": bins.tobytes()}], _arrow_schema(_BLOCK))
+
+    return (rows.select("_id", "label", "weight", "_train", "_score", vector_to_array("features").alias("features"))
+                .mapInArrow(pack, _BLOCK))
+
+
+def _unpacked(table: pa.Table, n: int):
+    """The rows of all blocks, in the order of the blocks' numbers: numbers, bins (rows x features), labels, weights,
+    flags, and each block's number and end."""
+    number = table["block"].to_numpy()
+    order = np.argsort(number)
+    each = lambda c, t: (np.frombuffer(table[c][int(i)].as_buffer(), t) for i in order)
+    ids = list(each("ids", np.int64))
+    ends, ids = np.cumsum([len(i) for i in ids]), np.concatenate(ids)
+    bins, start = np.empty((n, len(ids)), np.uint8), 0
+    for b, end in zip(each("bins", np.uint8), ends):
+        bins[:, start:end] = b.reshape(n, -1)
+        start = end
+    joined = (np.concatenate(list(each(c, t))) for c, t in (("label", float), ("weight", float), ("train", bool), ("score", bool)))
+    return (ids, bins.T, *joined, list(zip(number[order].tolist(), ends)))
+
+
 def _subset(seed: int, tree: int, nodes: np.ndarray, n: int, m: int) -> np.ndarray:
     """``m`` of ``n`` features a node, drawn by the tree's and the node's numbers: smallest hashes win."""
     if m >= n:
@@ -150,105 +200,248 @@ def _first_best(node: np.ndarray, gain: np.ndarray, n: int, place: np.ndarray) -
 
 
 class _Columns:
-    """The bins of a subtree's rows: columns of two bins as the rows' ones (few, where one-hot), the others whole."""
+    """The bins of rows, a column of bytes each.  Columns of two bins of which no row has two ones share a byte, the
+    number of the one, so that the levels of a one-hot variable are summed together."""
 
     def __init__(self, bins):
-        two = bins.max(axis=0, initial=0) <= 1
+        two = bins.T.max(axis=1, initial=0) <= 1
         self.two, self.many, self.shape = np.flatnonzero(two), np.flatnonzero(~two), bins.shape
-        self.values = np.zeros((len(self.many) + 1, len(bins)), np.uint16)             # a column a row; the last one is empty
-        self.values[:-1] = bins[:, self.many].T
-        row, self.one = np.nonzero(bins[:, self.two])
-        self.ones = np.bincount(row, minlength=len(bins))
-        self.start = np.cumsum(self.ones) - self.ones
-
-    def ones_of(self, rows):
-        """The ones of ``rows``: (position in ``rows``, position in ``two``) each."""
-        n = self.ones[rows]
-        at = np.repeat(np.arange(len(rows)), n)
-        return at, self.one[np.arange(len(at)) + (self.start[rows] - np.cumsum(n) + n)[at]]
+        shared, used, self.byte, self.code = [], [], np.zeros(len(self.two), np.int64), np.zeros(len(self.two), np.int64)
+        for i, f in enumerate(self.two):
+            ones = np.flatnonzero(bins[:, f].astype(bool))
+            for k in range(len(shared) - 1, max(-1, len(shared) - 1 - SHARED_TRIED), -1):
+                if used[k] < 255 and not shared[k][ones[:256]].any() and not shared[k][ones].any():
+                    break
+            else:
+                k = len(shared)
+                shared.append(np.zeros(len(bins), np.uint8))
+                used.append(0)
+            used[k] += 1
+            shared[k][ones] = used[k]
+            self.byte[i], self.code[i] = k, used[k]
+        self.shared, self.empty = len(shared), len(self.many) + len(shared)
+        self.values = np.zeros((self.empty + 1, len(bins)), np.uint8)                  # the last one is empty
+        for i, f in enumerate(self.many):
+            self.values[i] = bins[:, f]
+        for k in range(len(shared)):
+            self.values[len(self.many) + k] = shared[k]
+        self.one = np.full((len(shared), 256), len(self.two))                          # (byte, number): position in ``two``
+        self.one[self.byte, self.code] = np.arange(len(self.two))
+        # A row goes right if its byte lies above ``low`` (a column of many bins: above the cut) and not above ``high``.
+        self.row, self.low, self.high = (np.zeros(bins.shape[1], np.int64) for _ in range(3))
+        self.row[self.many], self.high[self.many] = np.arange(len(self.many)), 255
+        self.row[self.two], self.low[self.two], self.high[self.two] = len(self.many) + self.byte, self.code - 1, self.code
+
+    def right_of(self, rows, feature, cut):
+        """Which of ``rows`` lie above the cuts of their features."""
+        at = self.row[feature]
+        x = self.values[at].take(rows) if np.ndim(at) == 0 else self.values.ravel().take(at * self.shape[0] + rows)
+        return (x > self.low[feature] + cut) & (x <= self.high[feature])
 
 
-def _split_level(cols: _Columns, rows, sizes, w, subset, min_leaf):
-    """Best (feature, bin, gain) of each node of a chunk; ``rows`` lie node by node, ``sizes`` are theirs.
-    Columns of two bins are summed over their ones; one stable sort a slot of the other features by
-    (node, bin) puts a node's values in order."""
-    n, node, sums = len(sizes), np.repeat(np.arange(len(sizes)), sizes), w[rows]
-    total = np.add.reduceat(sums, np.cumsum(sizes) - sizes, axis=0)
-    drawn = np.zeros((n, cols.shape[1]), bool)
+@dataclass
+class _Bag:
+    """What a tree weighs its rows with: ``sums`` has each row's count, weight of class 0 and of class 1, all to be
+    multiplied by ``scale``; ``unit`` is the weight of its own class, ``side`` 256 for class 1.  Where a class has one
+    weight, units are counts (``counts``)."""
+    sums: np.ndarray
+    unit: np.ndarray
+    side: np.ndarray
+    scale: np.ndarray
+    counts: bool
+    positive: bool
+
+    @staticmethod
+    def of(count, label, weight):
+        one = label > 0
+        same = [np.unique(weight[(one == k) & (count > 0)][[0, -1]]) if ((one == k) & (count > 0)).any() else np.ones(1) for k in (False, True)]
+        counts = all(len(s) == 1 and (weight[(one == k) & (count > 0)] == s[0]).all() for k, s in zip((False, True), same))
+        unit = count.astype(float) if counts else count * weight
+        scale = np.array([1.0, same[0][0], same[1][0]]) if counts else np.ones(3)
+        sums = np.stack([count.astype(float), unit * ~one, unit * one])
+        return _Bag(sums, unit, one * 256, scale, counts, bool((weight[count > 0] > 0).all()))
+
+
+def _drawn(cols: _Columns, subset):
+    """Of the features drawn by each node: which columns of two bins, and the rows of ``values`` of the others,
+    a node's own first, then the empty one."""
+    drawn = np.zeros((len(subset), cols.shape[1]), bool)
     np.put_along_axis(drawn, subset, True, axis=1)
+    many = drawn[:, cols.many]
+    width = int(many.sum(axis=1).max(initial=0))
+    slots = np.argsort(~many, axis=1, kind="stable")[:, :width]
+    slots[~np.take_along_axis(many, slots, axis=1)] = cols.empty
+    return drawn[:, cols.two], slots
 
-    two = drawn[:, cols.two]
-    at, one = cols.ones_of(rows)
-    cell = node[at] * len(cols.two) + one
-    ones = [np.bincount(cell, sums[at, i], two.size).reshape(two.shape) for i in range(3)]
-    two &= (ones[0] > 0) & (ones[0] < total[:, :1])
+
+def _totals(w, rows, sizes):
+    """The sums of ``w`` (columns as rows) over each node's rows, a node a row."""
+    return np.stack([np.add.reduceat(c[rows], np.cumsum(sizes) - sizes) for c in w], axis=1)
+
+
+def _sorted_candidates(cols: _Columns, rows, sizes, w, subset, total):
+    """Every place where a node may be split: (node, feature, bin, sums to the left).  ``rows`` lie node by node,
+    ``sizes`` and ``total`` are theirs.  One stable sort a slot of the drawn columns by (node, bin) puts a node's
+    values in order; columns of two bins are summed over their ones."""
+    n, node, sums = len(sizes), np.repeat(np.arange(len(sizes)), sizes), [c[rows] for c in w]
+    two, slots = _drawn(cols, subset)
+    ones, wide = np.zeros((3, n, len(cols.two) + 1)), len(cols.two) + 1
+    for k in range(cols.shared):
+        cell = cols.one[k].take(cols.values[len(cols.many) + k].take(rows)) + node * wide
+        for i in range(3):
+            ones[i] += np.bincount(cell, sums[i], n * wide).reshape(n, wide)
+    two &= (ones[0, :, :-1] > 0) & (ones[0, :, :-1] < total[:, :1])
     here, slot = np.nonzero(two)
-    left = [[total[here, i] - ones[i][here, slot]] for i in range(3)]
+    left = [[total[here, i] - ones[i, here, slot]] for i in range(3)]
     found, feature, cut = [here], [cols.two[slot]], [np.zeros(len(here), np.int64)]
 
-    many = drawn[:, cols.many]
-    width = int(many.sum(axis=1).max(initial=0))
-    if width:
-        slots = np.argsort(~many, axis=1, kind="stable")[:, :width]                    # a node's own first, then the empty column
-        slots[~np.take_along_axis(many, slots, axis=1)] = len(cols.many)
+    if slots.shape[1]:
         key = cols.values.ravel().take((slots * cols.shape[0]).T[:, node] + rows) + (node * 256).astype(np.uint16)
         order = np.argsort(key, axis=1, kind="stable")
         key = np.take_along_axis(key, order, axis=1)
         slot, at = np.nonzero((key[:, 1:] != key[:, :-1]) & (node[1:] == node[:-1]))   # a value ends here, not its node
         here, before = node[at], np.cumsum(total, axis=0) - total
         for i in range(3):
-            left[i].append(np.cumsum(np.ascontiguousarray(sums[:, i])[order], axis=1)[slot, at] - before[here, i])
+            left[i].append(np.cumsum(sums[i][order], axis=1)[slot, at] - before[here, i])
         found.append(here)
         feature.append(cols.many[slots[here, slot]])
         cut.append((key[slot, at] & 255).astype(np.int64))
+    return np.concatenate(found), np.concatenate(feature), np.concatenate(cut), [np.concatenate(x) for x in left]
+
+
+def _summed_candidates(cols: _Columns, rows, sizes, bag: _Bag, subset, total, least):
+    """As ``_sorted_candidates``, for nodes of many rows: a histogram of both classes a drawn column and a shared byte.
+    Counts are only summed where units are none and a leaf must have more than one row."""
+    n, node = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    two, slots = _drawn(cols, subset)
+    width = slots.shape[1]
+    counted = not bag.counts and (least > 1 or not bag.positive)
+    sums, rows_of = np.empty((2, width + cols.shared, n, 256)), np.empty((width + cols.shared, n, 256))
+    unit, count = bag.unit[rows], None if bag.counts else bag.sums[0][rows]
+    cell = bag.side[rows] + node * 512 if n > 1 else bag.side[rows]
+    for s in range(width + cols.shared):
+        if s >= width or n == 1:
+            at = cols.values[len(cols.many) + s - width if s >= width else slots[0, s]].take(rows)
+        else:
+            at = cols.values.ravel().take((slots[:, s] * cols.shape[0])[node] + rows)
+        at = at + cell
+        h = np.bincount(at, unit, n * 512).reshape(n, 2, 256)
+        sums[0, s], sums[1, s] = h[:, 0], h[:, 1]
+        if counted or (s >= width and not bag.counts):
+            h = np.bincount(at, count, n * 512).reshape(n, 2, 256)
+        rows_of[s] = h[:, 0] + h[:, 1]
+
+    ones = [a[width:][cols.byte, :, cols.code].T for a in (rows_of, sums[0], sums[1])]   # node x column of two bins
+    two &= (ones[0] > 0) & (ones[0] < total[:, :1])
+    here, slot = np.nonzero(two)
+    left = [[total[here, i] - ones[i][here, slot]] for i in range(3)]
+    found, feature, cut = [here], [cols.two[slot]], [np.zeros(len(here), np.int64)]
+
+    at = np.flatnonzero(rows_of[:width] > 0)
+    at = at[:-1][at[1:] >> 8 == at[:-1] >> 8]                                          # a value ends here, not its node
+    slot, here = np.divmod(at >> 8, n)
+    for i, a in enumerate((rows_of, sums[0], sums[1])):
+        left[i].append(np.cumsum(a[:width], axis=2).ravel()[at] if i or counted or bag.counts else np.full(len(at), np.inf))
+    found.append(here)
+    feature.append(cols.many[slots[here, slot]] if width else slot)
+    cut.append(at & 255)
+    return np.concatenate(found), np.concatenate(feature), np.concatenate(cut), [np.concatenate(x) for x in left]
+
+
+def _choose(total, here, feature, cut, left, scale, min_leafs):
+    """Best (feature, bin, gain) of each node for each of ``min_leafs``: arrays of leaf sizes x nodes; feature -1 without a split."""
+    n, out = len(total), [np.full((len(min_leafs), len(total)), -1), np.zeros((len(min_leafs), len(total)), np.int64), np.zeros((len(min_leafs), len(total)))]
+    if not len(here):
+        return out
+    gain = _gains(left[1] * scale[1], left[2] * scale[2], total[here, 1] * scale[1], total[here, 2] * scale[2])
+    smaller = np.minimum(left[0], total[here, 0] - left[0]) if np.isfinite(left[0]).all() else None    # no counts: no side is empty
+    for i, leaf in enumerate(min_leafs):
+        fits = gain if smaller is None else np.where(smaller < leaf, -1.0, gain)
+        best = _first_best(here, fits, n, feature * 256 + cut)
+        for a, x in zip(out, (feature, cut, fits)):
+            a[i] = np.where(best >= 0, x[best], a[i])
+    return out
+
+
+def _split_level(cols: _Columns, rows, sizes, w, subset, min_leaf):
+    """Best (feature, bin, gain) of each node of a chunk, ``rows`` sorted by value."""
+    total = _totals(w.T, rows, sizes)
+    return [a[0] for a in _choose(total, *_sorted_candidates(cols, rows, sizes, w.T, subset, total), np.ones(3), [min_leaf])]
+
 
-    here, feature, cut = np.concatenate(found), np.concatenate(feature), np.concatenate(cut)
-    left = [np.concatenate(x) for x in left]
-    gain = _gains(left[1], left[2], total[here, 1], total[here, 2])
-    gain[(left[0] < min_leaf) | (total[here, 0] - left[0] < min_leaf)] = -1.0
-    best = _first_best(here, gain, n, feature * 256 + cut)
-    if not len(gain):
-        return best, np.zeros(n, np.int64), np.zeros(n)
-    return np.where(best >= 0, feature[best], -1), np.where(best >= 0, cut[best], 0), np.where(best >= 0, gain[best], 0.0)
-
-
-def grow_subtree(bins, w, tree, root, seed, n_sub, min_leaf, max_depth):
-    """A tree below ``root`` over its bagged rows: ``w`` has a row's count and its class weights.
-    Nodes by level as arrays (number, left and right position or -1, feature, bin, gain, w0, w1), equal leaves merged."""
-    cols = {k: [] for k in ("node", "left", "right", "feature", "cut", "gain", "w0", "w1")}
-    ids, rows, sizes, made, depth = np.array([root]), np.arange(len(bins)), np.array([len(bins)]), 0, int(root + 1).bit_length() - 1
-    levels, columns = [], _Columns(bins)
+def grow_subtrees(cols: _Columns, rows, bag: _Bag, tree, root, seed, n_sub, min_leafs, max_depth):
+    """A tree below ``root`` over the bagged ``rows`` for each of ``min_leafs``: nodes by level as arrays (number, left and
+    right position or -1, feature, bin, gain, w0, w1), equal leaves merged.
+
+    The trees have the same rows and draw the same features, so they differ only below nodes where a leaf size
+    forbids a split: a node is split once for all trees that still share it (``alive``: leaf sizes x nodes)."""
+    keys, least = ("node", "left", "right", "feature", "cut", "gain", "w0", "w1"), min(min_leafs)
+    out = [{k: [] for k in keys} for _ in min_leafs]
+    made, levels = np.zeros(len(min_leafs), np.int64), [[] for _ in min_leafs]
+    ids, sizes, alive, depth = np.array([root]), np.array([len(rows)]), np.ones((len(min_leafs), 1), bool), int(root + 1).bit_length() - 1
     while len(ids):
-        total = np.add.reduceat(w[rows], np.cumsum(sizes) - sizes, axis=0) if len(rows) else np.zeros((len(ids), 3))
-        feature, cut, gain = np.full(len(ids), -1), np.zeros(len(ids), np.int64), np.zeros(len(ids))
-        open_ = (_gini(total[:, 1], total[:, 2]) > PURE) & (total[:, 0] >= 2 * min_leaf) & (depth < max_depth)
-        keep = np.repeat(open_, sizes)
-        rows, which, part = rows[keep], np.flatnonzero(open_), sizes[open_]
-        ends, i = np.cumsum(part), 0
-        while i < len(which):
-            first = ends[i] - part[i]
-            j = min(max(i + 1, int(np.searchsorted(ends, first + LEVEL_ROWS, side="right"))), i + LEVEL_NODES)
-            at = which[i:j]
-            feature[at], cut[at], gain[at] = _split_level(columns, rows[first:ends[j - 1]], part[i:j], w,
-                                                          _subset(seed, tree, ids[at], bins.shape[1], n_sub), min_leaf)
-            i = j
-        split = feature >= 0
-        child = made + len(ids) + 2 * (np.cumsum(split) - 1)
-        for k, v in zip(cols, (ids, np.where(split, child, -1), np.where(split, child + 1, -1), feature, cut, gain, total[:, 1], total[:, 2])):
-            cols[k].append(v)
-        levels.append((made, made + len(ids)))
-        made += len(ids)
-        of = np.repeat(which, part)
-        rows, of = rows[split[of]], of[split[of]]
-        right = bins[rows, feature[of]] > cut[of]
-        below = 2 * (np.cumsum(split) - 1)[of] + right
-        rows = rows[np.argsort(below, kind="stable")]
-        sizes = np.bincount(below, minlength=2 * int(split.sum()))
-        ids = np.stack([2 * ids[split] + 1, 2 * ids[split] + 2], axis=1).ravel()
+        sums = _totals(bag.sums, rows, sizes) if len(rows) else np.zeros((len(ids), 3))
+        total = sums * bag.scale
+        feature, cut, gain = (np.full(alive.shape, -1), np.zeros(alive.shape, np.int64), np.zeros(alive.shape))
+        open_ = alive & (_gini(total[:, 1], total[:, 2]) > PURE) & (total[:, 0] >= 2 * np.array(min_leafs)[:, None]) & (depth < max_depth)
+        large = sizes >= SUMMED_ROWS
+        for summed in (True, False):
+            here = open_.any(axis=0) & (large == summed)
+            mine = rows if here.all() else rows[np.repeat(here, sizes)]
+            which, part, i = np.flatnonzero(here), sizes[here], 0
+            ends = np.cumsum(part)
+            while i < len(which):
+                first = ends[i] - part[i]
+                j = min(max(i + 1, int(np.searchsorted(ends, first + LEVEL_ROWS, side="right"))), i + (SUMMED_NODES if summed else LEVEL_NODES))
+                at, some = which[i:j], mine[first:ends[j - 1]]
+                subset = _subset(seed, tree, ids[at], cols.shape[1], n_sub)
+                found = (_summed_candidates(cols, some, part[i:j], bag, subset, sums[at], least) if summed
+                         else _sorted_candidates(cols, some, part[i:j], bag.sums, subset, sums[at]))
+                feature[:, at], cut[:, at], gain[:, at] = _choose(sums[at], *found, bag.scale, min_leafs)
+                i = j
+        split = open_ & (feature >= 0)
+        for k in range(len(min_leafs)):
+            here = np.flatnonzero(alive[k])
+            child = np.where(split[k, here], made[k] + len(here) + 2 * (np.cumsum(split[k, here]) - 1), -1)
+            for name, v in zip(keys, (ids[here], child, np.where(child >= 0, child + 1, -1), np.where(child >= 0, feature[k, here], -1),
+                                      cut[k, here], np.where(child >= 0, gain[k, here], 0.0), total[here, 1], total[here, 2])):
+                out[k][name].append(v)
+            levels[k].append((made[k], made[k] + len(here)))
+            made[k] += len(here)
+        rows, sizes, ids, alive = _below(cols, rows, sizes, ids, split, feature, cut)
         depth += 1
-    t = {k: np.concatenate(v) for k, v in cols.items()}
+    return [_merged({k: np.concatenate(v) for k, v in t.items()}, ends) for t, ends in zip(out, levels)]
+
+
+def _below(cols: _Columns, rows, sizes, ids, split, feature, cut):
+    """The next level: two children of every split, which several trees share where they split a node alike."""
+    code = np.where(split, feature * 256 + cut, -1)
+    owner = np.zeros(code.shape, np.int64)
+    for k in range(len(code)):                                 # the first tree that splits the node so
+        owner[k] = np.argmax(code[:k + 1] == code[k], axis=0)
+    of, who = np.nonzero((split & (owner == np.arange(len(code))[:, None])).T)
+    alive = np.repeat(split[:, of] & (owner[:, of] == who), 2, axis=1)
+    start, part = np.cumsum(sizes) - sizes, sizes[of]
+    if len(of):
+        at = np.repeat(start[of] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+        rows, f, c = rows[at], feature[who, of], cut[who, of]
+    else:
+        rows, f, c = rows[:0], of, of
+    if len(of) == 1:
+        right = cols.right_of(rows, f[0], c[0])
+        rows, sizes = np.concatenate([rows[~right], rows[right]]), np.array([len(rows) - right.sum(), right.sum()])
+    else:
+        below = np.repeat(np.arange(len(of)), part)
+        below = 2 * below + cols.right_of(rows, f[below], c[below])
+        rows = rows[np.argsort(below.astype(np.uint16) if 2 * len(of) <= 65_536 else below, kind="stable")]
+        sizes = np.bincount(below, minlength=2 * len(of))
+    return rows, sizes, np.stack([2 * ids[of] + 1, 2 * ids[of] + 2], axis=1).ravel(), alive
+
+
+def _merged(t, levels):
+    """Bottom up, equal leaves become their parent."""
     says = t["w1"] > t["w0"]
-    for start, end in reversed(levels):                        # bottom up: equal leaves become their parent
+    for start, end in reversed(levels):
         p = np.arange(start, end)[t["left"][start:end] >= 0]
         l, r = t["left"][p], t["right"][p]
         p = p[(t["left"][l] < 0) & (t["left"][r] < 0) & (says[l] == says[r])]
@@ -256,14 +449,22 @@ def grow_subtree(bins, w, tree, root, seed, n_sub, min_leaf, max_depth):
     return t
 
 
-def _walk(t, bins) -> np.ndarray:
-    """Each row's leaf."""
-    at, going = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    while len(going):
-        going = going[t["left"][at[going]] >= 0]
-        here = at[going]
-        at[going] = np.where(bins[going, t["feature"][here]] <= t["cut"][here], t["left"][here], t["right"][here])
-    return at
+def _walk(t, cols: _Columns, rows) -> np.ndarray:
+    """The leaf of each of ``rows``: those of a node are parted together, the last few walk on by themselves."""
+    leaf, stack, few = np.zeros(len(rows), np.int64), [(0, np.arange(len(rows)))], []
+    while stack:
+        v, here = stack.pop()
+        if t["left"][v] < 0 or len(here) < WALKED_ROWS:
+            leaf[here] = v
+            few.append(here)
+            continue
+        right = cols.right_of(rows[here], t["feature"][v], t["cut"][v])
+        stack += [(t["left"][v], here[~right]), (t["right"][v], here[right])]
+    going = np.concatenate(few)
+    while len(going := going[t["left"][leaf[going]] >= 0]):
+        v = leaf[going]
+        leaf[going] = np.where(cols.right_of(rows[going], t["feature"][v], t["cut"][v]), t["right"][v], t["left"][v])
+    return leaf
 
 
 def _share(w0, w1):
@@ -271,7 +472,7 @@ def _share(w0, w1):
         return np.where(w0 + w1 > 0, w1 / (w0 + w1), 0.0)
 
 
-def _node_rows(t, tree, splits) -> pa.Table:
+def _node_rows(t, tree, splits, schema: pa.Schema = _SCHEMA, **more) -> pa.Table:
     live, stack = np.zeros(len(t["node"]), bool), np.array([0])
     while len(stack):                                          # what is left of the tree after merging
         live[stack] = True
@@ -281,21 +482,21 @@ def _node_rows(t, tree, splits) -> pa.Table:
     inner, ids = n["left"] >= 0, n["node"]
     at = [splits[f][b] if i else 0.0 for f, b, i in zip(n["feature"], n["cut"], inner)]
     return _out(len(ids), {"tree": np.full(len(ids), tree), "node": ids, "weight": n["w0"] + n["w1"],
-                           "impurity": _gini(n["w0"], n["w1"]), "w0": n["w0"], "w1": n["w1"]},
+                           "impurity": _gini(n["w0"], n["w1"]), "w0": n["w0"], "w1": n["w1"]} | {k: np.full(len(ids), v) for k, v in more.items()},
                 {"left": t["node"][n["left"]], "right": t["node"][n["right"]], "feature": n["feature"],
-                 "threshold": at, "gain": n["gain"]}, ~inner)
+                 "threshold": at, "gain": n["gain"]}, ~inner, schema)
 
 
-def _out(n: int, known: dict, partly: dict, missing: np.ndarray | None = None) -> pa.Table:
-    """``n`` rows of ``_OUT``: columns that are whole, that are null at ``missing``, and null ones."""
+def _out(n: int, known: dict, partly: dict, missing: np.ndarray | None = None, schema: pa.Schema = _SCHEMA) -> pa.Table:
+    """``n`` rows of ``schema``: columns that are whole, that are null at ``missing``, and null ones."""
     cols = []
-    for c in _SCHEMA:
+    for c in schema:
         if c.name in known or c.name in partly:
             v = np.asarray(known[c.name] if c.name in known else partly[c.name]).astype(c.type.to_pandas_dtype())
             cols.append(pa.array(v, c.type, mask=None if c.name in known else missing))
         else:
             cols.append(pa.nulls(n, c.type))
-    return pa.Table.from_arrays(cols, schema=_SCHEMA)
+    return pa.Table.from_arrays(cols, schema=schema)
 
 
 def _matrix(pdf: pd.DataFrame, n: int):
@@ -303,6 +504,14 @@ def _matrix(pdf: pd.DataFrame, n: int):
     return pdf["_id"].to_numpy(), bins, pdf["label"].to_numpy(), pdf["weight"].to_numpy(), pdf["_train"].to_numpy(), pdf["_score"].to_numpy()
 
 
+def _matrix_of(table: pa.Table, n: int):
+    """As ``_matrix``, without an object a row."""
+    bins = table["bins"].cast(pa.binary()).combine_chunks()
+    start = np.frombuffer(bins.buffers()[1], np.int32)[bins.offset] if len(bins) else 0
+    bins = np.frombuffer(bins.buffers()[2], np.uint8)[start:start + len(bins) * n].reshape(-1, n)
+    return (table["_id"].to_numpy(), bins, *(table[c].to_numpy() for c in ("label", "weight", "_train", "_score")))
+
+
 def _weights(count, label, weight):
     return np.stack([count.astype(float), count * weight * (label == 0), count * weight * (label == 1)], axis=1)
 
@@ -424,58 +633,72 @@ def grow_forests(rows: DataFrame, train: Column, score: Column, num_trees: int,
     n_features = len(splits)
     n_sub = n_features if features == "all" else min(int(features), n_features)
     rows = stage_shared(rows.withColumn("_id", F.monotonically_increasing_id()), "forest_rows")    # the numbers are written once
-    slim = _binned(rows, splits)
     if size["n"] * 1.1 <= SUBTREE_ROWS:
-        nodes, votes = _grow_whole(slim, splits, num_trees, n_sub, min_leafs, max_depth, seed)
+        nodes, raw = _grow_whole(_blocks(rows, splits), splits, num_trees, n_sub, min_leafs, max_depth, seed)
     else:
-        slim = stage_shared(slim, "forest_bins")
+        slim = stage_shared(_binned(rows, splits), "forest_bins")
         each = [_grow_below_top(slim, splits, size["n"], num_trees, n_sub, leaf, max_depth, seed) for leaf in min_leafs]
         nodes, votes = (reduce(DataFrame.unionByName, [d.withColumn("_min_leaf", F.lit(leaf)) for d, leaf in zip(some, min_leafs)])
                         for some in zip(*each))
-    raw = votes.groupBy("_id", "_min_leaf").agg(F.sum("vote").alias("_votes"))
+        raw = votes.groupBy("_id", "_min_leaf").agg(F.sum("vote").alias("_votes"))
     p = F.col("_votes") / F.lit(float(num_trees))
     scored = rows.join(raw, "_id").select(*other, p.alias("probability"), (F.col("_votes") * 2 > num_trees).cast("double").alias("prediction"),
                                           "_min_leaf")
     return Forest(nodes, scored, n_features)
 
 
-def _split_output(grown: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    return (grown.where("node IS NOT NULL").select(*[c.split()[0] for c in _NODE.split(", ")], *more),
-            grown.where("_id IS NOT NULL"))
-
-
 def _tasks(spark, groups: int) -> int:
     """As many tasks as groups, up to some a core, then some groups a task: these are long, their bytes few."""
     return min(groups, max(8 * spark.sparkContext.defaultParallelism, groups // 8))
 
 
-def _grow_whole(slim, splits, num_trees, n_sub, min_leafs, max_depth, seed):
-    """Trees that a task grows from the root: ``TREES_A_GROUP`` trees a group, for every leaf size."""
+def _grow_whole(blocks, splits, num_trees, n_sub, min_leafs, max_depth, seed):
+    """Trees that a task grows from the root: ``TREES_A_GROUP`` trees a group, for every leaf size.  Their nodes, and each
+    scored row's sum of votes (added up block by block)."""
     n_features = len(splits)
 
+    schema = _arrow_schema(_WHOLE)
+
     def grow(key, table):
         group = key[0].as_py()
-        ids, bins, label, weight, train_, score_ = _matrix(table.to_pandas(), n_features)
-        made, scored = ids[score_], bins[score_]
-        nodes, votes = [], np.zeros((len(min_leafs), len(made)))
+        ids, bins, label, weight, train_, score_, blocks = _unpacked(table, n_features)
+        cols = _Columns(bins)
+        del bins
+        made, scored = [], np.flatnonzero(score_)
+        votes = np.zeros((len(min_leafs), len(scored)))
         for tree in range(group * TREES_A_GROUP, min((group + 1) * TREES_A_GROUP, num_trees)):
             count = bag_counts(ids, tree, seed, num_trees) * train_
-            b = np.flatnonzero(count)
-            bagged, w = bins[b], _weights(count[b], label[b], weight[b])
-            for i, leaf in enumerate(min_leafs):
-                t = grow_subtree(bagged, w, tree, 0, seed, n_sub, leaf, max_depth)
-                nodes.append((leaf, _node_rows(t, tree, splits)))
-                at = _walk(t, scored)
+            grown = grow_subtrees(cols, np.flatnonzero(count), _Bag.of(count, label, weight), tree, 0, seed, n_sub, min_leafs, max_depth)
+            for i, (leaf, t) in enumerate(zip(min_leafs, grown)):
+                made.append(_node_rows(t, tree, splits, schema, _min_leaf=leaf))
+                at = _walk(t, cols, scored)
                 votes[i] += _share(t["w0"][at], t["w1"][at])
-        nodes += [(leaf, _out(len(made), {"tree": np.full(len(made), group), "top": np.zeros(len(made)), "_id": made, "vote": v}, {}))
-                  for leaf, v in zip(min_leafs, votes)]
-        return pa.concat_tables([t.append_column("_min_leaf", pa.array(np.full(len(t), leaf), pa.int32())) for leaf, t in nodes])
+        first = 0
+        for block, end in blocks:
+            last = int(np.searchsorted(scored, end))
+            if last > first:
+                made.append(pa.Table.from_pylist([{"tree": group, "_min_leaf": leaf, "block": block, "votes": votes[i, first:last].tobytes(),
+                                                   "ids": ids[scored[first:last]].tobytes() if group == 0 else None}
+                                                  for i, leaf in enumerate(min_leafs)], schema))
+            first = last
+        return pa.concat_tables(made)
+
+    def add(key, table):
+        table = table.sort_by("tree")                          # the sums' order is that of the trees
+        ids = np.frombuffer(table["ids"][0].as_buffer(), np.int64)
+        votes = np.zeros(len(ids))
+        for v in table["votes"]:
+            votes += np.frombuffer(v.as_buffer(), float)
+        return pa.table({"_id": ids, "_min_leaf": np.full(len(ids), key[1].as_py(), np.int32), "_votes": votes})
 
     groups = -(-num_trees // TREES_A_GROUP)
-    dealt = slim.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    dealt = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     # By number, not by its hash: every task gets as many groups as the others.
-    dealt = dealt.repartitionById(_tasks(slim.sparkSession, groups), F.col("grp"))
-    return _split_output(stage_shared(dealt.groupBy("grp").applyInArrow(grow, _OUT + ", _min_leaf int"), "forest"), "_min_leaf")
+    dealt = dealt.repartitionById(_tasks(blocks.sparkSession, groups), F.col("grp"))
+    grown = stage_shared(dealt.groupBy("grp").applyInArrow(grow, _WHOLE), "forest")
+    raw = (grown.where("block IS NOT NULL").select("tree", "_min_leaf", "block", "ids", "votes")
+                .groupBy("block", "_min_leaf").applyInArrow(add, "_id long, _min_leaf int, _votes double"))
+    return grown.where("node IS NOT NULL").select(*[c.split()[0] for c in _NODE.split(", ")], "_min_leaf"), raw
 
 
 def _grow_below_top(slim, splits, n_rows, num_trees, n_sub, min_leaf, max_depth, seed):
@@ -496,16 +719,16 @@ def _grow_below_top(slim, splits, n_rows, num_trees, n_sub, min_leaf, max_depth,
 
     def grow(key, table):
         tree, root = key[0].as_py(), key[1].as_py()
-        ids, bins, label, weight, train_, score_ = _matrix(table.to_pandas(), n_features)
+        ids, bins, label, weight, train_, score_ = _matrix_of(table, n_features)
         frames, votes = [], np.zeros(len(ids))
         if (tree, root) in closed:
             votes += _share(*closed[tree, root][1:])
         else:
             count = bag_counts(ids, tree, seed, num_trees) * train_
-            b = np.flatnonzero(count)
-            t = grow_subtree(bins[b], _weights(count[b], label[b], weight[b]), tree, root, seed, n_sub, min_leaf, max_depth)
+            cols = _Columns(bins)
+            t, = grow_subtrees(cols, np.flatnonzero(count), _Bag.of(count, label, weight), tree, root, seed, n_sub, [min_leaf], max_depth)
             frames.append(_node_rows(t, tree, splits))
-            leaf = _walk(t, bins)
+            leaf = _walk(t, cols, np.arange(len(ids)))
             votes += _share(t["w0"][leaf], t["w1"][leaf])
         made = ids[score_]
         frames.append(_out(len(made), {"tree": np.full(len(made), tree), "top": np.full(len(made), root), "_id": made, "vote": votes[score_]}, {}))
@@ -514,7 +737,7 @@ def _grow_below_top(slim, splits, n_rows, num_trees, n_sub, min_leaf, max_depth,
     pairs = slim.mapInPandas(deal, _SLIM + ", grp int, top int, part long")
     tasks = _tasks(slim.sparkSession, num_trees + sum(map(len, top.values())))
     grown = stage_shared(pairs.repartition(tasks, "grp", "top", "part").groupBy("grp", "top", "part").applyInArrow(grow, _OUT), "forest")
-    nodes, votes = _split_output(grown)
+    nodes, votes = grown.where("node IS NOT NULL").select(*[c.split()[0] for c in _NODE.split(", ")]), grown.where("_id IS NOT NULL")
     return _with_top(nodes, votes, top, closed, splits) if top or closed else (nodes, votes)
 
 

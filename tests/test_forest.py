@@ -162,3 +162,80 @@ def test_split_candidates_follow_the_weighted_counts(spark):
 def test_no_training_rows_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError):
         grown(rows_of(spark).where("split = 'test'"), monkeypatch)
+
+
+def random_rows(n=3000, seed=4):
+    rnd = np.random.default_rng(seed)
+    hot = np.eye(7)[rnd.integers(0, 7, n)]
+    bins = np.concatenate([hot, rnd.random((n, 2)) < 0.4, rnd.integers(0, 200, (n, 3))], axis=1).astype(np.uint8)
+    label = (rnd.random(n) < 0.2 + 0.6 * (bins[:, 9] > 90) * (1 - bins[:, 2])).astype(float)
+    return bins, label, rnd.integers(0, 4, n)
+
+
+def trees_of(bins, label, count, weight, leafs, monkeypatch=None, summed_rows=128):
+    if monkeypatch:
+        monkeypatch.setattr(FO, "SUMMED_ROWS", summed_rows)
+    cols = FO._Columns(bins)
+    return cols, FO.grow_subtrees(cols, np.flatnonzero(count), FO._Bag.of(count, label, weight), 1, 0, 42, 6, leafs, 30)
+
+
+@pytest.mark.parametrize("weights", ["class", "boosted", "some zero"])
+def test_nodes_split_by_histograms_are_those_split_by_sorting(monkeypatch, weights):
+    """Weights are whole numbers, so that both add up the same whatever the order."""
+    bins, label, count = random_rows()
+    rnd = np.random.default_rng(9)
+    weight = {"class": np.where(label > 0, 3.0, 1.0), "boosted": rnd.integers(1, 50, len(label)) * 1.0,
+              "some zero": rnd.integers(0, 3, len(label)) * 1.0}[weights]
+    for leafs in ([1], [2, 5, 40]):
+        _, summed = trees_of(bins, label, count, weight, leafs, monkeypatch, 1)
+        _, sorted_ = trees_of(bins, label, count, weight, leafs, monkeypatch, 10**9)
+        for a, b in zip(summed, sorted_):
+            assert len(a["node"]) > 30 and all((a[k] == b[k]).all() for k in a)
+
+
+def test_large_nodes_are_not_sorted(monkeypatch):
+    bins, label, count = random_rows()
+    sorted_, found = [], FO._sorted_candidates
+    monkeypatch.setattr(FO, "_sorted_candidates", lambda c, rows, sizes, *a: (sorted_.extend(sizes), found(c, rows, sizes, *a))[1])
+    trees_of(bins, label, count, np.ones(len(label)), [1])
+    assert sorted_ and max(sorted_) < FO.SUMMED_ROWS
+
+
+def test_leaf_sizes_split_a_node_once_and_grow_the_trees_of_each_alone(monkeypatch):
+    bins, label, count = random_rows()
+    weight, seen, found = np.where(label > 0, 3.0, 1.0), [], FO._summed_candidates
+    monkeypatch.setattr(FO, "_summed_candidates", lambda c, rows, *a: (seen.append(len(rows)), found(c, rows, *a))[1])
+    _, together = trees_of(bins, label, count, weight, [3, 6, 10, 20], monkeypatch, 1)
+    once = sum(seen)
+    for leaf, t in zip([3, 6, 10, 20], together):
+        _, (alone,) = trees_of(bins, label, count, weight, [leaf])
+        assert all((t[k] == alone[k]).all() for k in t)
+    assert once < 0.6 * (sum(seen) - once)
+
+
+def test_one_hot_columns_share_a_byte_and_rows_walk_by_the_bins():
+    bins, label, count = random_rows()
+    cols, (t,) = trees_of(bins, label, count, np.ones(len(label)), [2])
+    assert len(cols.two) == 9 and cols.shared <= 3
+    leaf, at = FO._walk(t, cols, np.arange(len(bins))), np.zeros(len(bins), int)
+    for _ in range(31):
+        inner = t["left"][at] >= 0
+        right = bins[np.arange(len(bins)), t["feature"][at]] > t["cut"][at]
+        at = np.where(inner, np.where(right, t["right"][at], t["left"][at]), at)
+    assert (leaf == at).all()
+
+
+def test_rows_are_dealt_in_blocks(spark, monkeypatch):
+    """A record a batch of rows and group of trees, not one a row; the votes of a block are added up together."""
+    dealt, deal = [], FO._blocks
+    monkeypatch.setattr(FO, "_blocks", lambda rows, splits: (dealt.append(deal(rows, splits).count()), deal(rows, splits))[1])
+    forest = grown(rows_of(spark), monkeypatch)
+    assert dealt and dealt[0] <= 16 and forest.scored.count() == 500
+    ids = FO.stage_shared(forest.scored, "scored")
+    assert ids.where("probability IS NULL OR probability < 0 OR probability > 1").count() == 0
+
+
+def test_folds_without_scored_rows_in_some_blocks_and_few_rows(spark, monkeypatch):
+    rows = rows_of(spark, n=12).repartition(6)
+    made = FO.grow_forest(rows, F.col("split") == "train", F.col("split") == "test", 5, "2", 1, 30, 256, 42)
+    assert made.scored.count() == 3 and made.nodes.select("tree").distinct().count() == 5
