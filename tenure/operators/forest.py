@@ -149,19 +149,15 @@ def _blocks(rows: DataFrame, splits: list[np.ndarray]) -> DataFrame:
 
 
 def _unpacked(table: pa.Table, n: int):
-    """The rows of all blocks, in the order of the blocks' numbers: numbers, bins (rows x features), labels, weights,
-    flags, and each block's number and end."""
+    """The rows of all blocks, in the order of the blocks' numbers: numbers, bins, labels, weights, flags, and each
+    block's number and end."""
     number = table["block"].to_numpy()
     order = np.argsort(number)
     each = lambda c, t: (np.frombuffer(table[c][int(i)].as_buffer(), t) for i in order)
     ids = list(each("ids", np.int64))
     ends, ids = np.cumsum([len(i) for i in ids]), np.concatenate(ids)
-    bins, start = np.empty((n, len(ids)), np.uint8), 0
-    for b, end in zip(each("bins", np.uint8), ends):
-        bins[:, start:end] = b.reshape(n, -1)
-        start = end
     joined = (np.concatenate(list(each(c, t))) for c, t in (("label", float), ("weight", float), ("train", bool), ("score", bool)))
-    return (ids, bins.T, *joined, list(zip(number[order].tolist(), ends)))
+    return (ids, _Parts([b.reshape(n, -1) for b in each("bins", np.uint8)]), *joined, list(zip(number[order].tolist(), ends)))
 
 
 def _subset(seed: int, tree: int, nodes: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -199,30 +195,41 @@ def _first_best(node: np.ndarray, gain: np.ndarray, n: int, place: np.ndarray) -
     return out
 
 
+class _Parts:
+    """Bins of rows that lie in several arrays (features x rows), read a column at a time."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts, self.shape = parts, (sum(p.shape[1] for p in parts), len(parts[0]))
+
+    def column(self, f: int) -> np.ndarray:
+        return np.concatenate([p[f] for p in self.parts])
+
+
 class _Columns:
     """The bins of rows, a column of bytes each.  Columns of two bins of which no row has two ones share a byte, the
     number of the one, so that the levels of a one-hot variable are summed together."""
 
     def __init__(self, bins):
-        two = bins.T.max(axis=1, initial=0) <= 1
+        column = bins.column if isinstance(bins, _Parts) else lambda f: bins[:, f]
+        two = np.array([column(f).max(initial=0) <= 1 for f in range(bins.shape[1])], bool)
         self.two, self.many, self.shape = np.flatnonzero(two), np.flatnonzero(~two), bins.shape
         shared, used, self.byte, self.code = [], [], np.zeros(len(self.two), np.int64), np.zeros(len(self.two), np.int64)
         for i, f in enumerate(self.two):
-            ones = np.flatnonzero(bins[:, f].astype(bool))
+            ones = np.flatnonzero(column(f).astype(bool))
             for k in range(len(shared) - 1, max(-1, len(shared) - 1 - SHARED_TRIED), -1):
                 if used[k] < 255 and not shared[k][ones[:256]].any() and not shared[k][ones].any():
                     break
             else:
                 k = len(shared)
-                shared.append(np.zeros(len(bins), np.uint8))
+                shared.append(np.zeros(bins.shape[0], np.uint8))
                 used.append(0)
             used[k] += 1
             shared[k][ones] = used[k]
             self.byte[i], self.code[i] = k, used[k]
         self.shared, self.empty = len(shared), len(self.many) + len(shared)
-        self.values = np.zeros((self.empty + 1, len(bins)), np.uint8)                  # the last one is empty
+        self.values = np.zeros((self.empty + 1, bins.shape[0]), np.uint8)              # the last one is empty
         for i, f in enumerate(self.many):
-            self.values[i] = bins[:, f]
+            self.values[i] = column(f)
         for k in range(len(shared)):
             self.values[len(self.many) + k] = shared[k]
         self.one = np.full((len(shared), 256), len(self.two))                          # (byte, number): position in ``two``
@@ -310,7 +317,7 @@ def _sorted_candidates(cols: _Columns, rows, sizes, w, subset, total):
 
 
 def _summed_candidates(cols: _Columns, rows, sizes, bag: _Bag, subset, total, least):
-    """As ``_sorted_candidates``, for nodes of many rows: a histogram of both classes a drawn column and a shared byte.
+    """As ``_sorted_candidates``, for nodes of many rows: a histogram of both classes a drawn column and shared byte.
     Counts are only summed where units are none and a leaf must have more than one row."""
     n, node = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
     two, slots = _drawn(cols, subset)
@@ -321,10 +328,9 @@ def _summed_candidates(cols: _Columns, rows, sizes, bag: _Bag, subset, total, le
     cell = bag.side[rows] + node * 512 if n > 1 else bag.side[rows]
     for s in range(width + cols.shared):
         if s >= width or n == 1:
-            at = cols.values[len(cols.many) + s - width if s >= width else slots[0, s]].take(rows)
+            at = cols.values[len(cols.many) + s - width if s >= width else slots[0, s]].take(rows) + cell
         else:
-            at = cols.values.ravel().take((slots[:, s] * cols.shape[0])[node] + rows)
-        at = at + cell
+            at = cols.values.ravel().take((slots[:, s] * cols.shape[0])[node] + rows) + cell
         h = np.bincount(at, unit, n * 512).reshape(n, 2, 256)
         sums[0, s], sums[1, s] = h[:, 0], h[:, 1]
         if counted or (s >= width and not bag.counts):
@@ -663,7 +669,6 @@ def _grow_whole(blocks, splits, num_trees, n_sub, min_leafs, max_depth, seed):
         group = key[0].as_py()
         ids, bins, label, weight, train_, score_, blocks = _unpacked(table, n_features)
         cols = _Columns(bins)
-        del bins
         made, scored = [], np.flatnonzero(score_)
         votes = np.zeros((len(min_leafs), len(scored)))
         for tree in range(group * TREES_A_GROUP, min((group + 1) * TREES_A_GROUP, num_trees)):
